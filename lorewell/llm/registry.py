@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import chat_format, exact_dedup, line_dedup, mixing, packing, token_counts
 
-MODULES = (line_dedup, exact_dedup)
+MODULES = (packing, token_counts, mixing, chat_format, line_dedup, exact_dedup)
 
 
 def queries() -> dict:
