@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .work import BLANKS, read_table
+from .work import BLANKS, read_table, stored
 
 _BLANK_BYTES = BLANKS.encode()
 
@@ -58,6 +58,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     lines = line_hashes(slim.filter(f"doc_id is not null and octet_length(text) >= {min_chars}"), min_chars)
     lines = lines.distinct() if ids_repeat else lines
     common = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).filter(F.col("n") >= min_docs)
+    # written, so that both sides of the join are plain exchanges, which AQE can split at a hot line
+    common = stored(common.select("h1", "h2", "keep_id"), "common-lines")
     drops = lines.join(common, ["h1", "h2"]).filter("doc_id <> keep_id").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
     base = docs.drop("kept_text", "n_lines", "n_dropped", "_drop", "_drop_id").withColumn("_text", F.col(text_col))
     joined = base.join(drops, F.col(id_col).cast("long") == F.col("_drop_id"), "left").withColumn("_kept", _clean(min_chars)("_text", "_drop"))
