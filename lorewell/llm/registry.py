@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, mixing, packing, token_counts
+from . import chat_format, exact_dedup, fingerprints, line_dedup, mixing, packing, token_counts, toxicity
 
-MODULES = (packing, token_counts, mixing, chat_format, line_dedup, exact_dedup)
+MODULES = (toxicity, packing, token_counts, mixing, chat_format, fingerprints, line_dedup, exact_dedup)
 
 
 def queries() -> dict:
