@@ -44,8 +44,10 @@ def write_chunks_json(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def read_chunks_json(spark: SparkSession, path: str, schema: str = CHUNKS) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON has text keys only, so token ids are cast back."""
+    rows = spark.read.schema(CHUNKS.replace("map<long,", "map<string,")).json(path)
+    return rows.withColumn("sparse_vector", F.transform_keys("sparse_vector", lambda k, _: k.cast("long")))
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append", dedupe: bool = False) -> None:

@@ -53,7 +53,9 @@ def task_rollup_stream(events: DataFrame, late: str = "1 hour", idle_minutes: in
         for pdf in parts:
             log = fold(log, pdf)
         state.update((json.dumps(log),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_minutes * 60_000)
+        # from the task's own last event: the watermark is still at 0 in a stream's first batch
+        last = max([log["status"][0], *(v["last"][0] for v in log["nodes"].values())]) // 1_000_000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_minutes * 60_000)
         yield summary(key[0], log)
 
     marked = events.select("task_id", "node", "event", "ts", F.col("duration").cast("double").alias("duration")).withWatermark("ts", late)
