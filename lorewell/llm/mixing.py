@@ -91,7 +91,7 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.array_join(F.slice(words, 1, F.col("part").cast("int")), ""))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat("text", whole.cast("int")), cut)
     both = docs.join(mixed.select("doc_id", "size", "copies", "part"), "doc_id").withColumn("text", F.explode(texts))
-    return both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return both.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
