@@ -3,14 +3,16 @@
 Two sets of shingles link when den * |x & y| >= num * |x | y|. Then they share at least T(n) = ceil(num * n / den) shingles for either size n. In
 one order of all shingles, rare ones first, the prefix of the first n - T(n) + m shingles of both sets shares at least m shingles. Each document picks
 its own m: a longer prefix means more postings, but a candidate needs more shared prefix shingles before it is verified, so the m with the least
-estimated cost is taken, from a sketch of how many documents hold each shingle (all documents counted). A pair is a candidate if it shares min(m_x,
-m_y) prefix shingles.
-
-Sizes. Equal sets are one node from the start. Shingles that one node alone holds are dropped by an aggregation. Within the posting list of a
-shingle, pairs whose sizes forbid a link, or whose 512-bit parity signatures differ in more bits than a link allows (a lower bound of the symmetric
-difference, so exact), or which are connected already are never emitted. Two rounds first verify only each node's nearest candidate in every list and
-join what links; so a large group of near copies is mostly one class before the last round, which takes all candidates across classes. Lists
-are cut into blocks of ``block`` nodes, a task sees two blocks at most. What verification reads are the sets of the documents in lists only.
+estimated cost is taken, from a sketch of how many documents hold each shingle (all documents counted). What a
+pair shares beyond the shorter prefix is bounded by what is left of its set, so a pair is a candidate only if its shared prefix shingles and that
+rest reach the overlap that its sizes ask for.
+
+Sizes. Equal sets are one node from the start. Shingles that one node alone holds are dropped by an aggregation, which also names a hub for every other
+list: its node with the smallest digest. A first round verifies for each node only the hub it shares most prefix shingles with and joins what links;
+lists that are of one class then drop out. The last round takes all pairs of nodes of different classes in the remaining lists; pairs whose sizes
+forbid a link, or whose 1024-bit parity signatures differ in more bits than a link allows (a lower bound of the symmetric difference, so exact), are
+never emitted. Nodes of long lists are dealt into blocks of about ``block``, and a task compares two blocks at a time. Verification reads the texts of
+the nodes in pairs only and moves each set to its hub.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .components import components
 from .shingles import mix, shingle_sets
@@ -31,7 +33,7 @@ from .work import read_table, shuffle_count, stored
 #: Ids that may be broadcast (8 bytes each); above that the join is shuffled.
 BROADCAST_IDS = 1_000_000
 SLICE = 1 << 14
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,13 @@ class Rule:
         """Shingles that a set of n shares with any set it links to, at least."""
         return -(-self.num * n // self.den)
 
+    def enough(self, hits: Column, n_a: Column, m_a: Column, n_b: Column, m_b: Column) -> Column:
+        """Can two sets link that share so many prefix shingles? What they share beyond is in the rest of one of them, which is need(n) - m long; in all they
+        must share num / (num + den) of their sizes' sum."""
+        need = lambda n: F.ceil(F.lit(self.num) * n / self.den)
+        all_ = F.ceil(F.lit(self.num) * (n_a + n_b) / (self.num + self.den))
+        return hits + F.greatest(need(n_a) - m_a, need(n_b) - m_b) >= all_
+
 
 def _batches(batches: Iterator[pa.RecordBatch], rule: Rule):
     for batch in batches:
@@ -57,7 +66,7 @@ def _batches(batches: Iterator[pa.RecordBatch], rule: Rule):
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
-    m = mix(s + np.uint64(0x51ED270B))
+    m = mix(s + np.uint64(0x51ED270B))  # n, d2 and this one tell sets apart; d1 alone is checked to do so
     return int(m.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(m)).astype(np.int64)) if len(m) else 0
 
 
@@ -91,13 +100,13 @@ def describe(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
         if counts.any():
             lot = TaskContext.get().partitionId() % 256
             for k in range(0, cells, SLICE):
-                yield out([(None, None, None, None, None, k // SLICE, lot, counts[k : k + SLICE].astype("<i8").tobytes(), False)])
+                yield out([(None, None, None, None, None, k // SLICE, lot, counts[k : k + SLICE].astype("<i4").tobytes(), False)])
 
     schema = "doc_id long, n long, d1 long, d2 long, sig binary, slice int, lot int, counts binary, is_doc boolean"
     both = stored(docs.mapInArrow(run, schema), "shingle-sets", partition_by="is_doc")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
+        total = sum(np.frombuffer(x, "<i4").astype(np.int64) if len(x) == 4 * SLICE else np.frombuffer(x, "<i8") for x in pdf["counts"])
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "counts": [total.tobytes()]})
 
     lots = both.filter("not is_doc").select("slice", "lot", "counts").groupBy("slice", "lot").applyInPandas(add, "slice int, counts binary")
@@ -128,7 +137,7 @@ def choose_prefix(s: np.ndarray, sketch: np.ndarray, common: float, rule: Rule)
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
-    """(token, d1, d2, m): the prefix of each set; equal sets of one partition emit theirs once."""
+    """(token, node, n, m): the prefix of each set, with its digest, size and m; equal sets of one partition emit theirs once."""
     mean = float(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2**sketch_bits counts, whatever the input
     common = mean + 5 * mean**0.5 + 8
@@ -139,76 +148,81 @@ def postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             n = [len(t) for t in tokens]
-            cols = [np.repeat(np.array(c, np.int64), n) for c in zip(*rows)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], ["token", "d1", "d2", "m"])
+            node, size, m = (np.repeat(np.array(c, np.int64), n) for c in zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(m.astype(np.int32))], ["token", "node", "n", "m"])
 
         for _, s in _batches(batches, rule):
-            if not len(s) or (d := _digest(s)) in seen:
+            if not len(s) or (d := _digest(s)[0]) in seen:
                 continue
             if len(seen) < 1_000_000:  # the set only saves work
                 seen.add(d)
             prefix, m = choose_prefix(s, counts, common, rule)
             tokens.append(prefix)
-            rows.append((*d, m))
+            rows.append((d, len(s), m))
             if len(rows) >= 2048:
                 yield out()
                 tokens, rows = [], []
         if rows:
             yield out()
 
-    return docs.mapInArrow(run, "token long, d1 long, d2 long, m int")
+    return docs.mapInArrow(run, "token long, node long, n int, m int")
+
 
+def list_pairs(mixed: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame:
+    """Candidates (a, b, hits, m_a, m_b, n_a, n_b): pairs of different classes in one list that size and signature allow.
 
-def list_pairs(lists: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
-    """Candidates (a, b, m, n_a, n_b) within each cell of (token, bi, bj): pairs of different classes that size and signature allow; with ``nearest`` of each
-    node only the closest one. m: the matches that the pair needs."""
-    fields = "token long, bi int, bj int, block int, node long, n long, m int, sig binary, label long"
+    Lists with the same first node are taken together, so that a pair comes once for all of them, with the number of lists it shares. Their shingles are all in that
+    node's prefix. Nodes are dealt into cells of two blocks (bi, bj).
+    """
+    fields = "hub long, bi int, bj int, block int, node long, n int, m int, label long, sig binary, tokens array<long>"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def pairs(run: dict[str, np.ndarray]) -> list[np.ndarray]:
-        if run["label"].min() == run["label"].max():
+        label = run["label"]
+        if label.min() == label.max():
             return []
         split = run["bi"][0] != run["bj"][0]
         left = np.flatnonzero(run["block"] == run["bi"][0])
         right = np.flatnonzero(run["block"] == run["bj"][0]) if split else left
-        sig, n, label = run["sig"], run["n"], run["label"]
+        n, m, node, sig = run["n"].astype(np.int64), run["m"].astype(np.int64), run["node"], run["sig"]
+        lists = np.unique(np.concatenate(run["tokens"]), return_inverse=True)[1].reshape(-1)
+        holds = np.zeros((len(n), lists.max() + 1), np.float32)
+        holds[np.repeat(np.arange(len(n)), [len(t) for t in run["tokens"]]), lists] = 1
         found = []
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
             ni, nj = n[i][:, None], n[right][None, :]
-            ok = (label[i][:, None] != label[right][None, :]) & (rule.num * np.maximum(ni, nj) <= rule.den * np.minimum(ni, nj))
-            if not split and not nearest:
+            hits = holds[i] @ holds[right].T
+            ok = (hits > 0) & (label[i][:, None] != label[right][None, :]) & (rule.num * np.maximum(ni, nj) <= rule.den * np.minimum(ni, nj))
+            if not split:
                 ok &= i[:, None] < right[None, :]
-            if not ok.any():
-                continue
             x, y = np.nonzero(ok)
-            a, b = i[x], right[y]
-            apart = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64)
-            total = n[a] + n[b]
+            if not len(x):
+                continue
+            a, b, total = i[x], right[y], n[i[x]] + n[right[y]]
+            apart = np.concatenate([np.bitwise_count(sig[a[k : k + 65536]] ^ sig[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)])
             good = apart <= total - 2 * -(-rule.num * total // (rule.num + rule.den))
-            a, b, apart = a[good], b[good], apart[good]
-            if nearest and len(a):
-                order = np.lexsort((run["node"][b], apart, a))
-                first = np.r_[True, np.diff(a[order]) != 0]
-                a, b = a[order][first], b[order][first]
-            if len(a):
-                swap = run["node"][a] > run["node"][b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                found.append(np.stack([run["node"][a], run["node"][b], np.minimum(run["m"][a], run["m"][b]), n[a], n[b]]))
+            a, b, shared = a[good], b[good], hits[x, y][good].astype(np.int64)
+            swap = node[a] > node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            found.append(np.stack([node[a], node[b], shared, m[a], m[b], n[a], n[b]]))
         return found
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
+        out = ["a", "b", "hits", "m_a", "m_b", "n_a", "n_b"]
 
         def emit(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            new = np.flatnonzero((np.diff(cols["token"]) != 0) | (np.diff(cols["bi"]) != 0) | (np.diff(cols["bj"]) != 0)) + 1
-            found = []
-            for a, b in zip(np.r_[0, new], np.r_[new, len(cols["token"])]):
+            new = np.flatnonzero((np.diff(cols["hub"]) != 0) | (np.diff(cols["bi"]) != 0) | (np.diff(cols["bj"]) != 0)) + 1
+            found: list[np.ndarray] = []
+            for a, b in zip(np.r_[0, new], np.r_[new, len(cols["hub"])]):
                 if b - a > 1:
                     found += pairs({k: v[a:b] for k, v in cols.items()})
+                if sum(f.shape[1] for f in found) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
+                    found = []
             if found:
-                m = np.concatenate(found, axis=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in m], ["a", "b", "m", "n_a", "n_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -217,8 +231,8 @@ def list_pairs(lists: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
             cols["sig"] = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
             if rest is not None:
                 cols = {k: np.concatenate([rest[k], cols[k]]) for k in cols}
-            # the last run may go on in the next batch
-            last = np.flatnonzero((cols["token"] != cols["token"][-1]) | (cols["bi"] != cols["bi"][-1]) | (cols["bj"] != cols["bj"][-1]))
+            # the last cell may go on in the next batch
+            last = np.flatnonzero((cols["hub"] != cols["hub"][-1]) | (cols["bi"] != cols["bi"][-1]) | (cols["bj"] != cols["bj"][-1]))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield from emit({k: v[:cut] for k, v in cols.items()})
@@ -226,19 +240,67 @@ def list_pairs(lists: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
         if rest is not None:
             yield from emit(rest)
 
-    long_lists = lists.groupBy("token").count().filter(F.col("count") > rule.block).select("token", F.ceil(F.col("count") / rule.block).cast("int").alias("blocks"))
-    placed = lists.join(long_lists, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lists = mixed.groupBy(F.col("head").alias("hub"), "node").agg(F.collect_list("token").alias("tokens"), *[F.any_value(c).alias(c) for c in ("n", "m", "label")])
+    lists = stored(lists, "lists-by-hub")
+    long_lists = lists.groupBy("hub").count().filter(F.col("count") > rule.block).select("hub", F.ceil(F.col("count") / rule.block).cast("int").alias("blocks"))
+    placed = lists.join(signatures, "node").join(long_lists, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    dealt = cells.select(*names).repartition(shuffle_count(lists.sparkSession), "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    return dealt.mapInArrow(scan, "a long, b long, m long, n_a long, n_b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The candidates that share enough prefix shingles and do link."""
-    enough = pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("m").alias("m"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter("hits >= m")
-    both = enough.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.select("a", "b", "n_a", "n_b", common.alias("common")).filter(rule.den * F.col("common") >= rule.num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    dealt = cells.select(*names).repartition(shuffle_count(mixed.sparkSession), "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
+    return dealt.mapInArrow(scan, "a long, b long, hits long, m_a long, m_b long, n_a long, n_b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, fan: int = 512) -> DataFrame:
+    """The pairs (a, b) that do link. The sets of all a meet that of their b; a b with more than ``fan`` of them is dealt out over several groups."""
+    pairs = stored(pairs, "candidates")
+    crowded = pairs.groupBy("b").count().filter(F.col("count") > fan).select("b", F.ceil(F.col("count") / fan).cast("int").alias("lots"))
+    dealt = pairs.join(crowded, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"))
+    wanted = dealt.select(F.col("a").alias("node"), "b", "lot", F.lit(False).alias("is_hub")).unionByName(dealt.select(F.col("b").alias("node"), "b", "lot", F.lit(True).alias("is_hub")).distinct())
+    wanted = stored(wanted.join(nodes.select("node", F.col("first").alias("doc_id")), "node"), "wanted-sets")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "b", "lot", "is_hub", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # a set is larger than its text
+                batch = whole.slice(at, 500)
+                sets = list(shingle_sets(batch.column(4).to_pylist(), rule.width))
+                own = np.array([len(s) > 0 and _digest(s)[0] == node for s, node in zip(sets, batch.column(0).to_pylist())], bool)  # an id may stand for other texts too
+                cols = [*(batch.column(i) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "b", "lot", "is_hub", "shingles"]).filter(pa.array(own))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, of = np.empty(0, np.uint64), None
+        for batch in batches:
+            a, b = [], []
+            for i, (node, group, _, is_hub) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                s = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                if is_hub:
+                    hub, of = s, group
+                elif of == group:
+                    common = len(np.intersect1d(s, hub, assume_unique=True))
+                    if rule.den * common >= rule.num * (len(s) + len(hub) - common):
+                        a.append(node), b.append(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    sets = texts.mapInArrow(hashed, "node long, b long, lot int, is_hub boolean, shingles binary")
+    met = sets.repartition(shuffle_count(docs.sparkSession), "b", "lot").sortWithinPartitions("b", "lot", F.desc("is_hub"))
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def best_hub(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """For each node, of the hubs that it may link to, the one it shares most lists with. A hub's own m isn't known here; 1 is the least."""
+    hits = pairs.groupBy("node", "hub").agg(F.count("*").alias("hits"), *[F.any_value(c).alias(c) for c in ("n", "m", "hub_n")])
+    hits = hits.filter(rule.enough(F.col("hits"), F.col("n"), F.col("m"), F.col("hub_n"), F.lit(1)))
+    return hits.groupBy("node").agg(F.max_by("hub", F.struct("hits", "hub")).alias("b")).select(F.col("node").alias("a"), "b")
+
+
+def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Posting lists with the class of each node and their first node by class, without the lists that are of one class."""
+    few = labels.count() <= BROADCAST_IDS
+    labelled = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = labelled.groupBy("token").agg(F.min(F.struct("label", "node")).alias("low"), F.max("label").alias("last")).filter("low.label < last")
+    ends = stored(ends.select("token", F.col("low.node").alias("head")), "list-heads")
+    return stored(labelled.join(ends, "token").select("token", "node", "n", "m", "label", "head"), "mixed-lists")
 
 
 def ngram_join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,47 +313,46 @@ def ngram_join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = slim.filter("doc_id is not null")
     described, sketch = describe(known, rule)
-    nodes = stored(described.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "nodes")
+    nodes = stored(described.filter("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), (F.min(F.struct("n", "d2")) == F.max(F.struct("n", "d2"))).alias("alike")), "nodes")
+    if not nodes.filter("not alike").isEmpty():
+        raise ValueError("two different sets have one 64-bit digest; change the constant in _digest")
     prefix = postings(known, sketch, rule)
-    shared = prefix.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("token")
-    shared = stored(shared, "shared-tokens")
-    kept = prefix.join(shared, "token").groupBy("token", "d1", "d2").agg(F.any_value("m").alias("m"))
-    lists = stored(kept.join(nodes, ["d1", "d2"]).select("token", "node", "n", "m", "sig"), "posting-lists")
-    in_lists = stored(lists.select("node").distinct(), "listed-nodes")
-    sets = stored(shingles_of(known, in_lists, rule), "candidate-sets")
-
-    labels = None
-    for nearest in (True, True, False):
-        if labels is None:
-            labelled = lists.withColumn("label", F.col("node"))
-        else:
-            labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        links = verified(list_pairs(labelled, rule, nearest), sets, rule)
-        if labels is not None:  # what is connected already goes on as links to the class
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(stored(links, "links"))
-
-    of_set = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id"))
-    out = described.join(of_set, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    shared = prefix.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).filter("hub.node < last")
+    shared = stored(shared.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared-tokens")
+    lists = stored(prefix.join(shared, "token").groupBy("token", "node").agg(*[F.any_value(c).alias(c) for c in ("n", "m", "hub", "hub_n")]), "posting-lists")
+
+    links = stored(verified(best_hub(lists.filter("node <> hub"), rule), nodes, known, rule), "links")
+    labels = components(links)
+    mixed = with_labels(lists, labels)
+    signatures = nodes.select("node", "first").join(described.select(F.col("doc_id").alias("first"), F.col("d1").alias("node"), "sig"), ["first", "node"]).select("node", "sig")
+    pairs = list_pairs(mixed, signatures, rule)
+    counted = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), *[F.any_value(c).alias(c) for c in ("m_a", "m_b", "n_a", "n_b")])
+    enough = counted.filter(rule.enough(F.col("hits"), F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select("a", "b")
+    labels = joined(labels, stored(verified(enough, nodes, known, rule), "links"))
+
+    classes = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_set = classes.join(least, "label").select(F.col("node").alias("d1"), "component_id")
+    out = described.join(of_set, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     missing = slim.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(missing)
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(node, shingles) of the documents whose ids are listed."""
-    few = ids.count() <= BROADCAST_IDS
-    ids = ids.withColumnRenamed("node", "doc_id")
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("text").to_pylist(), rule.width))
-            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
-
-    return wanted.mapInArrow(run, "node long, shingles array<long>")
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after further links."""
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"), Rule(width=4, num=85, den=100))
+
+
+SQL = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.a WHERE r.c < p.b)
+SELECT s.doc_id, len(s.sh) AS n_shingles, m.component_id FROM s JOIN (SELECT a, min(c) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id"""
+}
