@@ -21,14 +21,14 @@ from .work import read_table
 
 @dataclass(frozen=True)
 class Settings:
-    sizes: tuple[int, ...] = (3, 4, 5)
+    sizes: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 20
-    max_train: int = 2500
-    #: standard errors that a log ratio must lie from 0 for its feature to enter the regression: the least and the most; between them half the
-    #: binary logarithm of the number of toxic training texts
-    significance: tuple[float, float] = (2.5, 5.0)
+    max_train: int = 1500
+    #: standard errors that a log ratio must lie from 0 for its feature to enter the regression: the least and the most; between them 0.35 times
+    #: the binary logarithm of the number of toxic training texts, for with more texts more features pass by chance
+    significance: tuple[float, float] = (2.5, 4.0)
     alpha: float = 1.0
-    penalty: float = 1e-4
+    penalty: float = 1e-3
     steps: int = 120
     seed: int = 29
 
@@ -64,19 +64,21 @@ def train(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> tup
     if not len(rows) or y.min() == y.max():  # nothing to tell apart: the label's share is the score
         share = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(dim, np.float32), float(np.log(share / (1 - share)))
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    toxic = np.repeat(y > 0, lengths)
-    p = np.bincount(flat[toxic], minlength=dim) + settings.alpha
-    q = np.bincount(flat[~toxic], minlength=dim) + settings.alpha
+    p, q = np.full(dim, settings.alpha), np.full(dim, settings.alpha)
+    for at in range(0, len(rows), 128):  # a few texts at a time: the driver is small
+        for count, label in ((p, 1), (q, 0)):
+            own = [r for r, t in zip(rows[at : at + 128], y[at : at + 128]) if t == label]
+            if own:
+                count += np.bincount(np.concatenate(own), minlength=dim)
     ratio = np.log(p / (y.sum() + 2 * settings.alpha)) - np.log(q / ((1 - y).sum() + 2 * settings.alpha))
     # features that tell nothing apart don't enter the regression
-    used = np.flatnonzero(np.abs(ratio) / np.sqrt(1 / p + 1 / q) > np.clip(0.5 * np.log2(max(1, y.sum())), *settings.significance))
-    number = np.full(dim, -1, np.int64)
+    used = np.flatnonzero(np.abs(ratio) / np.sqrt(1 / p + 1 / q) > np.clip(0.35 * np.log2(max(1, y.sum())), *settings.significance))
+    number = np.full(dim, -1, np.int32)
     number[used] = np.arange(len(used))
-    col = number[flat]
-    doc = np.repeat(np.arange(len(rows)), lengths)[col >= 0]
-    col = col[col >= 0]
+    found = [number[r] for r in rows]
+    found = [f[f >= 0] for f in found]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in found])
+    col = np.concatenate(found)
     x = ratio[used][col]
     weight_of = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     w, b = np.full(len(used), 0.05), 0.0
@@ -111,9 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
             rows = [own(t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "grams"])
 
-    found = texts.mapInArrow(grams, "doc_id long, y int, grams binary").toArrow().sort_by("doc_id")
+    found = texts.mapInArrow(grams, "doc_id long, y int, grams binary").toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("grams")]
-    return train(rows, np.array(found.column("y").to_pylist()), settings)
+    return train([rows[i] for i in order], found.column("y").to_numpy()[order], settings)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
