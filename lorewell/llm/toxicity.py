@@ -23,7 +23,7 @@ from .work import read_table
 class Settings:
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 20
-    max_train: int = 1500
+    max_train: int = 1000
     #: standard errors that a log ratio must lie from 0 for its feature to enter the regression: the least and the most; between them 0.35 times
     #: the binary logarithm of the number of toxic training texts, for with more texts more features pass by chance
     significance: tuple[float, float] = (2.5, 4.0)
@@ -116,7 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     found = texts.mapInArrow(grams, "doc_id long, y int, grams binary").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("grams")]
-    return train([rows[i] for i in order], found.column("y").to_numpy()[order], settings)
+    model = train([rows[i] for i in order], found.column("y").to_numpy()[order], settings)
+    del rows, found
+    pa.default_memory_pool().release_unused()  # a driver is small and goes on to other jobs
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
