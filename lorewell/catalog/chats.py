@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators.context import build_prompts, format_documents, format_history
 from ..operators.history import clear_sessions, history_text, recent_messages, session_history, turns_to_messages, upsert_messages
 from .base import table
-from .search import sources
+from .search import _WHOLE, sources, whole_sources
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +60,23 @@ def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("session_id", "kept", F.lit(0).cast("long").alias("deleted")).unionByName(deleted.select("session_id", F.lit(0).cast("long").alias("kept"), "deleted"))
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    return found.select("request_id", F.col("pos").alias("rank"), "content", "title", "chunk_id", "url", "source", F.when(F.col("pos") % 4 != 0, 1 / F.col("pos")).alias("score"))
+
+
 def ranked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark, sf_dir).select("request_id", F.col("pos").alias("rank"), "content", "title", "chunk_id", "url", "source", F.when(F.col("pos") % 4 != 0, 1 / F.col("pos")).alias("score"))
+    return ranked(sources(spark, sf_dir))
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_documents(ranked_sources(spark, sf_dir), 2000)
 
 
+def whole_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents within the default budget, which is the only limit."""
+    return format_documents(ranked(whole_sources(spark, sf_dir)))
+
+
 def asked_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select(F.col("session_id").cast("long").alias("request_id"), F.col("ts").cast("int").alias("pos"), "role", "text")
 
@@ -77,9 +86,16 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_history(asked_history(spark, sf_dir), budgets)
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("original_query"), F.lit(None).cast("string").alias("rewritten_query"), F.array(F.concat(F.lit("item "), "item_id"), F.lit("x")).alias("item_names"))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("original_query"), F.lit(None).cast("string").alias("rewritten_query"), F.array(F.concat(F.lit("item "), "item_id"), F.lit("x")).alias("item_names"))
-    return build_prompts(requests, ranked_sources(spark, sf_dir), asked_history(spark, sf_dir))
+    return build_prompts(requests(spark, sf_dir), ranked_sources(spark, sf_dir), asked_history(spark, sf_dir))
+
+
+def whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_prompts(requests(spark, sf_dir), ranked(whole_sources(spark, sf_dir)), asked_history(spark, sf_dir))
 
 
 QUERIES = {
@@ -92,6 +108,8 @@ QUERIES = {
     "document_context": contexts,
     "history_context": histories,
     "prompts": prompts,
+    "whole_document_context": whole_contexts,
+    "whole_prompts": whole_prompts,
 }
 
 _M = "m AS (SELECT conv_id || '-' || printf('%03d', turn) AS message_id, conv_id::VARCHAR AS session_id, role, text, turn::DOUBLE AS ts FROM conversations)"
@@ -103,6 +121,10 @@ t AS (SELECT request_id, rank, '[' || rank || '] [source=' || source || ']' || C
        || CASE WHEN rank % 4 <> 0 THEN printf(' [score=%.4f]', 1.0::DOUBLE / rank) ELSE '' END || chr(10) || content AS entry FROM s),
 c AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY request_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM t)"""
 
+#: The same from whole texts.
+_ENTRIES = _SOURCES[_SOURCES.index("t AS (") :]
+_WHOLE_SOURCES = f"{_WHOLE},\n{_ENTRIES}"
+
 
 def _context(budget: int) -> str:
     return f"""SELECT request_id, coalesce(string_agg(entry, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE spent - 1 <= {budget}), '') AS context,
@@ -129,6 +151,12 @@ UNION ALL SELECT 'new', session_id, role, 'hello', 500 FROM m WHERE ts = 0""",
     "prompts": f"""WITH {_SOURCES}, x AS ({_context(12000)}), {_LINES},
 q AS (SELECT item_id AS request_id, text, coalesce(x.context, '') AS context, coalesce(x.remaining, 12000) AS remaining FROM benchmark LEFT JOIN x ON x.request_id = item_id),
 h AS (SELECT request_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM k JOIN q USING (request_id) WHERE used - 1 <= remaining GROUP BY request_id)
+SELECT request_id, '参考内容：' || chr(10) || coalesce(nullif(context, ''), '无参考内容') || chr(10) || chr(10) || '历史对话：' || chr(10) || coalesce(history, '暂无历史对话') || chr(10) || chr(10)
+       || '相关商品：item ' || request_id || ', x' || chr(10) || chr(10) || '问题：' || text AS prompt FROM q LEFT JOIN h USING (request_id)""",
+    "whole_document_context": f"WITH {_WHOLE_SOURCES} {_context(12000)}",
+    "whole_prompts": f"""WITH {_WHOLE_SOURCES}, x AS ({_context(12000)}), {_LINES},
+q AS (SELECT item_id AS request_id, text, coalesce(x.context, '') AS context, coalesce(x.remaining, 12000) AS remaining FROM benchmark LEFT JOIN x ON x.request_id = item_id),
+h AS (SELECT request_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM k JOIN q USING (request_id) WHERE used - 1 <= remaining GROUP BY request_id)
 SELECT request_id, '参考内容：' || chr(10) || coalesce(nullif(context, ''), '无参考内容') || chr(10) || chr(10) || '历史对话：' || chr(10) || coalesce(history, '暂无历史对话') || chr(10) || chr(10)
        || '相关商品：item ' || request_id || ', x' || chr(10) || chr(10) || '问题：' || text AS prompt FROM q LEFT JOIN h USING (request_id)""",
 }

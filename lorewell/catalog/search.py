@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import Config
 from ..operators.fusion import cliff_cutoff, hit_stats, merge_sources, normalize_hits, rerank, rrf
@@ -96,20 +96,34 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank(candidates(spark, sf_dir)).select("request_id", "pos", F.round("score", 9).alias("score"), "rank")
 
 
-def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def web_pages(spark: SparkSession, sf_dir: str, snippet: Column | None = None) -> DataFrame:
+    """The pages with ``snippet``, by default the start of the first paragraph."""
     pages = table(spark, sf_dir, "pages")
-    return pages.select((F.col("page_id") % 100).alias("request_id"), F.col("page_id").alias("pos"), F.regexp_extract("html", r"<p>([^<]*)", 1).alias("snippet"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), "url")
+    snippet = F.regexp_extract("html", r"<p>([^<]*)", 1) if snippet is None else snippet
+    return pages.select((F.col("page_id") % 100).alias("request_id"), F.col("page_id").alias("pos"), snippet.alias("snippet"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), "url")
 
 
-def local_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def local_hits(spark: SparkSession, sf_dir: str, content: Column | None = None) -> DataFrame:
+    """The documents with ``content``, by default the start of the text."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select((F.col("doc_id") % 100).alias("request_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 300).alias("content"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
+    content = F.substring("text", 1, 300) if content is None else content
+    return docs.select((F.col("doc_id") % 100).alias("request_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), content.alias("content"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sources(local_hits(spark, sf_dir), web_pages(spark, sf_dir))
 
 
+def paragraphs(html: Column) -> Column:
+    """All paragraphs of a page, without tags."""
+    found = F.regexp_extract_all(html, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, "<[^>]*>", "")), "\n")
+
+
+def whole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_sources(local_hits(spark, sf_dir, F.col("text")), web_pages(spark, sf_dir, paragraphs(F.col("html"))))
+
+
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = embed(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"), "text")
     ok, _ = validate_vectors(docs)
@@ -127,6 +141,7 @@ QUERIES = {
     "hyde_queries": hyde,
     "reranked": reranked,
     "merged_sources": sources,
+    "merged_whole_sources": whole_sources,
     "embedded_documents": embedded,
 }
 
@@ -147,6 +162,13 @@ def _cliff(rows: str, gap: float) -> str:
 k AS (SELECT request_id, any_value(n) AS n, arg_max(rank, fall * 1e6 - rank * 1e-9) FILTER (WHERE fall >= {gap}) AS spot FROM d GROUP BY request_id)"""
 
 
+# the whole texts of documents and pages, of which merged_sources takes the start
+_WHOLE = r"""a AS (SELECT doc_id % 100 AS request_id, 0 AS side, doc_id AS spot, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content, 'doc ' || doc_id AS title, doc_id::VARCHAR AS chunk_id, '' AS url, 'local' AS source FROM documents),
+b AS (SELECT page_id % 100 AS request_id, 1 AS side, page_id AS spot, trim(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1), chr(10)), '<[^>]*>', '', 'g'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content,
+      trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, NULL AS chunk_id, trim(url) AS url, 'web' AS source FROM pages),
+u AS (SELECT * FROM a WHERE content <> '' UNION ALL SELECT * FROM b WHERE content <> '' AND title <> '' AND url <> ''),
+s AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY side, spot) AS rank, content, title, chunk_id, url, source FROM u)"""
+
 SQL = {
     "dense_topk": f"""WITH {_PAIRS}, r AS (SELECT q AS query_id, c AS chunk_id, cosine, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 12) DESC, c)::INT AS rank FROM p)
 SELECT query_id, chunk_id, round(cosine, 6) AS score, rank FROM r WHERE rank <= 5""",
@@ -179,4 +201,5 @@ SELECT request_id, pos, round(score, 9) AS score, row_number() OVER (PARTITION B
 b AS (SELECT page_id % 100 AS request_id, 1 AS side, page_id AS spot, trim(regexp_extract(html, '<p>([^<]*)', 1)) AS content, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, NULL AS chunk_id, trim(url) AS url, 'web' AS source FROM pages),
 u AS (SELECT * FROM a WHERE content <> '' UNION ALL SELECT * FROM b WHERE content <> '' AND title <> '' AND url <> '')
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY side, spot)::INT AS pos, content, title, chunk_id, url, source FROM u""",
+    "merged_whole_sources": f"WITH {_WHOLE} SELECT request_id, rank::INT AS pos, content, title, chunk_id, url, source FROM s",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from lorewell.catalog import registry
@@ -22,3 +24,15 @@ def test_query(spark, duck, name):
 
 def test_names_match():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_whole_texts_reach_the_prompts(spark):
+    texts = {str(r.doc_id): (r.text or "").strip() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["merged_whole_sources"](spark, str(DATA)).collect()
+    local = {r.chunk_id: r.content for r in rows if r.source == "local"}
+    assert local == {k: t for k, t in texts.items() if t} and max(map(len, local.values())) > 2000
+    html = {r.url: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    web = [r for r in rows if r.source == "web"]
+    assert web and any(r.content.count("\n") > 1 for r in web) and all(r.content.split("\n")[-1] in re.sub("<[^>]*>", "", html[r.url]) for r in web)
+    prompts = [r.prompt for r in QUERIES["whole_prompts"](spark, str(DATA)).collect()]
+    assert any(t in p for p in prompts for t in texts.values() if len(t) > 300)
