@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import Config
+from ..functions.text import is_blank
 from ..operators.fusion import cliff_cutoff, hit_stats, merge_sources, normalize_hits, rerank, rrf
 from ..operators.vectors import dense_topk, embed, hybrid, hyde_queries, inner_product, sparse_topk, top, to_sparse_map, validate_vectors
 from .base import table
@@ -84,6 +85,13 @@ def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyde_queries(requests, written)
 
 
+def whole_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the benchmark's questions for each document, with the whole document as the hypothetical one; a blank text gives none."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("query"))
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(asked.agg(F.count("*").alias("n")))).select(F.col("doc_id").alias("request_id"), F.pmod("doc_id", "n").alias("item"), F.col("text").alias("document"))
+    return hyde_queries(docs.join(asked, "item").select("request_id", "query"), docs.filter(~is_blank(F.col("document"))))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a candidate for one of the benchmark's questions."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
@@ -139,6 +147,7 @@ QUERIES = {
     "fused_cliff": flagship,
     "nearest_cliff": nearest_ten_cut,
     "hyde_queries": hyde,
+    "whole_hyde_queries": whole_hyde,
     "reranked": reranked,
     "merged_sources": sources,
     "merged_whole_sources": whole_sources,
@@ -202,4 +211,7 @@ b AS (SELECT page_id % 100 AS request_id, 1 AS side, page_id AS spot, trim(regex
 u AS (SELECT * FROM a WHERE content <> '' UNION ALL SELECT * FROM b WHERE content <> '' AND title <> '' AND url <> '')
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY side, spot)::INT AS pos, content, title, chunk_id, url, source FROM u""",
     "merged_whole_sources": f"WITH {_WHOLE} SELECT request_id, rank::INT AS pos, content, title, chunk_id, url, source FROM s",
+    "whole_hyde_queries": r"""WITH n AS (SELECT count(*) AS n FROM benchmark),
+r AS (SELECT doc_id, b.text AS query, CASE WHEN regexp_matches(d.text, '\S') THEN d.text END AS document FROM documents d, n JOIN benchmark b ON b.item_id = d.doc_id % n)
+SELECT doc_id AS request_id, 'plain' AS path, query AS text FROM r UNION ALL SELECT doc_id, 'hyde', query || chr(10) || coalesce(document, '') FROM r""",
 }

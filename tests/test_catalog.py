@@ -36,3 +36,10 @@ def test_whole_texts_reach_the_prompts(spark):
     assert web and any(r.content.count("\n") > 1 for r in web) and all(r.content.split("\n")[-1] in re.sub("<[^>]*>", "", html[r.url]) for r in web)
     prompts = [r.prompt for r in QUERIES["whole_prompts"](spark, str(DATA)).collect()]
     assert any(t in p for p in prompts for t in texts.values() if len(t) > 300)
+
+
+def test_whole_texts_answer_the_questions(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["whole_hyde_queries"](spark, str(DATA)).collect()
+    asked = {r.request_id: r.text for r in rows if r.path == "plain"}
+    assert {r.request_id: r.text for r in rows if r.path == "hyde"} == {i: f"{asked[i]}\n{t if t and t.strip() else ''}" for i, t in texts.items()}
