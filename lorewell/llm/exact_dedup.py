@@ -33,7 +33,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def folded(rows: DataFrame, *by: str) -> DataFrame:
-    """One entry per digest: the row with most code points, then the smallest id, and the number of rows."""
+    """One entry per digest: the row with most code points, then the smallest id (null last), and the number of rows."""
     return rows.groupBy(*by, *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
@@ -43,7 +43,7 @@ def tree_merge(rows: DataFrame, fan_in: int = 8) -> DataFrame:
     rounds = max(1, math.ceil(math.log(slots, fan_in)))
     # 28 bits of the digest are the number of the partition where it ends
     goal = F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("long") % F.lit(fan_in**rounds)
-    runs = rows.select(*KEY, F.struct((-F.col("n_chars")).alias("fewest"), F.col("doc_id").alias("id")).alias("best"), F.lit(1).cast("long").alias("n"), (F.spark_partition_id() % F.lit(fan_in**rounds)).cast("long").alias("slot"))
+    runs = rows.select(*KEY, F.struct((-F.col("n_chars")).alias("fewest"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id")).alias("best"), F.lit(1).cast("long").alias("n"), (F.spark_partition_id() % F.lit(fan_in**rounds)).cast("long").alias("slot"))
     runs = folded(runs, "slot")
     for r in range(rounds):
         low = fan_in**r
@@ -55,10 +55,12 @@ def tree_merge(rows: DataFrame, fan_in: int = 8) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """Texts are equal when identical after deleting ASCII blanks. Of equal texts the row with most code points in the original stays,
-    then the smallest id.
+    then the smallest id, null last.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, one row per input row. A null text counts as empty; empty texts form one
-    group; a repeated row (same id and text) counts in group_size each time, and each such row is reported. Other columns are ignored,
+    group; a repeated row (same id and text) counts in group_size each time, and each such row is reported. ``kept`` says
+    whether a row has the id ``keep_id``, a null being equal to a null: if only rows without id have the most code points, ``keep_id`` is
+    null, and all rows without id in that group are kept, since nothing tells them apart. Other columns are ignored,
     whatever their names. An empty table gives an empty result.
     """
     rows = stored(digests(docs, id_col, text_col), "digests")
@@ -73,8 +75,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = rows.join(hot, list(KEY), "left")
     cold = left.filter("hot_n is null").drop("hot_id", "hot_n").join(warm, list(KEY), "left")
     both = cold.unionByName(left.filter("hot_n is not null").withColumnsRenamed({"hot_id": "keep_id", "hot_n": "group_size"}))
-    keep = F.coalesce("keep_id", "doc_id")
-    return both.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    # a row that met no group is alone; in a group keep_id may be null itself
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return both.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

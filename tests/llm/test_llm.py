@@ -98,6 +98,14 @@ def test_exact_dedup_counts_repeated_rows(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(df).collect()) == [(1, 1, 4)] * 3 + [(2, 1, 4)]
 
 
+def test_exact_dedup_without_ids(spark):
+    rows = [(None, "a b"), (5, "a b"), (4, "b a"), (3, "ab"), (9, "a b"), (None, "c  d"), (7, "cd"), (None, "cd"), (None, "ef"), (None, "e f"), (None, "alone"), (6, "b a")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    ties = [(None, 5, 4, False), (5, 5, 4, True), (3, 5, 4, False), (9, 5, 4, False), (4, 4, 2, True), (6, 4, 2, False)]
+    longest = [(None, None, 3, True), (7, None, 3, False), (None, None, 3, True)]
+    assert got == sorted([*ties, *longest, (None, None, 2, True), (None, None, 2, True), (None, None, 1, True)], key=str)
+
+
 # lines
 
 
