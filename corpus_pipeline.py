@@ -13,7 +13,7 @@ from lorewell.llm.mixing import apply_mix, mix
 from lorewell.llm.ngram_join import Rule, ngram_join
 from lorewell.llm.packing import pack_documents
 from lorewell.llm.toxicity import toxicity
-from lorewell.llm.work import read_table, stored
+from lorewell.llm.work import numbered, read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by a word-shingle similarity of 0.8 the one with the smallest id stays."""
-    first = ngram_join(docs, Rule(width=5, num=80, den=100)).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """Of each class of documents linked by a word-shingle similarity of 0.8 the one with the smallest id stays, null last.
+
+    Each row is a document of its own, whatever its id: of rows that repeat an id and a text one stays, and rows without id are compared like
+    others. Texts without words are linked with nothing; of those with one id one stays, and all without id.
+    """
+    rows = numbered(docs, "near-rows")
+    found = ngram_join(rows, Rule(width=5, num=80, den=100), id_col="_row").withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row")
+    wordless = F.col("n_shingles") == 0
+    group = (F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")).alias("a"), F.when(wordless, F.col("doc_id")).alias("b"))
+    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    return apply_mix(docs, mix(docs))
+    rows = numbered(docs, "mix-rows")
+    return apply_mix(rows, mix(rows, row_col="_row"), "_row").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,16 +50,17 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, bucket_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, bucket_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, copies (whole repetitions) and part (leading words of one more).
 
     Sources in code-point order, null last, weigh ``weights`` in turn. A null text has size 0; a source without words gets target 0 and its
     documents take nothing; an empty table gives an empty result. Rows that repeat an id are documents of their own; equal rows of one
-    source take their words in no particular order, the sum being the same. Other columns are ignored. Reruns agree, whatever the
-    partitioning.
+    source take their words in no particular order, the sum being the same. Other columns are ignored, but ``row_col``, which tells rows
+    apart, is passed through if given. Reruns agree, whatever the partitioning.
     """
+    own = [row_col] if row_col else []
     key = F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("u")).withColumn("source_key", key).drop("source"), "mix-sizes")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("u"), *own).withColumn("source_key", key).drop("source"), "mix-sizes")
     sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     turn = (F.row_number().over(Window.orderBy("source_key")) - 1) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))
@@ -72,25 +73,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     sums = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("bucket_before", before).drop("bucket_size")
-    inner = Window.partitionBy("source_key", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source_key", "bucket").orderBy("u", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("bucket_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("ahead")))
     return (
         placed.join(sums, ["source_key", "bucket"])
         .withColumn("ahead", ahead)
         .withColumn("part", part)
-        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part")
+        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part", *own)
     )
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, on: str = "doc_id") -> DataFrame:
     """The mixed corpus: each document as often as ``mixed`` says, with the columns of ``docs``; a partial copy keeps its leading words and the
-    blanks between them, and ``n_chars`` follows its text. Ids must be unique."""
+    blanks between them, and ``n_chars`` follows its text. ``on`` names the column that tells the rows of both apart: it must be
+    unique and not null."""
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
     whole = F.when((F.col("part") == F.col("size")) & (F.col("part") > 0), F.col("copies") + 1).otherwise(F.col("copies"))
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.array_join(F.slice(words, 1, F.col("part").cast("int")), ""))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat("text", whole.cast("int")), cut)
-    both = docs.join(mixed.select("doc_id", "size", "copies", "part"), "doc_id").withColumn("text", F.explode(texts))
+    both = docs.join(mixed.select(on, "size", "copies", "part"), on).withColumn("text", F.explode(texts))
     return both.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

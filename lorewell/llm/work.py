@@ -40,6 +40,11 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``_row``, a number that tells its rows apart; stored, so that it stays the same in every read."""
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

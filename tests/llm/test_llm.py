@@ -535,3 +535,20 @@ def test_pipeline(spark):
 def lines_by_id(rows):
     rows = sorted(rows, key=lambda r: r.doc_id)
     return lines_kept([r.text for r in rows], 5, 40)
+
+
+def test_pipeline_stages_without_unique_ids(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    row = lambda i, t, source="a": (i, t, "en", source, len(t or ""))
+    rows = [row(None, text(1)), row(None, text(1)), row(3, text(2)), row(3, text(2)), row(3, text(3)), row(None, text(3)), row(2, text(4)), row(None, text(4)), row(9, text(4)), row(5, None), row(5, None), row(None, " ")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = stages["ngram_join"](spark, docs, str(DATA))
+    expected = [(None, text(1)), (3, text(2)), (3, text(3)), (2, text(4)), (5, None), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+    # one source asks for all words, and its target is the words there are
+    rows = [row(1, text(1))] * 3 + [row(1, text(2)), row(None, text(3)), row(None, text(4))]
+    mixed = stages["mixing"](spark, spark.createDataFrame(rows, DOCS).repartition(3), str(DATA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == sorted([(r[0], r[1]) for r in rows], key=str)
