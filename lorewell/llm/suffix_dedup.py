@@ -9,6 +9,9 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
 3. Shards. The snippets of those keys are dealt by key. A task sorts its rows by key and builds suffix arrays over blocks of whole keys (distinct
    snippets once), whose neighbours with a common prefix of ``length`` or more form classes with a smallest document.
 4. The strings of every class that stand in other documents are the spans to cut; only documents that have some are read again.
+
+Inside, ``doc`` is the id, null being the largest long, and ``variant`` tells apart the texts of rows that repeat an id: a hash of the text there,
+0 elsewhere.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shingles import mix
 from .suffix_array import equal_neighbours, suffix_array
 from .work import read_table, shuffle_count, stored
 
-#: Ids that may be broadcast (8 bytes each); above that the join is shuffled.
+#: Ids that may be broadcast (16 bytes each, with the variant); above that the join is shuffled.
 BROADCAST_IDS = 1_000_000
 GRAM = 16
+ROW = ["doc", "variant"]
 _BYTE = np.random.default_rng(50_021).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -54,30 +58,30 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, first) of all runs."""
+    """(key, doc, variant, first) of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, firsts, size = [], [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
+            keys, ids, variants, firsts, size = [], [], [], [], 0
+            for doc, variant, text in zip(*(batch.column(c).to_pylist() for c in ROW), _texts(batch)):
                 k, f, _ = anchors(text, length)
                 if len(k):
-                    keys.append(k), firsts.append(f), ids.append(np.full(len(k), doc, np.int64))
+                    keys.append(k), firsts.append(f), ids.append(np.full(len(k), doc, np.int64)), variants.append(np.full(len(k), variant, np.int64))
                     size += len(k)
                 if size > 200_000:
-                    yield _rows(keys, ids, firsts)
-                    keys, ids, firsts, size = [], [], [], 0
+                    yield _rows(keys, ids, variants, firsts)
+                    keys, ids, variants, firsts, size = [], [], [], [], 0
             if size:
-                yield _rows(keys, ids, firsts)
+                yield _rows(keys, ids, variants, firsts)
 
-    def _rows(keys, ids, firsts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(firsts).astype(np.int32))], ["key", "doc_id", "first"])
+    def _rows(keys, ids, variants, firsts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(variants)), pa.array(np.concatenate(firsts).astype(np.int32))], ["key", *ROW, "first"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, first int")
+    return docs.select(*ROW, "text").mapInArrow(run, "key long, doc long, variant long, first int")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(doc_id, first) of the runs whose key stands in two documents at least. Rows of a key pass by in order; only the open run is held back, and
+    """(doc, variant, first) of the runs whose key stands in two documents at least. Rows of a key pass by in order; only the open run is held back, and
     of it no more than one document's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,33 +89,33 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, first = (batch.column(i).to_numpy() for i in range(3))
+            key, doc, variant, first = (batch.column(i).to_numpy() for i in range(4))
             if held is not None:
-                key, doc, first = (np.concatenate(x) for x in zip(held, (key, doc, first)))
+                key, doc, variant, first = (np.concatenate(x) for x in zip(held, (key, doc, variant, first)))
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             stop = np.r_[start[1:], len(key)]
             many = doc[start] != doc[stop - 1]  # rows of a key are sorted by document
             many[0] |= key[0] == known
             take = np.repeat(many, stop - start)
             if take.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(first[take])], ["doc_id", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(variant[take]), pa.array(first[take])], [*ROW, "first"])
             known = key[-1] if many[-1] else None
-            held = None if many[-1] else (key[start[-1] :], doc[start[-1] :], first[start[-1] :])
+            held = None if many[-1] else (key[start[-1] :], doc[start[-1] :], variant[start[-1] :], first[start[-1] :])
 
-    dealt = rows.repartition(shuffle_count(rows.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, first int")
+    dealt = rows.repartition(shuffle_count(rows.sparkSession), "key").sortWithinPartitions("key", "doc")
+    return dealt.mapInArrow(run, "doc long, variant long, first int")
 
 
 def snippets(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, first, snippet) of the shared runs."""
+    """(key, doc, variant, first, snippet) of the shared runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, bytes]] = []
-            for doc, text, firsts in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("firsts")):
+            rows: list[tuple[int, int, int, int, bytes]] = []
+            for doc, variant, text, firsts in zip(*(batch.column(c).to_pylist() for c in ROW), _texts(batch), batch.column("firsts")):
                 k, f, last = anchors(text, length)
                 at = np.searchsorted(f, np.sort(firsts.values.to_numpy()))
-                rows += [(key, doc, a, text[a : b + length]) for key, a, b in zip(k[at].view(np.int64).tolist(), f[at].tolist(), last[at].tolist())]
+                rows += [(key, doc, variant, a, text[a : b + length]) for key, a, b in zip(k[at].view(np.int64).tolist(), f[at].tolist(), last[at].tolist())]
                 if len(rows) > 100_000:
                     yield _rows(rows)
                     rows = []
@@ -119,15 +123,15 @@ def snippets(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 yield _rows(rows)
 
     def _rows(rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "doc_id", "first", "snippet"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", *ROW, "first", "snippet"])
 
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"))
-    texts = among(docs, per_doc.select("doc_id"))
-    return texts.join(per_doc, "doc_id").select("doc_id", "text", "firsts").mapInArrow(run, "key long, doc_id long, first int, snippet binary")
+    per_doc = shared.groupBy(*ROW).agg(F.collect_set("first").alias("firsts"))
+    texts = among(docs, per_doc.select(*ROW))
+    return texts.join(per_doc, ROW).select(*ROW, "text", "firsts").mapInArrow(run, "key long, doc long, variant long, first int, snippet binary")
 
 
 def spans_of_block(keys: np.ndarray, docs: np.ndarray, firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, from, to) of the repeated strings among the snippets of some keys, found with one suffix array."""
+    """(row, from, to) of the repeated strings among the snippets of some keys, found with one suffix array."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(x, len(number)) for x in texts])
     distinct = list(number)
@@ -160,25 +164,26 @@ def spans_of_block(keys: np.ndarray, docs: np.ndarray, firsts: np.ndarray, texts
     gone = docs[rows] > first_doc[start[run]]
     rows, run = rows[gone], run[gone]
     shift = firsts[rows] - begin[which[rows]]
-    return docs[rows], start[run] + shift, stop[run] + shift + length
+    return rows, start[run] + shift, stop[run] + shift + length
 
 
 def repeated_spans(rows: DataFrame, length: int, block_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, from, to) from snippet rows, dealt and sorted by key; a suffix array covers whole keys of about ``block_bytes``."""
+    """(doc, variant, from, to) from snippet rows, dealt and sorted by key; a suffix array covers whole keys of about ``block_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         held, held_key = 0, None
 
         def out() -> pa.RecordBatch:
-            docs, begin, end = spans_of_block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), [x for p in parts for x in p[3]], length)
-            return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], ["doc_id", "from", "to"])
+            keys, docs, variants, firsts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            rows, begin, end = spans_of_block(keys, docs, firsts, [x for p in parts for x in p[4]], length)
+            return pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(variants[rows]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], [*ROW, "from", "to"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, first = (batch.column(i).to_numpy() for i in range(3))
-            text = batch.column(3).to_pylist()
+            key, doc, variant, first = (batch.column(i).to_numpy() for i in range(4))
+            text = batch.column(4).to_pylist()
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             stop = np.r_[start[1:], len(key)]
             size = np.cumsum([0] + [len(x) for x in text])
@@ -186,24 +191,24 @@ def repeated_spans(rows: DataFrame, length: int, block_bytes: int = 1 << 20) ->
             for a, b in zip(start, stop):
                 if held + size[a] - size[at] >= block_bytes and key[a] != held_key:
                     if a > at:
-                        parts.append((key[at:a], doc[at:a], first[at:a], text[at:a]))
+                        parts.append((key[at:a], doc[at:a], variant[at:a], first[at:a], text[at:a]))
                     if parts:
                         yield out()
                     parts, held, at = [], 0, a
                 held_key = key[a]
-            parts.append((key[at:], doc[at:], first[at:], text[at:]))
+            parts.append((key[at:], doc[at:], variant[at:], first[at:], text[at:]))
             held += size[-1] - size[at]
         if parts:
             yield out()
 
     dealt = rows.repartition(shuffle_count(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc_id long, from long, to long")
+    return dealt.mapInArrow(run, "doc long, variant long, from long, to long")
 
 
 def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of ``docs`` whose id is (or, with left_anti, is not) in ``ids``; a small list of ids is broadcast."""
+    """The rows of ``docs`` whose id and variant are (or, with left_anti, are not) in ``ids``; a small list of ids is broadcast."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids, ROW, how)
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -223,26 +228,36 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is binary, since a cut may fall inside a character.
+    """(doc_id, n_bytes, n_removed, n_spans, kept), one row per input row: ``kept`` is binary, since a cut may fall inside a character.
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents; overlaps within one document alone are left. ``length`` must be 16 at
-    least. Ids must be unique and not null. Other columns are ignored; an empty table gives an empty result.
+    least. A null id counts as the largest long, so after all others. Rows that repeat an id (null included) are cut each by what stands under smaller
+    ids, never by each other. Other columns are ignored; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    digests = stored(slim.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")).filter(f"n_bytes >= {length}"), "digests")
-    groups = stored(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "copies")
-    copies = stored(digests.join(groups, "digest").filter("doc_id <> first").select("doc_id"), "copied-ids")
+    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", doc, "text")
+    digests = stored(plain.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("hash")), "digests")
+    repeated = stored(digests.groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc", F.lit(True).alias("again")), "repeated-ids")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+
+    def with_variant(rows: DataFrame, own: Column) -> DataFrame:
+        return rows.join(repeated, "doc", "left").withColumn("variant", F.when(F.col("again"), own).otherwise(F.lit(0).cast("long"))).drop("again")
+
+    slim = with_variant(plain, F.xxhash64("text"))
+    digests = with_variant(digests, F.col("hash")).filter(f"n_bytes >= {length}")
+    groups = stored(digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least"), "copies")
+    copies = stored(digests.join(groups, "digest").filter("doc <> least").select(*ROW), "copied-ids")
     single = among(slim, copies, "left_anti")
     shared = stored(shared_keys(anchor_rows(single.filter(f"octet_length(text) >= {length}"), length)), "shared-anchors")
     spans = stored(repeated_spans(snippets(slim, shared, length), length), "repeated-spans")
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    touched = stored(spans.select("doc_id").distinct(), "touched-ids")
+    per_doc = spans.groupBy(*ROW).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    touched = stored(spans.select(*ROW).distinct(), "touched-ids")
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     cut = F.pandas_udf(_cut, "kept binary, n_removed long, n_spans long")
-    some = among(slim, touched).join(per_doc, "doc_id").withColumn("c", cut("text", "spans")).select("doc_id", n_bytes, "c.n_removed", "c.n_spans", "c.kept")
+    some = among(slim, touched).join(per_doc, ROW).withColumn("c", cut("text", "spans")).select("doc_id", n_bytes, "c.n_removed", "c.n_spans", "c.kept")
     zero = F.lit(0).cast("long")
     none = among(single, touched, "left_anti").select("doc_id", n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    whole = digests.join(copies, "doc_id", "left_semi").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
+    whole = digests.join(copies, ROW, "left_semi").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     return some.unionByName(none).unionByName(whole)
 
 

@@ -453,6 +453,25 @@ def test_suffix_dedup_with_passages(spark):
     assert [got[i] for i in range(80)] == py_cut(texts, 50)
 
 
+def test_suffix_dedup_without_unique_ids(spark):
+    rng = random.Random(14)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    a, b, c, long = text(12), text(12), text(12), text(40)
+    rows = [(None, text(20) + a), (None, b + text(9)), (None, long), (None, a), (4, a + text(30)), (4, a), (4, text(3) + b), (4, text(3) + b), (2, c), (2, "short"), (2, long), (2, long), (7, c + a + b), (9, long), (4, long), (None, None), (1, text(25)), (1, c), (1, c)]
+    first = defaultdict(set)
+    for i, t in rows:
+        for k in range(len(t or "") - 49):
+            first[t[k : k + 50]].add(2**63 - 1 if i is None else i)
+    expected = []
+    for i, t in rows:
+        t = t or ""
+        gone = {j for k in range(len(t) - 49) if min(first[t[k : k + 50]]) < (2**63 - 1 if i is None else i) for j in range(k, k + 50)}
+        spans = sum(j - 1 not in gone for j in gone)
+        expected.append((i, len(t), len(gone), spans, "".join(x for j, x in enumerate(t) if j not in gone)))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 # toxicity
 
 
