@@ -28,11 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .components import components
 from .shingles import mix, shingle_sets
-from .work import read_table, shuffle_count, stored
+from .work import drop, read_table, row_count, shuffle_count, small, stored
 
-#: Ids that may be broadcast (8 bytes each); above that the join is shuffled.
-BROADCAST_IDS = 1_000_000
 SLICE = 1 << 14
+MOST_CLASHES = 1 << 16
 SIGNATURE_BITS = 1024
 
 
@@ -46,6 +45,8 @@ class Rule:
     block: int = 1024
     #: Cost of verifying a candidate, in postings.
     verify_cost: float = 20.0
+    #: Bits of the digest that names a set, unless another set has the same.
+    digest_bits: int = 64
 
     def need(self, n):
         """Shingles that a set of n shares with any set it links to, at least."""
@@ -65,9 +66,16 @@ def _batches(batches: Iterator[pa.RecordBatch], rule: Rule):
         yield from zip(ids, shingle_sets(batch.column("text").to_pylist(), rule.width))
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    m = mix(s + np.uint64(0x51ED270B))  # n, d2 and this one tell sets apart; d1 alone is checked to do so
-    return int(m.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(m)).astype(np.int64)) if len(m) else 0
+def _digest(s: np.ndarray, rule: Rule) -> tuple[int, int]:
+    """Two digests of a set; with its size they tell it from all others."""
+    m = mix(s + np.uint64(0x51ED270B))
+    first = m.sum(dtype=np.uint64) >> np.uint64(64 - rule.digest_bits)
+    return int(first.astype(np.int64)), int(np.bitwise_xor.reduce(mix(m)).astype(np.int64)) if len(m) else 0
+
+
+def _node(digest: tuple[int, int], clashes: frozenset[int]) -> int:
+    """The number of a set: its first digest, or, where other sets have that too, its second."""
+    return digest[1] if digest[0] in clashes else digest[0]
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -88,7 +96,7 @@ def describe(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         for doc, s in _batches(batches, rule):
-            rows.append((doc, len(s), *_digest(s), _signature(s), None, None, None, True))
+            rows.append((doc, len(s), *_digest(s, rule), _signature(s), None, None, None, True))
             pending.append(s)
             if len(rows) >= 4096:
                 counts += np.bincount(_cell(np.concatenate(pending), rule), minlength=cells)
@@ -116,6 +124,21 @@ def describe(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     return both.filter("is_doc").select("doc_id", "n", "d1", "d2", "sig"), sketch
 
 
+def set_nodes(described: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(d1, d2, n, node, first, sig) of each distinct set that is not empty, ``first`` being the smallest id that has it (null if no row with it has an id), and the
+    first digests that several sets share. Those are few, by the width of a digest: 3 among 10**10 sets."""
+    sets = stored(described.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig")), "sets")
+    shared = sets.groupBy("d1").agg(F.count("*").alias("sets")).filter("sets > 1").select("d1")
+    clashes = frozenset(r["d1"] for r in shared.limit(MOST_CLASHES + 1).collect())
+    if len(clashes) > MOST_CLASHES:
+        raise ValueError("digests clash far more often than their width allows")
+    node = F.when(F.col("d1").isin(sorted(clashes)), F.col("d2")).otherwise(F.col("d1")) if clashes else F.col("d1")
+    nodes = sets.withColumn("node", node)
+    if clashes and row_count(sets) > nodes.select("node").distinct().count():
+        raise ValueError("two sets share both digests")
+    return nodes, clashes
+
+
 def _cell(s: np.ndarray, rule: Rule) -> np.ndarray:
     return (s >> np.uint64(64 - rule.sketch_bits)).astype(np.int64)
 
@@ -136,8 +159,8 @@ def choose_prefix(s: np.ndarray, sketch: np.ndarray, common: float, rule: Rule)
     return s[order[: n - need + best]], best
 
 
-def postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
-    """(token, node, n, m): the prefix of each set, with its digest, size and m; equal sets of one partition emit theirs once."""
+def postings(docs: DataFrame, sketch: np.ndarray, clashes: frozenset[int], rule: Rule) -> DataFrame:
+    """(token, node, n, m): the prefix of each set, with its number, size and m; equal sets of one partition emit theirs once."""
     mean = float(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2**sketch_bits counts, whatever the input
     common = mean + 5 * mean**0.5 + 8
@@ -152,7 +175,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(m.astype(np.int32))], ["token", "node", "n", "m"])
 
         for _, s in _batches(batches, rule):
-            if not len(s) or (d := _digest(s)[0]) in seen:
+            if not len(s) or (d := _node(_digest(s, rule), clashes)) in seen:
                 continue
             if len(seen) < 1_000_000:  # the set only saves work
                 seen.add(d)
@@ -168,7 +191,12 @@ def postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "token long, node long, n int, m int")
 
 
-def list_pairs(mixed: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame:
+def lists_by_head(mixed: DataFrame) -> DataFrame:
+    """(hub, node, tokens, n, m, label), stored: the lists of one first node that a node is in."""
+    return stored(mixed.groupBy(F.col("head").alias("hub"), "node").agg(F.collect_list("token").alias("tokens"), *[F.any_value(c).alias(c) for c in ("n", "m", "label")]), "lists-by-hub")
+
+
+def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame:
     """Candidates (a, b, hits, m_a, m_b, n_a, n_b): pairs of different classes in one list that size and signature allow.
 
     Lists with the same first node are taken together, so that a pair comes once for all of them, with the number of lists it shares. Their shingles are all in that
@@ -240,51 +268,59 @@ def list_pairs(mixed: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
         if rest is not None:
             yield from emit(rest)
 
-    lists = mixed.groupBy(F.col("head").alias("hub"), "node").agg(F.collect_list("token").alias("tokens"), *[F.any_value(c).alias(c) for c in ("n", "m", "label")])
-    lists = stored(lists, "lists-by-hub")
-    long_lists = lists.groupBy("hub").count().filter(F.col("count") > rule.block).select("hub", F.ceil(F.col("count") / rule.block).cast("int").alias("blocks"))
-    placed = lists.join(signatures, "node").join(long_lists, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # one in ``block`` rows at most
+    long_lists = stored(lists.groupBy("hub").count().filter(F.col("count") > rule.block).select("hub", F.ceil(F.col("count") / rule.block).cast("int").alias("blocks")), "long-lists")
+    placed = lists.join(signatures, "node").join(small(long_lists), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    dealt = cells.select(*names).repartition(shuffle_count(mixed.sparkSession), "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
+    dealt = cells.select(*names).repartition(shuffle_count(lists.sparkSession), "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
     return dealt.mapInArrow(scan, "a long, b long, hits long, m_a long, m_b long, n_a long, n_b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, fan: int = 512) -> DataFrame:
-    """The pairs (a, b) that do link. The sets of all a meet that of their b; a b with more than ``fan`` of them is dealt out over several groups."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, clashes: frozenset[int], rule: Rule, fan: int = 512) -> DataFrame:
+    """The pairs (a, b) that do link, stored. The sets of all a meet that of their b; a b with more than ``fan`` of them is dealt out over several groups."""
     pairs = stored(pairs, "candidates")
-    crowded = pairs.groupBy("b").count().filter(F.col("count") > fan).select("b", F.ceil(F.col("count") / fan).cast("int").alias("lots"))
-    dealt = pairs.join(crowded, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"))
-    wanted = dealt.select(F.col("a").alias("node"), "b", "lot", F.lit(False).alias("is_hub")).unionByName(dealt.select(F.col("b").alias("node"), "b", "lot", F.lit(True).alias("is_hub")).distinct())
-    wanted = stored(wanted.join(nodes.select("node", F.col("first").alias("doc_id")), "node"), "wanted-sets")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "b", "lot", "is_hub", "text")
+    if not row_count(pairs):
+        return pairs
+    # one in ``fan`` rows at most
+    crowded = stored(pairs.groupBy("b").count().filter(F.col("count") > fan).select("b", F.ceil(F.col("count") / fan).cast("int").alias("lots")), "crowded-hubs")
+    dealt = pairs.join(small(crowded), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"))
+    # place: 2 * lot, and 1 more for the hub itself
+    wanted = dealt.select(F.col("a").alias("node"), "b", (2 * F.col("lot")).alias("place")).unionByName(dealt.select(F.col("b").alias("node"), "b", (2 * F.col("lot") + 1).alias("place")).distinct())
+    wanted = stored(wanted.join(nodes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id", "b", "place"), "wanted-sets")
+    drop(pairs, crowded)
+    # beyond the broadcast's limit the texts are shuffled by id; a scan that is large enough is then thinned out by Spark's runtime Bloom filter
+    texts = docs.join(small(wanted), "doc_id").select("b", "place", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):  # a set is larger than its text
                 batch = whole.slice(at, 500)
-                sets = list(shingle_sets(batch.column(4).to_pylist(), rule.width))
-                own = np.array([len(s) > 0 and _digest(s)[0] == node for s, node in zip(sets, batch.column(0).to_pylist())], bool)  # an id may stand for other texts too
-                cols = [*(batch.column(i) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "b", "lot", "is_hub", "shingles"]).filter(pa.array(own))
+                sets = list(shingle_sets(batch.column(2).to_pylist(), rule.width))
+                node = [_node(_digest(s, rule), clashes) if len(s) else None for s in sets]
+                # an id may stand for other texts too: a hub must be the set that was meant
+                own = [x is not None and (not place & 1 or x == b) for x, b, place in zip(node, batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                cols = [pa.array(node, pa.int64()), batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "b", "place", "shingles"]).filter(pa.array(own, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, of = np.empty(0, np.uint64), None
         for batch in batches:
             a, b = [], []
-            for i, (node, group, _, is_hub) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-                s = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
-                if is_hub:
+            for i, (node, group, place) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                s = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                if place & 1:
                     hub, of = s, group
-                elif of == group:
+                elif of == group and node != group:
                     common = len(np.intersect1d(s, hub, assume_unique=True))
                     if rule.den * common >= rule.num * (len(s) + len(hub) - common):
                         a.append(node), b.append(group)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sets = texts.mapInArrow(hashed, "node long, b long, lot int, is_hub boolean, shingles binary")
-    met = sets.repartition(shuffle_count(docs.sparkSession), "b", "lot").sortWithinPartitions("b", "lot", F.desc("is_hub"))
-    return met.mapInArrow(compare, "a long, b long")
+    sets = texts.mapInArrow(hashed, "node long, b long, place int, shingles binary").withColumn("lot", F.shiftright("place", 1))
+    met = sets.repartition(shuffle_count(docs.sparkSession), "b", "lot").sortWithinPartitions("b", "lot", F.desc("place")).drop("lot")
+    links = stored(met.mapInArrow(compare, "a long, b long"), "links")
+    drop(wanted)
+    return links
 
 
 def best_hub(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -295,47 +331,53 @@ def best_hub(pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Posting lists with the class of each node and their first node by class, without the lists that are of one class."""
-    few = labels.count() <= BROADCAST_IDS
-    labelled = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Posting lists with the class of each node and their first node by class, without the lists that are of one class; stored."""
+    labelled = lists.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = labelled.groupBy("token").agg(F.min(F.struct("label", "node")).alias("low"), F.max("label").alias("last")).filter("low.label < last")
     ends = stored(ends.select("token", F.col("low.node").alias("head")), "list-heads")
-    return stored(labelled.join(ends, "token").select("token", "node", "n", "m", "label", "head"), "mixed-lists")
+    mixed = stored(labelled.join(ends, "token").select("token", "node", "n", "m", "label", "head"), "mixed-lists")
+    drop(ends)
+    return mixed
 
 
 def ngram_join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row: the size of the document's set and the smallest id reachable over links.
 
-    Null and empty texts, and texts without words, have an empty set and are linked with nothing, each its own component. Equal sets always link.
-    Rows that repeat an id are one document if their texts agree; if not, the id stands for both. Null ids are left out of links and keep a null
-    component. Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts, and texts without words, have an empty set and are linked with nothing, each its own component. Equal sets always link, so
+    repeated rows do. An id that stands for several texts is a row for each, and each has the component of its own text. A row without id gives no links:
+    it gets the component of the documents with an equal set, and null if there is none. Other columns are ignored; an empty table gives an empty result.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = slim.filter("doc_id is not null")
-    described, sketch = describe(known, rule)
-    nodes = stored(described.filter("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), (F.min(F.struct("n", "d2")) == F.max(F.struct("n", "d2"))).alias("alike")), "nodes")
-    if not nodes.filter("not alike").isEmpty():
-        raise ValueError("two different sets have one 64-bit digest; change the constant in _digest")
-    prefix = postings(known, sketch, rule)
+    described, sketch = describe(slim, rule)
+    all_nodes, clashes = set_nodes(described)
+    nodes = all_nodes.filter("first is not null")
+    prefix = postings(known, sketch, clashes, rule)
     shared = prefix.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).filter("hub.node < last")
     shared = stored(shared.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared-tokens")
     lists = stored(prefix.join(shared, "token").groupBy("token", "node").agg(*[F.any_value(c).alias(c) for c in ("n", "m", "hub", "hub_n")]), "posting-lists")
+    drop(shared)
 
-    links = stored(verified(best_hub(lists.filter("node <> hub"), rule), nodes, known, rule), "links")
+    links = verified(best_hub(lists.filter("node <> hub"), rule), nodes, known, clashes, rule)
     labels = components(links)
     mixed = with_labels(lists, labels)
-    signatures = nodes.select("node", "first").join(described.select(F.col("doc_id").alias("first"), F.col("d1").alias("node"), "sig"), ["first", "node"]).select("node", "sig")
-    pairs = list_pairs(mixed, signatures, rule)
+    drop(links, lists)
+    lists = lists_by_head(mixed)
+    pairs = list_pairs(lists, nodes.select("node", "sig"), rule)
     counted = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), *[F.any_value(c).alias(c) for c in ("m_a", "m_b", "n_a", "n_b")])
     enough = counted.filter(rule.enough(F.col("hits"), F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select("a", "b")
-    labels = joined(labels, stored(verified(enough, nodes, known, rule), "links"))
-
-    classes = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    links = verified(enough, nodes, known, clashes, rule)
+    drop(mixed, lists)
+    if row_count(links):
+        before, labels = labels, joined(labels, links)
+        drop(before)
+    drop(links)
+
+    classes = all_nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_set = classes.join(least, "label").select(F.col("node").alias("d1"), "component_id")
-    out = described.join(of_set, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    missing = slim.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(missing)
+    of_set = classes.join(least, "label").select("d1", "d2", "n", "component_id")
+    out = described.join(of_set, ["d1", "d2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
