@@ -13,13 +13,15 @@ from lorewell.llm.mixing import apply_mix, mix
 from lorewell.llm.ngram_join import Rule, ngram_join
 from lorewell.llm.packing import pack_documents
 from lorewell.llm.toxicity import toxicity
-from lorewell.llm.work import numbered, read_table, stored
+from lorewell.llm.work import numbered, read_table, squeezed, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.5 or more go. A document without text stays."""
-    kept = toxicity(docs, read_table(spark, sf_dir, "labels")).filter("predicted = 0 or text is null")
-    return kept.select(docs.columns)
+    """Documents whose toxicity score is 0.5 or more go; those whose text is null or blank stay. Rows are judged by their text alone, so repeated rows, null
+    ids and repeated ids share the fate of equal texts. An empty table stays empty."""
+    names = {"score": "_own_score", "held_out": "_own_held_out", "predicted": "_own_predicted"}  # a document's own columns of these names pass by
+    kept = toxicity(docs.withColumnsRenamed(names), read_table(spark, sf_dir, "labels")).filter((F.col("predicted") == 0) | (F.coalesce(squeezed(F.col("text")), F.lit("")) == ""))
+    return kept.drop(*names).withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
