@@ -7,7 +7,8 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
    neighbouring strings with one key form a snippet. Equal strings have equal keys, so only keys that stand in two documents matter; one
    shuffle by key finds them.
 3. Shards. The snippets of those keys are dealt by key. A task sorts its rows by key and builds suffix arrays over blocks of whole keys (distinct
-   snippets once), whose neighbours with a common prefix of ``length`` or more form classes with a smallest document.
+   snippets once); where the permuted common prefixes reach ``length``, neighbours are of one class, which has a smallest document. A key with more than
+   ``LOT`` rows is dealt out in lots: each has arrays of its own, and their classes are merged by a digest of the string.
 4. The strings of every class that stand in other documents are the spans to cut; only documents that have some are read again.
 
 Inside, ``doc`` is the id, null being the largest long, and ``variant`` tells apart the texts of rows that repeat an id: a hash of the text there,
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shingles import mix
-from .suffix_array import equal_neighbours, suffix_array
-from .work import read_table, shuffle_count, stored
+from .suffix_array import common_prefixes, suffix_array
+from .work import drop, read_table, row_count, shuffle_count, small, stored
 
-#: Ids that may be broadcast (16 bytes each, with the variant); above that the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Rows of one key that a task takes together.
+LOT = 8192
 GRAM = 16
 ROW = ["doc", "variant"]
 _BYTE = np.random.default_rng(50_021).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -58,157 +60,220 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc, variant, first) of all runs."""
+    """(key, doc, variant, first, size) of all runs: where the snippet begins, and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, variants, firsts, size = [], [], [], [], 0
+            parts, size = [], 0
             for doc, variant, text in zip(*(batch.column(c).to_pylist() for c in ROW), _texts(batch)):
-                k, f, _ = anchors(text, length)
+                k, first, last = anchors(text, length)
                 if len(k):
-                    keys.append(k), firsts.append(f), ids.append(np.full(len(k), doc, np.int64)), variants.append(np.full(len(k), variant, np.int64))
+                    parts.append((k, np.full(len(k), doc, np.int64), np.full(len(k), variant, np.int64), first, last - first + length))
                     size += len(k)
                 if size > 200_000:
-                    yield _rows(keys, ids, variants, firsts)
-                    keys, ids, variants, firsts, size = [], [], [], [], 0
+                    yield rows(parts)
+                    parts, size = [], 0
             if size:
-                yield _rows(keys, ids, variants, firsts)
+                yield rows(parts)
 
-    def _rows(keys, ids, variants, firsts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(variants)), pa.array(np.concatenate(firsts).astype(np.int32))], ["key", *ROW, "first"])
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        key, doc, variant, first, size = map(np.concatenate, zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), doc, variant, first.astype(np.int32), size.astype(np.int32))], ["key", *ROW, "first", "size"])
 
-    return docs.select(*ROW, "text").mapInArrow(run, "key long, doc long, variant long, first int")
+    return docs.select(*ROW, "text").mapInArrow(run, "key long, doc long, variant long, first int, size int")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """(doc, variant, first) of the runs whose key stands in two documents at least. Rows of a key pass by in order; only the open run is held back, and
-    of it no more than one document's rows."""
+def shared_keys(rows: DataFrame, lot: int = LOT) -> DataFrame:
+    """The runs whose key stands in two documents at least, with the lot of their key that each is in. Rows of a key pass by in order; only the open run is
+    held back, and of it no more than one document's rows."""
+    names = ["key", *ROW, "first", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, None  # the open run, while one document's; the key of the open run, once it is known to be shared
+        held, known, passed = None, None, 0  # the open run, while one document's; the open run's key, once it is known to be shared, and its rows so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, variant, first = (batch.column(i).to_numpy() for i in range(4))
+            cols = [batch.column(i).to_numpy() for i in range(5)]
             if held is not None:
-                key, doc, variant, first = (np.concatenate(x) for x in zip(held, (key, doc, variant, first)))
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            key, doc = cols[:2]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             stop = np.r_[start[1:], len(key)]
             many = doc[start] != doc[stop - 1]  # rows of a key are sorted by document
             many[0] |= key[0] == known
+            place = np.arange(len(key)) - np.repeat(start, stop - start)
+            if key[0] == known:
+                place[: stop[0]] += passed
             take = np.repeat(many, stop - start)
             if take.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(variant[take]), pa.array(first[take])], [*ROW, "first"])
-            known = key[-1] if many[-1] else None
-            held = None if many[-1] else (key[start[-1] :], doc[start[-1] :], variant[start[-1] :], first[start[-1] :])
+                yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (*cols, (place // lot).astype(np.int32))], [*names, "lot"])
+            known, passed = (key[-1], int(place[-1]) + 1) if many[-1] else (None, 0)
+            held = None if many[-1] else [x[start[-1] :] for x in cols]
 
     dealt = rows.repartition(shuffle_count(rows.sparkSession), "key").sortWithinPartitions("key", "doc")
-    return dealt.mapInArrow(run, "doc long, variant long, first int")
+    return dealt.mapInArrow(run, "key long, doc long, variant long, first int, size int, lot int")
 
 
-def snippets(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(key, doc, variant, first, snippet) of the shared runs."""
+def snippets(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, lot, split, doc, variant, first, snippet) of the shared runs; ``split``: the key has several lots."""
+    spec = ["key", "lot", "split", *ROW, "first", "snippet"]
+    ids = stored(shared.select(*ROW).distinct(), "shared-ids")
+    per_doc = shared.groupBy(*ROW).agg(F.collect_list(F.struct("key", "lot", "split", "first", "size")).alias("runs"))
+    texts = docs.join(small(ids), ROW, "left_semi").join(per_doc, ROW).select(*ROW, F.col("text").cast("binary").alias("text"), *[F.col("runs")[c].alias(c) for c in ("key", "lot", "split", "first", "size")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int, bytes]] = []
-            for doc, variant, text, firsts in zip(*(batch.column(c).to_pylist() for c in ROW), _texts(batch), batch.column("firsts")):
-                k, f, last = anchors(text, length)
-                at = np.searchsorted(f, np.sort(firsts.values.to_numpy()))
-                rows += [(key, doc, variant, a, text[a : b + length]) for key, a, b in zip(k[at].view(np.int64).tolist(), f[at].tolist(), last[at].tolist())]
-                if len(rows) > 100_000:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
-
-    def _rows(rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", *ROW, "first", "snippet"])
-
-    per_doc = shared.groupBy(*ROW).agg(F.collect_set("first").alias("firsts"))
-    texts = among(docs, per_doc.select(*ROW))
-    return texts.join(per_doc, ROW).select(*ROW, "text", "firsts").mapInArrow(run, "key long, doc long, variant long, first int, snippet binary")
-
-
-def spans_of_block(keys: np.ndarray, docs: np.ndarray, firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            text = batch.column(2)
+            for at, n in _few(batch.column(3)):
+                lists = [batch.column(i).slice(at, n) for i in range(3, 8)]
+                key, lot, split, first, size = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+                count = np.diff(lists[0].offsets.to_numpy())
+                doc, variant = (np.repeat(batch.column(i).slice(at, n).to_numpy(), count) for i in range(2))
+                cut, spot = [], 0
+                for i, m in enumerate(count.tolist()):
+                    whole = text[at + i].as_py() or b""
+                    cut += [whole[a : a + b] for a, b in zip(first[spot : spot + m].tolist(), size[spot : spot + m].tolist())]
+                    spot += m
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, lot, split, doc, variant, first)), pa.array(cut, pa.binary())], spec)
+
+    return texts.mapInArrow(run, "key long, lot int, split boolean, doc long, variant long, first int, snippet binary")
+
+
+def _few(lists: pa.ListArray, most: int = 100_000) -> Iterator[tuple[int, int]]:
+    """(from, count) of stretches of rows whose lists have about ``most`` entries together."""
+    ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+    at = 0
+    while at < len(ends):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) - at)
+        yield at, n
+        at += n
+
+
+class Classes:
+    """The strings of ``length`` bytes in some snippets, by class: equal strings are of one."""
+
+    def __init__(self, snippets: list[bytes], length: int):
+        number: dict[bytes, int] = {}
+        self.which = np.array([number.setdefault(x, len(number)) for x in snippets])
+        distinct = list(number)
+        self.n = len(distinct)
+        sizes = np.array([len(x) for x in distinct])
+        self.data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8)
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        self.of = np.repeat(np.arange(self.n), sizes + 1)
+        left = np.repeat(self.begin + sizes, sizes + 1) - np.arange(len(self.data))  # bytes from here to the snippet's end
+        symbols = np.append(self.data.astype(np.uint16) + np.uint16(2), np.uint16(0))
+        symbols[self.begin + sizes] = 1
+        sa = suffix_array(symbols, 258)
+        shared = common_prefixes(symbols, sa)
+        sa = sa[1:]
+        self.sa = sa[left[sa] >= length]
+        self.fresh = shared[self.sa] < length
+        self.fresh[0] = True
+        #: the strings' places in ``data``, and the class of each
+        self.at = np.flatnonzero(left >= length)
+        of_place = np.empty(len(self.data), np.int64)
+        of_place[self.sa] = np.cumsum(self.fresh) - 1
+        self.of_string = of_place[self.at]
+
+    def rows_of(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item): for every row, the items that its distinct snippet owns; ``owner`` is sorted."""
+        count = np.bincount(owner, minlength=self.n)
+        rows = np.repeat(np.arange(len(self.which)), count[self.which])
+        inner = np.arange(len(rows)) - np.repeat(np.cumsum(count[self.which]) - count[self.which], count[self.which])
+        return rows, (np.cumsum(count) - count)[self.which[rows]] + inner
+
+
+def spans_of_block(docs: np.ndarray, firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, from, to) of the repeated strings among the snippets of some keys, found with one suffix array."""
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(x, len(number)) for x in texts])
-    distinct = list(number)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, docs)
-    sizes = np.array([len(x) for x in distinct])
-    data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8)
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    of = np.repeat(np.arange(len(distinct)), sizes + 1)
-    left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(data))  # bytes from here to the snippet's end
-    symbols = data.astype(np.int32) + 2
-    symbols[begin + sizes] = 1
-    sa = suffix_array(np.r_[symbols, np.int32(0)], 258, length)[1:]
-    sa = sa[left[sa] >= length]
-    fresh = np.r_[True, ~equal_neighbours(data, sa, length)[1:]]
-    smallest = np.minimum.reduceat(least[of[sa]], np.flatnonzero(fresh))
-    first_doc = np.zeros(len(data), np.int64)
-    first_doc[sa] = smallest[np.cumsum(fresh) - 1]
+    c = Classes(texts, length)
+    least = np.full(c.n, np.iinfo(np.int64).max)
+    np.minimum.at(least, c.which, docs)
+    first_doc = np.minimum.reduceat(least[c.of[c.sa]], np.flatnonzero(c.fresh))[c.of_string]
     # runs of neighbouring strings of one snippet with one smallest document
-    at = np.flatnonzero(left >= length)
-    new = np.r_[True, (of[at][1:] != of[at][:-1]) | (first_doc[at][1:] != first_doc[at][:-1])]
-    start = at[new]
-    stop = at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
-    run_of = of[start]
-    run_count = np.bincount(run_of, minlength=len(distinct))
-    run_at = np.cumsum(run_count) - run_count
-    rows = np.repeat(np.arange(len(which)), run_count[which])
-    inner = np.arange(len(rows)) - np.repeat(np.cumsum(run_count[which]) - run_count[which], run_count[which])
-    run = run_at[which[rows]] + inner
-    gone = docs[rows] > first_doc[start[run]]
+    owner = c.of[c.at]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (first_doc[1:] != first_doc[:-1])]
+    start, stop = c.at[new], c.at[np.r_[np.flatnonzero(new)[1:] - 1, len(c.at) - 1]]
+    rows, run = c.rows_of(c.of[start])
+    gone = docs[rows] > first_doc[new][run]
     rows, run = rows[gone], run[gone]
-    shift = firsts[rows] - begin[which[rows]]
+    shift = firsts[rows] - c.begin[c.which[rows]]
     return rows, start[run] + shift, stop[run] + shift + length
 
 
-def repeated_spans(rows: DataFrame, length: int, block_bytes: int = 1 << 20) -> DataFrame:
-    """(doc, variant, from, to) from snippet rows, dealt and sorted by key; a suffix array covers whole keys of about ``block_bytes``."""
+def strings_of_lot(firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, digest) of every string in a lot of a key; the digest, two longs, is that of the string's class."""
+    c = Classes(texts, length)
+    raw = c.data.tobytes()
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in c.sa[c.fresh].tolist()), "<i8").reshape(-1, 2)
+    rows, item = c.rows_of(c.of[c.at])
+    return rows, c.at[item] + firsts[rows] - c.begin[c.which[rows]], digest[c.of_string[item]]
+
+
+def repeated_strings(rows: DataFrame, length: int, block_bytes: int = 1 << 21) -> DataFrame:
+    """(doc, variant, from, to, h1, h2) from snippet rows, dealt and sorted by key and lot. A suffix array covers whole keys of about ``block_bytes`` and
+    gives the spans to cut; of a key in several lots it covers one lot and gives all strings, with the digests of their classes."""
+    names = [*ROW, "from", "to", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
-        held, held_key = 0, None
+        held, open_, apart = 0, None, False
 
         def out() -> pa.RecordBatch:
-            keys, docs, variants, firsts = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            rows, begin, end = spans_of_block(keys, docs, firsts, [x for p in parts for x in p[4]], length)
-            return pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(variants[rows]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], [*ROW, "from", "to"])
+            docs, variants, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            texts = [x for p in parts for x in p[3]]
+            if apart:
+                at, begin, digest = strings_of_lot(firsts, texts, length)
+                end, marks = begin + length, [pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
+            else:
+                at, begin, end = spans_of_block(docs, firsts, texts, length)
+                marks = [pa.nulls(len(at), pa.int64())] * 2
+            return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(variants[at]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), *marks], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, variant, first = (batch.column(i).to_numpy() for i in range(4))
-            text = batch.column(4).to_pylist()
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            stop = np.r_[start[1:], len(key)]
+            key, lot, split, doc, variant, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            text = batch.column(6).to_pylist()
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lot[1:] != lot[:-1])])
             size = np.cumsum([0] + [len(x) for x in text])
             at = 0
-            for a, b in zip(start, stop):
-                if held + size[a] - size[at] >= block_bytes and key[a] != held_key:
+            for a in start.tolist():
+                mine = (key[a], lot[a])
+                if mine != open_ and (held + size[a] - size[at] >= block_bytes or apart or split[a]):
                     if a > at:
-                        parts.append((key[at:a], doc[at:a], variant[at:a], first[at:a], text[at:a]))
+                        parts.append((doc[at:a], variant[at:a], first[at:a], text[at:a]))
                     if parts:
                         yield out()
                     parts, held, at = [], 0, a
-                held_key = key[a]
-            parts.append((key[at:], doc[at:], variant[at:], first[at:], text[at:]))
+                    apart = bool(split[a])
+                open_ = mine
+            parts.append((doc[at:], variant[at:], first[at:], text[at:]))
             held += size[-1] - size[at]
         if parts:
             yield out()
 
-    dealt = rows.repartition(shuffle_count(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc long, variant long, from long, to long")
-
-
-def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of ``docs`` whose id and variant are (or, with left_anti, are not) in ``ids``; a small list of ids is broadcast."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, ROW, how)
+    dealt = rows.repartition(shuffle_count(rows.sparkSession), "key", "lot").sortWithinPartitions("key", "lot")
+    return dealt.mapInArrow(run, "doc long, variant long, from long, to long, h1 long, h2 long")
+
+
+def repeated_spans(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """(doc, variant, spans), stored: what is to be cut from each text that has something to cut."""
+    # one key in LOT rows at most
+    split = stored(shared.filter("lot > 0").select("key").distinct(), "split-keys")
+    if row_count(split):
+        shared = shared.join(small(split).withColumn("split", F.lit(True)), "key", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    else:
+        shared = shared.withColumn("split", F.lit(False))
+    found = stored(repeated_strings(snippets(docs, shared), length), "repeated-strings")
+    spans = found.filter("h1 is null").select(*ROW, "from", "to")
+    if row_count(split):
+        strings = found.filter("h1 is not null")
+        least = strings.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc")
+        spans = spans.unionByName(strings.join(least, ["h1", "h2"]).filter("doc > first_doc").select(*ROW, "from", "to"))
+    per_text = stored(spans.groupBy(*ROW).agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans-by-text")
+    drop(found, split)
+    return per_text
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -237,26 +302,27 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", doc, "text")
     digests = stored(plain.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("hash")), "digests")
-    repeated = stored(digests.groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc", F.lit(True).alias("again")), "repeated-ids")
-    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    repeated = stored(digests.groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc"), "repeated-ids")
 
     def with_variant(rows: DataFrame, own: Column) -> DataFrame:
-        return rows.join(repeated, "doc", "left").withColumn("variant", F.when(F.col("again"), own).otherwise(F.lit(0).cast("long"))).drop("again")
+        if not row_count(repeated):
+            return rows.withColumn("variant", F.lit(0).cast("long"))
+        return rows.join(small(repeated).withColumn("again", F.lit(True)), "doc", "left").withColumn("variant", F.when(F.col("again"), own).otherwise(F.lit(0).cast("long"))).drop("again")
 
     slim = with_variant(plain, F.xxhash64("text"))
     digests = with_variant(digests, F.col("hash")).filter(f"n_bytes >= {length}")
-    groups = stored(digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least"), "copies")
-    copies = stored(digests.join(groups, "digest").filter("doc <> least").select(*ROW), "copied-ids")
-    single = among(slim, copies, "left_anti")
+    groups = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
+    copies = stored(digests.join(groups, "digest").filter("doc <> least").select(*ROW).distinct(), "copied-ids")
+    single = slim.join(small(copies), ROW, "left_anti")
     shared = stored(shared_keys(anchor_rows(single.filter(f"octet_length(text) >= {length}"), length)), "shared-anchors")
-    spans = stored(repeated_spans(snippets(slim, shared, length), length), "repeated-spans")
-    per_doc = spans.groupBy(*ROW).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    touched = stored(spans.select(*ROW).distinct(), "touched-ids")
+    spans = repeated_spans(slim, shared, length)
+    drop(shared)
+    touched = small(spans, *ROW)
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     cut = F.pandas_udf(_cut, "kept binary, n_removed long, n_spans long")
-    some = among(slim, touched).join(per_doc, ROW).withColumn("c", cut("text", "spans")).select("doc_id", n_bytes, "c.n_removed", "c.n_spans", "c.kept")
+    some = slim.join(touched, ROW, "left_semi").join(spans, ROW).withColumn("c", cut("text", "spans")).select("doc_id", n_bytes, "c.n_removed", "c.n_spans", "c.kept")
     zero = F.lit(0).cast("long")
-    none = among(single, touched, "left_anti").select("doc_id", n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    none = single.join(touched, ROW, "left_anti").select("doc_id", n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     whole = digests.join(copies, ROW, "left_semi").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     return some.unionByName(none).unionByName(whole)
 

@@ -82,9 +82,11 @@ def drop(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A stored table, with a broadcast hint if its rows, at 16 bytes and 8 for each column, are within ``BROADCAST_BYTES``. Its columns must be numbers."""
-    return F.broadcast(table) if row_count(table) * (16 + 8 * len(table.columns)) <= BROADCAST_BYTES else table
+def small(table: DataFrame, *columns: str) -> DataFrame:
+    """A stored table, or some columns of it, with a broadcast hint if its rows, at 16 bytes and 8 for each column, are within ``BROADCAST_BYTES``. The columns
+    must be numbers."""
+    narrow = table.select(*columns) if columns else table
+    return F.broadcast(narrow) if row_count(table) * (16 + 8 * len(narrow.columns)) <= BROADCAST_BYTES else narrow
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorewell.llm import registry
+from lorewell.llm import registry, suffix_array as suffix_array_module, suffix_dedup as suffix_dedup_module
 from lorewell.llm.chat_format import chat_format, conversation_events, escape, fold_events, parse, read_back, unescape
 from lorewell.llm.components import components
 from lorewell.llm.exact_dedup import exact_dedup
@@ -24,7 +24,7 @@ from lorewell.llm.mixing import apply_mix, mix
 from lorewell.llm.ngram_join import Rule, choose_prefix, ngram_join
 from lorewell.llm.packing import best_fit, cut, pack, pack_documents
 from lorewell.llm.shingles import shingle_sets
-from lorewell.llm.suffix_array import equal_neighbours, suffix_array
+from lorewell.llm.suffix_array import common_prefixes, suffix_array
 from lorewell.llm.suffix_dedup import suffix_dedup
 from lorewell.llm.token_counts import count_tokens, read_token_files
 from lorewell.llm.toxicity import Model, Settings, fit, score, toxicity, training_texts
@@ -408,24 +408,23 @@ def test_components(spark):
 # suffix arrays
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("short", [0, 64])
+def test_suffix_array_and_common_prefixes(monkeypatch, short):
+    monkeypatch.setattr(suffix_array_module, "SHORT", short)
     rng = random.Random(6)
-    for _ in range(150):
-        k = rng.choice([1, 2, 3, 20])
-        t = np.array([rng.randint(1, k) for _ in range(rng.randint(0, 200))] + [0], np.int32)
-        depth = rng.choice([3, 50, 300])
-        sa = suffix_array(t, k + 1, depth)
-        keys = [tuple(t[i : i + depth]) for i in sa]
-        assert sorted(sa.tolist()) == list(range(len(t))) and keys == sorted(keys)
-
-
-def test_equal_neighbours():
-    data = np.frombuffer(b"abcabcabcabcXabcabcabcabc", np.uint8)
-    sa = np.array(sorted((i for i in range(len(data) - 8)), key=lambda i: data[i:].tobytes()), np.int32)
-    for n in (8, 9):
-        own = sa[sa + n <= len(data)]
-        expected = [False] + [data[a : a + n].tobytes() == data[b : b + n].tobytes() for a, b in zip(own, own[1:])]
-        assert equal_neighbours(data, own, n).tolist() == expected
+    for kind in (np.uint16, np.int32):
+        for _ in range(150):
+            k = rng.choice([1, 2, 3, 20, 200])
+            unit = [rng.randint(1, k) for _ in range(rng.randint(1, 40))]
+            t = (unit * 20)[: rng.randint(0, 200)] if rng.random() < 0.5 else [rng.randint(1, k) for _ in range(rng.randint(0, 200))]
+            t += [0]
+            sa = suffix_array(np.array(t, kind), k + 1)
+            expected = sorted(range(len(t)), key=lambda i: t[i:])
+            assert sa.tolist() == expected
+            shared = [0] * len(t)
+            for a, b in zip(expected, expected[1:]):
+                shared[b] = next(n for n in range(len(t)) if t[a + n] != t[b + n])
+            assert common_prefixes(np.array(t, kind), sa).tolist() == shared
 
 
 def py_cut(texts, length):
@@ -448,7 +447,11 @@ def test_suffix_dedup(docs, texts, empty, length):
     assert suffix_dedup(empty).count() == 0
 
 
-def test_suffix_dedup_with_passages(spark):
+@pytest.mark.parametrize("lot", [suffix_dedup_module.LOT, 3])
+def test_suffix_dedup_with_passages(spark, monkeypatch, lot):
+    """Also with keys in several lots."""
+    own = suffix_dedup_module.shared_keys
+    monkeypatch.setattr(suffix_dedup_module, "shared_keys", lambda rows: own(rows, lot))
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdeé\0", k=rng.randint(2, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
