@@ -8,6 +8,7 @@ groups of blocks) give the number of the document each run belongs to, and only
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,24 +17,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .tokens import SPECIAL_ID, default_path, encode
-from .work import read_table, stored
+from .work import make_folder, own_dir, read_table, stored
 
 BLOCK_TOKENS = 1 << 17
 
 
-def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, start, data) of the files in a folder. Spark lists them; tasks read byte ranges, so a file's size doesn't matter."""
+def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, names: DataFrame | None = None) -> DataFrame:
+    """(file, block, start, data) of the files in a folder, ``file`` being the last part of the path. Spark lists them; tasks read byte ranges, so a file's size
+    doesn't matter. ``names`` (file) leaves out all others."""
     width = np.dtype(dtype).itemsize
     step = block_tokens * width
-    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
-    ranges = files.select(F.col("path").alias("file"), F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("block", "at"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length").filter("length > 0")
+    if names is not None:
+        files = files.join(names, "file", "left_semi")
+    ranges = files.select("path", "file", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("block", "at"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            for file, block, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                system, name = fs.FileSystem.from_uri(file)
+            for where, file, block, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                system, name = fs.FileSystem.from_uri(where)
                 with system.open_input_file(name) as f:
                     f.seek(at)
                     data = f.read(step)
@@ -81,42 +85,42 @@ def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2", blocks_per_
     return inside.unionByName(edges.filter("closed or n_tokens > 0"))
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Tokenise documents into flat shards, one per input partition, stored as raw blocks: (file, block, start, data). The second table says which
-    document stands where: (file, ordinal, doc_id)."""
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
+    """Tokenise documents into flat files of 16-bit ids in ``folder``, one per input partition. Returns, stored, which document stands where: (file, ordinal,
+    doc_id); a file that isn't named there was left by a task that failed.
+
+    Every row is a document of its own, whatever its id: null and repeated ids pass through. A null text counts as empty and is its separator alone. The
+    special token's string is ordinary text, so no id inside a document is the separator. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, rest, block, ordinal = TaskContext.get().partitionId(), np.empty(0, "<u2"), 0, 0
-
-        def rows(data: list[bytes], first: int, docs_: list[int], at: int) -> pa.RecordBatch:
-            k, m = len(data), len(docs_)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.full(k + m, file, np.int64)),
-                pa.array(np.r_[np.arange(first, first + k), np.arange(at, at + m)].astype(np.int64)),
-                pa.array(data + [None] * m, pa.binary()),
-                pa.array([None] * k + docs_, pa.int64()),
-                pa.array([True] * k + [False] * m),
-            ], ["file", "n", "data", "doc_id", "is_block"])
+        from pyarrow import fs
 
-        for batch in batches:
-            docs_ = batch.column(0).to_pylist()
-            parts = [rest]
-            for text in batch.column(1):
-                parts.append(np.array([*encode(text.as_py(), vocabulary, special_as_text=True), end_id], dtype="<u2"))
-            ids = np.concatenate(parts)
-            full = len(ids) // block_tokens
-            yield rows([ids[i * block_tokens : (i + 1) * block_tokens].tobytes() for i in range(full)], block, docs_, ordinal)
-            block, ordinal, rest = block + full, ordinal + len(docs_), ids[full * block_tokens :]
-        if len(rest):
-            yield rows([rest.tobytes()], block, [], ordinal)
-
-    out = stored(docs.select("doc_id", "text").mapInArrow(run, "file long, n long, data binary, doc_id long, is_block boolean"), "token-shards", partition_by="is_block")
-    blocks = out.filter("is_block").select("file", F.col("n").alias("block"), (F.col("n") * block_tokens).alias("start"), "data")
-    return blocks, out.filter("not is_block").select("file", F.col("n").alias("ordinal"), "doc_id")
+        context = TaskContext.get()
+        system, base = fs.FileSystem.from_uri(folder)
+        file, ordinal = f"{context.partitionId():06d}-{context.taskAttemptId()}.bin", 0
+        with system.open_output_stream(f"{base}/{file}") as out:
+            for batch in batches:
+                for text in batch.column(1):
+                    out.write(np.array([*encode(text.as_py(), vocabulary, special_as_text=True), end_id], dtype="<u2").tobytes())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], ["file", "ordinal", "doc_id"])
+                ordinal += n
+
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "file string, ordinal long, doc_id long"), "token-order")
+
+
+def token_counts(docs: DataFrame, vocabulary: str, end_id: int = SPECIAL_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, n_tokens, file, ordinal, start, closed), one row per document: its ids as the scan of the flat files finds them. An empty table gives an empty
+    result."""
+    spark = docs.sparkSession
+    folder = f"{own_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    make_folder(spark, folder)
+    order = write_token_files(docs, folder, vocabulary, end_id)
+    counts = count_tokens(read_token_files(spark, folder, block_tokens=block_tokens, names=order.select("file").distinct()), end_id)
+    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start", "closed")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as flat shards of 16-bit ids, then the ids of each document as the scan finds them."""
-    blocks, order = write_shards(read_table(spark, sf_dir, "documents"), default_path(), SPECIAL_ID)
-    counts = count_tokens(blocks, SPECIAL_ID)
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start", "closed")
+    """All documents as flat files of 16-bit ids, then the ids of each document as the scan finds them."""
+    return token_counts(read_table(spark, sf_dir, "documents"), default_path())

@@ -44,12 +44,17 @@ def own_dir(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/lorewell-{spark.sparkContext.applicationId}"
     if path not in _marked:
         _marked.add(path)
+        make_folder(spark, path)
         at, fs = _hadoop(spark, path)
-        fs.mkdirs(at)
         fs.deleteOnExit(at)
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop(spark, path)
+    fs.mkdirs(at)
+
+
 def _hadoop(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

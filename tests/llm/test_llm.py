@@ -26,7 +26,7 @@ from lorewell.llm.packing import best_fit, cut, pack, pack_documents
 from lorewell.llm.shingles import shingle_sets
 from lorewell.llm.suffix_array import common_prefixes, suffix_array
 from lorewell.llm.suffix_dedup import suffix_dedup
-from lorewell.llm.token_counts import count_tokens, read_token_files
+from lorewell.llm.token_counts import count_tokens, read_token_files, token_counts
 from lorewell.llm.toxicity import Model, Settings, fit, score, toxicity, training_texts
 from lorewell.llm.tokens import SPECIAL, SPECIAL_ID, default_path, encode
 
@@ -267,6 +267,14 @@ def test_token_counts_of_documents(spark):
     assert all(r.n_tokens == len(tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids) for r in rows)
 
 
+def test_token_counts_of_rows_without_unique_ids(spark, docs, texts, empty):
+    rows = token_counts(docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), default_path(), block_tokens=50).collect()
+    expected = [len(encode(t, default_path(), special_as_text=True)) for t in texts]
+    assert sorted(r.n_tokens for r in rows if r.doc_id is None) == sorted(expected)
+    assert {r.doc_id: r.n_tokens for r in rows if r.doc_id is not None} == dict(enumerate(expected)) and len(rows) == 2 * len(texts)
+    assert token_counts(empty, default_path()).count() == 0
+
+
 def test_special_string():
     path = default_path()
     assert SPECIAL_ID in encode(f"a {SPECIAL} b", path) and SPECIAL_ID not in encode(f"a {SPECIAL} b", path, special_as_text=True)
