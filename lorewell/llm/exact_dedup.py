@@ -37,9 +37,10 @@ def folded(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
-def tree_merge(rows: DataFrame, fan_in: int = 8) -> DataFrame:
-    """``digests`` rows -> one row per digest with ``keep_id`` and ``group_size``."""
-    slots = max(2, shuffle_count(rows.sparkSession))
+def tree_merge(rows: DataFrame, fan_in: int | None = None) -> DataFrame:
+    """``digests`` rows -> one row per digest with ``keep_id`` and ``group_size``. ``fan_in``: by default 8, or less so that there are two rounds at least."""
+    slots = max(4, shuffle_count(rows.sparkSession))
+    fan_in = fan_in or min(8, math.isqrt(slots))
     rounds = max(1, math.ceil(math.log(slots, fan_in)))
     # 28 bits of the digest are the number of the partition where it ends
     goal = F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("long") % F.lit(fan_in**rounds)
@@ -53,7 +54,7 @@ def tree_merge(rows: DataFrame, fan_in: int = 8) -> DataFrame:
     return runs.select(*KEY, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int | None = None) -> DataFrame:
     """Texts are equal when identical after deleting ASCII blanks. Of equal texts the row with most code points in the original stays,
     then the smallest id, null last.
 

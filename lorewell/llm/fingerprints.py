@@ -3,7 +3,7 @@
 Canonical form: compatibility composition (NFKC), full case folding, composition again, then every run of white space one blank and none at the
 ends. Spark bundles ICU for its collations, and the SQL function ``reflect`` calls its normaliser; texts of ASCII alone need only ``lower``.
 The fingerprint is 128 bits of xxhash64 (two seeds). Texts meet in buckets of equal 128 bits, where their bytes are compared; should two
-different canonical texts ever share a bucket, the fingerprints in it are extended by SHA-256 of the canonical text.
+different canonical texts ever share a bucket, the fingerprints in it are extended by SHA-256 of the canonical text, which each row carries.
 
 An exact digest knows no degrees: the likeness of two fingerprints is 1 if they are equal, else 0.
 """
@@ -12,10 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .work import read_table, shuffle_count, stored
+from .work import drop, read_table, row_count, shuffle_count, small, stored
 
-#: Ids that may be broadcast (16 bytes each); above that the join is shuffled.
-BROADCAST_IDS = 1_000_000
 SECOND_SEED = 7_046_029_254_386_353_131
 
 
@@ -27,14 +25,19 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, r"(?U)\s+", " "), "^ | $", "")
 
 
-def wide(canon: Column) -> Column:
-    return F.struct(F.xxhash64(canon).alias("h1"), F.xxhash64(F.lit(SECOND_SEED), canon).alias("h2"))
+def wide(canon: Column, bits: int = 128) -> Column:
+    """(h1, h2, s): the two hashes, of which fewer than 128 ``bits`` may be kept, and SHA-256."""
+    h1, h2 = F.xxhash64(canon), F.xxhash64(F.lit(SECOND_SEED), canon)
+    if bits < 128:
+        h1, h2 = F.shiftrightunsigned(h1, 64 - min(bits, 63)), F.lit(0).cast("long")
+    return F.struct(h1.alias("h1"), h2.alias("h2"), F.unhex(F.sha2(canon, 256)).alias("s"))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with ``next_<column>`` of the next one by descending doc_id; after the last comes the first.
 
-    Rows are dealt by ranges of ids (one shuffle); the first row of each range also visits the range before it, as its last row's neighbour.
+    Rows are dealt by ranges of ids (one shuffle); the first row of each range also visits the range before it, as its last row's neighbour. Rows without id
+    come behind the least id, in the order of their hashes, as do rows that repeat an id among each other.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id").filter("doc_id is not null")
@@ -61,7 +64,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     seats = F.concat(F.array(F.struct(F.lit(0).alias("guest"), F.col("_range").alias("r"))), F.coalesce(F.transform("_visits", lambda v: F.struct(F.lit(1).alias("guest"), v.alias("r"))), F.array().cast("array<struct<guest:int,r:int>>")))
     w = Window.partitionBy("_seat.r").orderBy("_seat.guest", F.desc_nulls_last("doc_id"), *[F.col(c) for c in columns if c.startswith("h")])
     seated = rows.withColumn("_seat", F.explode(seats)).drop("_range", "_visits")
-    return seated.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("_seat.guest = 0").drop("_seat")
+    # without any id there is one range, whose last row is followed by its first
+    after = lambda c: F.lead(c).over(w) if tops else F.coalesce(F.lead(c).over(w), F.first(c).over(w))
+    return seated.withColumns({f"next_{c}": after(c) for c in columns}).filter("_seat.guest = 0").drop("_seat")
 
 
 def edited_text() -> Column:
@@ -73,56 +78,49 @@ def fingerprint_text(h: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(f"{h}.h1"), 16, "0"), F.lpad(F.hex(f"{h}.h2"), 16, "0")))
 
 
-def near(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose doc_id is in ``ids``."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-
 def clashing(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The buckets of equal 128 bits that hold different canonical texts, found by comparing the texts of every bucket with more than one row."""
-    both = marks.select("doc_id", F.lit(0).alias("edited"), "h").unionByName(marks.select("doc_id", F.lit(1).alias("edited"), F.col("e").alias("h")))
-    crowded = both.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    members = both.join(crowded, "h", "left_semi")
-    who = stored(members.groupBy("doc_id").agg(F.max("edited").alias("edited"), F.min("edited").alias("plain")).join(marks.select("doc_id", "next_doc_id", "h", "e"), "doc_id"), "bucket-members")
-    wanted = who.select("doc_id").unionByName(who.filter("edited = 1").select(F.col("next_doc_id").alias("doc_id"))).distinct()
-    texts = near(docs.select("doc_id", "text"), wanted)
-    own = texts.join(who, "doc_id")
-    plain = own.filter("plain = 0").select("h", canonical(F.col("text")).alias("canon"))
+    """(h1, h2) of the buckets that hold different canonical texts, stored. Their SHA-256 are compared in every bucket, and in those with more than one row
+    whose SHA-256 agree the bytes of all that have an id, too."""
+    both = marks.select("doc_id", F.lit(0).alias("edited"), "h.*").unionByName(marks.select("doc_id", F.lit(1).alias("edited"), "e.*"))
+    crowded = stored(both.groupBy("h1", "h2").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("apart")).filter("n > 1"), "crowded-buckets")
+    members = both.filter("doc_id is not null").join(crowded.filter("not apart").select("h1", "h2"), ["h1", "h2"], "left_semi")
+    own = members.groupBy("doc_id").agg(F.max("edited").alias("edited"), F.min("edited").alias("plain"))
+    who = stored(own.join(marks.select("doc_id", "next_doc_id", F.struct("h.h1", "h.h2").alias("h"), F.struct("e.h1", "e.h2").alias("e")).distinct(), "doc_id"), "bucket-members")
+    wanted = stored(who.select("doc_id").unionByName(who.filter("edited = 1").select(F.col("next_doc_id").alias("doc_id"))).distinct(), "bucket-texts")
+    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")
+    mine = texts.join(who, "doc_id")
+    plain = mine.filter("plain = 0").select("h", canonical(F.col("text")).alias("canon"))
     after = texts.select(F.col("doc_id").alias("next_doc_id"), F.col("text").alias("next_text"))
-    changed = own.filter("edited = 1").withColumn("n_chars", F.length("text")).join(after, "next_doc_id").select(F.col("e").alias("h"), canonical(edited_text()).alias("canon"))
+    changed = mine.filter("edited = 1").withColumn("n_chars", F.length("text")).join(after, "next_doc_id").select(F.col("e").alias("h"), canonical(edited_text()).alias("canon"))
     # distinct (bucket, text) first: copies of one text fold before they are shuffled
-    return plain.unionByName(changed).distinct().groupBy("h").count().filter("count > 1").select("h")
+    bytes_apart = plain.unionByName(changed).distinct().groupBy("h").count().filter("count > 1").select("h.h1", "h.h2")
+    bad = stored(crowded.filter("apart").select("h1", "h2").unionByName(bytes_apart).distinct(), "clashes")
+    drop(who, wanted, crowded)
+    return bad
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text replaces the last third (rounded down) of the code points by the first as many of the next document by descending id. A null
     text counts as empty; the fingerprint of an empty text is that of ''. A single document is its own next one. Rows that repeat an id each
-    get a row, in no particular order among each other. Other columns are ignored; an empty table gives an empty result.
+    get a row and follow each other in the order of their hashes; rows without id come last, likewise. Other columns are ignored; an empty table gives
+    an empty result. ``bits`` below 128 shortens the hashes.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(slim.withColumn("h", wide(canonical(F.col("text")))), ["doc_id", "text", "h"])
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = with_next(slim.withColumn("canon", canonical(F.col("text"))).withColumn("h", wide(F.col("canon"), bits)).drop("canon"), ["doc_id", "text", "h"])
     marks = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited_text())
-    marks = stored(marks.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", wide(canonical(F.col("edited"))).alias("e"), F.col("next_h").alias("n")), "fingerprints")
-    bad = stored(clashing(slim, marks), "clashes")
+    marks = marks.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", canonical(F.col("edited")).alias("canon"), F.col("next_h").alias("n"))
+    marks = stored(marks.withColumn("e", wide(F.col("canon"), bits)).drop("canon"), "fingerprints")
+    bad = clashing(slim, marks)
     out = marks.withColumns({k: fingerprint_text(h) for k, h in (("fingerprint", "h"), ("edited_fingerprint", "e"), ("next_fingerprint", "n"))})
-    if not bad.isEmpty():
-        out = extended(slim, marks, out, bad)
+    if row_count(bad):
+        for k, h in (("fingerprint", "h"), ("edited_fingerprint", "e"), ("next_fingerprint", "n")):
+            mark = small(bad).select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.lit(True).alias("_bad"))
+            out = out.join(mark, (F.col(f"{h}.h1") == F.col("_1")) & (F.col(f"{h}.h2") == F.col("_2")), "left")
+            out = out.withColumn(k, F.when(F.col("_bad"), F.concat_ws(":", k, F.lower(F.hex(f"{h}.s")))).otherwise(F.col(k))).drop("_1", "_2", "_bad")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"))
 
 
-def extended(docs: DataFrame, marks: DataFrame, out: DataFrame, bad: DataFrame) -> DataFrame:
-    """``out`` with SHA-256 of the canonical text behind each fingerprint whose bucket holds different texts."""
-    rows = with_next(docs.withColumn("h", wide(canonical(F.col("text")))), ["doc_id", "text", "h"]).withColumn("n_chars", F.length("text").cast("long"))
-    digests = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("s_h"), F.sha2(canonical(edited_text()), 256).alias("s_e"), F.sha2(canonical(F.col("next_text")), 256).alias("s_n"))
-    out = out.join(digests, "doc_id")
-    for k, h, s in (("fingerprint", "h", "s_h"), ("edited_fingerprint", "e", "s_e"), ("next_fingerprint", "n", "s_n")):
-        mark = bad.select(F.col("h").alias(h), F.lit(True).alias(f"bad_{h}"))
-        out = out.join(mark, h, "left").withColumn(k, F.when(F.col(f"bad_{h}"), F.concat_ws(":", k, s)).otherwise(F.col(k)))
-    return out
-
-
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))

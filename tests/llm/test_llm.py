@@ -333,6 +333,35 @@ def test_fingerprints(docs, texts, empty):
     assert one.near_next == 1.0
 
 
+def by_next(rows):
+    """(id, text, next text), by descending id, null last; only for rows whose order among equal ids is of no effect."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    return [(*r, n[1]) for r, n in zip(rows, rows[1:] + rows[:1])]
+
+
+@pytest.mark.parametrize("bits", [128, 2])
+def test_fingerprints_of_rows_without_unique_ids(spark, bits):
+    """Two bits put different texts into one bucket; they must still get different fingerprints."""
+    texts = ["one two three", "ONE  two three", "four five six", "", "seven eight"]
+    rows = [(i, texts[i % 5]) for i in range(12)] + [(7, texts[2]), (7, texts[2]), (None, "nine"), (None, "nine")]
+    expected = []
+    for i, t, n in by_next(rows):
+        k = len(t) // 3
+        e = t[: len(t) - k] + n[:k]
+        same = lambda a, b: float(py_fingerprint(a) == py_fingerprint(b))
+        expected.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), same(t, e), same(t, n)))
+    out = fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits=bits).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in out), key=str) == sorted(expected, key=str)
+    kinds = {i: py_fingerprint(t) for i, t in rows}
+    found = defaultdict(set)
+    for r in out:
+        found[kinds[r.doc_id]].add(r.fingerprint)
+    assert all(len(v) == 1 for v in found.values()) and len({f for v in found.values() for f in v}) == len(found)
+    assert bits == 128 or any(":" in r.fingerprint for r in out)
+    nameless = fingerprints(spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string")).collect()
+    assert [r.near_next for r in nameless] == [1.0, 1.0]
+
+
 def test_canonical_form(spark):
     pairs = [("ＡＢＣ é", "abc é"), ("Straße", "STRASSE"), (" a　\n b ", "a b"), (None, "")]
     df = spark.createDataFrame(pairs, "a string, b string").select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b"))
