@@ -205,10 +205,11 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
     fields = "hub long, bi int, bj int, block int, node long, n int, m int, label long, sig binary, tokens array<long>"
     names = [f.split()[0] for f in fields.split(", ")]
 
-    def pairs(run: dict[str, np.ndarray]) -> list[np.ndarray]:
+    def pairs(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """The pairs of one cell, a few nodes' at a time."""
         label = run["label"]
         if label.min() == label.max():
-            return []
+            return
         split = run["bi"][0] != run["bj"][0]
         left = np.flatnonzero(run["block"] == run["bi"][0])
         right = np.flatnonzero(run["block"] == run["bj"][0]) if split else left
@@ -216,9 +217,8 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
         lists = np.unique(np.concatenate(run["tokens"]), return_inverse=True)[1].reshape(-1)
         holds = np.zeros((len(n), lists.max() + 1), np.float32)
         holds[np.repeat(np.arange(len(n)), [len(t) for t in run["tokens"]]), lists] = 1
-        found = []
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
+        for at in range(0, len(left), 64):
+            i = left[at : at + 64]
             ni, nj = n[i][:, None], n[right][None, :]
             hits = holds[i] @ holds[right].T
             ok = (hits > 0) & (label[i][:, None] != label[right][None, :]) & (rule.num * np.maximum(ni, nj) <= rule.den * np.minimum(ni, nj))
@@ -228,13 +228,13 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
             if not len(x):
                 continue
             a, b, total = i[x], right[y], n[i[x]] + n[right[y]]
-            apart = np.concatenate([np.bitwise_count(sig[a[k : k + 65536]] ^ sig[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)])
+            apart = np.concatenate([np.bitwise_count(sig[a[k : k + 8192]] ^ sig[b[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 8192)])
             good = apart <= total - 2 * -(-rule.num * total // (rule.num + rule.den))
             a, b, shared = a[good], b[good], hits[x, y][good].astype(np.int64)
             swap = node[a] > node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            found.append(np.stack([node[a], node[b], shared, m[a], m[b], n[a], n[b]]))
-        return found
+            if len(a):
+                yield np.stack([node[a], node[b], shared, m[a], m[b], n[a], n[b]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -243,12 +243,14 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
         def emit(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero((np.diff(cols["hub"]) != 0) | (np.diff(cols["bi"]) != 0) | (np.diff(cols["bj"]) != 0)) + 1
             found: list[np.ndarray] = []
+            size = 0
             for a, b in zip(np.r_[0, new], np.r_[new, len(cols["hub"])]):
-                if b - a > 1:
-                    found += pairs({k: v[a:b] for k, v in cols.items()})
-                if sum(f.shape[1] for f in found) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
-                    found = []
+                for some in pairs({k: v[a:b] for k, v in cols.items()}) if b - a > 1 else ():
+                    found.append(some)
+                    size += some.shape[1]
+                    if size > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
+                        found, size = [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
 
@@ -293,8 +295,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, clashes: froze
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):  # a set is larger than its text
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):  # a set is larger than its text
+                batch = whole.slice(at, 200)
                 sets = list(shingle_sets(batch.column(2).to_pylist(), rule.width))
                 node = [_node(_digest(s, rule), clashes) if len(s) else None for s in sets]
                 # an id may stand for other texts too: a hub must be the set that was meant
