@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators.context import build_prompts, format_documents, format_history
 from ..operators.history import clear_sessions, history_text, recent_messages, session_history, turns_to_messages, upsert_messages
 from .base import table
-from .search import _WHOLE, sources, whole_sources
+from .search import merged_sql, sources, whole_sources
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,17 +113,10 @@ QUERIES = {
 }
 
 _M = "m AS (SELECT conv_id || '-' || printf('%03d', turn) AS message_id, conv_id::VARCHAR AS session_id, role, text, turn::DOUBLE AS ts FROM conversations)"
-_SOURCES = r"""a AS (SELECT doc_id % 100 AS request_id, 0 AS side, doc_id AS spot, trim(substr(text, 1, 300), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content, 'doc ' || doc_id AS title, doc_id::VARCHAR AS chunk_id, '' AS url, 'local' AS source FROM documents),
-b AS (SELECT page_id % 100 AS request_id, 1 AS side, page_id AS spot, trim(regexp_extract(html, '<p>([^<]*)', 1)) AS content, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, NULL AS chunk_id, trim(url) AS url, 'web' AS source FROM pages),
-u AS (SELECT * FROM a WHERE content <> '' UNION ALL SELECT * FROM b WHERE content <> '' AND title <> '' AND url <> ''),
-s AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY side, spot) AS rank, content, title, chunk_id, url, source FROM u),
-t AS (SELECT request_id, rank, '[' || rank || '] [source=' || source || ']' || CASE WHEN chunk_id IS NOT NULL THEN ' [chunk_id=' || chunk_id || ']' ELSE '' END || CASE WHEN url <> '' THEN ' [url=' || url || ']' ELSE '' END || ' [title=' || title || ']'
+_ENTRIES = """t AS (SELECT request_id, rank, '[' || rank || '] [source=' || source || ']' || CASE WHEN chunk_id IS NOT NULL THEN ' [chunk_id=' || chunk_id || ']' ELSE '' END || CASE WHEN url <> '' THEN ' [url=' || url || ']' ELSE '' END || ' [title=' || title || ']'
        || CASE WHEN rank % 4 <> 0 THEN printf(' [score=%.4f]', 1.0::DOUBLE / rank) ELSE '' END || chr(10) || content AS entry FROM s),
 c AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY request_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM t)"""
-
-#: The same from whole texts.
-_ENTRIES = _SOURCES[_SOURCES.index("t AS (") :]
-_WHOLE_SOURCES = f"{_WHOLE},\n{_ENTRIES}"
+_SOURCES, _WHOLE_SOURCES = (f"{merged_sql(size)},\n{_ENTRIES}" for size in (20, 50))
 
 
 def _context(budget: int) -> str:

@@ -31,8 +31,9 @@ QUERIES = {"task_rollup": rollup, "request_rate": rates}
 SQL = {
     "task_rollup": """WITH e AS (SELECT user_id::VARCHAR AS task_id, CASE WHEN event_type IN ('signup', 'purchase') THEN '检查文件' WHEN event_type IN ('click', 'view') THEN 'browse' END AS node,
        CASE WHEN event_type IN ('signup', 'click') THEN 'start' WHEN event_type IN ('purchase', 'view') THEN 'done' WHEN value < 3 THEN 'completed' ELSE 'failed' END AS event, ts, CASE WHEN event_type IN ('purchase', 'view') THEN value END AS duration FROM events),
-n AS (SELECT task_id, node, min(ts) FILTER (WHERE event = 'done') AS first_done, min(ts) FILTER (WHERE event = 'start') AS first_start, arg_max(event, ts) AS last_event, round(arg_max(duration, ts) FILTER (WHERE event = 'done'), 2) AS seconds FROM e WHERE node IS NOT NULL GROUP BY ALL),
-t AS (SELECT task_id, string_agg(node, ',' ORDER BY first_start, node) FILTER (WHERE last_event = 'start') AS running, string_agg(node, ',' ORDER BY first_done, node) FILTER (WHERE first_done IS NOT NULL) AS done, count(first_done) AS n, max(seconds) FILTER (WHERE node = 'browse') AS browse, round(sum(seconds), 2) AS total FROM n GROUP BY task_id),
+l AS (SELECT *, max(CASE WHEN event = 'done' THEN ts END) OVER (PARTITION BY task_id, node) AS last_done FROM e),
+n AS (SELECT task_id, node, min(ts) FILTER (WHERE event = 'done') AS first_done, min(ts) FILTER (WHERE event = 'start' AND (last_done IS NULL OR ts >= last_done)) AS started, arg_max(event, ts) AS last_event, round(arg_max(duration, ts) FILTER (WHERE event = 'done'), 2) AS seconds FROM l WHERE node IS NOT NULL GROUP BY ALL),
+t AS (SELECT task_id, string_agg(node, ',' ORDER BY started, node) FILTER (WHERE last_event = 'start') AS running, string_agg(node, ',' ORDER BY first_done, node) FILTER (WHERE first_done IS NOT NULL) AS done, count(first_done) AS n, max(seconds) FILTER (WHERE node = 'browse') AS browse, round(sum(seconds), 2) AS total FROM n GROUP BY task_id),
 s AS (SELECT task_id, arg_max(event, ts) FILTER (WHERE event IN ('completed', 'failed')) AS status FROM e GROUP BY task_id)
 SELECT task_id, coalesce(status, 'processing') AS status, coalesce(running, '') AS running, coalesce(done, '') AS done, coalesce(browse, -1.0::DOUBLE) AS browse_seconds, coalesce(total, 0.0::DOUBLE) AS total_seconds, least(100, floor(100 * coalesce(n, 0) / 7.0 + 0.5))::INT AS progress FROM s LEFT JOIN t USING (task_id)""",
     "request_rate": """SELECT event_id, count(*) OVER w AS recent, count(*) OVER w > 3 AS over_limit FROM events

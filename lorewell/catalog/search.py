@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..config import Config
 from ..functions.text import is_blank
 from ..operators.fusion import cliff_cutoff, hit_stats, merge_sources, normalize_hits, rerank, rrf
-from ..operators.vectors import dense_topk, embed, hybrid, hyde_queries, inner_product, sparse_topk, top, to_sparse_map, validate_vectors
+from ..operators.vectors import dense_topk, embed, hybrid, hyde_queries, sparse_topk, to_sparse_map, validate_vectors
 from .base import table
 
 
@@ -51,9 +51,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The five nearest by cosine and the five largest by inner product, as ranked hits."""
     chunks, queries = corpus(spark, sf_dir), vector_queries(spark, sf_dir)
-    near = dense_topk(queries, chunks, 5)
-    pairs = queries.select("query_id", F.col("vector").alias("q"), F.explode("item_names").alias("item_name")).join(chunks, "item_name")
-    large = top(pairs.select("query_id", "chunk_id", inner_product(F.col("q"), F.col("vector")).alias("score")), "query_id", F.round("score", 9), "chunk_id", 5)
+    near, large = dense_topk(queries, chunks, 5), dense_topk(queries, chunks, 5, metric="ip")
     hit = lambda df: df.select(F.col("query_id").alias("request_id"), F.col("rank").alias("pos"), F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.concat(F.lit("chunk "), F.col("chunk_id")).alias("content")).alias("entity"))
     return normalize_hits(hit(near)), normalize_hits(hit(large))
 
@@ -79,10 +77,10 @@ def nearest_ten_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own title as the question, and its whole text as the hypothetical document; a missing text gives none."""
     docs = table(spark, sf_dir, "documents")
-    requests = docs.select(F.col("doc_id").alias("request_id"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("query"))
-    written = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("request_id"), F.substring("text", 41, 100).alias("document"))
-    return hyde_queries(requests, written)
+    requests = docs.select(F.col("doc_id").alias("request_id"), F.concat(F.lit("doc "), F.col("doc_id")).alias("query"))
+    return hyde_queries(requests, docs.filter("text is not null").select(F.col("doc_id").alias("request_id"), F.col("text").alias("document")))
 
 
 def whole_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,32 +102,34 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank(candidates(spark, sf_dir)).select("request_id", "pos", F.round("score", 9).alias("score"), "rank")
 
 
-def web_pages(spark: SparkSession, sf_dir: str, snippet: Column | None = None) -> DataFrame:
-    """The pages with ``snippet``, by default the start of the first paragraph."""
+def paragraphs(html: Column) -> Column:
+    """All paragraphs of a page, without tags."""
+    found = F.regexp_extract_all(html, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, "<[^>]*>", "")), "\n")
+
+
+def asker(id_col: str, size: int) -> Column:
+    """The request that a row is dealt to: ``size`` rows in the order of their ids have one, so there are more requests the more rows there are."""
+    return F.floor(F.col(id_col) / size).cast("long").alias("request_id")
+
+
+def web_pages(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    snippet = F.regexp_extract("html", r"<p>([^<]*)", 1) if snippet is None else snippet
-    return pages.select((F.col("page_id") % 100).alias("request_id"), F.col("page_id").alias("pos"), snippet.alias("snippet"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), "url")
+    return pages.select(asker("page_id", size), F.col("page_id").alias("pos"), paragraphs(F.col("html")).alias("snippet"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), "url")
 
 
-def local_hits(spark: SparkSession, sf_dir: str, content: Column | None = None) -> DataFrame:
-    """The documents with ``content``, by default the start of the text."""
+def local_hits(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    content = F.substring("text", 1, 300) if content is None else content
-    return docs.select((F.col("doc_id") % 100).alias("request_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), content.alias("content"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
+    return docs.select(asker("doc_id", size), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sources(local_hits(spark, sf_dir), web_pages(spark, sf_dir))
 
 
-def paragraphs(html: Column) -> Column:
-    """All paragraphs of a page, without tags."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
-    return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, "<[^>]*>", "")), "\n")
-
-
 def whole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_sources(local_hits(spark, sf_dir, F.col("text")), web_pages(spark, sf_dir, paragraphs(F.col("html"))))
+    """The same, more rows to a request."""
+    return merge_sources(local_hits(spark, sf_dir, 50), web_pages(spark, sf_dir, 50))
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,13 +171,16 @@ def _cliff(rows: str, gap: float) -> str:
 k AS (SELECT request_id, any_value(n) AS n, arg_max(rank, fall * 1e6 - rank * 1e-9) FILTER (WHERE fall >= {gap}) AS spot FROM d GROUP BY request_id)"""
 
 
-# the whole texts of documents and pages, of which merged_sources takes the start
-_WHOLE = r"""a AS (SELECT doc_id % 100 AS request_id, 0 AS side, doc_id AS spot, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content, 'doc ' || doc_id AS title, doc_id::VARCHAR AS chunk_id, '' AS url, 'local' AS source FROM documents),
-b AS (SELECT page_id % 100 AS request_id, 1 AS side, page_id AS spot, trim(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1), chr(10)), '<[^>]*>', '', 'g'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content,
+def merged_sql(size: int) -> str:
+    """The whole texts of documents and pages, dealt to requests."""
+    blanks = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    return rf"""a AS (SELECT doc_id // {size} AS request_id, 0 AS side, doc_id AS spot, trim(text, {blanks}) AS content, 'doc ' || doc_id AS title, doc_id::VARCHAR AS chunk_id, '' AS url, 'local' AS source FROM documents),
+b AS (SELECT page_id // {size} AS request_id, 1 AS side, page_id AS spot, trim(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1), chr(10)), '<[^>]*>', '', 'g'), {blanks}) AS content,
       trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, NULL AS chunk_id, trim(url) AS url, 'web' AS source FROM pages),
 u AS (SELECT * FROM a WHERE content <> '' UNION ALL SELECT * FROM b WHERE content <> '' AND title <> '' AND url <> ''),
 s AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY side, spot) AS rank, content, title, chunk_id, url, source FROM u)"""
 
+
 SQL = {
     "dense_topk": f"""WITH {_PAIRS}, r AS (SELECT q AS query_id, c AS chunk_id, cosine, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 12) DESC, c)::INT AS rank FROM p)
 SELECT query_id, chunk_id, round(cosine, 6) AS score, rank FROM r WHERE rank <= 5""",
@@ -199,18 +202,14 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM f WHERE rank <= 5
     "fused_cliff": f"WITH {_FUSED}, {_cliff('fused', 0.001)} SELECT request_id, rank, chunk_id, score FROM fused JOIN k USING (request_id) WHERE rank <= greatest(least(3, n), coalesce(spot, n))",
     "nearest_cliff": f"""WITH {_PAIRS}, t AS (SELECT q AS request_id, c AS chunk_id, round(cosine, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 12) DESC, c)::INT AS rank FROM p), {_cliff('t', 0.02)}
 SELECT request_id, chunk_id, score, rank FROM t JOIN k USING (request_id) WHERE rank <= 10 AND rank <= greatest(least(3, n), coalesce(spot, n))""",
-    "hyde_queries": """WITH r AS (SELECT doc_id, coalesce(substr(text, 1, 40), '') AS query, CASE WHEN doc_id % 2 = 0 THEN substr(text, 41, 100) END AS document FROM documents)
-SELECT doc_id AS request_id, 'plain' AS path, query AS text FROM r UNION ALL SELECT doc_id, 'hyde', query || chr(10) || coalesce(document, '') FROM r""",
+    "hyde_queries": """SELECT doc_id AS request_id, 'plain' AS path, 'doc ' || doc_id AS text FROM documents UNION ALL SELECT doc_id, 'hyde', 'doc ' || doc_id || chr(10) || coalesce(text, '') FROM documents""",
     "reranked": r"""WITH n AS (SELECT count(*) AS n FROM benchmark),
 c AS (SELECT doc_id % n AS request_id, doc_id AS pos, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS words FROM documents, n WHERE text IS NOT NULL),
 q AS (SELECT item_id AS request_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS asked FROM benchmark),
 s AS (SELECT request_id, pos, coalesce(len(list_intersect(asked, words))::DOUBLE / nullif(len(asked), 0), 0) AS score FROM c JOIN q USING (request_id))
 SELECT request_id, pos, round(score, 9) AS score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos)::INT AS rank FROM s""",
-    "merged_sources": r"""WITH a AS (SELECT doc_id % 100 AS request_id, 0 AS side, doc_id AS spot, trim(substr(text, 1, 300), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS content, 'doc ' || doc_id AS title, doc_id::VARCHAR AS chunk_id, '' AS url, 'local' AS source FROM documents),
-b AS (SELECT page_id % 100 AS request_id, 1 AS side, page_id AS spot, trim(regexp_extract(html, '<p>([^<]*)', 1)) AS content, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, NULL AS chunk_id, trim(url) AS url, 'web' AS source FROM pages),
-u AS (SELECT * FROM a WHERE content <> '' UNION ALL SELECT * FROM b WHERE content <> '' AND title <> '' AND url <> '')
-SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY side, spot)::INT AS pos, content, title, chunk_id, url, source FROM u""",
-    "merged_whole_sources": f"WITH {_WHOLE} SELECT request_id, rank::INT AS pos, content, title, chunk_id, url, source FROM s",
+    "merged_sources": f"WITH {merged_sql(20)} SELECT request_id, rank::INT AS pos, content, title, chunk_id, url, source FROM s",
+    "merged_whole_sources": f"WITH {merged_sql(50)} SELECT request_id, rank::INT AS pos, content, title, chunk_id, url, source FROM s",
     "whole_hyde_queries": r"""WITH n AS (SELECT count(*) AS n FROM benchmark),
 r AS (SELECT doc_id, b.text AS query, CASE WHEN regexp_matches(d.text, '\S') THEN d.text END AS document FROM documents d, n JOIN benchmark b ON b.item_id = d.doc_id % n)
 SELECT doc_id AS request_id, 'plain' AS path, query AS text FROM r UNION ALL SELECT doc_id, 'hyde', query || chr(10) || coalesce(document, '') FROM r""",

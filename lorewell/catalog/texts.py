@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import Config
 from ..functions.links import normalize_link_urls
 from ..functions.tables import complex_table, linearize_tables
 from ..functions.text import embedding_input, format_duration, normalize_newlines, object_url, parse_extraction, parse_web_results, prepare_requests, resolve_item_name, strip_image_syntax, valid_inputs
@@ -19,9 +18,9 @@ def illustrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight image files for each document; how many it refers to depends on its length."""
-    n = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n")
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", n).select("doc_id", F.concat(F.lit("pic"), F.col("n") * 3, F.lit("_(1).png")).alias("name"))
+    """Image files of each document: one more than it refers to, and every fifth left out."""
+    n = F.explode(F.sequence(F.lit(0), F.floor((F.size(F.split("text", "\n")) - 1) / 3).cast("int") + 1)).alias("n")
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", n).filter("n % 5 <> 4").select("doc_id", F.concat(F.lit("pic"), F.col("n") * 3, F.lit("_(1).png")).alias("name"))
 
 
 def alt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def used_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_context(illustrated(spark, sf_dir), pictures(spark, sf_dir), Config(image_context_length=60))
+    return image_context(illustrated(spark, sf_dir), pictures(spark, sf_dir))
 
 
 def linked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,19 +132,20 @@ QUERIES = {
     "durations": durations,
 }
 
-_DOCS = """i AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN '## part ' || (k - 1) || chr(10) || x || chr(10) || '![ alt ' || (k - 1) || ' ](images/pic' || (k - 1) || '_(1).png)' ELSE x END) AS parts,
+_PICTURES = "g AS (SELECT doc_id, len(string_split(text, chr(10))) AS size, unnest(range((len(string_split(text, chr(10))) - 1) // 3 + 2)) AS n FROM documents WHERE text IS NOT NULL)"
+_DOCS = f"""{_PICTURES}, i AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN '## part ' || (k - 1) || chr(10) || x || chr(10) || '![ alt ' || (k - 1) || ' ](images/pic' || (k - 1) || '_(1).png)' ELSE x END) AS parts,
       string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)"""
 
 SQL = {
     "image_alt_texts": """WITH d AS (SELECT doc_id, source, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN '## part ' || (k - 1) || chr(10) || x || chr(10) || 'alt ' || (k - 1) ELSE x END), chr(10)) AS bare FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, bare, coalesce(source, '') || chr(10) || bare AS embedded FROM d""",
     "normalized_newlines": r"SELECT doc_id, replace(replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents",
-    "used_images": "SELECT doc_id, 'pic' || (3 * n) || '_(1).png' AS name, len(string_split(text, chr(10))) > 3 * n AS used FROM documents, range(8) t(n) WHERE text IS NOT NULL",
-    "image_contexts": f"""WITH {_DOCS}, p AS (SELECT doc_id, n * 3 AS k, array_to_string(parts, chr(10)) AS md, '![ alt ' || (3 * n) || ' ](images/pic' || (3 * n) || '_(1).png)' AS img FROM i, range(8) t(n) WHERE len(lines) > 3 * n),
+    "used_images": f"WITH {_PICTURES} SELECT doc_id, 'pic' || (3 * n) || '_(1).png' AS name, size > 3 * n AS used FROM g WHERE n % 5 <> 4",
+    "image_contexts": f"""WITH {_DOCS}, p AS (SELECT doc_id, n * 3 AS k, array_to_string(parts, chr(10)) AS md, '![ alt ' || (3 * n) || ' ](images/pic' || (3 * n) || '_(1).png)' AS img FROM i JOIN g USING (doc_id) WHERE size > 3 * n AND n % 5 <> 4),
 a AS (SELECT *, strpos(md, img) AS spot FROM p)
-SELECT doc_id, 'pic' || k || '_(1).png' AS name, regexp_replace(list_last(regexp_extract_all(substr(md, 1, spot - 1), '(?m)^#{{1,6}}\\s+[^\\n]+')), '\\s+$', '') AS heading, substr(md, greatest(1, spot - 60), least(60, spot - 1)) AS up_text, substr(md, spot + length(img), 60) AS down_text FROM a""",
+SELECT doc_id, 'pic' || k || '_(1).png' AS name, regexp_replace(list_last(regexp_extract_all(substr(md, 1, spot - 1), '(?m)^#{{1,6}}\\s+[^\\n]+')), '\\s+$', '') AS heading, substr(md, greatest(1, spot - 200), least(200, spot - 1)) AS up_text, substr(md, spot + length(img), 200) AS down_text FROM a""",
     "linked_images": """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN '## part ' || (k - 1) || chr(10) || x || chr(10) ||
-  CASE WHEN k - 1 = 3 OR k - 1 > 21 THEN '![ alt ' || (k - 1) || ' ](images/pic' || (k - 1) || '_(1).png)' ELSE '![about pic' || (k - 1) || '_(1).png](http://store/kb/' || doc_id || '/pic' || (k - 1) || '_%281%29.png)' END ELSE x END), chr(10)) AS md_content FROM documents WHERE text IS NOT NULL""",
+  CASE WHEN k - 1 = 3 OR (k - 1) // 3 % 5 = 4 THEN '![ alt ' || (k - 1) || ' ](images/pic' || (k - 1) || '_(1).png)' ELSE '![about pic' || (k - 1) || '_(1).png](http://store/kb/' || doc_id || '/pic' || (k - 1) || '_%281%29.png)' END ELSE x END), chr(10)) AS md_content FROM documents WHERE text IS NOT NULL""",
     "object_urls": "SELECT p_partkey, 'http://store/kb/' || replace(p_brand, '#', '%23') || '%20%28A%29/%E5%9B%BE%20' || replace(p_name, ' ', '%20') || '~%2A.png' AS url FROM part",
     "repaired_links": """SELECT p_partkey, 'see [it](http://x/' || replace(p_name, ' ', '%20') || '%20%28v' || p_size || '%29.png "title") and ![p](ok%20' || p_partkey || '.png)' AS text FROM part""",
     "html_tables_spoken": """SELECT p_partkey, 'About' || chr(10) || chr(10) || '- 【' || p_name || '】(对应name)：field为brand，value为' || p_brand || '。' || chr(10) || '- 【' || p_name || '】(对应name)：field为size' || CASE WHEN p_size > 25 THEN '' ELSE '，value为' || p_size END || '。' || chr(10) || chr(10) || 'end' AS text, false AS is_complex FROM part""",

@@ -11,12 +11,12 @@ TOKEN = re.compile(r"\w+")
 
 
 class HashedTokens:
-    """Texts -> (dense vectors of length 1, sparse token weights). A token's place and sign in the dense vector come from its CRC."""
+    """Texts -> (dense vectors of length 1, sparse token weights). A token's place and sign in the dense vector come from its CRC. Both modes are alike."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[dict[int, float]]]:
+    def __call__(self, texts: list[str], mode: str = "document") -> tuple[np.ndarray, list[dict[int, float]]]:
         dense = np.zeros((len(texts), self.dim))
         sparse: list[dict[int, float]] = []
         for row, text in enumerate(texts):

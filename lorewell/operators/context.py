@@ -9,10 +9,13 @@ from ..functions.text import is_blank, none_if_blank, render_prompt, strip
 
 # The labels of roles, and the texts for what is missing.
 ROLES = {"user": "用户", "assistant": "助手"}
-NO_CONTEXT, NO_HISTORY = "无参考内容", "暂无历史对话"
+NO_CONTEXT, NO_HISTORY, NO_TALK = "无参考内容", "暂无历史对话", "暂无上下文"
 
-#: The default prompt; its names are those that ``build_prompts`` fills in.
+#: The default prompts; their names are those that the functions below fill in.
 ANSWER_TEMPLATE = "参考内容：\n{context}\n\n历史对话：\n{history}\n\n相关商品：{item_names}\n\n问题：{question}"
+NAMING_TEMPLATE = "文件：{file_title}\n\n{context}\n\n以上资料介绍的是哪个商品？只写品牌、型号和名称；看不出来就写 UNKNOWN。"
+EXTRACTION_TEMPLATE = "对话：\n{history_text}\n\n问题：{query}\n\n找出问题涉及的商品，并把问题改写成不依赖对话也能看懂的一句话。只写 JSON：{{\"item_names\": [], \"rewritten_query\": \"\"}}"
+HYDE_TEMPLATE = "商品：{item_hint}\n问题：{rewritten_query}\n\n写一段能回答它的产品文档，两三百字。"
 
 
 def _ordered(c: str, *by: str) -> Column:
@@ -48,6 +51,25 @@ def format_history(messages: DataFrame, budgets: DataFrame) -> DataFrame:
     return rows.filter(F.col("spent") - 1 <= F.col("remaining")).groupBy("request_id").agg(F.array_join(_ordered("line", "pos"), "\n").alias("history"))
 
 
+def naming_prompts(docs: DataFrame, contexts: DataFrame, template: str = NAMING_TEMPLATE) -> DataFrame:
+    """(doc_id, prompt) from documents (doc_id, file_title) and their first chunks (doc_id, context): what a model is asked to name a document."""
+    rows = docs.select("doc_id", "file_title").join(contexts.select("doc_id", "context"), "doc_id", "left")
+    return rows.select("doc_id", render_prompt(template, file_title=F.col("file_title"), context=F.col("context")).alias("prompt"))
+
+
+def extraction_prompts(requests: DataFrame, histories: DataFrame, template: str = EXTRACTION_TEMPLATE) -> DataFrame:
+    """(request_id, prompt) from requests (request_id, session_id, original_query) and histories (session_id, history): what a model is asked to find the items
+    of a question."""
+    rows = requests.join(histories.select("session_id", "history"), "session_id", "left")
+    talk = F.when(F.length("history") > 0, F.col("history")).otherwise(NO_TALK)
+    return rows.select("request_id", render_prompt(template, history_text=talk, query=F.col("original_query")).alias("prompt"))
+
+
+def hyde_prompts(requests: DataFrame, template: str = HYDE_TEMPLATE) -> DataFrame:
+    """(request_id, prompt) from requests (request_id, item_names, rewritten_query): what a model is asked to write a hypothetical document."""
+    return requests.select("request_id", render_prompt(template, item_hint=F.array_join("item_names", ", "), rewritten_query=F.col("rewritten_query")).alias("prompt"))
+
+
 def build_prompts(requests: DataFrame, ranked: DataFrame, history: DataFrame, template: str = ANSWER_TEMPLATE, config: Config = DEFAULT) -> DataFrame:
     """(request_id, prompt): one per request, also where nothing was found."""
     found = format_documents(ranked, config.prompt_chars)

@@ -59,8 +59,8 @@ def token_overlap(query: Column, content: Column) -> Column:
 def rerank(candidates: DataFrame, scorer: Callable[[], Callable] | None = None) -> DataFrame:
     """Candidates with (request_id, query, pos, content) scored from 0 to 1 and ranked, best first, unscored last in their old order.
 
-    ``scorer`` makes a model, once per task: lists of queries and contents to raw scores, or None where it fails; they pass through a sigmoid. Without
-    one the score is the overlap of words.
+    ``scorer`` makes a model, once per task: lists of queries and contents to raw scores, or None where it fails; they pass through a sigmoid. If it raises,
+    the requests of that batch are scored one at a time, and those it still fails on have null scores. Without one the score is the overlap of words.
     """
     if scorer is None:
         scored = candidates.withColumn("score", token_overlap(F.col("query"), strip_image_syntax(F.col("content"))))
@@ -68,10 +68,24 @@ def rerank(candidates: DataFrame, scorer: Callable[[], Callable] | None = None)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", _bare string, score double"
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = scorer()
+            try:
+                model = scorer()
+            except Exception:  # no model: nothing is scored
+                model = None
+
+            def scores(pdf: pd.DataFrame) -> pd.Series | None:
+                try:
+                    raw = model(pdf["query"].tolist(), pdf["_bare"].tolist())
+                except Exception:  # whatever the model raises, its rows stay without scores
+                    return None
+                return pd.Series([None] * len(pdf) if raw is None else raw, index=pdf.index, dtype="float64")
+
             for pdf in parts:
-                raw = model(pdf["query"].tolist(), pdf["_bare"].tolist())
-                yield pdf.assign(score=pd.Series(raw if raw is not None else [None] * len(pdf), index=pdf.index, dtype="float64"))
+                found = scores(pdf)
+                if found is None:
+                    each = [scores(own) for _, own in pdf.groupby("request_id", dropna=False)]
+                    found = pd.concat([pd.Series(dtype="float64"), *[x for x in each if x is not None]]).reindex(pdf.index)
+                yield pdf.assign(score=found)
 
         scored = candidates.withColumn("_bare", strip_image_syntax(F.col("content"))).mapInPandas(run, schema).drop("_bare")
         scored = scored.withColumn("score", F.when(F.isnan("score"), None).otherwise(1 / (1 + F.exp(-F.col("score")))))

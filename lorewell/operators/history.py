@@ -21,15 +21,15 @@ def history_text(messages: DataFrame, n: int = DEFAULT.history_for_model) -> Dat
     return recent_messages(messages, n).withColumn("line", line).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("history"))
 
 
-def history_view(messages: DataFrame) -> DataFrame:
-    """What the interface shows of a message, with defaults for what is missing."""
+def history_view(messages: DataFrame, *also: str) -> DataFrame:
+    """What the interface shows of a message, with defaults for what is missing, and further columns as they are."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return messages.select(text("message_id"), text("session_id"), text("role"), text("text"), text("rewritten_query"), F.coalesce("item_names", F.array().cast("array<string>")).alias("item_names"), "ts")
+    return messages.select(text("message_id"), text("session_id"), text("role"), text("text"), text("rewritten_query"), F.coalesce("item_names", F.array().cast("array<string>")).alias("item_names"), "ts", *also)
 
 
 def session_history(messages: DataFrame, n: int = DEFAULT.history_for_view) -> DataFrame:
-    recent = recent_messages(messages, n)
-    return history_view(recent).join(recent.select(F.col("message_id").cast("string"), "session_id", "pos"), ["message_id", "session_id"])
+    """The last n messages of each session as the interface shows them, with ``pos``."""
+    return history_view(recent_messages(messages, n), "pos")
 
 
 def turns_to_messages(answers: DataFrame) -> DataFrame:
@@ -42,11 +42,11 @@ def turns_to_messages(answers: DataFrame) -> DataFrame:
 
 def upsert_messages(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes without an id are new rows, with an id derived from their content; the others replace the row of that id (the latest of several), and change
-    nothing where there is none."""
+    nothing where there is none. A change without a time is older than those with one."""
     cols = base.columns
     blank = is_blank(F.col("message_id"))
     fresh = changes.filter(blank).withColumn("message_id", F.sha2(F.to_json(F.struct(*[c for c in cols if c != "message_id"])), 256)).select(cols)
-    last = changes.filter(~blank).groupBy("message_id").agg(F.max_by(F.struct(*[c for c in cols if c != "message_id"]), "ts").alias("new"))
+    last = changes.filter(~blank).groupBy("message_id").agg(F.max_by(F.struct(*[c for c in cols if c != "message_id"]), F.struct(F.col("ts").isNotNull(), "ts")).alias("new"))
     replaced = base.join(last, "message_id", "left").select(*[F.col(c) if c == "message_id" else F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col(c)).alias(c) for c in cols])
     return replaced.unionByName(fresh)
 

@@ -21,21 +21,27 @@ def references(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(found).alias("ref_no", "syntax")).withColumn("name", F.regexp_extract(address, r"([^/\\]*)$", 1))
 
 
-def match_images(docs: DataFrame, images: DataFrame, by_suffix: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(images their document refers to, images it does not). With ``by_suffix`` an address that merely ends in the name counts, as ``data.jpg`` for ``a.jpg``."""
-    refs = references(docs)
+def references_to(docs: DataFrame, images: DataFrame, by_suffix: bool = False) -> DataFrame:
+    """(doc_id, name, ref_no, syntax): the references to each image. With ``by_suffix`` an address that merely ends in the name counts, as ``data.jpg`` for
+    ``a.jpg``."""
+    own = images.select("doc_id", "name").distinct()
     if by_suffix:
-        hit = images.alias("i").join(refs.alias("r"), (F.col("i.doc_id") == F.col("r.doc_id")) & F.col("r.name").endswith(F.col("i.name"))).select("i.doc_id", "i.name").distinct()
-    else:
-        hit = refs.select("doc_id", "name").distinct()
+        both = own.alias("i").join(references(docs).alias("r"), (F.col("i.doc_id") == F.col("r.doc_id")) & F.col("r.name").endswith(F.col("i.name")))
+        return both.select("i.doc_id", "i.name", "r.ref_no", "r.syntax")
+    return references(docs).join(own, ["doc_id", "name"]).select("doc_id", "name", "ref_no", "syntax")
+
+
+def match_images(docs: DataFrame, images: DataFrame, by_suffix: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(images their document refers to, images it does not)."""
+    hit = references_to(docs, images, by_suffix).select("doc_id", "name").distinct()
     return images.join(hit, ["doc_id", "name"], "left_semi"), images.join(hit, ["doc_id", "name"], "left_anti")
 
 
-def image_context(docs: DataFrame, images: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def image_context(docs: DataFrame, images: DataFrame, config: Config = DEFAULT, by_suffix: bool = False) -> DataFrame:
     """(doc_id, name, heading, up_text, down_text) of the first reference to each image: the last heading before it and the text on either side."""
     n = config.image_context_length
     first = Window.partitionBy("doc_id", "name").orderBy("ref_no")
-    refs = references(docs).join(images.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_semi").withColumn("k", F.row_number().over(first)).filter("k = 1")
+    refs = references_to(docs, images, by_suffix).withColumn("k", F.row_number().over(first)).filter("k = 1")
     at = F.instr(F.col("md_content"), F.col("syntax"))
     up = F.substr("md_content", F.greatest(F.lit(1), F.col("at") - n), F.least(F.lit(n), F.col("at") - 1))
     down = F.substr("md_content", F.col("at") + F.length("syntax"), F.lit(n))

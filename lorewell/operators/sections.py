@@ -61,28 +61,36 @@ def _split_series(bodies: pd.Series, rooms: pd.Series) -> pd.Series:
 
 def merge_short_sections(sections: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A section with a short body takes in those after it while they share its parent and the whole stays within the limit. One pass over each document's
-    sections in order."""
+    lengths and parents numbers the groups; the texts are joined once. Both aggregations share the exchange on ``doc_id``."""
     if "part_no" not in sections.columns:
         sections = sections.withColumn("part_no", F.lit(0))
     rows = F.array_sort(F.collect_list(F.struct("sec_no", "part_no", "title", "body", "parent_title")))
-    none = "array<struct<title:string,body:string,parent_title:string>>"
-    item = lambda x: F.struct(x["title"].alias("title"), x["body"].alias("body"), x["parent_title"].alias("parent_title"))
-
-    def step(acc: Column, x: Column) -> Column:
-        held = acc["held"]
-        fits = held.isNotNull() & held["parent_title"].eqNullSafe(x["parent_title"]) & (F.length(held["body"]) + F.length(x["body"]) + 2 <= config.max_content_length)
-        joined = F.struct(F.concat(held["title"], F.lit(" / "), x["title"]).alias("title"), F.concat(held["body"], F.lit("\n\n"), x["body"]).alias("body"), held["parent_title"].alias("parent_title"))
-        short = F.length(x["body"]) <= config.min_content_length
-        closed = F.when(held.isNotNull() & ~fits, F.concat(acc["done"], F.array(held))).otherwise(acc["done"])
-        return F.struct(
-            F.when(fits | short, closed).otherwise(F.concat(closed, F.array(item(x)))).alias("done"),
-            F.when(fits, joined).when(short, item(x)).alias("held"),
-        )
-
-    start = F.struct(F.array().cast(none).alias("done"), F.lit(None).cast("struct<title:string,body:string,parent_title:string>").alias("held"))
-    merged = F.aggregate("_rows", start, step, lambda acc: F.when(acc["held"].isNotNull(), F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"]))
-    per_doc = sections.groupBy("doc_id").agg(F.first("file_title").alias("file_title"), rows.alias("_rows"))
-    return per_doc.select("doc_id", "file_title", F.posexplode(merged).alias("sec_no", "s")).select("doc_id", "sec_no", "s.title", "s.body", "file_title", "s.parent_title")
+    per_doc = sections.groupBy("doc_id").agg(F.first("file_title").alias("file_title"), rows.alias("rows"))
+    number = F.pandas_udf(_groups(config.min_content_length, config.max_content_length), "array<int>")
+    numbered = per_doc.withColumn("group", number(F.transform("rows", lambda r: F.length(r["body"])), F.transform("rows", lambda r: r["parent_title"])))
+    each = numbered.select("doc_id", "file_title", F.posexplode(F.arrays_zip("rows", "group")).alias("at", "x")).select("doc_id", "file_title", "at", F.col("x.group").alias("sec_no"), "x.rows.title", "x.rows.body", "x.rows.parent_title")
+    parts = F.array_sort(F.collect_list(F.struct("at", "title", "body")))
+    whole = each.groupBy("doc_id", "sec_no").agg(F.first("file_title").alias("file_title"), F.first("parent_title").alias("parent_title"), parts.alias("parts"))
+    join = lambda c, by: F.array_join(F.transform("parts", lambda x: x[c]), by).alias(c)
+    return whole.select("doc_id", "sec_no", join("title", " / "), join("body", "\n\n"), "file_title", "parent_title")
+
+
+def _groups(short: int, limit: int):
+    def number(lengths: pd.Series, parents: pd.Series) -> pd.Series:
+        out = []
+        for sizes, own in zip(lengths, parents):
+            group, held, of, open_ = -1, 0, None, False
+            mine = []
+            for n, parent in zip(sizes, own):
+                if open_ and parent == of and held + n + 2 <= limit:
+                    held += n + 2
+                else:
+                    group, held, of, open_ = group + 1, n, parent, n <= short
+                mine.append(group)
+            out.append(mine)
+        return pd.Series(out)
+
+    return number
 
 
 def assemble_chunks(sections: DataFrame) -> DataFrame:

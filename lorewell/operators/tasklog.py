@@ -37,20 +37,23 @@ def task_rollup(events: DataFrame, total_steps: int = DEFAULT.total_steps["md"],
     """(task_id, status, running_list, done_list, durations, total_seconds, progress) from (task_id, node, event, ts, duration).
 
     Events are start, done, fail (of a step) and completed, failed (of the task, without a step). Done are the steps that ever finished, in that order;
-    running those whose latest event is a start, in the order they first started; a step's duration is its latest. Two aggregations, no window.
+    running those whose latest event is a start, in the order they started since they last finished; a step's duration is its latest. The window and the
+    first aggregation share one exchange.
     """
     nodes = events.filter("node is not null").withColumn("shown", step_name(F.col("node"), names))
     at = F.struct("ts", "event")
     done = F.col("event") == "done"
+    nodes = nodes.withColumn("last_done", F.max(F.when(done, F.col("ts"))).over(Window.partitionBy("task_id", "shown")))
+    since = (F.col("event") == "start") & (F.col("last_done").isNull() | (F.col("ts") >= F.col("last_done")))
     per_node = nodes.groupBy("task_id", "shown").agg(
         F.min(F.when(done, F.col("ts"))).alias("first_done"),
-        F.min(F.when(F.col("event") == "start", F.col("ts"))).alias("first_start"),
+        F.min(F.when(since, F.col("ts"))).alias("started"),
         F.max_by("event", at).alias("last_event"),
         F.round(F.max_by("duration", F.when(done & F.col("duration").isNotNull(), at)), 2).alias("seconds"),
     )
     in_order = lambda cond, by: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col(by).alias("at"), F.col("shown"))))), lambda x: x["shown"])
     per_task = per_node.groupBy("task_id").agg(
-        in_order(F.col("last_event") == "start", "first_start").alias("running_list"),
+        in_order(F.col("last_event") == "start", "started").alias("running_list"),
         in_order(F.col("first_done").isNotNull(), "first_done").alias("done_list"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("seconds").isNotNull(), F.struct("shown", "seconds"))))).alias("durations"),
         F.coalesce(F.round(F.sum("seconds"), 2), F.lit(0.0)).alias("total_seconds"),

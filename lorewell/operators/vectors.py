@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULT, Config
 from ..functions.encoders import HashedTokens
 
-#: Queries up to this many go to every task as one matrix; more are joined on the filter key.
+#: Queries up to this many go to every task as one block; more are dealt in blocks of this size, to meet blocks of ``CHUNK_BLOCK`` chunks.
 MATRIX_QUERIES = 4096
+CHUNK_BLOCK = 8192
 
 
-def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = HashedTokens, batch: int = DEFAULT.embedding_batch) -> DataFrame:
-    """``df`` with dense_vector and sparse_vector. ``encoder`` makes the model, once per task; a batch it fails on keeps its rows, without vectors."""
+def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = HashedTokens, batch: int = DEFAULT.embedding_batch, mode: str = "document") -> DataFrame:
+    """``df`` with dense_vector and sparse_vector. ``encoder`` makes the model, once per task, which is called with texts and ``mode`` ("document" or "query"); a
+    batch it fails on keeps its rows, without vectors."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", dense_vector array<float>, sparse_vector map<long,float>"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,7 +28,7 @@ def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = Hashed
             for at in range(0, len(pdf), batch):
                 texts = ["" if t is None else t for t in pdf[text_col].iloc[at : at + batch]]
                 try:
-                    d, s = model(texts)
+                    d, s = model(texts, mode)
                 except Exception:  # whatever the model raises, its rows are reported without vectors
                     d, s = [None] * len(texts), [None] * len(texts)
                 dense += list(d)
@@ -63,69 +65,155 @@ def top(df: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine among those of the query's items.
-
-    ``queries``: query_id, vector, item_names (null: no filter). ``chunks``: chunk_id, item_name, vector. A vector of length 0 is near nothing. A few
-    queries are a matrix in every task, which keeps its own k best per query before anything is shuffled; many are joined on the item name.
-    """
-    rows = queries.select("query_id", "vector", "item_names")
-    if rows.count() <= MATRIX_QUERIES:
-        found = _by_matrix(rows, chunks, k)
-    else:
-        filtered = rows.filter("item_names is not null").withColumn("item_name", F.explode(F.array_distinct("item_names"))).join(chunks.withColumnRenamed("vector", "c"), "item_name")
-        free = rows.filter("item_names is null").crossJoin(chunks.select("chunk_id", F.col("vector").alias("c"))) if not rows.filter("item_names is null").isEmpty() else None
-        both = filtered.select("query_id", "chunk_id", "vector", "c")
-        both = both.unionByName(free.select("query_id", "chunk_id", "vector", "c")) if free is not None else both
-        found = both.select("query_id", "chunk_id", cosine(F.col("vector"), F.col("c")).alias("score")).filter("score is not null")
-    return top(found, "query_id", F.col("score"), "chunk_id", k)
-
-
-def _by_matrix(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    rows = queries.collect()  # at most MATRIX_QUERIES
-    ids = np.array([r["query_id"] for r in rows], dtype=object)
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
-    length = np.linalg.norm(matrix, axis=1)
-    wanted = [None if r["item_names"] is None else set(r["item_names"]) for r in rows]
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix, length, wanted))
+class DenseQueries:
+    """Vectors of queries as a matrix. ``score``: cosine (null for a vector of length 0) or inner product of each chunk (row) and query (column)."""
+
+    def __init__(self, vectors: list, metric: str):
+        self.metric = metric
+        self.dim = len(vectors[0]) if vectors else 0
+        self.matrix = np.array(vectors, np.float64).reshape(len(vectors), self.dim)
+        self.length = np.linalg.norm(self.matrix, axis=1)
+
+    def take(self, at: np.ndarray) -> DenseQueries:
+        out = object.__new__(DenseQueries)
+        out.metric, out.dim, out.matrix, out.length = self.metric, self.dim, self.matrix[at], self.length[at]
+        return out
+
+    def score(self, vectors: list) -> np.ndarray:
+        fits = np.array([v is not None and len(v) == self.dim for v in vectors], bool)
+        c = np.zeros((len(vectors), self.dim))
+        if fits.any():
+            c[fits] = np.stack([np.asarray(v, np.float64) for v, ok in zip(vectors, fits) if ok])
+        s = c @ self.matrix.T
+        if self.metric == "cosine":
+            both = np.outer(np.linalg.norm(c, axis=1), self.length)
+            s = np.divide(s, both, out=np.full_like(s, np.nan), where=both > 0)
+        s[~fits] = np.nan
+        return s
+
+
+class SparseQueries:
+    """Token weights of queries, by token: for each token the queries that have it."""
+
+    def __init__(self, maps: list):
+        self.n = len(maps)
+        entries = sorted((t, q, float(w)) for q, m in enumerate(maps) for t, w in dict(m or {}).items() if w is not None)
+        self.number: dict = {}
+        for t, _, _ in entries:
+            self.number.setdefault(t, len(self.number))
+        token = np.array([self.number[t] for t, _, _ in entries], np.int64)
+        self.query, self.weight = np.array([q for _, q, _ in entries], np.int64), np.array([w for _, _, w in entries], np.float64)
+        self.begin = np.r_[0, np.cumsum(np.bincount(token, minlength=len(self.number)))]
+        self.maps = maps
+
+    def take(self, at: np.ndarray) -> SparseQueries:
+        return SparseQueries([self.maps[i] for i in at])
+
+    def score(self, maps: list) -> np.ndarray:
+        """The inner product of each chunk (row) and query (column); null without a common token."""
+        found = [(row, self.number[t], float(w)) for row, m in enumerate(maps) for t, w in dict(m or {}).items() if w is not None and t in self.number]
+        s = np.full((len(maps), self.n), np.nan)
+        if not found:
+            return s
+        row, token, weight = (np.array(x) for x in zip(*found))
+        size = self.begin[token + 1] - self.begin[token]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[token], size)
+        cell = np.repeat(row, size) * self.n + self.query[at]
+        total = np.bincount(cell, weights=np.repeat(weight, size) * self.weight[at], minlength=s.size)
+        some = np.bincount(cell, minlength=s.size) > 0
+        s.ravel()[some] = total[some]
+        return s
+
+
+def _best(scores: np.ndarray, query_ids: np.ndarray, chunk_ids: np.ndarray, k: int, digits: int) -> pd.DataFrame | None:
+    """The k best chunks of each query; equal scores, to so many digits, go by the chunk's id."""
+    out = []
+    for q in range(scores.shape[1]):
+        s = scores[:, q]
+        some = np.flatnonzero(~np.isnan(s))
+        best = some[np.lexsort((chunk_ids[some], -np.round(s[some], digits)))[:k]]
+        if len(best):
+            out.append((np.full(len(best), query_ids[q], dtype=query_ids.dtype), chunk_ids[best], s[best]))
+    return pd.DataFrame(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*out))))) if out else None
+
+
+def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: str, k: int, digits: int) -> DataFrame:
+    """(query_id, chunk_id, score): for every query the k best chunks, at least, among those of its items (null: all)."""
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+    out = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    asked = queries.select("query_id", payload, "item_names")
+    rows = asked.limit(MATRIX_QUERIES + 1).collect()
+    if len(rows) > MATRIX_QUERIES:
+        return _in_cells(asked, chunks.select("chunk_id", "item_name", payload), prepare, payload, k, digits, out)
+    shared = chunks.sparkSession.sparkContext.broadcast([(r["query_id"], r[payload], None if r["item_names"] is None else list(r["item_names"])) for r in rows if r[payload] is not None])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, length, wanted = shared.value
-        asked = set().union(*[w for w in wanted if w is not None]) if wanted else set()
-        of_item: dict[str, np.ndarray] = {n: np.array([i for i, w in enumerate(wanted) if w is not None and n in w], dtype=int) for n in asked}
-        free = np.array([i for i, w in enumerate(wanted) if w is None], dtype=int)
+        if not shared.value:
+            return
+        ids = np.array([q for q, _, _ in shared.value])
+        whole = prepare([v for _, v, _ in shared.value])
+        free = [i for i, (_, _, names) in enumerate(shared.value) if names is None]
+        of_item: dict[str, list[int]] = {}
+        for i, (_, _, names) in enumerate(shared.value):
+            for name in set(names or ()):
+                of_item.setdefault(name, []).append(i)
+        ready: dict = {}
         for pdf in parts:
-            pdf = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-            out = []
             for item, group in pdf.groupby("item_name", dropna=False):
-                q = np.union1d(of_item.get(item, np.empty(0, int)), free) if isinstance(item, str) else free
-                q = q[length[q] > 0] if len(q) else q
-                if not len(q):
-                    continue
-                c = np.stack(group["vector"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(c, axis=1)
-                c, chunk = c[norm > 0], group["chunk_id"].to_numpy()[norm > 0]
-                if not len(c):
+                at = np.array(sorted({*free, *(of_item.get(item, ()) if isinstance(item, str) else ())}), int)
+                if not len(at):
                     continue
-                s = (matrix[q] @ c.T) / np.outer(length[q], norm[norm > 0])
-                for row, i in enumerate(q):
-                    best = np.lexsort((chunk, -np.round(s[row], 12)))[:k]
-                    out.append(pd.DataFrame({"query_id": ids[i], "chunk_id": chunk[best], "score": s[row, best]}))
-            if out:
-                yield pd.concat(out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
-    return chunks.select("chunk_id", "item_name", "vector").mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+                key = item if isinstance(item, str) and item in of_item else None
+                if key not in ready:
+                    ready[key] = whole.take(at)
+                found = _best(ready[key].score(group[payload].tolist()), ids[at], group["chunk_id"].to_numpy(), k, digits)
+                if found is not None:
+                    yield found
+
+    return chunks.select("chunk_id", "item_name", payload).mapInPandas(run, out)
+
+
+def _in_cells(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: str, k: int, digits: int, out: str) -> DataFrame:
+    """Many queries: those of an item are dealt in blocks, its chunks too, and a task takes a block of both at a time. No pair of rows is made outside of a
+    block's matrix; an item with many rows is many cells."""
+    free = F.col("item_names").isNull()
+    q = queries.withColumn("item", F.explode(F.when(free, F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("name")))).otherwise(F.transform(F.array_distinct("item_names"), lambda n: F.struct(F.lit(False).alias("any"), n.alias("name"))))))
+    own = F.struct(F.lit(False).alias("any"), F.col("item_name").alias("name"))
+    c = chunks.withColumn("item", F.explode(F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("name")), own)))
+    blocks = lambda df, size, name: df.groupBy("item").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    grid = blocks(q, MATRIX_QUERIES, "q_blocks").join(blocks(c, CHUNK_BLOCK, "c_blocks"), "item")  # a row per item that is asked for
+    dealt = lambda df, key, mine, other: df.join(grid, "item").withColumn(f"{mine}_no", F.pmod(F.xxhash64(key), F.col(f"{mine}_blocks")).cast("int")).withColumn(f"{other}_no", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+    cell = ["item", "q_no", "c_no"]
+    left = dealt(q, "query_id", "q", "c").select(*cell, "query_id", payload).groupBy(*cell)
+    right = dealt(c, "chunk_id", "c", "q").select(*cell, "chunk_id", payload).groupBy(*cell)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a[a[payload].notna()]
+        empty = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        if not len(a) or not len(b):
+            return empty
+        found = [_best(prepare(a[payload].iloc[at : at + 512].tolist()).score(b[payload].tolist()), a["query_id"].iloc[at : at + 512].to_numpy(), b["chunk_id"].to_numpy(), k, digits) for at in range(0, len(a), 512)]
+        found = [x for x in found if x is not None]
+        return pd.concat(found) if found else empty
+
+    return left.cogroup(right).applyInPandas(run, out)
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit, metric: str = "cosine") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine, or with ``metric`` "ip" by inner product, among those of the query's items.
+
+    ``queries``: query_id, vector, item_names (null: no filter). ``chunks``: chunk_id, item_name, vector. A vector of length 0 is near nothing by cosine, a null
+    vector or one of another dimension by neither.
+    """
+    digits = 12 if metric == "cosine" else 9
+    found = _search(queries, chunks, lambda vectors: DenseQueries(vectors, metric), "vector", k, digits)
+    return top(found, "query_id", F.round("score", digits), "chunk_id", k)
 
 
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k best chunks by inner product of token weights among those of the query's items (null: all)."""
-    q = queries.select("query_id", F.explode_outer("item_names").alias("item_name"), "sparse").select("query_id", "item_name", F.explode("sparse").alias("token", "qw"))
-    c = chunks.select("chunk_id", "item_name", F.explode("sparse").alias("token", "cw"))
-    named = q.filter("item_name is not null").distinct().join(c, ["item_name", "token"]).select("query_id", "chunk_id", "qw", "cw")
-    free = q.filter("item_name is null").drop("item_name").join(c.drop("item_name"), "token").select("query_id", "chunk_id", "qw", "cw")
-    scored = named.unionByName(free).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw").cast("double") * F.col("cw")).alias("score"))
-    return top(scored, "query_id", F.col("score"), "chunk_id", k)
+    """(query_id, chunk_id, score, rank): the k best chunks by inner product of token weights among those of the query's items (null: all); a chunk without a
+    common token isn't found. ``queries`` and ``chunks`` have a map ``sparse`` in place of a vector."""
+    return top(_search(queries, chunks, SparseQueries, "sparse", k, 9), "query_id", F.round("score", 9), "chunk_id", k)
 
 
 def unit_cosine(s: Column) -> Column:

@@ -40,6 +40,19 @@ def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = DE
     return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
 
 
+def folder(path: Column) -> Column:
+    """A path without its last part and without what names its file system."""
+    return F.regexp_replace(F.regexp_replace(path, r"/[^/]*$", ""), r"^\w+:/*", "/")
+
+
+def images_of(images: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, name, path): the images beside each document, that is in the folder ``images`` of its own folder. ``docs``: doc_id, path. Documents of one folder
+    share its images."""
+    at = images.withColumn("home", F.when(folder(F.col("path")).endswith("/images"), F.regexp_replace(folder(F.col("path")), "/images$", ""))).filter("home is not null")
+    own = docs.select("doc_id", folder(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))).alias("home"))
+    return at.join(own, "home").select("doc_id", "name", "path")
+
+
 def write_chunks_json(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
@@ -50,6 +63,11 @@ def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("sparse_vector", F.transform_keys("sparse_vector", lambda k, _: k.cast("long")))
 
 
+def write_chunk_batch(chunks: DataFrame, path: str, batch: str) -> None:
+    """The chunks of one batch of documents in a folder of their own, ``batch=...``, which a repeated batch overwrites."""
+    chunks.repartition(F.col("item_name"), F.pmod(F.col("chunk_id"), F.lit(8))).sortWithinPartitions("item_name").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append", dedupe: bool = False) -> None:
     """Append or overwrite, rows of one item name near each other, which is what searches filter on. ``dedupe`` leaves out ids that are there already. A
     hot name is spread over several files by the chunk id."""

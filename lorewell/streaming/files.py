@@ -7,18 +7,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, Config
 from ..plans.ingest import ingest
-from ..sources.files import file_stem, write_chunks
+from ..sources.files import file_stem, write_chunk_batch
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, config: Config = DEFAULT, trigger: dict | None = None) -> StreamingQuery:
-    """Each new Markdown file becomes chunks in ``out_dir``. Batches are whole files, so the batch job runs on them as it is; a repeated batch is left out by its
-    chunk ids."""
+    """Each new Markdown file becomes chunks in ``out_dir``. Batches are whole files, so the batch job runs on them as it is, and each has a folder of its own,
+    which it overwrites if it is repeated after a failure."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(in_dir)
     docs = files.select(F.col("value").alias("md_content"), F.col("_metadata.file_path").alias("path")).select(F.xxhash64("path").alias("doc_id"), "path", file_stem(F.col("path")).alias("file_title"), "md_content")
 
     def batch(df: DataFrame, epoch: int) -> None:
         replies = df.select("doc_id", F.lit(None).cast("string").alias("answer"))
         chunks = ingest(df.select("doc_id", "file_title", "md_content"), replies, config=config)
-        write_chunks(chunks, out_dir, "append", dedupe=epoch > 0)
+        write_chunk_batch(chunks, out_dir, str(epoch))
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -22,20 +22,22 @@ def fold(log: dict, events: pd.DataFrame) -> dict:
             if e.event in ("completed", "failed") and key > log["status"]:
                 log["status"] = key
             continue
-        node = log["nodes"].setdefault(e.node, {"last": [-1, ""], "done": None, "start": None, "seconds": [[-1, ""], None]})
+        node = log["nodes"].setdefault(e.node, {"last": [-1, ""], "done": None, "ended": -1, "starts": [], "seconds": [[-1, ""], None]})
         node["last"] = max(node["last"], key)
         if e.event == "done":
             node["done"] = min(node["done"] or key[0], key[0])
+            node["ended"] = max(node["ended"], key[0])
             if e.duration == e.duration and key > node["seconds"][0]:
                 node["seconds"] = [key, float(e.duration)]
         if e.event == "start":
-            node["start"] = min(node["start"] or key[0], key[0])
+            node["starts"].append(key[0])
+        node["starts"] = sorted({s for s in node["starts"] if s >= node["ended"]})  # those since the step last finished, as far as is known
     return log
 
 
 def summary(task: str, log: dict) -> pd.DataFrame:
     nodes = log["nodes"].items()
-    running = sorted((v["start"], k) for k, v in nodes if v["last"][1] == "start")
+    running = sorted((v["starts"][0], k) for k, v in nodes if v["last"][1] == "start")
     done = sorted((v["done"], k) for k, v in nodes if v["done"] is not None)
     total = round(sum(round(v["seconds"][1], 2) for _, v in nodes if v["seconds"][1] is not None), 2)
     return pd.DataFrame({"task_id": [task], "status": [log["status"][1] or "processing"], "running_list": [[k for _, k in running]], "done_list": [[k for _, k in done]], "total_seconds": [total]})
