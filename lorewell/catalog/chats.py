@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators.context import build_prompts, format_documents, format_history
+from ..operators.context import build_prompts, extraction_prompts, format_documents, format_history, hyde_prompts
 from ..operators.history import clear_sessions, history_text, recent_messages, session_history, turns_to_messages, upsert_messages
 from .base import table
 from .search import merged_sql, sources, whole_sources
@@ -98,7 +98,20 @@ def whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_prompts(requests(spark, sf_dir), ranked(whole_sources(spark, sf_dir)), asked_history(spark, sf_dir))
 
 
+def asked_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's message as a question about what was said before in its session; in every third session nothing was."""
+    said = history_text(messages(spark, sf_dir).filter("cast(session_id as bigint) % 3 <> 0"), 4)
+    rows = messages(spark, sf_dir).filter("role = 'user'").select(F.col("message_id").alias("request_id"), "session_id", F.coalesce("text", F.lit("")).alias("original_query"))
+    return extraction_prompts(rows, said)
+
+
+def asked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyde_prompts(requests(spark, sf_dir).withColumn("rewritten_query", F.concat(F.lit("再问："), "original_query")))
+
+
 QUERIES = {
+    "extraction_prompts": asked_extractions,
+    "hyde_prompts": asked_documents,
     "recent_messages": recent,
     "history_text": texts,
     "session_view": view,
@@ -126,7 +139,14 @@ def _context(budget: int) -> str:
 
 _LINES = "l AS (SELECT conv_id AS request_id, turn, CASE role WHEN 'user' THEN '用户' ELSE '助手' END || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''), k AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY request_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM l)"
 
+_PAST = f"""{_M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) AS back FROM m),
+h AS (SELECT session_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY back DESC) AS history FROM r WHERE back <= 4 GROUP BY session_id)"""
+
 SQL = {
+    "extraction_prompts": f"""WITH {_PAST}
+SELECT message_id AS request_id, '对话：' || chr(10) || coalesce(CASE WHEN session_id::BIGINT % 3 <> 0 THEN nullif(history, '') END, '暂无上下文') || chr(10) || chr(10) || '问题：' || coalesce(text, '') || chr(10) || chr(10)
+       || '找出问题涉及的商品，并把问题改写成不依赖对话也能看懂的一句话。只写 JSON：{{"item_names": [], "rewritten_query": ""}}' AS prompt FROM m LEFT JOIN h USING (session_id) WHERE role = 'user'""",
+    "hyde_prompts": """SELECT item_id AS request_id, '商品：item ' || item_id || ', x' || chr(10) || '问题：再问：' || text || chr(10) || chr(10) || '写一段能回答它的产品文档，两三百字。' AS prompt FROM benchmark""",
     "recent_messages": f"""WITH {_M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) AS back FROM m)
 SELECT session_id, message_id, role, text, ts, row_number() OVER (PARTITION BY session_id ORDER BY back DESC)::INT AS pos FROM r WHERE back <= 3""",
     "history_text": f"""WITH {_M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) AS back FROM m)

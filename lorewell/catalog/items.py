@@ -3,9 +3,14 @@ share of common words."""
 
 from __future__ import annotations
 
+import string
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.items import align_item_names, filter_confirmed, route_requests
+from ..operators.vectors import embed
+from ..plans.retrieve import confirm_items
 from .base import table
 
 
@@ -39,7 +44,32 @@ def best_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_confirmed(m, confirmed)
 
 
-QUERIES = {"aligned_names": aligned, "aligned_names_together": aligned_together, "best_confirmed": best_confirmed}
+class LetterCounts:
+    """An encoder that SQL can restate: how often each of a to z stands in a text, less a half in the dense vector, and by eighths in the sparse one."""
+
+    def __call__(self, texts: list[str], mode: str = "document") -> tuple[np.ndarray, list[dict[int, float]]]:
+        counts = [[t.count(c) for c in string.ascii_lowercase] for t in texts]
+        return np.array(counts, np.float32).reshape(len(texts), 26) - np.float32(0.5), [{i: n / 8 for i, n in enumerate(row) if n} for row in counts]
+
+
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, replies): four parts a request, named as in ``matches``; every fifth reply is in a code fence, and every fifth broken."""
+    part = matches(spark, sf_dir, 4).select("request_id", "name_pos", "extracted_name").distinct()
+    names = part.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("name_pos", "extracted_name"))), lambda x: x["extracted_name"]).alias("item_names"))
+    requests = names.select("request_id", F.concat(F.lit("question "), "request_id").alias("original_query"))
+    body = F.to_json(F.struct("item_names", F.concat(F.lit("asks "), "request_id").alias("rewritten_query")))
+    k = F.pmod("request_id", F.lit(5))
+    return requests, names.select("request_id", F.when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 3, F.concat(F.lit("{"), body)).otherwise(body).alias("raw"))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies read, names matched by hybrid search with the distinct part names, aligned, filtered and routed."""
+    items = embed(table(spark, sf_dir, "part").select(F.col("p_name").alias("item_name")).distinct(), "item_name", LetterCounts)
+    out = confirm_items(*asked(spark, sf_dir), items, LetterCounts)
+    return out.select("request_id", "rewritten_query", F.array_join("item_names", "|").alias("item_names"), F.array_join("options", "|").alias("options"), "route", "answer")
+
+
+QUERIES = {"aligned_names": aligned, "aligned_names_together": aligned_together, "best_confirmed": best_confirmed, "answered_requests": answered}
 
 
 def _matches(per: int) -> str:
@@ -52,7 +82,43 @@ g AS (SELECT request_id, name_pos, extracted_name, item_name, count(*) AS n FROM
 m AS (SELECT request_id, name_pos, extracted_name, item_name, round(least(round(n / (len(list_distinct(string_split(extracted_name, ' '))) + len(list_distinct(string_split(item_name, ' '))) - n), 6) + 0.1, 1.0::DOUBLE), 6) AS score FROM g)"""
 
 
+def _aligned(hits: str) -> str:
+    """From ``hits`` (request_id, pos, name, high, mid): what is confirmed and offered after each name of a request, and after the last."""
+    new = lambda xs: f"list_filter({xs}, lambda x: NOT list_contains(r.options, x) AND NOT list_contains(r.confirmed, x))"
+    return f"""r AS (SELECT DISTINCT request_id, 0::BIGINT AS pos, []::VARCHAR[] AS confirmed, []::VARCHAR[] AS options FROM {hits}
+      UNION ALL
+      SELECT r.request_id, r.pos + 1, CASE WHEN list_contains(n.high, n.name) AND NOT list_contains(r.confirmed, n.name) THEN list_append(r.confirmed, n.name)
+                                           WHEN len(n.high) = 1 AND NOT list_contains(n.high, n.name) AND NOT list_contains(r.confirmed, n.high[1]) THEN list_append(r.confirmed, n.high[1]) ELSE r.confirmed END,
+             list_concat(r.options, CASE WHEN len(n.high) > 1 AND NOT list_contains(n.high, n.name) THEN {new("n.high[1:3]")} WHEN len(n.high) = 0 THEN {new("n.mid")}[1:3] ELSE []::VARCHAR[] END)
+      FROM r JOIN {hits} n ON n.request_id = r.request_id AND n.pos = r.pos),
+z AS (SELECT request_id, arg_max(confirmed, pos) AS confirmed, arg_max(options, pos)[1:3] AS options FROM r GROUP BY request_id)"""
+
+
 SQL = {
+    "answered_requests": f"""WITH RECURSIVE
+x AS (SELECT p_partkey // 4 AS request_id, row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) - 1 AS pos,
+             CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[-1] ELSE p_name || ' kit' END AS name FROM part),
+v AS (SELECT name, list_transform(range(97, 123), lambda c: (len(name) - len(replace(name, chr(c::INT), '')))::DOUBLE) AS n FROM (SELECT name FROM x UNION SELECT p_name FROM part)),
+p AS (SELECT a.name, b.name AS item, list_cosine_similarity(list_transform(a.n, lambda y: y - 0.5), list_transform(b.n, lambda y: y - 0.5)) AS cosine, list_inner_product(a.n, b.n) / 64 AS product
+      FROM (SELECT * FROM v WHERE name IN (SELECT name FROM x)) a, (SELECT * FROM v WHERE name IN (SELECT p_name FROM part)) b),
+d AS (SELECT name, item, 0.5 * (1 + cosine) / 2 AS part, row_number() OVER (PARTITION BY name ORDER BY round(cosine, 12) DESC, item) AS k FROM p),
+s AS (SELECT name, item, 0.5 * (0.5 + atan(product) / pi()) AS part, row_number() OVER (PARTITION BY name ORDER BY round(product, 9) DESC, item) AS k FROM p WHERE product > 0),
+f AS (SELECT name, item, sum(part) AS score FROM (SELECT * FROM d WHERE k <= 5 UNION ALL SELECT * FROM s WHERE k <= 5) GROUP BY name, item),
+m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(score, 12) DESC, item) <= 5),
+h AS (SELECT name, coalesce(list(item ORDER BY round(score, 12) DESC, item) FILTER (WHERE score >= 0.7), []) AS high, coalesce(list(item ORDER BY round(score, 12) DESC, item) FILTER (WHERE score >= 0.6 AND score < 0.7), []) AS mid FROM m GROUP BY name),
+n AS (SELECT request_id, pos, name, high, mid FROM x JOIN h USING (name) WHERE request_id % 5 <> 3),
+{_aligned("n")},
+b AS (SELECT request_id, item, max(score) AS best FROM x JOIN m USING (name) JOIN z USING (request_id) WHERE list_contains(confirmed, item) AND len(confirmed) > 1 GROUP BY request_id, item),
+k AS (SELECT request_id, list(item ORDER BY best DESC, item) AS kept FROM (SELECT * FROM b QUALIFY max(best) OVER (PARTITION BY request_id) - best <= 0.15) GROUP BY request_id),
+t AS (SELECT q.request_id, q.request_id % 5 = 3 AS broken, coalesce(kept, confirmed, []) AS names, coalesce(options, []) AS options FROM (SELECT DISTINCT request_id FROM x) q LEFT JOIN z USING (request_id) LEFT JOIN k USING (request_id)),
+w AS (SELECT *, CASE WHEN len(names) > 0 THEN 'search' WHEN len(options) > 0 THEN 'clarify' ELSE 'apologise' END AS route FROM t)
+SELECT request_id, CASE WHEN broken THEN 'question ' ELSE 'asks ' END || request_id AS rewritten_query, array_to_string(names, '|') AS item_names, array_to_string(options, '|') AS options, route,
+       CASE route WHEN 'clarify' THEN '您是想咨询以下哪个产品：' || array_to_string(options, ',') WHEN 'apologise' THEN '抱歉，未找到相关产品，请提供更具体的产品名称。' END AS answer FROM w""",
+    "aligned_names_together": f"""WITH RECURSIVE {_matches(4)},
+o AS (SELECT a.request_id, row_number() OVER (PARTITION BY a.request_id ORDER BY a.name_pos) - 1 AS pos, a.extracted_name AS name, coalesce(high, []) AS high, coalesce(mid, []) AS mid
+      FROM a LEFT JOIN (SELECT name_pos, list(item_name ORDER BY score DESC, item_name) FILTER (WHERE score >= 0.7) AS high, list(item_name ORDER BY score DESC, item_name) FILTER (WHERE score >= 0.6 AND score < 0.7) AS mid FROM m GROUP BY name_pos) USING (name_pos)),
+{_aligned("o")}
+SELECT request_id, array_to_string(confirmed, '|') AS confirmed, array_to_string(options, '|') AS options FROM z""",
     "aligned_names": f"""WITH {_matches(1)},
 h AS (SELECT request_id, list(item_name ORDER BY score DESC, item_name) FILTER (WHERE score >= 0.7) AS high, list(item_name ORDER BY score DESC, item_name) FILTER (WHERE score >= 0.6 AND score < 0.7) AS mid FROM m GROUP BY request_id),
 r AS (SELECT request_id, CASE WHEN list_contains(high, extracted_name) THEN [extracted_name] WHEN len(high) = 1 THEN high ELSE [] END AS confirmed,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import needs_split, resolve_item_name
+from ..operators.context import naming_prompts
 from ..operators.items import fill_item_name, item_name_context
 from ..operators.sections import assemble_chunks, chunk_stats, merge_short_sections, split_by_headings, split_long_sections
 from ..plans.ingest import chunk_documents, ingest
@@ -54,6 +55,10 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_name_context(plain_chunks(spark, sf_dir))
 
 
+def asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming_prompts(marked(spark, sf_dir), contexts(spark, sf_dir))
+
+
 def named_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = marked(spark, sf_dir)
     names = docs.join(replies(docs), "doc_id").select("doc_id", resolve_item_name(F.col("answer"), F.col("file_title")).alias("item_name"))
@@ -73,6 +78,7 @@ QUERIES = {
     "long_section_pieces": pieces,
     "merged_sections": merged,
     "item_name_context": contexts,
+    "naming_prompts": asked_names,
     "chunk_item_names": named_chunks,
     "merged_chunks": merged_chunks,
     "ingest_job": whole_ingest,
@@ -96,6 +102,10 @@ sections AS (SELECT doc_id, sec_no::INT AS sec_no, level::INT AS level, coalesce
              FROM g WHERE nullif(heading, '') IS NOT NULL OR body <> ''),
 chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec_no) - 1)::INT AS chunk_no, title, '## ' || title || chr(10) || chr(10) || body AS content, file_title, parent_title FROM sections)"""
 
+_CONTEXTS = """c AS (SELECT doc_id, chunk_no + 1 AS i, '【切片】-' || (chunk_no + 1) || '-' || regexp_replace(content, '!\\[[^\\S\\n]*([^\\]\\n]*?)[^\\S\\n]*\\]\\([^()\\n]*(?:\\([^()\\n]*\\)[^()\\n]*)*\\)', '\\1', 'g') AS line FROM chunks WHERE chunk_no < 3),
+s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM c),
+x AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS context FROM s WHERE total <= 2500 GROUP BY doc_id)"""
+
 SQL = {
     "sections_by_heading": f"WITH {_SECTIONS} SELECT * FROM sections",
     "section_chunks": f"WITH {_SECTIONS} SELECT * FROM chunks",
@@ -113,9 +123,8 @@ r AS (SELECT doc_id, k, 0 AS grp, length(body) AS held, length(body) <= 500 AS p
       FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
 SELECT doc_id, grp::INT AS sec_no, string_agg(title, ' / ' ORDER BY k) AS title, string_agg(body, chr(10) || chr(10) ORDER BY k) AS body, min(file_title) AS file_title, min(parent_title) AS parent_title
 FROM r JOIN o USING (doc_id, k) GROUP BY doc_id, grp""",
-    "item_name_context": f"""WITH {_SECTIONS},
-c AS (SELECT doc_id, chunk_no + 1 AS i, '【切片】-' || (chunk_no + 1) || '-' || regexp_replace(content, '!\\[[^\\S\\n]*([^\\]\\n]*?)[^\\S\\n]*\\]\\([^()\\n]*(?:\\([^()\\n]*\\)[^()\\n]*)*\\)', '\\1', 'g') AS line FROM chunks WHERE chunk_no < 3),
-s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM c)
-SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS context FROM s WHERE total <= 2500 GROUP BY doc_id""",
+    "item_name_context": f"WITH {_SECTIONS}, {_CONTEXTS} SELECT doc_id, context FROM x",
+    "naming_prompts": f"""WITH {_SECTIONS}, {_CONTEXTS}
+SELECT doc_id, '文件：doc ' || doc_id || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '以上资料介绍的是哪个商品？只写品牌、型号和名称；看不出来就写 UNKNOWN。' AS prompt FROM d LEFT JOIN x USING (doc_id)""",
     "chunk_item_names": f"WITH {_SECTIONS} SELECT doc_id, chunk_no, title, CASE WHEN doc_id % 3 = 2 THEN 'item ' || (doc_id % 50) ELSE file_title END AS item_name FROM chunks",
 }
