@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chats, items, progress, search, segments, texts
+from . import chats, items, progress, search, segments, tables, texts
 
-MODULES = (search, segments, items, chats, progress, texts)
+MODULES = (search, segments, items, chats, progress, texts, tables)
 
 
 def queries() -> dict:

@@ -84,7 +84,7 @@ QUERIES = {
     "ingest_job": whole_ingest,
 }
 
-_SECTIONS = r"""
+SECTIONS = r"""
 d AS (SELECT doc_id, 'doc ' || doc_id AS file_title, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, file_title, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM d),
 v AS (SELECT doc_id, file_title, i, unnest(string_split(replace(replace(CASE WHEN i % 5 = 0 AND regexp_matches(line, '\S') THEN repeat('#', (1 + (i // 5) % 3)::INT) || ' ' || line ELSE line END, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM u),
@@ -107,13 +107,13 @@ s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETW
 x AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS context FROM s WHERE total <= 2500 GROUP BY doc_id)"""
 
 SQL = {
-    "sections_by_heading": f"WITH {_SECTIONS} SELECT * FROM sections",
-    "section_chunks": f"WITH {_SECTIONS} SELECT * FROM chunks",
-    "chunk_stats": f"""WITH {_SECTIONS}
+    "sections_by_heading": f"WITH {SECTIONS} SELECT * FROM sections",
+    "section_chunks": f"WITH {SECTIONS} SELECT * FROM chunks",
+    "chunk_stats": f"""WITH {SECTIONS}
 SELECT doc_id, count(*) AS sections, count(*) AS chunks, sum(length(content))::BIGINT AS total_chars, max(length(content))::INT AS max_chars, min(length(content))::INT AS min_chars,
        (sum(length(content)) // count(*))::BIGINT AS mean_chars FROM chunks GROUP BY doc_id""",
-    "section_too_long": f"WITH {_SECTIONS} SELECT doc_id, sec_no, length(body)::INT AS body_chars, length(title) + 2 + length(body) > 2000 AND length(title) + 2 < 2000 AS too_long FROM sections",
-    "merged_sections": f"""WITH RECURSIVE {_SECTIONS},
+    "section_too_long": f"WITH {SECTIONS} SELECT doc_id, sec_no, length(body)::INT AS body_chars, length(title) + 2 + length(body) > 2000 AND length(title) + 2 < 2000 AS too_long FROM sections",
+    "merged_sections": f"""WITH RECURSIVE {SECTIONS},
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no) AS k FROM sections),
 r AS (SELECT doc_id, k, 0 AS grp, length(body) AS held, length(body) <= 500 AS pending, parent_title AS parent FROM o WHERE k = 1
       UNION ALL
@@ -123,8 +123,8 @@ r AS (SELECT doc_id, k, 0 AS grp, length(body) AS held, length(body) <= 500 AS p
       FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
 SELECT doc_id, grp::INT AS sec_no, string_agg(title, ' / ' ORDER BY k) AS title, string_agg(body, chr(10) || chr(10) ORDER BY k) AS body, min(file_title) AS file_title, min(parent_title) AS parent_title
 FROM r JOIN o USING (doc_id, k) GROUP BY doc_id, grp""",
-    "item_name_context": f"WITH {_SECTIONS}, {_CONTEXTS} SELECT doc_id, context FROM x",
-    "naming_prompts": f"""WITH {_SECTIONS}, {_CONTEXTS}
+    "item_name_context": f"WITH {SECTIONS}, {_CONTEXTS} SELECT doc_id, context FROM x",
+    "naming_prompts": f"""WITH {SECTIONS}, {_CONTEXTS}
 SELECT doc_id, '文件：doc ' || doc_id || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '以上资料介绍的是哪个商品？只写品牌、型号和名称；看不出来就写 UNKNOWN。' AS prompt FROM d LEFT JOIN x USING (doc_id)""",
-    "chunk_item_names": f"WITH {_SECTIONS} SELECT doc_id, chunk_no, title, CASE WHEN doc_id % 3 = 2 THEN 'item ' || (doc_id % 50) ELSE file_title END AS item_name FROM chunks",
+    "chunk_item_names": f"WITH {SECTIONS} SELECT doc_id, chunk_no, title, CASE WHEN doc_id % 3 = 2 THEN 'item ' || (doc_id % 50) ELSE file_title END AS item_name FROM chunks",
 }

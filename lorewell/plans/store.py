@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def once(df: DataFrame) -> DataFrame:
-    """``df``, computed now and kept in the folder of ``spark.checkpoint.dir``, so that what reads it several times doesn't compute it again. Where that is
-    unset, local mode gets a temporary folder and a cluster an error."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, local mode gets a temporary one and a cluster an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorewell-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df``, computed now and kept in the shared folder, so that what reads it several times doesn't compute it again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

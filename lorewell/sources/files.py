@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT
-from ..schemas import CHUNKS, MESSAGES
+from ..schemas import CHUNKS, ITEM_NAMES, MESSAGES
 
 
 def file_stem(path: Column) -> Column:
@@ -85,6 +85,10 @@ def write_item_names(names: DataFrame, path: str) -> None:
     names.write.mode("append").parquet(path)
 
 
+def read_item_names(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ITEM_NAMES).parquet(path)
+
+
 def archive_originals(files: DataFrame, path: str, at: str = "ts") -> None:
     """Files under the date they came in, ``dt=yyyyMMdd``."""
     files.withColumn("dt", F.date_format(at, "yyyyMMdd")).write.mode("append").partitionBy("dt").parquet(path)
