@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lorewell.operators.history import clear_sessions, turns_to_messages, upsert_messages
+from lorewell.functions.encoders import HashedTokens
+from lorewell.operators.history import clear_sessions, session_history, turns_to_messages, upsert_messages
 from lorewell.operators.tasklog import task_rollup
-from lorewell.plans.ingest import chunk_documents, ingest
-from lorewell.plans.retrieve import retrieve
+from lorewell.operators.vectors import embed
+from lorewell.plans.ingest import chunk_documents, embed_chunks, image_links, image_requests, ingest, tables_to_review
+from lorewell.plans.retrieve import answer_requests, retrieve
 from lorewell.schemas import MESSAGES
-from lorewell.sources.files import archive_originals, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, route_files, write_chunks, write_chunks_json, write_messages
+from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, route_files, write_chunks, write_chunks_json, write_messages
 from lorewell.streaming.files import ingest_stream
-from lorewell.streaming.tasks import task_rollup_stream
+from lorewell.streaming.tasks import fold, summary, task_rollup_stream
 
 
 def manual(tmp_path, n=3):
@@ -100,3 +103,80 @@ def test_task_stream_equals_batch(spark, tmp_path):
     batch = {r.task_id: r for r in task_rollup(spark.createDataFrame(rows, schema), names={}).collect()}
     for k, r in batch.items():
         assert (final[k].status, final[k].running_list, final[k].done_list, final[k].total_seconds) == (r.status, r.running_list, r.done_list, r.total_seconds)
+
+
+def test_repeated_running_steps(spark):
+    """A step that finished and starts again goes to the end of the running list, in the batch and in the stream, in whatever order events arrive."""
+    schema = "task_id string, node string, event string, ts timestamp, duration double"
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    rows = [("t", "a", "start", at(1), None), ("t", "a", "done", at(2), 1.0), ("t", "b", "start", at(3), None), ("t", "a", "start", at(4), None), ("t", "a", "start", at(5), None)]
+    (r,) = task_rollup(spark.createDataFrame(rows, schema), names={}).collect()
+    assert r.running_list == ["b", "a"] and r.done_list == ["a"]
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    for seed in range(6):
+        log = {"status": [-1, ""], "nodes": {}}
+        for _, event in frame.sample(frac=1, random_state=seed).iterrows():
+            log = fold(log, event.to_frame().T.astype({"ts": "datetime64[ns]", "duration": "float64"}))
+        assert summary("t", log)["running_list"][0] == ["b", "a"]
+
+
+def test_history_with_repeated_ids(spark):
+    rows = [("m1", "s", "user", "a", None, None, 1.0), ("m1", "s", "user", "b", None, None, 2.0), (None, "s", "user", "c", None, None, 3.0)]
+    base = spark.createDataFrame(rows, MESSAGES)
+    assert [(r.message_id, r.text, r.pos) for r in session_history(base).orderBy("pos").collect()] == [("m1", "a", 1), ("m1", "b", 2), ("", "c", 3)]
+    changes = spark.createDataFrame([("m1", "s", "user", "timeless", None, None, None)], MESSAGES)
+    assert [r.text for r in upsert_messages(base.filter("text = 'a'"), changes).collect()] == ["timeless"]
+    both = changes.unionByName(changes.withColumns({"text": F.lit("timed"), "ts": F.lit(4.0)}))
+    assert [r.text for r in upsert_messages(base.filter("text = 'a'"), both).collect()] == ["timed"]
+
+
+def test_chunks_that_the_encoder_fails_on(spark):
+    class Picky(HashedTokens):
+        def __call__(self, texts, mode="document"):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return super().__call__(texts, mode)
+
+    rows = [(1, 0, "good", "x"), (1, 1, "bad", "x"), (2, 0, "", ""), (2, 1, "fine", "y")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, content string, item_name string").repartition(4, "content")
+    done, rejected = embed_chunks(chunks, Picky)
+    failed = {(r.content, r.reason) for r in rejected.collect()}
+    assert ("", "blank text") in failed and ("bad", "no vectors") in failed
+    assert {r.content for r in done.collect()} | {c for c, _ in failed} == {"good", "bad", "", "fine"}
+
+
+def test_images_of_documents(spark, tmp_path):
+    root = manual(tmp_path)
+    docs = read_markdown(spark, f"{root}/*.md")
+    images = images_of(list_images(spark, root), docs)
+    assert sorted({r.doc_id for r in images.collect()}) == sorted(r.doc_id for r in docs.collect()) and {r.name for r in images.collect()} == {"a.PNG"}
+    used, unused = image_requests(docs, images.unionByName(images.withColumn("name", F.lit("b.png"))))
+    assert {r.name for r in unused.collect()} == {"b.png"} and {r.heading for r in used.collect()} == {f"# pump {i}" for i in range(3)}
+    links = image_links(used, used.select("doc_id", "name", F.lit("a pump").alias("summary")), docs, "http://s", "kb")
+    chunks = chunk_documents(docs, links).collect()
+    assert any("![a pump](http://s/kb/%E6%89%8B%E5%86%8C%201/a.PNG)" in c.content for c in chunks)
+    d = spark.createDataFrame([(0, "M", "# H\nsee ![x](img/data.jpg)!")], "doc_id long, file_title string, md_content string")
+    used, _ = image_requests(d, spark.createDataFrame([(0, "a.jpg", "p")], "doc_id long, name string, path string"))
+    assert [(r.name, r.up_text, r.down_text) for r in used.collect()] == [("a.jpg", "# H\nsee ", "!")]
+
+
+def test_tables_to_review(spark):
+    deep = "<table><tr><td rowspan='11'>a</td><td>b</td></tr></table>"
+    fine, review = tables_to_review(spark.createDataFrame([(1, "x"), (2, deep), (3, None)], "chunk_id long, content string"))
+    assert {r.chunk_id for r in fine.collect()} == {1, 3} and {r.chunk_id for r in review.collect()} == {2}
+
+
+def test_whole_answer_job(spark):
+    docs = spark.createDataFrame([(i, f"pump {i}", f"# pump {i}\nHow to start pump {i}.\n## valve\nOpen valve {i} slowly.") for i in range(4)], "doc_id long, file_title string, md_content string")
+    chunks = ingest(docs, docs.select("doc_id", F.col("file_title").alias("answer")))
+    items = embed(docs.select(F.col("file_title").alias("item_name")), "item_name")
+    raw = {1: '{"item_names": ["pump 1"], "rewritten_query": "start pump 1"}', 2: '```json\n{"item_names": ["pump"]}\n```', 3: "{oops", 4: '{"item_names": ["pump 2", "pump 3"]}'}
+    requests = spark.createDataFrame([(i, f"q{i}") for i in range(1, 6)], "request_id long, original_query string")
+    replies = spark.createDataFrame(list(raw.items()), "request_id long, raw string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = answer_requests(requests, replies, items, chunks, none("request_id long, document string"), none("request_id long, pos int, snippet string, title string, url string"), none("request_id long, pos int, role string, text string"))
+    got = {r.request_id: r for r in out.collect()}
+    assert got[1].route == "search" and got[1].item_names == ["pump 1"] and "Open valve 1 slowly" in got[1].prompt and "valve 2" not in got[1].prompt and got[1].prompt.endswith("start pump 1")
+    assert got[2].route == "clarify" and len(got[2].options) == 3 and got[2].prompt is None and got[2].answer
+    assert got[3].route == got[5].route == "apologise"
+    assert got[4].item_names == ["pump 2", "pump 3"] and "valve 2" in got[4].prompt and "valve 3" in got[4].prompt and got[4].prompt.endswith("q4")

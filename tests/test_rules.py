@@ -17,7 +17,8 @@ from lorewell.operators.images import image_context, match_images, replace_image
 from lorewell.operators.items import align_item_names, filter_confirmed
 from lorewell.operators.sections import assemble_chunks, merge_short_sections, split_by_headings, split_long_sections
 from lorewell.operators.tasklog import request_rate, task_rollup
-from lorewell.operators.vectors import dense_topk, embed, validate_vectors
+from lorewell.operators import vectors
+from lorewell.operators.vectors import dense_topk, embed, sparse_topk, validate_vectors
 
 
 def docs(spark, *texts, title="M"):
@@ -149,6 +150,22 @@ def test_rerank_with_a_model(spark):
     failed = rerank(rows, lambda: lambda q, c: None).orderBy("rank").collect()
     assert [r.pos for r in failed] == [1, 2] and failed[0].score is None
 
+    def picky():
+        def model(queries, contents):
+            if "odd" in queries:
+                raise RuntimeError("no score")
+            return [1.0] * len(queries)
+
+        return model
+
+    mixed = rows.unionByName(spark.createDataFrame([(2, "odd", 1, "a"), (2, "odd", 2, "b")], rows.schema)).coalesce(1)
+    assert [(r.request_id, r.pos, r.score is None) for r in rerank(mixed, picky).orderBy("request_id", "rank").collect()] == [(1, 1, False), (1, 2, False), (2, 1, True), (2, 2, True)]
+
+    def absent():
+        raise RuntimeError("no model")
+
+    assert [r.score for r in rerank(rows, absent).collect()] == [None, None]
+
 
 def test_alignment(spark):
     rows = [
@@ -218,7 +235,7 @@ def test_vectors(spark):
     assert got == {1: [1, 3], 2: [1, 4]}
 
     def broken():
-        def model(texts):
+        def model(texts, mode):
             raise RuntimeError("no model")
 
         return model
@@ -227,3 +244,41 @@ def test_vectors(spark):
     ok, report = validate_vectors(embed(rows, "text", broken))
     assert ok.count() == 0 and report.first().rows == 0
     assert validate_vectors(embed(rows, "text"))[1].first().single_dim
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_searches_against_a_plain_loop(spark, monkeypatch, most):
+    """With the queries in every task, and in cells of blocks."""
+    monkeypatch.setattr(vectors, "MATRIX_QUERIES", most)
+    monkeypatch.setattr(vectors, "CHUNK_BLOCK", 7)
+    rng = random.Random(33)
+    vector = lambda: rng.choice([None, [0.0, 0.0, 0.0], *[[float(rng.randint(-3, 3)) for _ in range(3)]] * 8])
+    words = lambda: rng.choice([None, *[{rng.randint(0, 9): float(rng.randint(-2, 4)) for _ in range(rng.randint(0, 4))}] * 8])
+    chunks = [(i, rng.choice(["a", "b", None]), vector(), words()) for i in range(40)]
+    queries = [(i, rng.choice([None, ["a"], ["a", "b", "a"], ["c"], []]), vector(), words()) for i in range(25)]
+    c = spark.createDataFrame(chunks, "chunk_id long, item_name string, vector array<double>, sparse map<long,double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, item_names array<string>, vector array<double>, sparse map<long,double>")
+
+    def best(score):
+        out = []
+        for qi, names, qv, qs in queries:
+            found = [(-round(s, 9), ci) for ci, item, cv, cs in chunks if names is None or item in names for s in [score(qv, cv, qs, cs)] if s is not None]
+            out += [(qi, ci) for _, ci in sorted(found)[:4]]
+        return sorted(out)
+
+    dot = lambda x, y: sum(p * r for p, r in zip(x, y))
+    ip = lambda a, b, *_: dot(a, b) if a is not None and b is not None else None
+    cosine = lambda a, b, *_: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if a and b and dot(a, a) and dot(b, b) else None
+    tokens = lambda _a, _b, x, y: sum(x[t] * y[t] for t in x if t in y) if x and y and x.keys() & y.keys() else None
+    pairs = lambda df: sorted((r.query_id, r.chunk_id) for r in df.collect())
+    assert pairs(dense_topk(q, c, 4)) == best(cosine)
+    assert pairs(dense_topk(q, c, 4, metric="ip")) == best(ip)
+    assert pairs(sparse_topk(q, c, 4)) == best(tokens)
+
+
+def test_spans_without_a_cap():
+    tall = "<table><tr><td>n</td><td>a</td></tr><tr><td rowspan='3000'>s</td><td>0</td></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 3000)) + "<tr><td>t</td><td>9</td></tr></table>"
+    lines = linearize("<p/>" + tall.replace("<table>", "<table><tr><th>x</th><th>y</th></tr>")).strip().split("\n")
+    assert lines[-2] == "- 【s】(对应x)：y为2999。" and lines[-1] == "- 【t】(对应x)：y为9。"
+    crossed = "<table><tr><th>h</th><th>b</th><th>c</th></tr><tr><td rowspan='2'>r</td><td>1</td><td rowspan='3'>z</td></tr><tr><td>2</td></tr><tr><td colspan='2'>w</td></tr></table>"
+    assert linearize(crossed).strip().split("\n") == ["- 【r】(对应h)：b为1，c为z。", "- 【r】(对应h)：b为2，c为z。", "- 【w】(对应h)：b为w，c为z。"]
