@@ -89,10 +89,11 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, on: str = "doc_id") -> DataFram
     blanks between them, and ``n_chars`` follows its text. ``on`` names the column that tells the rows of both apart: it must be
     unique and not null."""
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
-    whole = F.when((F.col("part") == F.col("size")) & (F.col("part") > 0), F.col("copies") + 1).otherwise(F.col("copies"))
-    cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.array_join(F.slice(words, 1, F.col("part").cast("int")), ""))).otherwise(F.array().cast("array<string>"))
+    size, copies, part = (F.col(f"_mix_{c}") for c in ("size", "copies", "part"))  # a document's own columns of these names pass by
+    whole = F.when((part == size) & (part > 0), copies + 1).otherwise(copies)
+    cut = F.when((part > 0) & (part < size), F.array(F.array_join(F.slice(words, 1, part.cast("int")), ""))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat("text", whole.cast("int")), cut)
-    both = docs.join(mixed.select(on, "size", "copies", "part"), on).withColumn("text", F.explode(texts))
+    both = docs.join(mixed.select(on, *[F.col(c).alias(f"_mix_{c}") for c in ("size", "copies", "part")]), on).withColumn("text", F.explode(texts))
     return both.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -94,9 +94,12 @@ def small(table: DataFrame, *columns: str) -> DataFrame:
     return F.broadcast(narrow) if row_count(table) * (16 + 8 * len(narrow.columns)) <= BROADCAST_BYTES else narrow
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """``df`` with ``_row``, a number that tells its rows apart; stored, so that it stays the same in every read."""
-    return stored(df.withColumn("_row", F.monotonically_increasing_id()), label)
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` with a number that tells its rows apart, and that column's name, which no other column has; stored, so that it stays the same in every read."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), label), name
 
 
 def shuffle_count(spark: SparkSession) -> int:

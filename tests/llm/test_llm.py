@@ -29,6 +29,7 @@ from lorewell.llm.suffix_dedup import suffix_dedup
 from lorewell.llm.token_counts import count_tokens, read_token_files, token_counts
 from lorewell.llm.toxicity import Model, Settings, fit, score, toxicity, training_texts
 from lorewell.llm.tokens import SPECIAL, SPECIAL_ID, default_path, encode
+from lorewell.llm.work import numbered
 
 from ..conftest import DATA, same_rows
 
@@ -618,6 +619,121 @@ def test_scores_depend_on_the_text_alone(spark, docs):
     assert a == b and a[0] == a[1] and a[5] == a[6]
 
 
+# all that can go wrong in a table, at once
+
+
+def edge_rows():
+    rng = random.Random(41)
+    text = lambda n: " ".join(rng.choice(["ash", "birch", "cedar", "dogwood", "elm", "fir"]) + str(rng.randrange(40)) for _ in range(n))
+    a, b, c, d, huge = text(40), text(40), text(40), text(40), text(30_000)
+    near = " ".join(["changed", *a.split()[1:]])
+    texts = [(None, a), (None, a), (3, b), (3, b), (3, c), (4, near), (None, near), (10, a), (5, None), (None, None), (6, ""), (7, " \n\t"), (8, huge), (9, huge + " more"), (2, d), (2, c), (11, d.upper())]
+    return texts + [(100 + i, text(25)) for i in range(12)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    extra = {c: F.lit("mine") for c in ("size", "label", "n", "node", "score", "held_out", "predicted", "y", "place", "_row", "part", "copies", "piece", "length", "offset", "sequence_id", "group", "b", "lot", "n_lines", "kept_text", "n_dropped")}
+    rows = [(i, t, "en", ["a", "b", None][k % 3], len(t or "")) for k, (i, t) in enumerate(edge_rows())]
+    return spark.createDataFrame(rows, DOCS).withColumns(extra).repartition(4)
+
+
+def test_edges_toxicity(spark, edges):
+    settings = Settings(bits=22, significance=(0.5,), steps=20, sizes=(3,))
+    label = lambda i: i % 2
+    marks = spark.createDataFrame([(i, label(i)) for i in range(120)] + [(None, 1), (5, None)], "doc_id long, toxic long")
+    learned = sorted({(i, t or "") for i, t in edge_rows() if i is not None and zlib.crc32(str(i).encode()) % 5})
+    weights, bias, grams = py_model([t for _, t in learned], [label(i) for i, _ in learned], settings)
+    out = toxicity(edges, marks, settings)
+    assert set(edges.columns) | {"score", "held_out", "predicted"} == set(out.columns)
+    got = sorted(((r.doc_id, r.text, r.held_out, round(r.score, 3), r.predicted) for r in out.collect()), key=str)
+    expected = []
+    for i, t in edge_rows():
+        z = bias + sum(weights.get(g, 0.0) for g in grams(t or ""))
+        expected.append((i, t, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(1 / (1 + float(np.exp(-z))), 3), int(z >= 0)))
+    assert [g[:3] for g in got] == [e[:3] for e in sorted(expected, key=str)]
+    assert all(abs(g[3] - e[3]) <= 0.002 for g, e in zip(got, sorted(expected, key=str)))
+
+
+def test_edges_ngram_join(edges):
+    rows = edge_rows()
+    sets = [py_set(t, 5) for _, t in rows]
+    classes = [{k} for k in range(len(rows))]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            # a row without id gives no links, but stands by an equal set
+            if both and (sets[i] == sets[j] or (rows[i][0] is not None and rows[j][0] is not None and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both))):
+                one = classes[i] | classes[j]
+                for k in one:
+                    classes[k] = one
+    ids = lambda k: [rows[m][0] for m in (classes[k] if sets[k] else {k}) if rows[m][0] is not None]
+    expected = [(rows[k][0], len(sets[k]), min(ids(k), default=None)) for k in range(len(rows))]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(edges).collect()), key=str) == sorted(expected, key=str)
+
+
+def test_edges_packing(edges):
+    expected = []
+    for i, t in edge_rows():
+        ids = np.array([*encode(t, default_path()), 2], "<u4")
+        expected += [(i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(cut(len(ids), 256))]
+    rows = pack_documents(edges, capacity=256).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == sorted(expected, key=str)
+    check_packing(rows, 256)
+
+
+def test_edges_mixing(edges):
+    numbers, row = numbered(edges, "test-rows")
+    mixed = mix(numbers, bucket_docs=3, row_col=row)
+    taken = {r[row]: r for r in mixed.collect()}
+    rows = {r[row]: r for r in numbers.collect()}
+    assert taken.keys() == rows.keys() and all(taken[k]["size"] == len(WORD.findall(rows[k].text or "")) and taken[k].doc_id == rows[k].doc_id for k in rows)
+    found = Counter()
+    for r in apply_mix(numbers, mixed, row).collect():
+        found[r[row]] += len(WORD.findall(r.text or ""))
+    assert {k: v.taken for k, v in taken.items() if v.taken} == {k: v for k, v in found.items() if v}
+
+
+def test_random_logs_against_a_plain_loop(spark):
+    rng = random.Random(43)
+    log = []
+    for c in range(120):
+        seqs = rng.sample(range(1000), rng.randint(1, 25))
+        log += [(c, q, rng.choices(["message", "delta", "edit", "regenerate"], [4, 5, 2, 1])[0], rng.randint(0, 4), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "bc", "d\n"])) for q in seqs]
+    expected = []
+    for c in range(120):
+        turns = {}
+        for _, _, event, turn, role, text in sorted((e for e in log if e[0] == c), key=lambda e: e[1]):
+            if event == "regenerate":
+                turns = {k: v for k, v in turns.items() if k < turn}
+                continue
+            own = turns.setdefault(turn, ["", ""])
+            own[0] = role or own[0]
+            own[1] = (own[1] if event == "delta" else "") + (text or "")
+        expected += [(c, k, r, t) for k, (r, t) in turns.items()]
+    events = spark.createDataFrame(log, "conv_id long, seq long, event string, turn long, role string, text string").repartition(5)
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in fold_events(events).collect()) == sorted(expected)
+
+
+def test_edges_through_every_stage(spark, edges, empty, tmp_path):
+    import corpus_pipeline
+
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, empty, str(tmp_path))
+        assert none.columns == empty.columns and none.count() == 0, name
+        out = stage(spark, edges, str(tmp_path))
+        assert out.columns == edges.columns and out.dtypes == edges.dtypes, name
+        rows = out.collect()
+        assert all(r[c] == "mine" for r in rows for c in ("size", "_row", "score", "n_lines", "kept_text")), name
+        blank = lambda rs: sorted(str((r.doc_id, r.text)) for r in rs if not (r.text or "").strip())
+        if name in ("toxicity", "line_dedup"):
+            assert blank(rows) == blank(edges.collect())
+    packed = corpus_pipeline.STAGES[-1][1](spark, edges, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in packed) == len(edge_rows()) and corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
 # the pipeline
 
 
