@@ -6,6 +6,8 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorewell.llm.line_dedup import line_dedup
@@ -16,19 +18,27 @@ from lorewell.llm.toxicity import toxicity
 from lorewell.llm.work import numbered, read_table, squeezed, stored
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its own columns of these names called otherwise, and what gives an operator's result the columns of ``docs`` again."""
+    held = {n: f"_own_{n}" for n in names if n in docs.columns}
+    return docs.withColumnsRenamed(held), lambda df: df.drop(*held).withColumnsRenamed({v: k for k, v in held.items()}).select(docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go; those whose text is null or blank stay. Rows are judged by their text alone, so repeated rows, null
     ids and repeated ids share the fate of equal texts. An empty table stays empty."""
-    names = {"score": "_own_score", "held_out": "_own_held_out", "predicted": "_own_predicted"}  # a document's own columns of these names pass by
-    kept = toxicity(docs.withColumnsRenamed(names), read_table(spark, sf_dir, "labels")).filter((F.col("predicted") == 0) | (F.coalesce(squeezed(F.col("text")), F.lit("")) == ""))
-    return kept.drop(*names).withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
+    own, back = aside(docs, "score", "held_out", "predicted")
+    return back(toxicity(own, read_table(spark, sf_dir, "labels")).filter((F.col("predicted") == 0) | (squeezed(F.col("text")) == "")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 characters or more that stand in five documents or more stay in one of them only. Every document stays; a null text stays null."""
-    cleaned = line_dedup(docs, min_docs=5, min_chars=40)
+    """Lines of 40 characters or more that stand in five documents or more stay in one of them only, the one with the
+    largest id. Every document stays, emptied or not; a null text stays null. Rows that repeat an id count as one document, and rows without id are left as
+    they are."""
+    own, back = aside(docs, "kept_text", "n_lines", "n_dropped")
+    cleaned = line_dedup(own, min_docs=5, min_chars=40)
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return cleaned.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return back(cleaned.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,22 +47,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Each row is a document of its own, whatever its id: of rows that repeat an id and a text one stays, and rows without id are compared like
     others. Texts without words are linked with nothing; of those with one id one stays, and all without id.
     """
-    rows = numbered(docs, "near-rows")
-    found = ngram_join(rows, Rule(width=5, num=80, den=100), id_col="_row").withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row")
+    rows, row = numbered(docs, "near-rows")
+    found = ngram_join(rows, Rule(width=5, num=80, den=100), id_col=row).withColumnRenamed("doc_id", row).join(rows.select(row, "doc_id"), row)
     wordless = F.col("n_shingles") == 0
     group = (F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")).alias("a"), F.when(wordless, F.col("doc_id")).alias("b"))
-    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row)).select(row)
+    return rows.join(first, row, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
-    rows = numbered(docs, "mix-rows")
-    return apply_mix(rows, mix(rows, row_col="_row"), "_row").select(docs.columns)
+    """Each document as often as its source's target asks for, the last one of a source in part. Each row is a document of its own: null and repeated ids and
+    equal rows are taken like others; of equal rows any may be the one in part. Rows without words go, since a source's target is in words."""
+    rows, row = numbered(docs, "mix-rows")
+    return apply_mix(rows, mix(rows, row_col=row), row).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place."""
+    """The pieces of all documents with their sequence and place. Each row is a document of its own; a null or empty text is its end id alone."""
     return pack_documents(docs, capacity=1024)
 
 
