@@ -86,15 +86,14 @@ def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of the benchmark's questions for each document, with the whole document as the hypothetical one; a blank text gives none."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("query"))
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(asked.agg(F.count("*").alias("n")))).select(F.col("doc_id").alias("request_id"), F.pmod("doc_id", "n").alias("item"), F.col("text").alias("document"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.pmod("doc_id", F.lit(asked.count())).alias("item"), F.col("text").alias("document"))
     return hyde_queries(docs.join(asked, "item").select("request_id", "query"), docs.filter(~is_blank(F.col("document"))))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a candidate for one of the benchmark's questions."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
-    n = asked.agg(F.count("*").alias("n"))
-    docs = table(spark, sf_dir, "documents").filter("text is not null").join(F.broadcast(n)).select(F.pmod("doc_id", "n").alias("request_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.pmod("doc_id", F.lit(asked.count())).alias("request_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
     return docs.join(asked, "request_id")
 
 
