@@ -3,12 +3,13 @@
 A byte goes if it is covered by a string of ``length`` bytes that also starts in a document with a smaller id.
 
 1. Copies. Of identical texts only the one with the smallest id is looked at; the others, if long enough, go whole.
-2. Anchors. Each string of ``length`` bytes has a key that depends on its bytes alone: the smallest hash among its 16-byte substrings. Runs of
+2. Anchors. Each string of ``length`` bytes has a key that depends on its bytes alone: the smallest hash among its 20-byte substrings. Runs of
    neighbouring strings with one key form a snippet. Equal strings have equal keys, so only keys that stand in two documents matter; one
    shuffle by key finds them.
 3. Shards. The snippets of those keys are dealt by key. A task sorts its rows by key and builds suffix arrays over blocks of whole keys (distinct
    snippets once); where the permuted common prefixes reach ``length``, neighbours are of one class, which has a smallest document. A key with more than
-   ``LOT`` rows is dealt out in lots: each has arrays of its own, and their classes are merged by a digest of the string.
+   ``LOT`` rows is dealt out in lots: each has arrays of its own; what is the first of its class in a lot may not be so in others, so those are merged by a digest of
+   the string.
 4. The strings of every class that stand in other documents are the spans to cut; only documents that have some are read again.
 
 Inside, ``doc`` is the id, null being the largest long, and ``variant`` tells apart the texts of rows that repeat an id: a hash of the text there,
@@ -18,6 +19,7 @@ Inside, ``doc`` is the id, null being the largest long, and ``variant`` tells ap
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,21 +33,22 @@ from .work import drop, read_table, row_count, shuffle_count, small, stored
 
 #: Rows of one key that a task takes together.
 LOT = 8192
-GRAM = 16
+GRAM = 20
 ROW = ["doc", "variant"]
 _BYTE = np.random.default_rng(50_021).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, last): the runs of string starts with one key. ``length`` must be 16 at least."""
+    """(key, first, last): the runs of string starts with one key. ``length`` must be 20 at least."""
     if len(text) < length:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = _BYTE[np.frombuffer(text, np.uint8)]
     k = 1
     while k < GRAM:
-        h = mix(h[:-k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
-        k *= 2
-    w, m, k = length - GRAM + 1, h, 1
+        step = min(k, GRAM - k)
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[step:]  # another odd factor for each step
+        k += step
+    w, m, k = length - GRAM + 1, mix(h), 1
     while 2 * k <= w:
         m = np.minimum(m[:-k], m[k:])
         k *= 2
@@ -60,7 +63,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc, variant, first, size) of all runs: where the snippet begins, and its bytes."""
+    """(key, doc, variant, at) of all runs; ``at``: where the snippet begins, in the upper 32 bits, and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +71,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             for doc, variant, text in zip(*(batch.column(c).to_pylist() for c in ROW), _texts(batch)):
                 k, first, last = anchors(text, length)
                 if len(k):
-                    parts.append((k, np.full(len(k), doc, np.int64), np.full(len(k), variant, np.int64), first, last - first + length))
+                    parts.append((k.view(np.int64), np.full(len(k), doc, np.int64), np.full(len(k), variant, np.int64), (first << 32) + last - first + length))
                     size += len(k)
                 if size > 200_000:
                     yield rows(parts)
@@ -77,23 +80,22 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 yield rows(parts)
 
     def rows(parts: list[tuple]) -> pa.RecordBatch:
-        key, doc, variant, first, size = map(np.concatenate, zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), doc, variant, first.astype(np.int32), size.astype(np.int32))], ["key", *ROW, "first", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["key", *ROW, "at"])
 
-    return docs.select(*ROW, "text").mapInArrow(run, "key long, doc long, variant long, first int, size int")
+    return docs.select(*ROW, "text").mapInArrow(run, "key long, doc long, variant long, at long")
 
 
 def shared_keys(rows: DataFrame, lot: int = LOT) -> DataFrame:
     """The runs whose key stands in two documents at least, with the lot of their key that each is in. Rows of a key pass by in order; only the open run is
     held back, and of it no more than one document's rows."""
-    names = ["key", *ROW, "first", "size"]
+    names = ["key", *ROW, "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, passed = None, None, 0  # the open run, while one document's; the open run's key, once it is known to be shared, and its rows so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             key, doc = cols[:2]
@@ -111,32 +113,32 @@ def shared_keys(rows: DataFrame, lot: int = LOT) -> DataFrame:
             held = None if many[-1] else [x[start[-1] :] for x in cols]
 
     dealt = rows.repartition(shuffle_count(rows.sparkSession), "key").sortWithinPartitions("key", "doc")
-    return dealt.mapInArrow(run, "key long, doc long, variant long, first int, size int, lot int")
+    return dealt.mapInArrow(run, "key long, doc long, variant long, at long, lot int")
 
 
 def snippets(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, lot, split, doc, variant, first, snippet) of the shared runs; ``split``: the key has several lots."""
-    spec = ["key", "lot", "split", *ROW, "first", "snippet"]
+    """(key, lot, doc, variant, first, snippet) of the shared runs."""
     ids = stored(shared.select(*ROW).distinct(), "shared-ids")
-    per_doc = shared.groupBy(*ROW).agg(F.collect_list(F.struct("key", "lot", "split", "first", "size")).alias("runs"))
-    texts = docs.join(small(ids), ROW, "left_semi").join(per_doc, ROW).select(*ROW, F.col("text").cast("binary").alias("text"), *[F.col("runs")[c].alias(c) for c in ("key", "lot", "split", "first", "size")])
+    per_doc = shared.groupBy(*ROW).agg(F.collect_list(F.struct("key", "lot", "at")).alias("runs"))
+    texts = docs.join(small(ids), ROW, "left_semi").join(per_doc, ROW).select(*ROW, F.col("text").cast("binary").alias("text"), *[F.col("runs")[c].alias(c) for c in ("key", "lot", "at")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(2)
-            for at, n in _few(batch.column(3)):
-                lists = [batch.column(i).slice(at, n) for i in range(3, 8)]
-                key, lot, split, first, size = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            for begin, n in _few(batch.column(3)):
+                lists = [batch.column(i).slice(begin, n) for i in range(3, 6)]
+                key, lot, at = (x.flatten().to_numpy() for x in lists)
                 count = np.diff(lists[0].offsets.to_numpy())
-                doc, variant = (np.repeat(batch.column(i).slice(at, n).to_numpy(), count) for i in range(2))
-                cut, spot = [], 0
+                doc, variant = (np.repeat(batch.column(i).slice(begin, n).to_numpy(), count) for i in range(2))
+                first, size = at >> 32, at & 0xFFFFFFFF
+                spans = zip(first.tolist(), (first + size).tolist())
+                cut = []
                 for i, m in enumerate(count.tolist()):
-                    whole = text[at + i].as_py() or b""
-                    cut += [whole[a : a + b] for a, b in zip(first[spot : spot + m].tolist(), size[spot : spot + m].tolist())]
-                    spot += m
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, lot, split, doc, variant, first)), pa.array(cut, pa.binary())], spec)
+                    whole = text[begin + i].as_py() or b""
+                    cut += [whole[a:b] for a, b in islice(spans, m)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, lot, doc, variant, first.astype(np.int32))), pa.array(cut, pa.binary())], ["key", "lot", *ROW, "first", "snippet"])
 
-    return texts.mapInArrow(run, "key long, lot int, split boolean, doc long, variant long, first int, snippet binary")
+    return texts.mapInArrow(run, "key long, lot int, doc long, variant long, first int, snippet binary")
 
 
 def _few(lists: pa.ListArray, most: int = 100_000) -> Iterator[tuple[int, int]]:
@@ -184,8 +186,9 @@ class Classes:
         return rows, (np.cumsum(count) - count)[self.which[rows]] + inner
 
 
-def spans_of_block(docs: np.ndarray, firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, to) of the repeated strings among the snippets of some keys, found with one suffix array."""
+def spans_of_block(docs: np.ndarray, firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Classes, np.ndarray]:
+    """(row, from, to) of the strings among some snippets that have a smaller document in the same suffix array; also the classes, and the smallest document
+    of each string."""
     c = Classes(texts, length)
     least = np.full(c.n, np.iinfo(np.int64).max)
     np.minimum.at(least, c.which, docs)
@@ -198,60 +201,59 @@ def spans_of_block(docs: np.ndarray, firsts: np.ndarray, texts: list[bytes], len
     gone = docs[rows] > first_doc[new][run]
     rows, run = rows[gone], run[gone]
     shift = firsts[rows] - c.begin[c.which[rows]]
-    return rows, start[run] + shift, stop[run] + shift + length
+    return rows, start[run] + shift, stop[run] + shift + length, c, first_doc
 
 
-def strings_of_lot(firsts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, digest) of every string in a lot of a key; the digest, two longs, is that of the string's class."""
-    c = Classes(texts, length)
+def firsts_of_lot(docs: np.ndarray, firsts: np.ndarray, c: Classes, first_doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, digest) of the strings of a lot that have no smaller document in it; the digest, two longs, is that of the string's class."""
     raw = c.data.tobytes()
     digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in c.sa[c.fresh].tolist()), "<i8").reshape(-1, 2)
     rows, item = c.rows_of(c.of[c.at])
+    own = docs[rows] == first_doc[item]
+    rows, item = rows[own], item[own]
     return rows, c.at[item] + firsts[rows] - c.begin[c.which[rows]], digest[c.of_string[item]]
 
 
 def repeated_strings(rows: DataFrame, length: int, block_bytes: int = 1 << 21) -> DataFrame:
-    """(doc, variant, from, to, h1, h2) from snippet rows, dealt and sorted by key and lot. A suffix array covers whole keys of about ``block_bytes`` and
-    gives the spans to cut; of a key in several lots it covers one lot and gives all strings, with the digests of their classes."""
+    """(doc, variant, from, to, h1, h2) from snippet rows, dealt and sorted by key and lot. A suffix array covers whole keys of about ``block_bytes``, or a
+    lot of a key that has several (lot 0 or more), and gives the spans to cut; of a lot also the strings that are to be compared with other lots', with the
+    digests of their classes."""
     names = [*ROW, "from", "to", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         held, open_, apart = 0, None, False
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             docs, variants, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            texts = [x for p in parts for x in p[3]]
+            rows, begin, end, classes, first_doc = spans_of_block(docs, firsts, [x for p in parts for x in p[3]], length)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(variants[rows]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), *[pa.nulls(len(rows), pa.int64())] * 2], names)
             if apart:
-                at, begin, digest = strings_of_lot(firsts, texts, length)
-                end, marks = begin + length, [pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
-            else:
-                at, begin, end = spans_of_block(docs, firsts, texts, length)
-                marks = [pa.nulls(len(at), pa.int64())] * 2
-            return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(variants[at]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), *marks], names)
+                rows, begin, digest = firsts_of_lot(docs, firsts, classes, first_doc, length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[rows], variants[rows], begin.astype(np.int64), begin.astype(np.int64) + length, digest[:, 0].copy(), digest[:, 1].copy())], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, lot, split, doc, variant, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            text = batch.column(6).to_pylist()
+            key, lot, doc, variant, first = (batch.column(i).to_numpy() for i in range(5))
+            text = batch.column(5).to_pylist()
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lot[1:] != lot[:-1])])
             size = np.cumsum([0] + [len(x) for x in text])
             at = 0
             for a in start.tolist():
                 mine = (key[a], lot[a])
-                if mine != open_ and (held + size[a] - size[at] >= block_bytes or apart or split[a]):
+                if mine != open_ and (held + size[a] - size[at] >= block_bytes or apart or lot[a] >= 0):
                     if a > at:
                         parts.append((doc[at:a], variant[at:a], first[at:a], text[at:a]))
                     if parts:
-                        yield out()
+                        yield from out()
                     parts, held, at = [], 0, a
-                    apart = bool(split[a])
+                    apart = bool(lot[a] >= 0)
                 open_ = mine
             parts.append((doc[at:], variant[at:], first[at:], text[at:]))
             held += size[-1] - size[at]
         if parts:
-            yield out()
+            yield from out()
 
     dealt = rows.repartition(shuffle_count(rows.sparkSession), "key", "lot").sortWithinPartitions("key", "lot")
     return dealt.mapInArrow(run, "doc long, variant long, from long, to long, h1 long, h2 long")
@@ -262,9 +264,9 @@ def repeated_spans(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame
     # one key in LOT rows at most
     split = stored(shared.filter("lot > 0").select("key").distinct(), "split-keys")
     if row_count(split):
-        shared = shared.join(small(split).withColumn("split", F.lit(True)), "key", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+        shared = shared.join(small(split).withColumn("split", F.lit(True)), "key", "left").withColumn("lot", F.when(F.col("split"), F.col("lot")).otherwise(F.lit(-1))).drop("split")
     else:
-        shared = shared.withColumn("split", F.lit(False))
+        shared = shared.withColumn("lot", F.lit(-1))
     found = stored(repeated_strings(snippets(docs, shared), length), "repeated-strings")
     spans = found.filter("h1 is null").select(*ROW, "from", "to")
     if row_count(split):
@@ -295,7 +297,7 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row per input row: ``kept`` is binary, since a cut may fall inside a character.
 
-    Texts are UTF-8 bytes, null counts as empty; matches never cross documents; overlaps within one document alone are left. ``length`` must be 16 at
+    Texts are UTF-8 bytes, null counts as empty; matches never cross documents; overlaps within one document alone are left. ``length`` must be 20 at
     least. A null id counts as the largest long, so after all others. Rows that repeat an id (null included) are cut each by what stands under smaller
     ids, never by each other. Other columns are ignored; an empty table gives an empty result.
     """
