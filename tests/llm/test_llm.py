@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -29,7 +30,7 @@ from lorewell.llm.suffix_dedup import suffix_dedup
 from lorewell.llm.token_counts import count_tokens, read_token_files, token_counts
 from lorewell.llm.toxicity import Model, Settings, fit, score, toxicity, training_texts
 from lorewell.llm.tokens import SPECIAL, SPECIAL_ID, default_path, encode
-from lorewell.llm.work import numbered
+from lorewell.llm.work import drop, numbered, row_count, small, stored
 
 from ..conftest import DATA, same_rows
 
@@ -77,6 +78,16 @@ def test_sql(spark, duck, name):
     same_rows(registry.queries()[name](spark, str(DATA)), duck.sql(registry.oracle_sql()[name]))
 
 
+def test_stored_tables(spark, empty):
+    table = stored(spark.range(10).selectExpr("id", "id % 2 as half"), "test")
+    assert row_count(table) == 10 and table.count() == 10 and row_count(stored(empty, "test")) == 0
+    assert "BroadcastHashJoin" in spark.range(5).join(small(table, "id"), "id")._jdf.queryExecution().executedPlan().toString()
+    (file, *_) = table.inputFiles()
+    assert os.path.exists(file.removeprefix("file://"))
+    drop(table)
+    assert not os.path.exists(os.path.dirname(file.removeprefix("file://")))
+
+
 # exact copies
 
 
