@@ -313,7 +313,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     slim = with_variant(plain, F.xxhash64("text"))
     digests = with_variant(digests, F.col("hash")).filter(f"n_bytes >= {length}")
-    groups = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
+    # written, so that both sides of the join are plain exchanges, which AQE can split at a large group of copies
+    groups = stored(digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least"), "copies")
     copies = stored(digests.join(groups, "digest").filter("doc <> least").select(*ROW).distinct(), "copied-ids")
     single = slim.join(small(copies), ROW, "left_anti")
     shared = stored(shared_keys(anchor_rows(single.filter(f"octet_length(text) >= {length}"), length)), "shared-anchors")
