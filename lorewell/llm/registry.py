@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, fingerprints, lexical, line_dedup, merkle, mixing, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity
 
-MODULES = (toxicity, ngram_join, packing, token_counts, mixing, chat_format, fingerprints, line_dedup, suffix_dedup, exact_dedup)
+MODULES = (toxicity, ngram_join, packing, token_counts, mixing, chat_format, fingerprints, line_dedup, suffix_dedup, exact_dedup, simhash, lexical, merkle)
 
 
 def queries() -> dict:

@@ -87,11 +87,11 @@ def drop(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
-def small(table: DataFrame, *columns: str) -> DataFrame:
+def small(table: DataFrame, *columns: str, extra: int = 0) -> DataFrame:
     """A stored table, or some columns of it, with a broadcast hint if its rows, at 16 bytes and 8 for each column, are within ``BROADCAST_BYTES``. The columns
-    must be numbers."""
+    must be numbers; ``extra`` is what texts add to a row at most."""
     narrow = table.select(*columns) if columns else table
-    return F.broadcast(narrow) if row_count(table) * (16 + 8 * len(narrow.columns)) <= BROADCAST_BYTES else narrow
+    return F.broadcast(narrow) if row_count(table) * (16 + 8 * len(narrow.columns) + extra) <= BROADCAST_BYTES else narrow
 
 
 def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorewell.llm import registry, suffix_array as suffix_array_module, suffix_dedup as suffix_dedup_module
+from lorewell.llm import lexical, merkle, registry, simhash, suffix_array as suffix_array_module, suffix_dedup as suffix_dedup_module
 from lorewell.llm.chat_format import chat_format, conversation_events, escape, fold_events, parse, read_back, unescape
 from lorewell.llm.components import components
 from lorewell.llm.exact_dedup import exact_dedup
@@ -793,3 +794,200 @@ def test_pipeline_stages_without_unique_ids(spark):
     rows = [row(1, text(1))] * 3 + [row(1, text(2)), row(None, text(3)), row(None, text(4))]
     mixed = stages["mixing"](spark, spark.createDataFrame(rows, DOCS).repartition(3), str(DATA)).collect()
     assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == sorted([(r[0], r[1]) for r in rows], key=str)
+
+
+# --- SimHash, lexical search, Merkle manifest -----------------------------------------------------------------------------
+
+
+def simhash_rows():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)] + ["ÄÖ", "ñandú", "漢字"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 40, 400)))) for _ in range(60)]
+    near = [t.replace("w1 ", "w2 ", 1) for t in base for _ in range(2)]
+    texts = [*base, *near, *[base[0]] * 30, None, "", " \t\n", "ONE two", "one  TWO", "a b c " * 70_000]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def py_simhash(text, width=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def py_reach(prints, radius=3):
+    """The classes of distinct fingerprints, by comparing all."""
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    keys = list(root)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (a ^ b).bit_count() <= radius:
+                root[find(a)] = find(b)
+    return find
+
+
+@pytest.mark.parametrize("limit", [1024, 2])
+def test_simhash_against_all_pairs(spark, limit):
+    rows = simhash_rows() + [(None, "ONE two"), (None, "nobody else says this"), (3, "another text of this id")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, component_id long").repartition(3)
+    found = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.simhash_dedup(docs, limit=limit).collect()]
+    prints = [(i, py_simhash(t)) for i, t in rows]
+    find = py_reach({p for _, p in prints})
+    least = {}
+    for i, p in prints:
+        if i is not None:
+            least[find(p)] = min(i, least.get(find(p), i))
+    assert sorted(map(repr, found)) == sorted(repr((i, p, least.get(find(p)))) for i, p in prints)
+
+
+def test_simhash_on_the_table(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r["doc_id"]: py_simhash(r["text"]) for r in rows}
+    find = py_reach(set(prints.values()))
+    least = {}
+    for i, p in prints.items():
+        least[find(p)] = min(i, least.get(find(p), i))
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op11_simhash_dedup(spark, str(DATA)).collect()}
+    assert found == {i: (f"{p:016x}", least[find(p)]) for i, p in prints.items()}
+
+
+def test_simhash_of_nothing(spark, empty):
+    assert simhash.simhash_dedup(empty).count() == 0
+    with pytest.raises(ValueError):
+        simhash.simhash_dedup(empty, radius=4)
+
+
+@pytest.mark.parametrize("room", [1 << 21, 50])
+def test_bk_trees_find_what_all_pairs_find(room):
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 6)).astype(np.uint64)) for _ in range(600)])
+    every = np.unique(np.concatenate([centre, centre[rng.integers(0, 12, 600)] ^ flips]))
+    node, start = rng.permutation(every), np.array([0, 1, 40, 200])
+    parent, edge = simhash.forest(node, start)
+    size = np.diff(np.r_[start, len(node)])
+    q, hit = simhash.within(node, parent, edge, node, np.repeat(start, size), 3)
+    tree = np.repeat(np.arange(4), size)
+    pairs = {(i, j) for i in range(len(node)) for j in range(len(node)) if tree[i] == tree[j] and (int(node[i]) ^ int(node[j])).bit_count() <= 3}
+    assert set(zip(q.tolist(), hit.tolist())) == pairs
+    a, b = simhash.tree_links(node, start, 3, room)
+    find, number = list(range(len(node))), {int(x): i for i, x in enumerate(node)}
+    for i, j in pairs:
+        low, high = sorted((find[i], find[j]))
+        find = [low if x == high else x for x in find]
+    own = list(range(len(node)))
+    for i, j in zip(a.tolist(), b.tolist()):
+        low, high = sorted((own[number[i]], own[number[j]]))
+        own = [low if x == high else x for x in own]
+    assert own == find and len(a) == len(node) - len(set(find))
+
+
+def py_search(docs, items, top):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    lists = [(i, Counter(split(t)), len(split(t))) for i, t in docs]
+    many, length = sum(n > 0 for _, _, n in lists), sum(n for _, _, n in lists)
+    df = Counter(t for _, c, _ in lists for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for doc, tf, n in lists:
+            m = 25 + 75 * n * many // length if length else 0
+            score = sum(math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (10**9 * tf[t] // (1000 * tf[t] + 8 * m)) for t in split(text) if t in tf)
+            found += [(-score, doc is None, doc or 0)] if score > 0 else []
+        out += [(item, k + 1, None if null else doc, -s) for k, (s, null, doc) in enumerate(sorted(found)[:top])]
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("settings", [lexical.Settings(), lexical.Settings(top=3, bucket=2, focus=2, block_terms=20), lexical.Settings(top=1, bucket=7, focus=9)])
+def test_lexical_search_against_a_plain_loop(spark, settings):
+    rng = random.Random(7)
+    words = [f"t{i}" for i in range(40)] + ["Ünï", "漢字", "é"]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice((5, 43))]) for _ in range(n))
+    docs = [(i, text(rng.choice((0, 1, 5, 60, 300)))) for i in range(150)]
+    docs += [(None, "t1 t2"), (7, "T1, t2!"), (8, "T1_t2"), (8, "T1_t2"), (200, None), (201, "--- !"), (202, "t3 " * 60_000)]
+    items = [(i, text(rng.choice((1, 3, 12)))) for i in range(25)] + [(25, None), (26, ""), (27, "unheard"), (None, "t1"), (3, "t2 t2 t2"), (3, "t2 t2 t2")]
+    rows = spark.createDataFrame([(i, t, 9, "x") for i, t in docs], "doc_id long, text string, n long, terms string").repartition(3)
+    asked = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, rank int").repartition(2)
+    found = lexical.lexical_search(rows, asked, settings)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(repr(tuple(r)) for r in found.collect()) == py_search(docs, items, settings.top)
+
+
+def test_lexical_search_of_nothing(spark, empty):
+    asked = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert lexical.lexical_search(empty, asked).count() == 0
+    assert lexical.lexical_search(docs.filter("doc_id = 2"), asked).count() == 0
+    assert lexical.lexical_search(docs, asked.limit(0)).count() == 0
+    assert [tuple(r) for r in lexical.lexical_search(docs, asked).collect()] == [(1, 1, 1, 287 * (10**9 // (1000 + 8 * 100)))]
+
+
+def py_manifest(rows):
+    """{row: (leaf, subroot, root, proof, folded root)} of rows (doc_id, source, lang, n_chars, text), by a plain tree."""
+    sha = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    leaf = lambda r: sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in r])
+
+    def build(level):
+        proofs, folds = [[] for _ in level], [[] for _ in level]
+        under = [[i] for i in range(len(level))]
+        while len(level) > 1:
+            runs = [list(range(i, min(i + 8, len(level)))) for i in range(0, len(level), 8)]
+            for run in runs:
+                for i in run:
+                    for at in under[i]:
+                        proofs[at] += [level[j] for j in run if j != i]
+                        folds[at].append(([level[j] for j in run if j < i], [level[j] for j in run if j > i]))
+            under = [[at for i in run for at in under[i]] for run in runs]
+            level = [sha(*[level[i] for i in run]) for run in runs]
+        return level[0], proofs, folds
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    built = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        built[g] = build([leaf(r) for r in groups[g]])
+    root, above, over = build([built[g][0] for g in order])
+    out = []
+    for k, g in enumerate(order):
+        for i, r in enumerate(groups[g]):
+            h = leaf(r)
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None:
+                h = leaf((*r[:4], r[4].translate({c: c + 32 for c in range(65, 91)})))
+            for left, right in built[g][2][i] + over[k]:
+                h = sha(*left, h, *right)
+            out.append((r[0], leaf(r), built[g][0], root, sha(*built[g][1][i], *above[k]), h, h == root))
+    return sorted(map(repr, out))
+
+
+def manifest_rows():
+    rng = random.Random(3)
+    rows = [(i, rng.choice(("a", None, "")), "en", rng.choice((None, 5)), rng.choice(("Text", "text", None, "", "É Ñ 漢"))) for i in range(700)]
+    rows += [(i, "s", "", 1, "A") for i in range(9)] + [(5, "s", None, 1, "x")] + [(None, "s", "de", 1, "X"), (None, None, "de", None, None), (4, "s", "de", 1, "X"), (4, "s", "de", 1, "X"), (-3, "s", "de", 1, "Y")]
+    rows += [(1000 + i, "s", f"l{i}", 1, "Long " * (40_000 if i == 3 else 1)) for i in range(20)]
+    return rows
+
+
+def test_manifest_against_a_plain_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merkle, "BLOCK", 64)
+    rows = manifest_rows()
+    spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, key string, pos int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = merkle.op13_merkle_manifest(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert sorted(repr(tuple(r)) for r in found.collect()) == py_manifest(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 8, 9])
+def test_small_manifests(spark, tmp_path, n):
+    rows = [(i, "s", "en", 1, "Ab") for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = merkle.op13_merkle_manifest(spark, str(tmp_path)).collect()
+    assert sorted(repr(tuple(r)) for r in found) == (py_manifest(rows) if n else [])
