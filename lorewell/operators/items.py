@@ -24,8 +24,9 @@ def item_name_context(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def fill_item_name(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Each chunk with its document's item name."""
-    return chunks.drop("item_name").join(names.select("doc_id", "item_name"), "doc_id")
+    """Each chunk with its document's item name. The names are hashed, partition by partition; chunks, which hold the texts, only pass by. ``ingest`` has no such join,
+    since there the name comes with the document."""
+    return chunks.drop("item_name").join(names.select("doc_id", "item_name").hint("shuffle_hash"), "doc_id")
 
 
 def align_item_names(matches: DataFrame, config: Config = DEFAULT) -> DataFrame:

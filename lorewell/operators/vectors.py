@@ -18,24 +18,26 @@ CHUNK_BLOCK = 8192
 
 def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = HashedTokens, batch: int = DEFAULT.embedding_batch, mode: str = "document") -> DataFrame:
     """``df`` with dense_vector and sparse_vector. ``encoder`` makes the model, once per task, which is called with texts and ``mode`` ("document" or "query"); a
-    batch it fails on keeps its rows, without vectors."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", dense_vector array<float>, sparse_vector map<long,float>"
+    batch it fails on keeps its rows, without vectors. Only the text goes to the model; the other columns stay in the JVM."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = encoder()
-        for pdf in parts:
+        for whole in parts:
             dense, sparse = [], []
-            for at in range(0, len(pdf), batch):
-                texts = ["" if t is None else t for t in pdf[text_col].iloc[at : at + batch]]
+            for at in range(0, len(whole), batch):
+                texts = ["" if t is None else t for t in whole.iloc[at : at + batch]]
                 try:
                     d, s = model(texts, mode)
                 except Exception:  # whatever the model raises, its rows are reported without vectors
                     d, s = [None] * len(texts), [None] * len(texts)
                 dense += list(d)
                 sparse += list(s)
-            yield pdf.assign(dense_vector=dense, sparse_vector=sparse)
+            yield pd.DataFrame({"dense": pd.Series(dense, dtype="object"), "sparse": pd.Series(sparse, dtype="object")})
 
-    return df.mapInPandas(run, schema)
+    # nondeterministic, or a filter on the vectors would run the model again
+    as_udf = F.pandas_udf(run, "dense array<float>, sparse map<long,float>").asNondeterministic()
+    both = df.withColumn("_vectors", as_udf(F.col(text_col)))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_vectors.dense").alias("dense_vector"), F.col("_vectors.sparse").alias("sparse_vector"))
 
 
 def to_sparse_map(tokens: Column, weights: Column) -> Column:

@@ -9,22 +9,23 @@ from ..functions.encoders import HashedTokens
 from ..functions.tables import complex_table
 from ..functions.text import embedding_input, is_blank, object_url, resolve_item_name
 from ..operators.images import image_context, match_images, replace_image_links
-from ..operators.items import fill_item_name, item_name_context
-from ..operators.sections import assemble_chunks, merge_short_sections, split_by_headings, split_long_sections
+from ..operators.items import item_name_context
+from ..operators.sections import chunk_sections, split_by_headings
 from ..operators.vectors import embed
 
 
-def chunk_documents(docs: DataFrame, summaries: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, file_title, md_content) -> chunks. All steps share one partitioning, by doc_id."""
+def chunk_documents(docs: DataFrame, summaries: DataFrame | None = None, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, file_title, md_content, ..) -> chunks, with those columns of the document that ``keep`` names. One exchange, of the lines by document."""
     if summaries is not None:
         docs = replace_image_links(docs, summaries)
-    sections = split_long_sections(split_by_headings(docs), config)
-    return assemble_chunks(merge_short_sections(sections, config))
+    return chunk_sections(split_by_headings(docs, keep), config, keep)
 
 
 def name_documents(docs: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc_id, file_title, item_name): each document's name from the reply table (doc_id, answer), or its title."""
-    return docs.join(replies, "doc_id", "left").select("doc_id", "file_title", resolve_item_name(F.col("answer"), F.col("file_title")).alias("item_name"))
+    """``docs`` (doc_id, file_title, ..) with item_name: each document's name from the reply table (doc_id, answer), or its title. Of several replies the last in
+    alphabetical order counts."""
+    said = replies.groupBy("doc_id").agg(F.max("answer").alias("_answer"))
+    return docs.join(said.hint("shuffle_hash"), "doc_id", "left").withColumn("item_name", resolve_item_name(F.col("_answer"), F.col("file_title"))).drop("_answer")
 
 
 def embed_chunks(chunks: DataFrame, encoder=HashedTokens) -> tuple[DataFrame, DataFrame]:
@@ -38,10 +39,10 @@ def embed_chunks(chunks: DataFrame, encoder=HashedTokens) -> tuple[DataFrame, Da
 
 
 def ingest(docs: DataFrame, replies: DataFrame, summaries: DataFrame | None = None, config: Config = DEFAULT, encoder=HashedTokens) -> DataFrame:
-    """The chunk table of a set of documents, ready to be written."""
-    chunks = chunk_documents(docs, summaries, config)
-    named = fill_item_name(chunks, name_documents(docs, replies))
-    return embed_chunks(named, encoder)[0].select("chunk_id", "doc_id", "chunk_no", "title", "content", "file_title", "parent_title", "item_name", "dense_vector", "sparse_vector")
+    """The chunk table of a set of documents, ready to be written. The name is joined to the document, before it is cut: nothing is joined to chunks, and the exchange
+    of that join serves the cutting too."""
+    named = name_documents(docs.select("doc_id", "file_title", "md_content"), replies)
+    return embed_chunks(chunk_documents(named, summaries, config, ("item_name",)), encoder)[0].select("chunk_id", "doc_id", "chunk_no", "title", "content", "file_title", "parent_title", "item_name", "dense_vector", "sparse_vector")
 
 
 def image_requests(docs: DataFrame, images: DataFrame, config: Config = DEFAULT, by_suffix: bool = True) -> tuple[DataFrame, DataFrame]:

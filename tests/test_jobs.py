@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import itertools
+import random
+import re
+from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import functions as F
 
+from lorewell.catalog.registry import queries as catalog
 from lorewell.functions.encoders import HashedTokens
 from lorewell.operators.history import clear_sessions, session_history, turns_to_messages, upsert_messages
 from lorewell.operators.tasklog import task_rollup
@@ -16,7 +19,9 @@ from lorewell.plans.retrieve import answer_requests, retrieve
 from lorewell.schemas import MESSAGES
 from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, route_files, write_chunks, write_chunks_json, write_messages
 from lorewell.streaming.files import ingest_stream
-from lorewell.streaming.tasks import fold, summary, task_rollup_stream
+from lorewell.streaming.tasks import Step, summary, task_rollup_stream
+
+from .conftest import DATA
 
 
 def manual(tmp_path, n=3):
@@ -93,7 +98,7 @@ def test_task_stream_equals_batch(spark, tmp_path):
     rows = [("t", "a", "start", at(1), None), ("t", "b", "start", at(4), None), ("t", "a", "done", at(3), 1.5), ("t", "a", "start", at(2), None), ("u", "a", "done", at(5), 2.0), ("u", None, "completed", at(6), None)]
     for i, part in enumerate((rows[::2], rows[1::2])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
-        stream = task_rollup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "events")))
+        stream = task_rollup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "events")), names={})
         seen = {}
         query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({r.task_id: r for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -102,7 +107,7 @@ def test_task_stream_equals_batch(spark, tmp_path):
     final = first | seen
     batch = {r.task_id: r for r in task_rollup(spark.createDataFrame(rows, schema), names={}).collect()}
     for k, r in batch.items():
-        assert (final[k].status, final[k].running_list, final[k].done_list, final[k].total_seconds) == (r.status, r.running_list, r.done_list, r.total_seconds)
+        assert final[k] == r
 
 
 def test_repeated_running_steps(spark):
@@ -112,12 +117,43 @@ def test_repeated_running_steps(spark):
     rows = [("t", "a", "start", at(1), None), ("t", "a", "done", at(2), 1.0), ("t", "b", "start", at(3), None), ("t", "a", "start", at(4), None), ("t", "a", "start", at(5), None)]
     (r,) = task_rollup(spark.createDataFrame(rows, schema), names={}).collect()
     assert r.running_list == ["b", "a"] and r.done_list == ["a"]
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-    for seed in range(6):
-        log = {"status": [-1, ""], "nodes": {}}
-        for _, event in frame.sample(frac=1, random_state=seed).iterrows():
-            log = fold(log, event.to_frame().T.astype({"ts": "datetime64[ns]", "duration": "float64"}))
-        assert summary("t", log)["running_list"][0] == ["b", "a"]
+    for order in itertools.permutations(rows):
+        steps: dict[str, Step] = {}
+        for _, node, event, ts, duration in order:
+            steps[node] = steps.get(node, Step()).after(int(ts.timestamp() * 1e6), event, duration)
+        assert summary("t", "processing", steps, 7)["running_list"][0] == ["b", "a"]
+
+
+def test_settled_starts_are_one():
+    """Of the starts that no late finish can tell apart one stays, whatever their number, and nothing changes by it."""
+    rng = random.Random(4)
+    events = [(i, rng.choice(("start", "start", "done", "fail")), 1.0) for i in range(300)]
+    plain = kept = Step()
+    for at in range(0, 300, 20):
+        for e in rng.sample(events[at : at + 20], 20):
+            plain, kept = plain.after(*e), kept.after(*e, settled=at)
+            assert plain.starts[:1] == kept.starts[:1] and plain[:4] == kept[:4]
+    for i in range(1000, 2000):
+        kept = kept.after(i, "start", None, settled=i)
+    assert len(kept.starts) <= 3
+
+
+def test_idle_tasks_are_forgotten(spark, tmp_path):
+    schema = "task_id string, node string, event string, ts timestamp, duration double"
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    batches = [
+        [("t", "a", "done", at(0), 1.0), ("u", "a", "done", at(0), 1.0)],
+        [("u", "b", "done", at(50), 1.0)],
+        [("v", "a", "start", at(100), None)],
+        [("v", "b", "start", at(101), None)],  # by now the watermark has passed t's time, not u's
+        [("t", "c", "done", at(100), 1.0), ("u", "c", "done", at(100), 1.0)],
+    ]
+    seen = {}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        stream = task_rollup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "events")), late="10 minutes", idle_minutes=60, names={})
+        stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({r.task_id: r for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen["t"].done_list == ["c"] and seen["u"].done_list == ["a", "b", "c"] and seen["v"].running_list == ["a", "b"]
 
 
 def test_history_with_repeated_ids(spark):
@@ -180,3 +216,24 @@ def test_whole_answer_job(spark):
     assert got[2].route == "clarify" and len(got[2].options) == 3 and got[2].prompt is None and got[2].answer
     assert got[3].route == got[5].route == "apologise"
     assert got[4].item_names == ["pump 2", "pump 3"] and "valve 2" in got[4].prompt and "valve 3" in got[4].prompt and got[4].prompt.endswith("q4")
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunker_has_one_exchange_and_each_udf_once(spark):
+    plan = executed(catalog()["merged_chunks"](spark, str(DATA)))
+    assert len(re.findall(r"\bExchange\b", plan)) == 1 and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    plan = executed(catalog()["ingest_job"](spark, str(DATA)))
+    assert len(re.findall(r"\bExchange\b", plan)) == 2 and plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython [") == 1
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan
+    assert executed(catalog()["long_section_pieces"](spark, str(DATA))).count("ArrowEvalPython [") == 2
+
+
+def test_chunks_of_broken_documents(spark):
+    """Null texts, repeated replies, and a column named like one of the job's."""
+    docs = spark.createDataFrame([(1, "a", "# T\nbody", "mine"), (2, "b", None, "own"), (3, "c", "", None), (4, "d", "x" * 5000, "z")], "doc_id long, file_title string, md_content string, item_name string")
+    replies = spark.createDataFrame([(1, "N"), (1, "M"), (2, None), (4, "UNKNOWN")], "doc_id long, answer string")
+    rows = ingest(docs, replies).select("doc_id", "chunk_no", "title", "item_name").orderBy("doc_id", "chunk_no").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "T", "N"), (4, 0, "d(1)", "d"), (4, 1, "d(2)", "d"), (4, 2, "d(3)", "d")]
