@@ -102,6 +102,18 @@ sections AS (SELECT doc_id, sec_no::INT AS sec_no, level::INT AS level, coalesce
              FROM g WHERE nullif(heading, '') IS NOT NULL OR body <> ''),
 chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec_no) - 1)::INT AS chunk_no, title, '## ' || title || chr(10) || chr(10) || body AS content, file_title, parent_title FROM sections)"""
 
+
+def merged_sql(limit: int) -> str:
+    """Sections, numbered, and the group that each is merged into."""
+    fits = f"r.pending AND r.parent = o.parent_title AND r.held + length(o.body) + 2 <= {limit}"
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no) AS k FROM sections),
+r AS (SELECT doc_id, k, 0 AS grp, length(body) AS held, length(body) <= 500 AS pending, parent_title AS parent FROM o WHERE k = 1
+      UNION ALL
+      SELECT o.doc_id, o.k, CASE WHEN {fits} THEN r.grp ELSE r.grp + 1 END, CASE WHEN {fits} THEN r.held + length(o.body) + 2 ELSE length(o.body) END,
+             CASE WHEN {fits} THEN true ELSE length(o.body) <= 500 END, o.parent_title
+      FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)"""
+
+
 _CONTEXTS = """c AS (SELECT doc_id, chunk_no + 1 AS i, '【切片】-' || (chunk_no + 1) || '-' || regexp_replace(content, '!\\[[^\\S\\n]*([^\\]\\n]*?)[^\\S\\n]*\\]\\([^()\\n]*(?:\\([^()\\n]*\\)[^()\\n]*)*\\)', '\\1', 'g') AS line FROM chunks WHERE chunk_no < 3),
 s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM c),
 x AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS context FROM s WHERE total <= 2500 GROUP BY doc_id)"""
@@ -113,14 +125,7 @@ SQL = {
 SELECT doc_id, count(*) AS sections, count(*) AS chunks, sum(length(content))::BIGINT AS total_chars, max(length(content))::INT AS max_chars, min(length(content))::INT AS min_chars,
        (sum(length(content)) // count(*))::BIGINT AS mean_chars FROM chunks GROUP BY doc_id""",
     "section_too_long": f"WITH {SECTIONS} SELECT doc_id, sec_no, length(body)::INT AS body_chars, length(title) + 2 + length(body) > 2000 AND length(title) + 2 < 2000 AS too_long FROM sections",
-    "merged_sections": f"""WITH RECURSIVE {SECTIONS},
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no) AS k FROM sections),
-r AS (SELECT doc_id, k, 0 AS grp, length(body) AS held, length(body) <= 500 AS pending, parent_title AS parent FROM o WHERE k = 1
-      UNION ALL
-      SELECT o.doc_id, o.k, CASE WHEN r.pending AND r.parent = o.parent_title AND r.held + length(o.body) + 2 <= 2000 THEN r.grp ELSE r.grp + 1 END,
-             CASE WHEN r.pending AND r.parent = o.parent_title AND r.held + length(o.body) + 2 <= 2000 THEN r.held + length(o.body) + 2 ELSE length(o.body) END,
-             CASE WHEN r.pending AND r.parent = o.parent_title AND r.held + length(o.body) + 2 <= 2000 THEN true ELSE length(o.body) <= 500 END, o.parent_title
-      FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+    "merged_sections": f"""WITH RECURSIVE {SECTIONS}, {merged_sql(2000)}
 SELECT doc_id, grp::INT AS sec_no, string_agg(title, ' / ' ORDER BY k) AS title, string_agg(body, chr(10) || chr(10) ORDER BY k) AS body, min(file_title) AS file_title, min(parent_title) AS parent_title
 FROM r JOIN o USING (doc_id, k) GROUP BY doc_id, grp""",
     "item_name_context": f"WITH {SECTIONS}, {_CONTEXTS} SELECT doc_id, context FROM x",

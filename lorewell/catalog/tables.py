@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import Config
 from ..plans.store import new_folder
 from ..sources.files import archive_originals, read_chunks, read_chunks_json, read_item_names, read_messages, write_chunk_batch, write_chunks, write_chunks_json, write_item_names, write_messages
+from ..streaming.files import committed, file_batch, ingest_stream
 from .base import table
 from .chats import messages
-from .segments import SECTIONS, plain_chunks
+from .segments import SECTIONS, marked, merged_sql, plain_chunks
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,26 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
 
 
+def arrived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Markdown file that a stream takes in, those over 10,000 bytes being too large; the first batch comes twice. Per file: its chunks, or why it
+    was rejected. Sections are never split here, which SQL couldn't restate."""
+    source, out, state = (new_folder(spark) for _ in range(3))
+    marked(spark, sf_dir).select("doc_id", "md_content").repartition(8, "doc_id").sortWithinPartitions("doc_id").write.partitionBy("doc_id").text(source)
+    config = Config(max_content_length=10**9)
+    ingest_stream(spark, source, out, state, config, most_bytes=10_000, pattern="*.txt").awaitTermination()
+    again = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    file_batch(again, out, 0, config, most_bytes=10_000)
+    chunks, rejected = committed(spark, out)
+    # the folder is the document's number; chunks know their file by its hash
+    names = again.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("file"))
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+    good = sizes.join(names, "doc_id").select("file", "chunks", "chars", F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("long")
+    return good.unionByName(rejected.join(names, "doc_id").select("file", none.alias("chunks"), none.alias("chars"), "reason"))
+
+
 QUERIES = {
+    "arrived_files": arrived_files,
     "chunks_by_json": chunks_by_json,
     "chunks_appended": chunks_appended,
     "chunk_batches": chunk_batches,
@@ -86,6 +107,12 @@ QUERIES = {
 _ROWS = f"WITH {SECTIONS} SELECT doc_id * 100000 + chunk_no AS chunk_id, doc_id, chunk_no, title, content, 'item ' || (doc_id % 50) AS item_name, length(content)::DOUBLE AS first, length(content) * 1.5::DOUBLE - 0.25::DOUBLE AS weight FROM chunks"
 
 SQL = {
+    "arrived_files": f"""WITH RECURSIVE {SECTIONS}, {merged_sql(10**9)},
+x AS (SELECT doc_id, grp, length('## ' || string_agg(title, ' / ') || chr(10) || chr(10)) + length(string_agg(body, chr(10) || chr(10))) AS n FROM r JOIN o USING (doc_id, k) GROUP BY doc_id, grp),
+b AS (SELECT doc_id, sum(strlen(line) + 1) AS bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+      LATERAL (SELECT CASE WHEN i % 5 = 0 AND regexp_matches(l, '\\S') THEN repeat('#', (1 + (i // 5) % 3)::INT) || ' ' || l ELSE l END AS line) GROUP BY doc_id)
+SELECT doc_id AS file, CASE WHEN bytes <= 10000 THEN count(grp) END AS chunks, CASE WHEN bytes <= 10000 THEN sum(n)::BIGINT END AS chars, CASE WHEN bytes > 10000 THEN 'too large' WHEN count(grp) = 0 THEN 'blank text' END AS reason
+FROM b LEFT JOIN x USING (doc_id) GROUP BY doc_id, bytes""",
     "chunks_by_json": _ROWS,
     "chunks_appended": _ROWS,
     "chunk_batches": _ROWS,

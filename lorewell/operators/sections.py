@@ -122,29 +122,38 @@ def _chunk(held: list) -> tuple[str, str, str]:
     return title, "## " + title + "\n\n" + "\n\n".join(held[1]), held[3]
 
 
-def chunk_sections(sections: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunk_sections(sections: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = (), report: bool = False) -> DataFrame:
     """(doc_id, chunk_no, title, content, file_title, parent_title, ..) from sections: split, merged and numbered in one pass over each document, in the exchange
-    that put its lines together. ``keep`` names columns of the document that its chunks have too."""
+    that put its lines together. ``keep`` names columns of the document that its chunks have too. With ``report`` a document that can't be cut doesn't fail the
+    job: it gives one row, without content, whose column ``error`` says why; for chunks that is null."""
     ordered = F.array_sort(F.collect_list(F.struct("sec_no", "title", "body", "parent_title")))
     own = ("file_title", *keep)
     per_doc = sections.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in own], ordered.alias("rows"))
     each = lambda c: F.transform("rows", lambda r: r[c]).alias("_" + c)
     per_doc = per_doc.select("doc_id", *own, *map(each, ("title", "body", "parent_title")))
     kinds = {f.name: f.dataType.simpleString() for f in per_doc.schema}
-    names = ["doc_id", *own, "chunk_no", "title", "content", "parent_title"]
+    names = ["doc_id", *own, "chunk_no", "title", "content", "parent_title", *["error"] * report]
+
+    def cut(row: list) -> list[tuple]:
+        try:
+            return [(*chunk, None) for chunk in chunk_document(*row, config)]
+        except Exception as e:  # whatever a text does to the splitter concerns its own document only
+            if not report:
+                raise
+            return [(None, None, None, f"{type(e).__name__}: {e}"[:500])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                made = [list(chunk_document(*(batch.column(c)[i].as_py() for c in ("_title", "_body", "_parent_title")), config)) for i in range(batch.num_rows)]
+                made = [cut([batch.column(c)[i].as_py() for c in ("_title", "_body", "_parent_title")]) for i in range(batch.num_rows)]
                 of = pa.array([i for i, rows in enumerate(made) for _ in rows], pa.int32())
                 number = pa.array([k for rows in made for k in range(len(rows))], pa.int32())
-                texts = [pa.array([row[j] for rows in made for row in rows], pa.string()) for j in range(3)]
+                texts = [pa.array([row[j] for rows in made for row in rows], pa.string()) for j in range(3 + report)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("doc_id", *own)), number, *texts], names)
 
-    chunks = per_doc.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names[: 1 + len(own)]] + ["chunk_no int, title string, content string, parent_title string"]))
-    return chunks.select("doc_id", "chunk_no", "title", "content", "file_title", "parent_title", *keep)
+    chunks = per_doc.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names[: 1 + len(own)]] + ["chunk_no int, title string, content string, parent_title string" + ", error string" * report]))
+    return chunks.select("doc_id", "chunk_no", "title", "content", "file_title", "parent_title", *keep, *["error"] * report)
 
 
 def assemble_chunks(sections: DataFrame) -> DataFrame:

@@ -16,9 +16,20 @@ MATRIX_QUERIES = 4096
 CHUNK_BLOCK = 8192
 
 
-def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = HashedTokens, batch: int = DEFAULT.embedding_batch, mode: str = "document") -> DataFrame:
+def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = HashedTokens, batch: int = DEFAULT.embedding_batch, mode: str = "document", retry: bool = False) -> DataFrame:
     """``df`` with dense_vector and sparse_vector. ``encoder`` makes the model, once per task, which is called with texts and ``mode`` ("document" or "query"); a
-    batch it fails on keeps its rows, without vectors. Only the text goes to the model; the other columns stay in the JVM."""
+    batch it fails on keeps its rows, without vectors; with ``retry`` the texts of such a batch are tried again one by one. Only the text goes to the model; the
+    other columns stay in the JVM."""
+
+    def encoded(model: Callable, texts: list[str]) -> tuple[list, list]:
+        try:
+            dense, sparse = model(texts, mode)
+            return list(dense), list(sparse)
+        except Exception:  # whatever the model raises, its rows are reported without vectors
+            if not retry or len(texts) == 1:
+                return [None] * len(texts), [None] * len(texts)
+        alone = [encoded(model, [t]) for t in texts]
+        return [d[0] for d, _ in alone], [s[0] for _, s in alone]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = encoder()
@@ -26,12 +37,9 @@ def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = Hashed
             dense, sparse = [], []
             for at in range(0, len(whole), batch):
                 texts = ["" if t is None else t for t in whole.iloc[at : at + batch]]
-                try:
-                    d, s = model(texts, mode)
-                except Exception:  # whatever the model raises, its rows are reported without vectors
-                    d, s = [None] * len(texts), [None] * len(texts)
-                dense += list(d)
-                sparse += list(s)
+                d, s = encoded(model, texts)
+                dense += d
+                sparse += s
             yield pd.DataFrame({"dense": pd.Series(dense, dtype="object"), "sparse": pd.Series(sparse, dtype="object")})
 
     # nondeterministic, or a filter on the vectors would run the model again

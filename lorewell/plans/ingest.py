@@ -12,13 +12,15 @@ from ..operators.images import image_context, match_images, replace_image_links
 from ..operators.items import item_name_context
 from ..operators.sections import chunk_sections, split_by_headings
 from ..operators.vectors import embed
+from .store import once
 
 
-def chunk_documents(docs: DataFrame, summaries: DataFrame | None = None, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, file_title, md_content, ..) -> chunks, with those columns of the document that ``keep`` names. One exchange, of the lines by document."""
+def chunk_documents(docs: DataFrame, summaries: DataFrame | None = None, config: Config = DEFAULT, keep: tuple[str, ...] = (), report: bool = False) -> DataFrame:
+    """(doc_id, file_title, md_content, ..) -> chunks, with those columns of the document that ``keep`` names. One exchange, of the lines by document. ``report``: see
+    ``chunk_sections``."""
     if summaries is not None:
         docs = replace_image_links(docs, summaries)
-    return chunk_sections(split_by_headings(docs, keep), config, keep)
+    return chunk_sections(split_by_headings(docs, keep), config, keep, report)
 
 
 def name_documents(docs: DataFrame, replies: DataFrame) -> DataFrame:
@@ -45,6 +47,18 @@ def ingest(docs: DataFrame, replies: DataFrame, summaries: DataFrame | None = No
     return embed_chunks(chunk_documents(named, summaries, config, ("item_name",)), encoder)[0].select("chunk_id", "doc_id", "chunk_no", "title", "content", "file_title", "parent_title", "item_name", "dense_vector", "sparse_vector")
 
 
+def ingest_reported(docs: DataFrame, replies: DataFrame, config: Config = DEFAULT, encoder=HashedTokens) -> tuple[DataFrame, DataFrame]:
+    """(chunk table, (doc_id, chunk_no, reason)): as ``ingest``, but what can't be cut or embedded is reported in the second table and stops nothing. Computed
+    once, for both."""
+    named = name_documents(docs.select("doc_id", "file_title", "md_content"), replies)
+    rows = chunk_documents(named, None, config, ("item_name",), report=True)
+    rows = rows.withColumn("_input", F.when(F.col("error").isNull(), embedding_input(F.col("item_name"), F.col("content"))))
+    done = once(embed(rows, "_input", encoder, retry=True).drop("_input"))
+    whole = F.coalesce((F.size("dense_vector") > 0) & (F.size("sparse_vector") > 0), F.lit(False)) & F.col("error").isNull()
+    chunks = done.filter(whole).select(F.xxhash64("doc_id", "chunk_no").alias("chunk_id"), "doc_id", "chunk_no", "title", "content", "file_title", "parent_title", "item_name", "dense_vector", "sparse_vector")
+    return chunks, done.filter(~whole).select("doc_id", "chunk_no", F.coalesce("error", F.lit("no vectors")).alias("reason"))
+
+
 def image_requests(docs: DataFrame, images: DataFrame, config: Config = DEFAULT, by_suffix: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, name, path, heading, up_text, down_text) of the images that documents refer to, for a model to summarise, and the images they don't."""
     used, unused = match_images(docs, images, by_suffix)

@@ -7,18 +7,21 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorewell.catalog.registry import queries as catalog
+from lorewell.config import Config
 from lorewell.functions.encoders import HashedTokens
 from lorewell.operators.history import clear_sessions, session_history, turns_to_messages, upsert_messages
+from lorewell.operators.sections import chunk_sections, split_by_headings
 from lorewell.operators.tasklog import task_rollup
 from lorewell.operators.vectors import embed
 from lorewell.plans.ingest import chunk_documents, embed_chunks, image_links, image_requests, ingest, tables_to_review
 from lorewell.plans.retrieve import answer_requests, retrieve
 from lorewell.schemas import MESSAGES
 from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, route_files, write_chunks, write_chunks_json, write_messages
-from lorewell.streaming.files import ingest_stream
+from lorewell.streaming.files import committed, file_batch, ingest_stream
 from lorewell.streaming.tasks import Step, summary, task_rollup_stream
 
 from .conftest import DATA
@@ -90,6 +93,8 @@ def test_file_stream_equals_batch(spark, tmp_path):
     batch = chunk_documents(read_markdown(spark, f"{root}/*.md"))
     assert read_chunks(spark, out).select("content").exceptAll(batch.select("content")).count() == 0
     assert read_chunks(spark, out).count() == batch.count() == 4
+    assert {r.doc_id for r in read_chunks(spark, out).collect()} == {r.doc_id for r in batch.collect()}
+    assert {r.file_title for r in read_chunks(spark, out).collect()} == {"手册 0", "手册 1", "手册 2", "late"}
 
 
 def test_task_stream_equals_batch(spark, tmp_path):
@@ -237,3 +242,80 @@ def test_chunks_of_broken_documents(spark):
     replies = spark.createDataFrame([(1, "N"), (1, "M"), (2, None), (4, "UNKNOWN")], "doc_id long, answer string")
     rows = ingest(docs, replies).select("doc_id", "chunk_no", "title", "item_name").orderBy("doc_id", "chunk_no").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "T", "N"), (4, 0, "d(1)", "d"), (4, 1, "d(2)", "d"), (4, 2, "d(3)", "d")]
+
+
+class Refuses(HashedTokens):
+    def __call__(self, texts, mode="document"):
+        if any("unspeakable" in t for t in texts):
+            raise RuntimeError("no")
+        return super().__call__(texts, mode)
+
+
+def test_broken_files_stop_nothing(spark, tmp_path, monkeypatch):
+    """Of a batch with broken files the others are kept; a batch that is repeated, or that stopped before its commit, loses and doubles nothing."""
+    root = tmp_path / "in"
+    root.mkdir()
+    good = {f"100% +g{i}": f"# title {i}\nbody {i}" for i in range(6)}
+    for name, text in good.items():
+        (root / f"{name}.md").write_text(text)
+    (root / "bytes.md").write_bytes(b"# T\n\xff\xfe")
+    (root / "blank.md").write_text(" \n")
+    (root / "long.md").write_text("x" * 5000)
+    (root / "mute.md").write_text("# T\nunspeakable")
+    (root / "cursed.md").write_text("# T\n<table>" + "y" * 3000)
+    out = str(tmp_path / "out")
+    ingest_stream(spark, str(root), out, str(tmp_path / "state"), Config(max_content_length=2000), encoder=Refuses, most_bytes=4000, files_per_batch=4).awaitTermination()
+    chunks, rejected = committed(spark, out)
+    got = sorted((r.file_title, r.content) for r in chunks.collect())
+    assert [g for g in got if g[0] in good] == sorted((k, "## " + t.replace("# ", "").replace("\n", "\n\n")) for k, t in good.items())
+    why = {r.path.split("/")[-1]: r.reason for r in rejected.collect()}
+    assert why == {"bytes.md": "not UTF-8", "blank.md": "blank text", "long.md": "too large", "mute.md": "no vectors"}
+    # a batch again, as after a failure between its commit and the stream's own record of it
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(str(root)).select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    file_batch(files, out, 0, encoder=Refuses, most_bytes=4000)
+    assert committed(spark, out)[0].count() == len(got)
+    # a batch that stops before its commit isn't seen, and is written anew when it is repeated
+    def stop(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr("lorewell.streaming.files.commit_folder", stop)
+    with pytest.raises(OSError):
+        file_batch(files, out, 99)
+    monkeypatch.undo()
+    monkeypatch.setattr("lorewell.streaming.files.write_chunk_batch", stop)
+    with pytest.raises(OSError):
+        file_batch(files, out, 99)
+    assert committed(spark, out)[0].count() == len(got) and committed(spark, out)[1].count() == 4
+    monkeypatch.undo()
+    file_batch(files, out, 99, most_bytes=4000)
+    assert committed(spark, out)[0].count() == 2 * len(got) + 1  # this encoder refuses nothing
+
+
+def test_documents_that_cannot_be_cut(spark):
+    docs = spark.createDataFrame([(1, "a", "# T\nfine"), (2, "b", "# T\n<table>" + "z" * 100)], "doc_id long, file_title string, md_content string")
+    sections = split_by_headings(docs)
+
+    rows = chunk_sections(sections, Unsplittable(), report=True).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.content, r.error) for r in rows] == [(1, "## T\n\nfine", None), (2, None, "ZeroDivisionError: no room")]
+    with pytest.raises(Exception, match="no room"):
+        chunk_sections(sections, Unsplittable()).collect()
+
+
+class Unsplittable(Config):
+    """Limits that can't be read for a long body."""
+
+    class Limit(int):
+        def __sub__(self, other):
+            return Unsplittable.Limit(int(self) - other)
+
+        def __gt__(self, other):
+            return True
+
+        def __lt__(self, other):
+            if other > 50:
+                raise ZeroDivisionError("no room")
+            return False
+
+    def __init__(self):
+        object.__setattr__(self, "max_content_length", Unsplittable.Limit(2000))
+        object.__setattr__(self, "min_content_length", 500)
