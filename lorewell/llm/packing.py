@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .tokens import default_path, encode
-from .work import read_table, stored
+from .work import read_table, row_count, stored
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -77,9 +77,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 1024, attentio
 
     ``attention``: the most sum of squared lengths in a sequence; by default capacity^2, which never binds. Lengths must lie in 1..capacity.
     Repeated rows are pieces of their own; further columns pass through; an empty table gives an empty result. Sequence numbers are
-    distinct over all groups: the group in the upper bits, the number within it in the lower 32.
+    distinct over all groups: the group in the upper bits, the number within it in the lower 32. The pieces are written first, and dealt by their place in what was
+    written; the result reads nothing else.
     """
-    groups = max(1, -(-pieces.count() // group_pieces))
+    deal, group = ("_deal", "_group")
+    while deal in pieces.columns or group in pieces.columns:
+        deal, group = deal + "_", group + "_"
+    # by its place in the table, so that rows without id, or of one id, are dealt out like others
+    kept = stored(pieces.withColumn(deal, F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    groups = max(1, -(-row_count(kept) // group_pieces))
     caps = (float(capacity), float(max_docs), float(attention or capacity**2))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,19 +97,18 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 1024, attentio
         new = np.r_[True, np.diff(bins[order]) != 0]
         offset = np.empty(len(n), np.int64)
         offset[order] = ahead - np.maximum.accumulate(np.where(new, ahead, 0))
-        pdf["sequence_id"] = (pdf["_group"].to_numpy().astype(np.int64) << 32) | bins
+        pdf["sequence_id"] = (pdf[group].to_numpy().astype(np.int64) << 32) | bins
         pdf["offset"] = offset
-        return pdf.drop(columns="_group")
+        return pdf.drop(columns=group)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("_group").applyInPandas(run, schema)
+    return kept.withColumn(group, F.pmod(F.col(deal), F.lit(groups))).drop(deal).groupBy(group).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, **options) -> DataFrame:
     """Tokenise whole texts (null: empty, one end id), cut what is longer than ``capacity`` and pack all pieces. A null id stays null.
     Other columns of ``docs`` are ignored."""
-    pieces = stored(token_pieces(docs, capacity, end_id, vocabulary or default_path()), "pieces")
-    return pack(pieces, capacity, **options)
+    return pack(token_pieces(docs, capacity, end_id, vocabulary or default_path()), capacity, **options)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
