@@ -7,14 +7,15 @@ running sums over the sources sorted by that ratio, without a loop.
 
 Repetitions. A source with target t and size s takes floor(t / s) whole copies of each document, and the rest of t from its documents in a
 seeded hash order: whole documents, and of the one at the boundary as many leading words as are missing. The order is found without sorting a
-source in one task: hash buckets of about ``bucket_docs`` documents, prefix sums over the buckets, and a running sum inside each.
+source in one task: hash buckets of about ``bucket_docs`` documents, prefix sums over the buckets, and a running sum inside each. Rows without id, or many of
+one id, share a bucket; one that holds over eight times its share is dealt into lots by the rows' places in a stored table, and the sums go over lots.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .work import WORD, read_table, stored
+from .work import WORD, read_table, row_count, stored
 
 
 def word_count(text: Column) -> Column:
@@ -50,17 +51,27 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     )
 
 
+def in_lots(placed: DataFrame, room: int) -> DataFrame:
+    """``placed`` (source_key, bucket, _place, ..) with ``lot``, of about ``room`` rows; a bucket with no more than that is one lot."""
+    # one in ``room`` rows at most
+    full = stored(placed.groupBy("source_key", "bucket").count().filter(F.col("count") > room).select("source_key", "bucket", F.ceil(F.col("count") / room).alias("lots")), "full-buckets")
+    if not row_count(full):
+        return placed.withColumn("lot", F.lit(0).cast("long"))
+    return placed.join(full, ["source_key", "bucket"], "left").withColumn("lot", F.pmod("_place", F.coalesce("lots", F.lit(1)))).drop("lots")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, bucket_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, copies (whole repetitions) and part (leading words of one more).
 
     Sources in code-point order, null last, weigh ``weights`` in turn. A null text has size 0; a source without words gets target 0 and its
     documents take nothing; an empty table gives an empty result. Rows that repeat an id are documents of their own; equal rows of one
     source take their words in no particular order, the sum being the same. Other columns are ignored, but ``row_col``, which tells rows
-    apart, is passed through if given. Reruns agree, whatever the partitioning.
+    apart, is passed through if given. Reruns agree, whatever the partitioning; only where thousands of rows have no id, or one id, do they depend on the order of
+    the input too.
     """
     own = [row_col] if row_col else []
     key = F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("u"), *own).withColumn("source_key", key).drop("source"), "mix-sizes")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("u"), *own).withColumns({"source_key": key, "_place": F.xxhash64(F.monotonically_increasing_id())}).drop("source"), "mix-sizes")
     sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     turn = (F.row_number().over(Window.orderBy("source_key")) - 1) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))
@@ -70,14 +81,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 
     # the plan has a row per source: small, and AQE splits a join whose key is a hot source
     placed = rows.join(plan, "source_key").withColumn("bucket", F.pmod(F.shiftright("u", 8), F.col("buckets")))
-    sums = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("bucket_before", before).drop("bucket_size")
-    inner = Window.partitionBy("source_key", "bucket").orderBy("u", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("bucket_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
+    placed = in_lots(placed, 8 * bucket_docs)
+    lot = ["source_key", "bucket", "lot"]
+    sums = placed.groupBy(*lot).agg(F.sum("size").alias("lot_size"))
+    before = F.coalesce(F.sum("lot_size").over(Window.partitionBy("source_key").orderBy("bucket", "lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("lot_before", before).drop("lot_size")
+    inner = Window.partitionBy(*lot).orderBy("u", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("lot_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("ahead")))
     return (
-        placed.join(sums, ["source_key", "bucket"])
+        placed.join(sums, lot)
         .withColumn("ahead", ahead)
         .withColumn("part", part)
         .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part", *own)
