@@ -38,7 +38,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     A null text counts as empty, a null role as ''; of several roles the last one set holds. Null ids form a conversation, a null turn or seq sorts
     first. Equal ``seq`` values in one message are taken in the order of their texts. Rows that repeat an event are applied as often as they
-    stand there. Further columns are ignored.
+    stand there. Further columns are ignored, whatever their names; an empty log gives no message. A text may be of any length, in any number of deltas.
     """
     # within a conversation, ordered by turn: the latest regeneration of this turn or an earlier one
     by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
@@ -56,22 +56,20 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): the whole conversation and the code-point spans [start, end) under the loss mask, one per assistant text."""
+    """(conv_id, formatted, loss_spans): the whole conversation and the code-point spans [start, end) under the loss mask, one per assistant text, from one row per
+    (conv_id, turn). Other columns are ignored; the time is linear in the turns and in their texts."""
     role, text = F.col("role"), escape(F.col("text"))
     opened = F.when(role == "system", MARKS["system"][0]).when(role == "user", MARKS["user"][0]).when(role == "assistant", MARKS["assistant"][0]).otherwise(F.concat(F.lit("[ROLE]"), escape(role), F.lit("[TEXT]")))
     closed = F.when(role == "system", MARKS["system"][1]).when(role == "user", MARKS["user"][1]).when(role == "assistant", MARKS["assistant"][1]).otherwise("[/ROLE]")
-    turns = messages.select("conv_id", F.struct(F.col("turn"), (role == "assistant").alias("loss"), opened.alias("opened"), text.alias("text"), closed.alias("closed")).alias("m"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    step = F.aggregate(
-        "ms",
-        F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["opened"]) + F.length(m["text"]) + F.length(m["closed"])).alias("at"),
-            F.when(m["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(m["opened"])).alias("start"), (acc["at"] + F.length(m["opened"]) + F.length(m["text"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return whole.select("conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("ms", lambda m: F.concat(m["opened"], m["text"], m["closed"])), "")).alias("formatted"), step.alias("loss_spans"))
+    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    turns = messages.select("conv_id", "turn", (role == "assistant").alias("loss"), opened.alias("opened"), text.alias("text"), closed.alias("closed"))
+    length = F.length("opened") + F.length("text") + F.length("closed")
+    start = F.lit(len("<s>")) + F.coalesce(F.sum(length).over(before), F.lit(0)) + F.length("opened")
+    placed = turns.select("conv_id", F.struct(start.alias("start"), "loss", "opened", "text", "closed").alias("m"))
+    # the order of turns is that of their places
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    spans = F.transform(F.filter("ms", lambda m: m["loss"]), lambda m: F.struct(m["start"].cast("int").alias("start"), (m["start"] + F.length(m["text"])).cast("int").alias("end")))
+    return whole.select("conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("ms", lambda m: F.concat(m["opened"], m["text"], m["closed"])), "")).alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -98,11 +96,11 @@ def chat_format(events: DataFrame) -> DataFrame:
 
 def conversation_events(rows: DataFrame, chunk: int = 256) -> DataFrame:
     """The log that would have streamed these finished rows: an opening event per row, then its text in deltas of ``chunk`` code points. Rows are taken
-    in the order of turn, role and text."""
+    in the order of turn, role and text; a null text is an opening event alone. A text is cut by one pass over it."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     text = F.coalesce("text", F.lit(""))
     numbered = rows.select("conv_id", "role", text.alias("text"), F.row_number().over(order).cast("long").alias("turn"))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(chunk)), lambda at: F.substr(F.col("text"), at + 1, F.lit(chunk)))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{chunk}}})"), F.lit(1))
     deltas = F.concat(F.array(F.struct(F.lit("message").alias("event"), F.lit("").alias("text"))), F.transform(pieces, lambda p: F.struct(F.lit("delta").alias("event"), p.alias("text"))))
     return numbered.select("conv_id", "turn", "role", F.posexplode(deltas).alias("n", "e")).select("conv_id", (F.col("turn") * F.lit(1 << 32) + F.col("n")).alias("seq"), "e.event", "turn", "role", "e.text")
 
