@@ -56,7 +56,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids_repeat = not slim.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty()
     lines = line_hashes(slim.filter(f"doc_id is not null and octet_length(text) >= {min_chars}"), min_chars)
-    lines = lines.distinct() if ids_repeat else lines
+    # written, since they are read twice and the texts are hashed once
+    lines = stored(lines.distinct() if ids_repeat else lines, "line-hashes")
     common = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).filter(F.col("n") >= min_docs)
     # written, so that both sides of the join are plain exchanges, which AQE can split at a hot line
     common = stored(common.select("h1", "h2", "keep_id"), "common-lines")
