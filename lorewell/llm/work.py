@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -19,6 +21,7 @@ BROADCAST_BYTES = 32 << 20
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _rows: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 _marked: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +75,8 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[back], _rows[back] = path, seen.get["rows"]
+    for tables in _scopes:
+        tables.append(back)
     return back
 
 
@@ -80,9 +85,22 @@ def row_count(table: DataFrame) -> int:
     return _rows[table]
 
 
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables stored inside of a ``with`` block, also by what it calls, for ``drop``."""
+    tables: list[DataFrame] = []
+    _scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not tables]
+
+
 def drop(*tables: DataFrame) -> None:
-    """Delete stored tables. Nothing that is still to be computed may read them."""
+    """Delete stored tables; those that were deleted before are passed over. Nothing that is still to be computed may read them."""
     for t in tables:
+        if t not in _paths:
+            continue
         at, fs = _hadoop(t.sparkSession, _paths.pop(t))
         fs.delete(at, True)
 

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorewell.llm import lexical, merkle, registry, simhash, suffix_array as suffix_array_module, suffix_dedup as suffix_dedup_module
+from lorewell.llm import lexical, merkle, mixing as mixing_module, registry, simhash, suffix_array as suffix_array_module, suffix_dedup as suffix_dedup_module
 from lorewell.llm.chat_format import chat_format, conversation_events, escape, fold_events, parse, read_back, unescape
 from lorewell.llm.components import components
 from lorewell.llm.exact_dedup import exact_dedup
@@ -31,7 +32,7 @@ from lorewell.llm.suffix_dedup import suffix_dedup
 from lorewell.llm.token_counts import count_tokens, read_token_files, token_counts
 from lorewell.llm.toxicity import Model, Settings, fit, score, toxicity, training_texts
 from lorewell.llm.tokens import SPECIAL, SPECIAL_ID, default_path, encode
-from lorewell.llm.work import drop, numbered, row_count, small, stored
+from lorewell.llm.work import drop, numbered, own_dir, row_count, small, stored, tables_made
 
 from ..conftest import DATA, same_rows
 
@@ -991,3 +992,96 @@ def test_small_manifests(spark, tmp_path, n):
     spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = merkle.op13_merkle_manifest(spark, str(tmp_path)).collect()
     assert sorted(repr(tuple(r)) for r in found) == (py_manifest(rows) if n else [])
+
+
+# --- many rows without id, long texts, nothing left behind -----------------------------------------------------------------
+
+
+def py_best_fit(lengths, caps, weights, rule):
+    """The bins by the plain rule: longest piece first; of the open bins that bear it the best, the first of equals by opening."""
+    bins, rooms = [None] * len(lengths), []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[i], 1.0, float(lengths[i]) ** 2)
+        best = None
+        for b, room in enumerate(rooms):
+            if all(r >= n for r, n in zip(room, need)):
+                if rule == "dot":
+                    score = sum(w * r * n / c**2 for w, r, n, c in zip(weights, room, need, caps))
+                else:
+                    score = -sum(w * (r - n) ** 2 / c**2 for w, r, n, c in zip(weights, room, need, caps))
+                if best is None or score > best[0] + 1e-12:
+                    best = (score, b)
+        if best is None:
+            rooms.append(list(caps))
+            best = (0, len(rooms) - 1)
+        rooms[best[1]] = [r - n for r, n in zip(rooms[best[1]], need)]
+        bins[i] = best[1]
+    return bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(64.0, 64.0, 4096.0), (64.0, 3.0, 4096.0), (64.0, 9.0, 1500.0)])
+def test_best_fit_against_a_plain_loop(rule, caps):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 40, 200):
+        # distinct lengths in the first case, so that ties can't hide behind equal bins; then repeated ones
+        for lengths in (rng.permutation(np.arange(1, 39))[:n], rng.integers(1, 39, n)):
+            own = best_fit(lengths, caps, (1.0, 0.3, 0.2), rule)
+            plain = py_best_fit(lengths.tolist(), caps, (1.0, 0.3, 0.2), rule)
+            loads = lambda bins: sorted(sorted(int(lengths[i]) for i in range(len(lengths)) if bins[i] == b) for b in set(bins))
+            assert loads(own.tolist()) == loads(plain)
+
+
+def test_packing_deals_rows_without_id(spark):
+    pieces = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 700 + 1).alias("length"), F.lit(1).cast("long").alias("ids_crc32"), F.col("id").alias("_deal"))
+    packed = pack(pieces, group_pieces=5000)
+    groups = packed.groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("g")).count().collect()
+    assert len(groups) == 20 and max(r["count"] for r in groups) < 5500 and "_deal" in packed.columns
+    spans = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).filter("n > 1024 or n <> end")
+    assert spans.count() == 0 and packed.count() == 100_000
+
+
+def test_mixing_deals_rows_without_id(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    mixed = mix(rows, bucket_docs=100)
+    sums = mixed.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 3 and r["most"] <= 3 for r in sums) and mixed.count() == 100_000
+    placed = rows.select(F.col("source").alias("source_key"), F.lit(0).alias("bucket"), F.xxhash64(F.monotonically_increasing_id()).alias("_place"))
+    lots = mixing_module.in_lots(placed, 800).groupBy("source_key", "lot").count().collect()
+    assert len(lots) == 126 and max(r["count"] for r in lots) < 1000
+
+
+def test_long_texts_and_many_turns(spark):
+    """Four million code points in one message and twenty thousand turns in one conversation, in seconds."""
+    long = "aé漢🙂 </s>" * 444_445
+    rows = spark.createDataFrame([(1, 0, "assistant", long, 5, "s"), (1, 1, "user", "ok", 6, "t")], "conv_id long, turn long, role string, text string, seq int, event string")
+    many = spark.range(20_000).select(F.lit(2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"), F.lit(0).alias("seq"), F.lit("x").alias("event"))
+    began = time.time()
+    out = chat_format(conversation_events(rows.unionByName(many)).withColumns({"m": F.lit(1), "loss": F.lit(True), "formatted": F.lit("")})).collect()
+    assert time.time() - began < 60
+    by_id = {r["conv_id"]: r for r in out}
+    assert parse(by_id[1]["formatted"]) == [("assistant", long), ("user", "ok")]
+    (span,) = by_id[1]["loss_spans"]
+    assert unescape(by_id[1]["formatted"][span["start"] : span["end"]]) == long
+    assert parse(by_id[2]["formatted"]) == [("user" if i % 2 == 0 else "assistant", str(i)) for i in range(20_000)]
+    assert "".join(by_id[2]["formatted"][s["start"] : s["end"]] for s in by_id[2]["loss_spans"]) == "".join(str(i) for i in range(1, 20_000, 2))
+
+
+def test_pipeline_leaves_nothing_behind(spark):
+    import corpus_pipeline
+
+    here = own_dir(spark).removeprefix("file:")
+    before = set(os.listdir(here))
+    packed = corpus_pipeline.run(spark, str(DATA))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(here)) - before} == {"pieces"}
+    assert packed.count() > 0
+
+
+def test_tables_made(spark):
+    with tables_made() as outer:
+        a = stored(spark.range(3), "a")
+        with tables_made() as inner:
+            b = stored(spark.range(4), "b")
+    assert [t is x for t, x in zip(outer, (a, b))] == [True, True] and len(inner) == 1 and inner[0] is b
+    drop(a, a, b)
+    drop(*outer)
