@@ -15,7 +15,7 @@ from lorewell.llm.mixing import apply_mix, mix
 from lorewell.llm.ngram_join import Rule, ngram_join
 from lorewell.llm.packing import pack_documents
 from lorewell.llm.toxicity import toxicity
-from lorewell.llm.work import numbered, read_table, squeezed, stored
+from lorewell.llm.work import drop, numbered, read_table, squeezed, stored, tables_made
 
 
 def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -80,7 +80,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. When a stage's result stands, the one before it and all tables that it was made from are deleted; what stays is what the result reads."""
     docs = read_table(spark, sf_dir, "documents")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with tables_made() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(*before, *(t for t in made if t is not docs))
+        before = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop(*before)  # the pieces of all documents are written by now
+    return packed
