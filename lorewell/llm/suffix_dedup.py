@@ -4,7 +4,7 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
 
 1. Copies. Of identical texts only the one with the smallest id is looked at; the others, if long enough, go whole.
 2. Anchors. Each string of ``length`` bytes has a key that depends on its bytes alone: the smallest hash among its 20-byte substrings. Runs of
-   neighbouring strings with one key form a snippet. Equal strings have equal keys, so only keys that stand in two documents matter; one
+   neighbouring strings with one key form a snippet, of bounded length. Equal strings have equal keys, so only keys that stand in two documents matter; one
    shuffle by key finds them.
 3. Shards. The snippets of those keys are dealt by key. A task sorts its rows by key and builds suffix arrays over blocks of whole keys (distinct
    snippets once); where the permuted common prefixes reach ``length``, neighbours are of one class, which has a smallest document. A key with more than
@@ -31,8 +31,9 @@ from .shingles import mix
 from .suffix_array import common_prefixes, suffix_array
 from .work import drop, read_table, row_count, shuffle_count, small, stored
 
-#: Rows of one key that a task takes together.
+#: Rows of one key that a task takes together, and string starts in one row, so that a lot has at most LOT * (MOST_STARTS + length) bytes.
 LOT = 8192
+MOST_STARTS = 512
 GRAM = 20
 ROW = ["doc", "variant"]
 _BYTE = np.random.default_rng(50_021).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -55,7 +56,14 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if w > k:
         m = np.minimum(m[: len(m) - (w - k)], m[w - k :])
     first = np.r_[0, np.flatnonzero(m[1:] != m[:-1]) + 1]
-    return m[first], first, np.r_[first[1:], len(m)] - 1
+    last = np.r_[first[1:], len(m)] - 1
+    pieces = (last - first) // MOST_STARTS + 1
+    if pieces.max() > 1:  # a long run, as of a periodic text, is several: their strings are its strings
+        run = np.repeat(np.arange(len(first)), pieces)
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[run] + inner * MOST_STARTS
+        return m[first][run], begin, np.minimum(begin + MOST_STARTS - 1, last[run])
+    return m[first], first, last
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
