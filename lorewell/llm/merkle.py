@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .work import drop, read_table, row_count, shuffle_count, small, stored
 
 FAN = 8
-BLOCK = FAN**4
+BLOCK = FAN**3
 PATH = "array<struct<left:string,right:string>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

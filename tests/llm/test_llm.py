@@ -1085,3 +1085,25 @@ def test_tables_made(spark):
     assert [t is x for t, x in zip(outer, (a, b))] == [True, True] and len(inner) == 1 and inner[0] is b
     drop(a, a, b)
     drop(*outer)
+
+
+@pytest.mark.parametrize("lot", [suffix_dedup_module.LOT, 40])
+def test_suffix_dedup_of_periodic_texts(spark, monkeypatch, lot):
+    """Texts of a megabyte that are one run of a single key: their rows are bounded, and all is found."""
+    long = b"abc" * 350_000
+    key, first, last = suffix_dedup_module.anchors(long, 50)
+    assert len(set(key.tolist())) <= 3 and (last - first).max() < suffix_dedup_module.MOST_STARTS
+    assert sorted(i for a, b in zip(first, last) for i in range(a, b + 1)) == list(range(len(long) - 49))
+    monkeypatch.setattr(suffix_dedup_module.shared_keys, "__defaults__", (lot,))
+    texts = {1: "abc" * 300, 2: "x" + "abc" * 350_000, 3: "bca" * 200 + "y" * 60, 4: "y" * 1000, 5: "z" * 700 + "abc" * 17}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup(docs).collect()}
+    assert found == {1: (0, texts[1].encode()), 2: (1_050_000, b"x"), 3: (600, b"y" * 60), 4: (1000, b""), 5: (51, b"z" * 700)}
+
+
+def test_suffix_dedup_of_many_documents_with_one_passage(spark):
+    passage = "the same passage of more than fifty bytes that all of them have in common, word by word"
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" " + passage + " "), F.sha2((-F.col("id")).cast("string"), 256)).alias("text"))
+    rows = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup(docs).collect())
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    assert [r[1:] for r in rows] == py_cut(texts, 50) and all(r[2] >= len(passage) + 2 for r in rows[1:])
