@@ -70,9 +70,9 @@ def tables_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of each part, of six kinds: key and value, with header cells, with an empty corner and a wide cell, a deep cell that reaches past the end, one
-    table within another, and none."""
-    k = F.col("p_partkey") % 6
+    """A table of each part, of eight kinds: key and value, with header cells, with an empty corner and a wide cell, a deep cell that reaches past the end, one
+    table within another, none, cells over thousands of columns, and a blank one over 70,000 rows."""
+    k = F.col("p_partkey") % 8
     kinds = [
         "<table><tr><td>name</td><td>{n}</td></tr><tr><td></td><td>{b}</td></tr></table>",
         "<table><tr><th>name</th><th>brand</th></tr><tr><td>{n}</td><td>{b}</td></tr></table>",
@@ -80,12 +80,14 @@ def tables_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<table><tr><td>name</td><td>brand</td></tr><tr><td rowspan='11'>{n}</td><td>{b}</td></tr></table>",
         "<table><tr><td>name</td><td>brand</td></tr><tr><td>{n}</td><td><table><tr><td>{b}</td></tr></table></td></tr></table>",
         "{n} of {b}",
+        "<table><tr><td>name</td><td colspan='4999'>{n}</td></tr><tr><td>{b}</td><td colspan='4998'>-</td><td>last</td></tr></table>",
+        "<table><tr><td>{n}</td><td>{b}</td></tr><tr><td rowspan='70000'></td><td>x</td></tr></table>",
     ]
     html = F.lit(None).cast("string")
     for i, form in enumerate(kinds):
         html = F.when(k == i, F.replace(F.replace(F.lit(form), F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand"))).otherwise(html)
     rows = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
-    return rows.select("p_partkey", F.when(F.col("p_partkey") % 6 != 4, linearize_tables(F.col("html"))).alias("text"), complex_table(F.col("html")).alias("is_complex"))
+    return rows.select("p_partkey", linearize_tables(F.col("html")).alias("text"), complex_table(F.col("html")).alias("is_complex"))
 
 
 def pipes_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +171,15 @@ SELECT doc_id, 'pic' || k || '_(1).png' AS name, regexp_replace(list_last(regexp
     "object_urls": "SELECT p_partkey, 'http://store/kb/' || replace(p_brand, '#', '%23') || '%20%28A%29/%E5%9B%BE%20' || replace(p_name, ' ', '%20') || '~%2A.png' AS url FROM part",
     "repaired_links": """SELECT p_partkey, 'see [it](http://x/' || replace(p_name, ' ', '%20') || '%20%28v' || p_size || '%29.png "title") and ![p](ok%20' || p_partkey || '.png)' AS text FROM part""",
     "html_tables_spoken": """SELECT p_partkey, 'About' || chr(10) || chr(10) || '- 【' || p_name || '】(对应name)：field为brand，value为' || p_brand || '。' || chr(10) || '- 【' || p_name || '】(对应name)：field为size' || CASE WHEN p_size > 25 THEN '' ELSE '，value为' || p_size END || '。' || chr(10) || chr(10) || 'end' AS text, false AS is_complex FROM part""",
-    "table_kinds": """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_name AS n, p_brand AS b, chr(10) AS nl FROM part)
+    "table_kinds": """WITH p AS (SELECT p_partkey, p_partkey % 8 AS k, p_name AS n, p_brand AS b, chr(10) AS nl FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN nl || nl || '- 【name】：' || n || '。' || nl || '- 【未知属性】：' || b || '。' || nl || nl
                          WHEN 1 THEN nl || nl || '- 【' || n || '】(对应name)：brand为' || b || '。' || nl || nl
                          WHEN 2 THEN nl || nl || '- 【' || n || '】：of ' || b || '为1，of ' || b || '为2。' || nl || nl
                          WHEN 3 THEN nl || nl || '- 【name】：brand。' || nl || '- 【' || n || '】：' || b || '。' || repeat(nl || '- 【' || n || '】：无。', 10) || nl || nl
-                         WHEN 5 THEN n || ' of ' || b END AS text, k IN (3, 4) AS is_complex FROM p""",
+                         WHEN 4 THEN nl || nl || '- 【' || n || '】(对应name)：brand为' || b || '，属性2为' || b || '。' || nl || '- 【' || b || '】' || nl || nl || '</td></tr></table>'
+                         WHEN 5 THEN n || ' of ' || b
+                         WHEN 6 THEN nl || nl || '- 【' || b || '】(对应name)：' || n || '为last。' || nl || nl
+                         WHEN 7 THEN nl || nl || '- 【' || n || '】：' || b || '。' || nl || '- 【未知属性】：x。' || nl || nl END AS text, k IN (3, 4, 7) AS is_complex FROM p""",
     "pipe_tables_spoken": """SELECT p_partkey, chr(10) || chr(10) || '- 【' || p_name || '】(对应name)：brand为' || p_brand || CASE WHEN p_size > 25 THEN '' ELSE '，size为' || p_size END || '。' || chr(10) || chr(10) || 'end' AS text FROM part""",
     "extraction_replies": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_name ELSE '' END AS names, CASE WHEN p_partkey % 4 < 2 THEN 'about ' || p_name ELSE 'original' END AS rewritten_query FROM part",
     "web_results": "SELECT page_id AS request_id, 0 AS pos, url AS snippet, 'a' AS title, url FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 1, '', 'b', 'u' FROM pages WHERE page_id % 3 <> 0",

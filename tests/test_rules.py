@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from lorewell.config import Config
 from lorewell.functions.links import protect_images, repair_links, replace_links, restore_images
 from lorewell.functions.splitter import split_body, split_text
-from lorewell.functions.tables import linearize, table_is_complex
+from lorewell.functions.tables import _Cells, linearize, spread, table_is_complex
 from lorewell.operators.context import build_prompts, format_documents
 from lorewell.operators.fusion import cliff_cutoff, normalize_hits, rerank, rrf
 from lorewell.operators.images import image_context, match_images, replace_image_links
@@ -282,3 +282,59 @@ def test_spans_without_a_cap():
     assert lines[-2] == "- 【s】(对应x)：y为2999。" and lines[-1] == "- 【t】(对应x)：y为9。"
     crossed = "<table><tr><th>h</th><th>b</th><th>c</th></tr><tr><td rowspan='2'>r</td><td>1</td><td rowspan='3'>z</td></tr><tr><td>2</td></tr><tr><td colspan='2'>w</td></tr></table>"
     assert linearize(crossed).strip().split("\n") == ["- 【r】(对应h)：b为1，c为z。", "- 【r】(对应h)：b为2，c为z。", "- 【w】(对应h)：b为w，c为z。"]
+
+
+def plain_grid(rows):
+    """Every cell written into every place that it spans."""
+    grid = [[] for _ in rows]
+    for y, row in enumerate(rows):
+        x = 0
+        for text, down, across in row:
+            while x < len(grid[y]) and grid[y][x] is not None:
+                x += 1
+            for r in range(y, y + down):
+                while len(grid) <= r:
+                    grid.append([])
+                grid[r] += [None] * (x + across - len(grid[r]))
+                grid[r][x : x + across] = [text] * across
+            x += across
+    return grid
+
+
+def test_spans_against_a_plain_grid():
+    rng = random.Random(12)
+    for _ in range(400):
+        rows = [[(rng.choice(("", "a", "b", "-")), rng.choice((1, 1, 1, 2, 3, 7)), rng.choice((1, 1, 2, 5))) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={d} colspan={a}>{t}</td>" for t, d, a in row) + "</tr>" for row in rows) + "</table>"
+        grid = [[x or "" for x in row] for row in plain_grid(rows)]
+        width = max(map(len, grid))
+        lines = []
+        for spans, times in spread(parsed_rows(html)):
+            line = [""] * width
+            for begin, end, text in spans:
+                line[begin:end] = [text] * (end - begin)
+            lines += [line] * times
+        assert lines == [row + [""] * (width - len(row)) for row in grid]
+
+
+def test_very_wide_and_very_deep_cells():
+    wide = "<table><tr><th>n</th><th colspan=5000>v</th></tr><tr><td>s</td>" + "".join(f"<td>{i}</td>" for i in range(5000)) + "</tr></table>"
+    assert linearize(wide) == "\n\n- 【s】(对应n)：" + "，".join(f"v为{i}" for i in range(5000)) + "。\n\n"
+    deep = "<table><tr><td>k</td><td>v</td></tr><tr><td rowspan=100000>s</td><td>1</td></tr><tr><td>2</td></tr></table>"
+    assert linearize(deep) == "\n\n- 【k】：v。\n- 【s】：1。\n- 【s】：2。\n" + "\n".join(["- 【s】：无。"] * 99_998) + "\n\n"
+    blank = "<table><tr><td>k</td><td colspan=2000000000></td></tr><tr><td rowspan=1000000000></td><td>1</td></tr></table>"
+    assert linearize(blank) == "\n\n- 【未知项目】(对应k)：属性1为1。\n\n"
+
+
+def test_tables_within_tables():
+    inner = "<table><tr><td>name</td><td>brand</td></tr><tr><td>N</td><td>x<table><tr><td>B</td><td>C<br>D</td></tr></table></td></tr></table>"
+    assert linearize(inner) == "\n\n- 【N】(对应name)：brand为x B C D，属性2为B，属性3为C D。\n- 【B】(对应name)：brand为C D。\n\n</td></tr></table>"
+    assert linearize("<table><tr><td>a<td>b<tr><td>c</table>") == "\n\n- 【c】\n\n"
+    assert linearize("<table><td>a</td></table>") == "<table><td>a</td></table>"
+
+
+def parsed_rows(html):
+    cells = _Cells()
+    cells.feed(html)
+    cells.close()
+    return cells.rows
