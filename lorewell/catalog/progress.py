@@ -28,7 +28,7 @@ def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, dealt to batches without regard to their order; the last state of each task that the stream gave."""
-    source, sink, state = (new_folder(spark) for _ in range(3))
+    source, sink, state = (f"{new_folder(spark)}/rows" for _ in range(3))
     events = task_events(spark, sf_dir)
     # three files, a batch each
     events.repartition(3, F.xxhash64("ts", "task_id")).write.parquet(source)

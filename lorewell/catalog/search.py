@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions.text import is_blank
 from ..operators.fusion import cliff_cutoff, hit_stats, merge_sources, normalize_hits, rerank, rrf
 from ..operators.vectors import dense_topk, embed, hybrid, hyde_queries, sparse_topk, to_sparse_map, validate_vectors
+from ..plans.store import once
 from .base import table
 
 
@@ -32,7 +33,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = word_vectors(spark, sf_dir)
+    chunks = once(word_vectors(spark, sf_dir))
     queries = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.array("item_name").alias("item_names"), "sparse")
     return sparse_topk(queries, chunks, 5)
 

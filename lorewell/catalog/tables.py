@@ -31,14 +31,14 @@ def shown(chunks: DataFrame) -> DataFrame:
 
 
 def chunks_by_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark)
+    path = f"{new_folder(spark)}/rows"
     write_chunks_json(chunk_rows(spark, sf_dir), path)
     return shown(read_chunks_json(spark, path))
 
 
 def chunks_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of even documents written first, then all of them, those already there left out."""
-    path, rows = new_folder(spark), chunk_rows(spark, sf_dir)
+    path, rows = f"{new_folder(spark)}/rows", chunk_rows(spark, sf_dir)
     write_chunks(rows.filter("doc_id % 2 = 0"), path)
     write_chunks(rows, path, dedupe=True)
     return shown(read_chunks(spark, path))
@@ -46,14 +46,14 @@ def chunks_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of documents, one of them written twice, as after a failure."""
-    path, rows = new_folder(spark), chunk_rows(spark, sf_dir)
+    path, rows = f"{new_folder(spark)}/rows", chunk_rows(spark, sf_dir)
     for k in (0, 1, 1, 2):
         write_chunk_batch(rows.filter(F.pmod("doc_id", F.lit(3)) == k), path, str(k))
     return shown(read_chunks(spark, path))
 
 
 def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark)
+    path = f"{new_folder(spark)}/rows"
     rows = chunk_rows(spark, sf_dir).filter("chunk_no = 0")
     write_item_names(rows.select("doc_id", "file_title", "item_name", "dense_vector", "sparse_vector"), path)
     return read_item_names(spark, path).select("doc_id", "file_title", "item_name", F.size("dense_vector").alias("dim"))
@@ -61,7 +61,7 @@ def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages under the days of their times, a day for each turn."""
-    path = new_folder(spark)
+    path = f"{new_folder(spark)}/rows"
     write_messages(messages(spark, sf_dir).withColumn("ts", F.col("ts") * 86_400), path)
     days = spark.read.parquet(path).select("message_id", F.col("dt").cast("string").alias("dt"))
     return read_messages(spark, path).select("message_id", "session_id", "role", "text", "ts").join(days, "message_id")
@@ -69,7 +69,7 @@ def messages_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as originals, each of a day that its id gives."""
-    path = new_folder(spark)
+    path = f"{new_folder(spark)}/rows"
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") % 30 * 86_400).alias("ts"))
     archive_originals(rows, path)
     return spark.read.parquet(path).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
@@ -78,7 +78,7 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Markdown file that a stream takes in, those over 10,000 bytes being too large; the first batch comes twice. Per file: its chunks, or why it
     was rejected. Sections are never split here, which SQL couldn't restate."""
-    source, out, state = (new_folder(spark) for _ in range(3))
+    source, out, state = (f"{new_folder(spark)}/rows" for _ in range(3))
     marked(spark, sf_dir).select("doc_id", "md_content").repartition(8, "doc_id").sortWithinPartitions("doc_id").write.partitionBy("doc_id").text(source)
     config = Config(max_content_length=10**9)
     ingest_stream(spark, source, out, state, config, most_bytes=10_000, pattern="*.txt").awaitTermination()

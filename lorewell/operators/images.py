@@ -23,12 +23,16 @@ def references(docs: DataFrame) -> DataFrame:
 
 def references_to(docs: DataFrame, images: DataFrame, by_suffix: bool = False) -> DataFrame:
     """(doc_id, name, ref_no, syntax): the references to each image. With ``by_suffix`` an address that merely ends in the name counts, as ``data.jpg`` for
-    ``a.jpg``."""
+    ``a.jpg``: an equi-join on the endings of the addresses, of those lengths only that the document's image names have."""
     own = images.select("doc_id", "name").distinct()
-    if by_suffix:
-        both = own.alias("i").join(references(docs).alias("r"), (F.col("i.doc_id") == F.col("r.doc_id")) & F.col("r.name").endswith(F.col("i.name")))
-        return both.select("i.doc_id", "i.name", "r.ref_no", "r.syntax")
-    return references(docs).join(own, ["doc_id", "name"]).select("doc_id", "name", "ref_no", "syntax")
+    found = references(docs)
+    if not by_suffix:
+        return found.join(own, ["doc_id", "name"]).select("doc_id", "name", "ref_no", "syntax")
+    sizes = own.groupBy("doc_id").agg(F.collect_set(F.length("name")).alias("sizes"))
+    n = F.length("name")
+    ends = F.transform(F.filter("sizes", lambda k: k <= n), lambda k: F.substr(F.col("name"), n - k + 1, k))
+    ending = found.join(sizes, "doc_id").select("doc_id", "ref_no", "syntax", F.explode(ends).alias("name"))
+    return ending.join(own, ["doc_id", "name"]).select("doc_id", "name", "ref_no", "syntax")
 
 
 def match_images(docs: DataFrame, images: DataFrame, by_suffix: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -66,7 +66,20 @@ def task_rollup(events: DataFrame, total_steps: int = DEFAULT.total_steps["md"],
     return tasks.withColumn("progress", progress).select("task_id", "status", "running_list", "done_list", "durations", "total_seconds", "progress")
 
 
-def request_rate(events: DataFrame, key: str, seconds: int = 60, limit: int = DEFAULT.requests_per_minute) -> DataFrame:
-    """``events`` with the number of their key's events in the trailing window (now - seconds, now], and whether it exceeds the limit."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("recent", F.count("*").over(w)).withColumn("over_limit", F.col("recent") > limit)
+def request_rate(events: DataFrame, key: str, seconds: int = 60, limit: int = DEFAULT.requests_per_minute, slice_seconds: int | None = None) -> DataFrame:
+    """``events`` with the number of their key's events in the trailing window (now - seconds, now], and whether it exceeds the limit.
+
+    The windows go over slices of time, by default ten times as long as the trailing window, and not over a key's whole history: each slice also has the key's
+    events of the ``seconds`` before it, which are counted and then left out. An event is in at most as many slices as a trailing window touches, and a key
+    with all events is as many groups as it has slices. An event without a time counts those of its key that have none either.
+    """
+    width = (slice_seconds or 10 * seconds) * 1_000_000
+    reach = seconds * 1_000_000 - 1
+    at, own, last = "_at", "_own_slice", "_slice"
+    timed = events.withColumn(at, F.unix_micros("ts")).withColumn(own, F.floor(F.col(at) / width))
+    # the slices whose events can see this one
+    seen = F.when(F.col(at).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.col(own), F.floor((F.col(at) + reach) / width)))
+    rows = timed.withColumn(last, F.explode(seen))
+    w = Window.partitionBy(key, last).orderBy(at).rangeBetween(-reach, 0)
+    counted = rows.withColumn("recent", F.count("*").over(w)).filter(F.col(last).eqNullSafe(F.col(own)))
+    return counted.drop(at, own, last).withColumn("over_limit", F.col("recent") > limit)

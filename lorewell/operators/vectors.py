@@ -6,14 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.blocks import Best, DenseQueries, SparseQueries
 from ..functions.encoders import HashedTokens
+from ..plans.store import counted
 
-#: Queries up to this many go to every task as one block; more are dealt in blocks of this size, to meet blocks of ``CHUNK_BLOCK`` chunks.
+#: Queries up to this many, and up to so many bytes of them, go to every task as one block; more are dealt in blocks within both limits, to meet blocks of about
+#: ``CHUNK_BLOCK`` chunks. ``STRIDE``: chunks that are scored at once.
 MATRIX_QUERIES = 4096
-CHUNK_BLOCK = 8192
+MATRIX_BYTES = 16 << 20
+CHUNK_BLOCK = 16384
+STRIDE = 1024
 
 
 def embed(df: DataFrame, text_col: str, encoder: Callable[[], Callable] = HashedTokens, batch: int = DEFAULT.embedding_batch, mode: str = "document", retry: bool = False) -> DataFrame:
@@ -75,138 +81,116 @@ def top(df: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-class DenseQueries:
-    """Vectors of queries as a matrix. ``score``: cosine (null for a vector of length 0) or inner product of each chunk (row) and query (column)."""
-
-    def __init__(self, vectors: list, metric: str):
-        self.metric = metric
-        self.dim = len(vectors[0]) if vectors else 0
-        self.matrix = np.array(vectors, np.float64).reshape(len(vectors), self.dim)
-        self.length = np.linalg.norm(self.matrix, axis=1)
-
-    def take(self, at: np.ndarray) -> DenseQueries:
-        out = object.__new__(DenseQueries)
-        out.metric, out.dim, out.matrix, out.length = self.metric, self.dim, self.matrix[at], self.length[at]
-        return out
-
-    def score(self, vectors: list) -> np.ndarray:
-        fits = np.array([v is not None and len(v) == self.dim for v in vectors], bool)
-        c = np.zeros((len(vectors), self.dim))
-        if fits.any():
-            c[fits] = np.stack([np.asarray(v, np.float64) for v, ok in zip(vectors, fits) if ok])
-        s = c @ self.matrix.T
-        if self.metric == "cosine":
-            both = np.outer(np.linalg.norm(c, axis=1), self.length)
-            s = np.divide(s, both, out=np.full_like(s, np.nan), where=both > 0)
-        s[~fits] = np.nan
-        return s
-
-
-class SparseQueries:
-    """Token weights of queries, by token: for each token the queries that have it."""
-
-    def __init__(self, maps: list):
-        self.n = len(maps)
-        entries = sorted((t, q, float(w)) for q, m in enumerate(maps) for t, w in dict(m or {}).items() if w is not None)
-        self.number: dict = {}
-        for t, _, _ in entries:
-            self.number.setdefault(t, len(self.number))
-        token = np.array([self.number[t] for t, _, _ in entries], np.int64)
-        self.query, self.weight = np.array([q for _, q, _ in entries], np.int64), np.array([w for _, _, w in entries], np.float64)
-        self.begin = np.r_[0, np.cumsum(np.bincount(token, minlength=len(self.number)))]
-        self.maps = maps
-
-    def take(self, at: np.ndarray) -> SparseQueries:
-        return SparseQueries([self.maps[i] for i in at])
-
-    def score(self, maps: list) -> np.ndarray:
-        """The inner product of each chunk (row) and query (column); null without a common token."""
-        found = [(row, self.number[t], float(w)) for row, m in enumerate(maps) for t, w in dict(m or {}).items() if w is not None and t in self.number]
-        s = np.full((len(maps), self.n), np.nan)
-        if not found:
-            return s
-        row, token, weight = (np.array(x) for x in zip(*found))
-        size = self.begin[token + 1] - self.begin[token]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[token], size)
-        cell = np.repeat(row, size) * self.n + self.query[at]
-        total = np.bincount(cell, weights=np.repeat(weight, size) * self.weight[at], minlength=s.size)
-        some = np.bincount(cell, minlength=s.size) > 0
-        s.ravel()[some] = total[some]
-        return s
-
-
-def _best(scores: np.ndarray, query_ids: np.ndarray, chunk_ids: np.ndarray, k: int, digits: int) -> pd.DataFrame | None:
-    """The k best chunks of each query; equal scores, to so many digits, go by the chunk's id."""
-    out = []
-    for q in range(scores.shape[1]):
-        s = scores[:, q]
-        some = np.flatnonzero(~np.isnan(s))
-        best = some[np.lexsort((chunk_ids[some], -np.round(s[some], digits)))[:k]]
-        if len(best):
-            out.append((np.full(len(best), query_ids[q], dtype=query_ids.dtype), chunk_ids[best], s[best]))
-    return pd.DataFrame(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*out))))) if out else None
-
-
-def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: str, k: int, digits: int) -> DataFrame:
-    """(query_id, chunk_id, score): for every query the k best chunks, at least, among those of its items (null: all)."""
-    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: list[Column], k: int, digits: int) -> DataFrame:
+    """(query_id, chunk_id, score): for every query the k best chunks, at least, among those of its items (null: all). ``payload``: the array columns of either table
+    that ``prepare`` makes a block of queries from."""
+    names = [f"p{i}" for i in range(len(payload))]
+    columns = [c.alias(n) for c, n in zip(payload, names)]
+    # kept, for the plan that gives them runs once, whatever reads them
+    asked, rows = counted(queries.select("query_id", "item_names", *columns))
+    corpus = chunks.select("chunk_id", "item_name", *columns)
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *corpus.schema]}
     out = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
-    asked = queries.select("query_id", payload, "item_names")
-    rows = asked.limit(MATRIX_QUERIES + 1).collect()
-    if len(rows) > MATRIX_QUERIES:
-        return _in_cells(asked, chunks.select("chunk_id", "item_name", payload), prepare, payload, k, digits, out)
-    shared = chunks.sparkSession.sparkContext.broadcast([(r["query_id"], r[payload], None if r["item_names"] is None else list(r["item_names"])) for r in rows if r[payload] is not None])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not shared.value:
-            return
-        ids = np.array([q for q, _, _ in shared.value])
-        whole = prepare([v for _, v, _ in shared.value])
-        free = [i for i, (_, _, names) in enumerate(shared.value) if names is None]
+    width = sum((F.greatest(F.size(n), F.lit(0)) for n in names), F.lit(2)) * 8
+    bytes_ = asked.agg(F.sum(width).alias("n")).first()["n"] or 0
+    if rows > MATRIX_QUERIES or bytes_ > MATRIX_BYTES:
+        per_block = max(1, min(MATRIX_QUERIES, MATRIX_BYTES * rows // bytes_))
+        return _in_cells(asked, corpus, prepare, names, per_block, k, digits, out, kinds)
+    block = asked.toArrow().combine_chunks()  # within the limits above
+    if not block.num_rows:
+        return chunks.sparkSession.createDataFrame([], out)
+    one = lambda c: pa.concat_arrays(block.column(c).chunks)
+    shared = chunks.sparkSession.sparkContext.broadcast((one("query_id"), block.column("item_names").to_pylist(), prepare(*map(one, names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wanted, whole = shared.value
+        free = np.array([i for i, own in enumerate(wanted) if own is None], int)
         of_item: dict[str, list[int]] = {}
-        for i, (_, _, names) in enumerate(shared.value):
-            for name in set(names or ()):
+        for i, own in enumerate(wanted):
+            for name in set(own or ()):
                 of_item.setdefault(name, []).append(i)
         ready: dict = {}
-        for pdf in parts:
-            for item, group in pdf.groupby("item_name", dropna=False):
-                at = np.array(sorted({*free, *(of_item.get(item, ()) if isinstance(item, str) else ())}), int)
-                if not len(at):
-                    continue
-                key = item if isinstance(item, str) and item in of_item else None
+        best, kind = Best(len(ids), k, digits), None
+        for batch in batches:
+            kind = batch.column(0).type
+            item = batch.column(1).dictionary_encode()
+            known = item.dictionary.to_pylist()
+            # items that no query asks for are one group, with the rows without an item
+            code = np.array([i if name in of_item else -1 for i, name in enumerate(known)] + [-1])[item.indices.fill_null(len(known)).to_numpy()]
+            read, chunk_ids = whole.look(*(batch.column(c) for c in names)), batch.column(0).to_numpy(zero_copy_only=False)
+            for group in np.unique(code).tolist():
+                key = known[group] if group >= 0 else None
                 if key not in ready:
-                    ready[key] = whole.take(at)
-                found = _best(ready[key].score(group[payload].tolist()), ids[at], group["chunk_id"].to_numpy(), k, digits)
-                if found is not None:
-                    yield found
-
-    return chunks.select("chunk_id", "item_name", payload).mapInPandas(run, out)
-
-
-def _in_cells(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: str, k: int, digits: int, out: str) -> DataFrame:
-    """Many queries: those of an item are dealt in blocks, its chunks too, and a task takes a block of both at a time. No pair of rows is made outside of a
-    block's matrix; an item with many rows is many cells."""
+                    of = np.array(sorted({*free.tolist(), *of_item.get(key, ())}), int)
+                    ready[key] = of, whole.take(of)
+                of, own = ready[key]
+                if len(of):
+                    mine = np.flatnonzero(code == group)
+                    for at in range(0, len(mine), STRIDE):
+                        columns, scores = own.score(read, mine[at : at + STRIDE], best.least[of])
+                        best.add(scores, of[columns], chunk_ids[mine[at : at + STRIDE]])
+        found = best.rows(ids, kind)
+        if found is not None:
+            yield found
+
+    return corpus.mapInArrow(run, out)
+
+
+def _in_cells(queries: DataFrame, chunks: DataFrame, prepare: Callable, names: list[str], per_block: int, k: int, digits: int, out: str, kinds: dict[str, str]) -> DataFrame:
+    """Many queries: those of an item are dealt in blocks of about ``per_block``, its chunks in larger ones, and a cell is a block of both. A cell's queries come first
+    and are held; its chunks stream past them. An item with many rows is many cells."""
     free = F.col("item_names").isNull()
-    q = queries.withColumn("item", F.explode(F.when(free, F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("name")))).otherwise(F.transform(F.array_distinct("item_names"), lambda n: F.struct(F.lit(False).alias("any"), n.alias("name"))))))
-    own = F.struct(F.lit(False).alias("any"), F.col("item_name").alias("name"))
-    c = chunks.withColumn("item", F.explode(F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("name")), own)))
+    item = lambda name: F.concat(F.lit("1"), name)
+    q = queries.withColumn("item", F.explode(F.when(free, F.array(F.lit("0"))).otherwise(F.transform(F.filter(F.array_distinct("item_names"), lambda n: n.isNotNull()), item))))
+    c = chunks.withColumn("item", F.explode(F.when(F.col("item_name").isNull(), F.array(F.lit("0"))).otherwise(F.array(F.lit("0"), item(F.col("item_name"))))))
     blocks = lambda df, size, name: df.groupBy("item").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    grid = blocks(q, MATRIX_QUERIES, "q_blocks").join(blocks(c, CHUNK_BLOCK, "c_blocks"), "item")  # a row per item that is asked for
+    grid = blocks(q, per_block, "q_blocks").join(blocks(c, CHUNK_BLOCK, "c_blocks"), "item")  # a row per item that is asked for
     dealt = lambda df, key, mine, other: df.join(grid, "item").withColumn(f"{mine}_no", F.pmod(F.xxhash64(key), F.col(f"{mine}_blocks")).cast("int")).withColumn(f"{other}_no", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
     cell = ["item", "q_no", "c_no"]
-    left = dealt(q, "query_id", "q", "c").select(*cell, "query_id", payload).groupBy(*cell)
-    right = dealt(c, "chunk_id", "c", "q").select(*cell, "chunk_id", payload).groupBy(*cell)
+    left = dealt(q, "query_id", "q", "c").select(*cell, F.lit(0).alias("side"), "query_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), *names)
+    right = dealt(c, "chunk_id", "c", "q").select(*cell, F.lit(1).alias("side"), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "chunk_id", *names)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a[a[payload].notna()]
-        empty = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        if not len(a) or not len(b):
-            return empty
-        found = [_best(prepare(a[payload].iloc[at : at + 512].tolist()).score(b[payload].tolist()), a["query_id"].iloc[at : at + 512].to_numpy(), b["chunk_id"].to_numpy(), k, digits) for at in range(0, len(a), 512)]
-        found = [x for x in found if x is not None]
-        return pd.concat(found) if found else empty
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, ready = None, [], None
 
-    return left.cogroup(right).applyInPandas(run, out)
+        def done() -> Iterator[pa.RecordBatch]:
+            if ready is not None:
+                found = ready[2].rows(ready[0], kind)
+                if found is not None:
+                    yield found
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(5).type
+            own = [batch.column(0).dictionary_encode().indices.to_numpy(), *(batch.column(i).to_numpy() for i in (1, 2, 3))]
+            new = np.flatnonzero(np.r_[True, np.any([np.diff(x) != 0 for x in own], axis=0)])
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows]):
+                part = batch.slice(a, b - a)
+                at = (part.column(0)[0].as_py(), int(own[1][a]), int(own[2][a]))
+                if at != cell:
+                    yield from done()
+                    cell, held, ready = at, [], None
+                if own[3][a] == 0:
+                    held.append(part)
+                    continue
+                if ready is None:
+                    if not held:
+                        continue
+                    block = pa.Table.from_batches(held).combine_chunks()
+                    one = lambda c: pa.concat_arrays(block.column(c).chunks)  # noqa: B023, E731
+                    ready = one("query_id"), prepare(*map(one, names)), Best(block.num_rows, k, digits)
+                read, chunk_ids = ready[1].look(*(part.column(c) for c in names)), part.column(5).to_numpy(zero_copy_only=False)
+                for first in range(0, part.num_rows, STRIDE):
+                    rows = np.arange(first, min(first + STRIDE, part.num_rows))
+                    columns, scores = ready[1].score(read, rows, ready[2].least)
+                    ready[2].add(scores, columns, chunk_ids[rows])
+        yield from done()
+
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.unionByName(right).repartition(parts, *cell).sortWithinPartitions(*cell, "side")
+    return met.mapInArrow(run, out)
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit, metric: str = "cosine") -> DataFrame:
@@ -216,14 +200,15 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit
     vector or one of another dimension by neither.
     """
     digits = 12 if metric == "cosine" else 9
-    found = _search(queries, chunks, lambda vectors: DenseQueries(vectors, metric), "vector", k, digits)
+    found = _search(queries, chunks, lambda vectors: DenseQueries(metric, vectors), [F.col("vector")], k, digits)
     return top(found, "query_id", F.round("score", digits), "chunk_id", k)
 
 
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks by inner product of token weights among those of the query's items (null: all); a chunk without a
     common token isn't found. ``queries`` and ``chunks`` have a map ``sparse`` in place of a vector."""
-    return top(_search(queries, chunks, SparseQueries, "sparse", k, 9), "query_id", F.round("score", 9), "chunk_id", k)
+    found = _search(queries, chunks, SparseQueries, [F.map_keys("sparse"), F.map_values("sparse")], k, 9)
+    return top(found, "query_id", F.round("score", 9), "chunk_id", k)
 
 
 def unit_cosine(s: Column) -> Column:

@@ -11,7 +11,7 @@ from ..operators.context import build_prompts
 from ..operators.fusion import cliff_cutoff, merge_sources, rerank, rrf
 from ..operators.items import align_item_names, filter_confirmed, route_requests
 from ..operators.vectors import embed, hybrid_search, hyde_queries
-from .store import once
+from .store import counted, once
 
 
 def search(requests: DataFrame, chunks: DataFrame, documents: DataFrame, encoder=HashedTokens, config: Config = DEFAULT) -> DataFrame:
@@ -24,12 +24,20 @@ def search(requests: DataFrame, chunks: DataFrame, documents: DataFrame, encoder
     # both legs and the join below read the vectors
     queries = once(keyed.join(requests.select("request_id", "item_names"), "request_id")).select("request_id", "path", "query_id", F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), "item_names")
     corpus = chunks.select("chunk_id", "item_name", F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"))
-    hits = hybrid_search(queries, corpus, config).join(queries.select("query_id", "request_id", "path"), "query_id").join(chunks.select("chunk_id", "content", "title"), "chunk_id")
-    rows = hits.select("request_id", "path", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "content", "title")
+    hits = hybrid_search(queries, corpus, config).join(queries.select("query_id", "request_id", "path"), "query_id")
+    rows = with_content(hits.select("request_id", "path", "rank", "chunk_id"), chunks).select("request_id", "path", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "content", "title")
     paths = [(rows.filter(F.col("path") == p).drop("path"), 1.0) for p in ("plain", "hyde")]
     return rrf(paths, config.rrf_k, config.rrf_max)
 
 
+def with_content(hits: DataFrame, chunks: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``hits`` (chunk_id, ..) with the chunks' content and title. The hits are counted: up to ``most`` bytes of them, at 200 a row, go to the chunks, which are then
+    read past them and not moved; of more, both sides are dealt by id, and Spark's filter from the ids of the hits thins out the chunks before that."""
+    kept, rows = counted(hits)
+    texts = chunks.select("chunk_id", "content", "title")
+    return texts.join(F.broadcast(kept), "chunk_id") if rows * 200 <= most else kept.hint("shuffle_hash").join(texts, "chunk_id")
+
+
 def match_item_names(names: DataFrame, items: DataFrame, encoder=HashedTokens, config: Config = DEFAULT) -> DataFrame:
     """(request_id, name_pos, extracted_name, item_name, score, match_pos): the known items most like each name, best first; a name without any keeps a row.
 

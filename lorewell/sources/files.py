@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT
+from ..operators.images import references
 from ..schemas import CHUNKS, ITEM_NAMES, MESSAGES
 
 
@@ -47,10 +48,34 @@ def folder(path: Column) -> Column:
 
 def images_of(images: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, name, path): the images beside each document, that is in the folder ``images`` of its own folder. ``docs``: doc_id, path. Documents of one folder
-    share its images."""
-    at = images.withColumn("home", F.when(folder(F.col("path")).endswith("/images"), F.regexp_replace(folder(F.col("path")), "/images$", ""))).filter("home is not null")
-    own = docs.select("doc_id", folder(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))).alias("home"))
-    return at.join(own, "home").select("doc_id", "name", "path")
+    share its images: this is every document with every image of its folder; ``referenced_images`` gives only those that a document's text asks for."""
+    return homed(images).join(docs.select("doc_id", home_of(F.col("path")).alias("home")), "home").select("doc_id", "name", "path")
+
+
+def home_of(path: Column) -> Column:
+    """The folder of a document whose path is percent-encoded."""
+    return folder(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+
+
+def homed(images: DataFrame) -> DataFrame:
+    """``images`` that lie in a folder ``images``, with that folder's own folder as ``home``."""
+    at = folder(F.col("path"))
+    return images.withColumn("home", F.when(at.endswith("/images"), F.regexp_replace(at, "/images$", ""))).filter("home is not null")
+
+
+def referenced_images(images: DataFrame, docs: DataFrame, by_suffix: bool = False) -> DataFrame:
+    """(doc_id, name, path): the images beside each document that its text refers to. ``docs``: doc_id, path, md_content. The names in the texts come first and meet the
+    images on folder and name, so a folder of many documents and images gives as many rows as there are references. With ``by_suffix`` an address counts
+    that ends in an image's name; the endings have the lengths that occur among the folder's names."""
+    at = docs.select("doc_id", home_of(F.col("path")).alias("home"))
+    asked = references(docs).select("doc_id", "name").distinct().join(at, "doc_id")
+    there = homed(images)
+    if by_suffix:
+        sizes = there.groupBy("home").agg(F.collect_set(F.length("name")).alias("sizes"))
+        n = F.length("name")
+        ends = F.transform(F.filter("sizes", lambda k: k <= n), lambda k: F.substr(F.col("name"), n - k + 1, k))
+        asked = asked.join(sizes, "home").select("doc_id", "home", F.explode(ends).alias("name")).distinct()
+    return asked.join(there, ["home", "name"]).select("doc_id", "name", "path")
 
 
 def write_chunks_json(chunks: DataFrame, path: str) -> None:

@@ -18,9 +18,9 @@ from lorewell.operators.sections import chunk_sections, split_by_headings
 from lorewell.operators.tasklog import task_rollup
 from lorewell.operators.vectors import embed
 from lorewell.plans.ingest import chunk_documents, embed_chunks, image_links, image_requests, ingest, tables_to_review
-from lorewell.plans.retrieve import answer_requests, retrieve
+from lorewell.plans.retrieve import answer_requests, retrieve, with_content
 from lorewell.schemas import MESSAGES
-from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, route_files, write_chunks, write_chunks_json, write_messages
+from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, referenced_images, route_files, write_chunks, write_chunks_json, write_messages
 from lorewell.streaming.files import committed, file_batch, ingest_stream
 from lorewell.streaming.tasks import Step, summary, task_rollup_stream
 
@@ -319,3 +319,29 @@ class Unsplittable(Config):
     def __init__(self):
         object.__setattr__(self, "max_content_length", Unsplittable.Limit(2000))
         object.__setattr__(self, "min_content_length", 500)
+
+
+def test_content_is_read_for_hits_only(spark, tmp_path):
+    """Few hits go to the chunks, and the texts of others are not moved; many are dealt by id with them."""
+    spark.range(1000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("text "), "id").alias("content"), F.lit("t").alias("title"), F.lit("z").alias("item_name")).write.parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    hits = spark.createDataFrame([(1, 1, 7), (1, 2, 9), (2, 1, 7), (2, 2, 5000)], "request_id int, rank int, chunk_id long")
+    few, many = with_content(hits, chunks), with_content(hits, chunks, most=100)
+    rows = lambda df: sorted((r.request_id, r.rank, r.content) for r in df.collect())
+    assert rows(few) == rows(many) == [(1, 1, "text 7"), (1, 2, "text 9"), (2, 1, "text 7")]
+    assert "BroadcastHashJoin" in executed(few) and not re.search(r"Exchange hash", executed(few))
+    assert "ShuffledHashJoin" in executed(many) and "Broadcast" not in executed(many)
+    assert "ReadSchema: struct<chunk_id:bigint,content:string,title:string>" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_referenced_images_of_one_folder(spark):
+    """A hundred thousand documents and a thousand images in one folder give as many rows as there are references."""
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("file:///x/d%20"), "id", F.lit(".md")).alias("path"), F.concat(F.lit("![a](images/pic"), F.col("id") % 1000, F.lit(".png) and ![b](images/none.png)")).alias("md_content"))
+    images = spark.range(1000).select(F.concat(F.lit("file:/x/images/pic"), "id", F.lit(".png")).alias("path"), F.concat(F.lit("pic"), "id", F.lit(".png")).alias("name"))
+    assert referenced_images(images, docs).count() == 100_000
+    few = docs.limit(50)
+    assert "BroadcastNestedLoopJoin" not in executed(referenced_images(images, few, True)) and "CartesianProduct" not in executed(referenced_images(images, few, True))
+    # by suffix pic7.png is also named by an address that ends in it
+    ends = spark.createDataFrame([(1, "file:/x/a.md", "![](i/bigpic7.png) ![](pic12.png)"), (2, "file:/y/b.md", "![](pic7.png)")], "doc_id long, path string, md_content string")
+    assert sorted((r.doc_id, r.name) for r in referenced_images(images, ends, by_suffix=True).collect()) == [(1, "pic12.png"), (1, "pic7.png")]
+    assert sorted((r.doc_id, r.name) for r in referenced_images(images, ends).collect()) == [(1, "pic12.png")]

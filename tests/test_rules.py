@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from lorewell.config import Config
+from lorewell.functions.blocks import Best, SparseQueries
 from lorewell.functions.links import protect_images, repair_links, replace_links, restore_images
 from lorewell.functions.splitter import split_body, split_text
 from lorewell.functions.tables import _Cells, linearize, spread, table_is_complex
@@ -246,11 +249,13 @@ def test_vectors(spark):
     assert validate_vectors(embed(rows, "text"))[1].first().single_dim
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_searches_against_a_plain_loop(spark, monkeypatch, most):
-    """With the queries in every task, and in cells of blocks."""
+@pytest.mark.parametrize("most, most_bytes, stride", [(4096, 1 << 20, 1024), (4096, 1 << 20, 3), (3, 1 << 20, 2), (4096, 300, 5)])
+def test_searches_against_a_plain_loop(spark, monkeypatch, most, most_bytes, stride):
+    """With the queries in every task, and in cells of blocks that rows or bytes limit."""
     monkeypatch.setattr(vectors, "MATRIX_QUERIES", most)
+    monkeypatch.setattr(vectors, "MATRIX_BYTES", most_bytes)
     monkeypatch.setattr(vectors, "CHUNK_BLOCK", 7)
+    monkeypatch.setattr(vectors, "STRIDE", stride)
     rng = random.Random(33)
     vector = lambda: rng.choice([None, [0.0, 0.0, 0.0], *[[float(rng.randint(-3, 3)) for _ in range(3)]] * 8])
     words = lambda: rng.choice([None, *[{rng.randint(0, 9): float(rng.randint(-2, 4)) for _ in range(rng.randint(0, 4))}] * 8])
@@ -338,3 +343,36 @@ def parsed_rows(html):
     cells.feed(html)
     cells.close()
     return cells.rows
+
+
+def test_sparse_blocks_are_passed_over():
+    """A block whose largest weights can't reach the k-th score isn't scored, and nothing is lost by it."""
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    rng = np.random.default_rng(2)
+    tokens = [sorted(rng.choice(40, rng.integers(0, 9), replace=False).tolist()) for _ in range(300)]
+    weights = [[float(rng.integers(-2, 9)) / (1 + i // 50) for _ in t] for i, t in enumerate(tokens)]
+    q_tokens, q_weights = tokens[::30], weights[::30]
+    q = SparseQueries(lists(q_tokens, pa.int64()), lists(q_weights, pa.float64()))
+    block = q.look(lists(tokens, pa.int64()), lists(weights, pa.float64()))
+    best, left_out = Best(len(q_tokens), 3, 9), 0
+    for at in range(0, 300, 10):
+        columns, scores = q.score(block, np.arange(at, at + 10), best.least)
+        left_out += q.n - len(columns)
+        best.add(scores, columns, np.arange(at, at + 10))
+    expected = []
+    for i, (t, w) in enumerate(zip(q_tokens, q_weights)):
+        own = dict(zip(t, w))
+        found = sorted((-round(sum(own[x] * y for x, y in zip(tt, ww) if x in own), 9), j) for j, (tt, ww) in enumerate(zip(tokens, weights)) if own.keys() & set(tt))
+        expected += [(i, j) for _, j in found[:3]]
+    assert sorted(zip(best.query.tolist(), best.ids.tolist())) == sorted(expected) and left_out > 20
+
+
+@pytest.mark.parametrize("slices", [None, 7, 60, 200])
+def test_rates_by_slices_of_time(spark, slices):
+    """The counts of one key with most events, whatever the slices, against a plain loop."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice((1, 1, 1, 1, 2, None)), rng.choice((None, *[rng.randrange(-500, 1500)] * 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k int, s int").selectExpr("id", "k", "timestamp_seconds(s) as ts").repartition(3)
+    plain = {i: sum(k2 == k and (s2 is None if s is None else s2 is not None and s - 60 < s2 <= s) for _, k2, s2 in rows) for i, k, s in rows}
+    out = request_rate(df, "k", 60, 5, slices)
+    assert {r.id: (r.recent, r.over_limit) for r in out.collect()} == {i: (n, n > 5) for i, n in plain.items()} and out.columns == ["id", "k", "ts", "recent", "over_limit"]
