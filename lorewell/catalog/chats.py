@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.context import build_prompts, extraction_prompts, format_documents, format_history, hyde_prompts
 from ..operators.history import clear_sessions, history_text, recent_messages, session_history, turns_to_messages, upsert_messages
+from ..plans.buckets import append, clear_stored, messages_table, read_buckets, upsert_stored
+from ..plans.store import new_folder
 from .base import table
 from .search import merged_sql, sources, whole_sources
 
@@ -40,18 +42,34 @@ def turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns_to_messages(answers(spark, sf_dir)).select("session_id", "role", "text", "ts")
 
 
-def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits_of(base: DataFrame) -> DataFrame:
     """Every seventh message edited twice, the later edit winning; an edit of a message that isn't there; and one new message a session."""
-    base = messages(spark, sf_dir)
     seventh = base.filter(F.pmod(F.col("session_id").cast("long") * 8 + F.col("ts").cast("long"), F.lit(7)) == 0)
     edits = [seventh.withColumns({"text": F.concat(F.lit(f"edit {k}: "), F.coalesce("text", F.lit(""))), "ts": F.col("ts") + 100 * k}) for k in (1, 2)]
     lost = seventh.withColumn("message_id", F.concat(F.lit("none-"), "message_id"))
     fresh = base.filter("ts = 0").withColumns({"message_id": F.lit(None).cast("string"), "text": F.lit("hello"), "ts": F.lit(500.0)})
-    changes = edits[0].unionByName(edits[1]).unionByName(lost).unionByName(fresh)
-    out = upsert_messages(base, changes)
+    return edits[0].unionByName(edits[1]).unionByName(lost).unionByName(fresh)
+
+
+def named(out: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("ts") == 500, F.lit("new")).otherwise(F.col("message_id")).alias("message_id"), "session_id", "role", "text", "ts")
 
 
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = messages(spark, sf_dir)
+    return named(upsert_messages(base, edits_of(base)))
+
+
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edits on a stored table that was written in two parts; then the sessions whose number is a multiple of 3 are cleared."""
+    base, kept = messages(spark, sf_dir), messages_table(f"{new_folder(spark)}/messages", 8)
+    append(base.filter("ts < 2"), kept)
+    append(base.filter("ts >= 2"), kept)
+    upsert_stored(edits_of(base), kept)
+    clear_stored(base.filter(F.pmod(F.col("session_id").cast("long"), F.lit(3)) == 0).select("session_id"), kept)
+    return named(read_buckets(spark, kept))
+
+
 def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = messages(spark, sf_dir)
     gone = base.filter(F.pmod(F.col("session_id").cast("long"), F.lit(3)) == 0).select("session_id")
@@ -118,6 +136,7 @@ QUERIES = {
     "turn_messages": turned,
     "upserted_messages": upserted,
     "cleared_sessions": cleared,
+    "stored_changes": stored_changes,
     "document_context": contexts,
     "history_context": histories,
     "prompts": prompts,
@@ -142,6 +161,10 @@ _LINES = "l AS (SELECT conv_id AS request_id, turn, CASE role WHEN 'user' THEN '
 _PAST = f"""{_M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) AS back FROM m),
 h AS (SELECT session_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY back DESC) AS history FROM r WHERE back <= 4 GROUP BY session_id)"""
 
+_UPSERTED = f"""WITH {_M}
+SELECT message_id, session_id, role, CASE WHEN (session_id::BIGINT * 8 + ts::BIGINT) % 7 = 0 THEN 'edit 2: ' || coalesce(text, '') ELSE text END AS text, CASE WHEN (session_id::BIGINT * 8 + ts::BIGINT) % 7 = 0 THEN ts + 200 ELSE ts END AS ts FROM m
+UNION ALL SELECT 'new', session_id, role, 'hello', 500 FROM m WHERE ts = 0"""
+
 SQL = {
     "extraction_prompts": f"""WITH {_PAST}
 SELECT message_id AS request_id, '对话：' || chr(10) || coalesce(CASE WHEN session_id::BIGINT % 3 <> 0 THEN nullif(history, '') END, '暂无上下文') || chr(10) || chr(10) || '问题：' || coalesce(text, '') || chr(10) || chr(10)
@@ -155,9 +178,8 @@ SELECT session_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER
 SELECT message_id, session_id, role, coalesce(text, '') AS text, '' AS rewritten_query, 0 AS items, ts, row_number() OVER (PARTITION BY session_id ORDER BY back DESC)::INT AS pos FROM r WHERE back <= 5""",
     "turn_messages": f"""WITH {_M}, r AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM m WINDOW w AS (PARTITION BY session_id ORDER BY ts))
 SELECT session_id, 'user' AS role, text, ts FROM r WHERE role = 'user' UNION ALL SELECT session_id, 'assistant', next_text, ts FROM r WHERE role = 'user' AND next_role = 'assistant' AND regexp_matches(next_text, '\\S')""",
-    "upserted_messages": f"""WITH {_M}
-SELECT message_id, session_id, role, CASE WHEN (session_id::BIGINT * 8 + ts::BIGINT) % 7 = 0 THEN 'edit 2: ' || coalesce(text, '') ELSE text END AS text, CASE WHEN (session_id::BIGINT * 8 + ts::BIGINT) % 7 = 0 THEN ts + 200 ELSE ts END AS ts FROM m
-UNION ALL SELECT 'new', session_id, role, 'hello', 500 FROM m WHERE ts = 0""",
+    "upserted_messages": _UPSERTED,
+    "stored_changes": f"SELECT * FROM ({_UPSERTED}) WHERE session_id::BIGINT % 3 <> 0",
     "cleared_sessions": f"""WITH {_M} SELECT session_id, CASE WHEN session_id::BIGINT % 3 <> 0 THEN count(*) ELSE 0 END AS kept, CASE WHEN session_id::BIGINT % 3 = 0 THEN count(*) ELSE 0 END AS deleted FROM m GROUP BY session_id""",
     "document_context": f"WITH {_SOURCES} {_context(2000)}",
     "history_context": f"WITH {_LINES} SELECT request_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM k WHERE used - 1 <= 200 + request_id % 900 GROUP BY request_id",

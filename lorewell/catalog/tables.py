@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
+from ..plans.buckets import append_new, chunks_table, read_buckets
 from ..plans.store import new_folder
 from ..sources.files import archive_originals, read_chunks, read_chunks_json, read_item_names, read_messages, write_chunk_batch, write_chunks, write_chunks_json, write_item_names, write_messages
 from ..streaming.files import committed, file_batch, ingest_stream
@@ -44,6 +45,14 @@ def chunks_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(read_chunks(spark, path))
 
 
+def chunks_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a table of buckets by chunk id, of which the second write reads the ids alone."""
+    kept, rows = chunks_table(f"{new_folder(spark)}/chunks", 8), chunk_rows(spark, sf_dir)
+    append_new(rows.filter("doc_id % 2 = 0"), kept)
+    append_new(rows, kept)
+    return shown(read_buckets(spark, kept))
+
+
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of documents, one of them written twice, as after a failure."""
     path, rows = f"{new_folder(spark)}/rows", chunk_rows(spark, sf_dir)
@@ -97,6 +106,7 @@ QUERIES = {
     "arrived_files": arrived_files,
     "chunks_by_json": chunks_by_json,
     "chunks_appended": chunks_appended,
+    "chunks_kept": chunks_kept,
     "chunk_batches": chunk_batches,
     "item_name_table": item_names,
     "stored_messages": messages_kept,
@@ -115,6 +125,7 @@ SELECT doc_id AS file, CASE WHEN bytes <= 10000 THEN count(grp) END AS chunks, C
 FROM b LEFT JOIN x USING (doc_id) GROUP BY doc_id, bytes""",
     "chunks_by_json": _ROWS,
     "chunks_appended": _ROWS,
+    "chunks_kept": _ROWS,
     "chunk_batches": _ROWS,
     "item_name_table": f"WITH {SECTIONS} SELECT doc_id, file_title, 'item ' || (doc_id % 50) AS item_name, 2 AS dim FROM chunks WHERE chunk_no = 0",
     "stored_messages": "SELECT conv_id || '-' || printf('%03d', turn) AS message_id, conv_id::VARCHAR AS session_id, role, text, turn * 86400::DOUBLE AS ts, strftime(DATE '1970-01-01' + turn::INT, '%Y%m%d') AS dt FROM conversations",

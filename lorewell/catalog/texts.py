@@ -8,6 +8,7 @@ from ..functions.links import normalize_link_urls
 from ..functions.tables import complex_table, linearize_tables
 from ..functions.text import embedding_input, format_duration, normalize_newlines, object_url, parse_extraction, parse_web_results, prepare_requests, resolve_item_name, strip_image_syntax, valid_inputs
 from ..operators.images import image_context, match_images, replace_image_links
+from ..sources.files import referenced_images
 from .base import table
 
 
@@ -38,6 +39,22 @@ def used_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.select("doc_id", "name", F.lit(True).alias("used")).unionByName(unused.select("doc_id", "name", F.lit(False).alias("used")))
 
 
+def by_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images named by the ends of what the documents refer to, as 3_(1).png for pic3_(1).png, pic33_(1).png and others."""
+    short = pictures(spark, sf_dir).withColumn("name", F.substring("name", 4, 100))
+    used, unused = match_images(illustrated(spark, sf_dir), short, by_suffix=True)
+    return used.select("doc_id", "name", F.lit(True).alias("used")).unionByName(unused.select("doc_id", "name", F.lit(False).alias("used")))
+
+
+def beside_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in fifty folders, and in each folder the images that some of the numbers of its documents give; those that each document refers to."""
+    place = lambda name: F.concat(F.lit("file:/kb/f"), F.col("doc_id") % 50, F.lit(name))
+    docs = illustrated(spark, sf_dir).withColumn("path", F.concat(place("/d"), "doc_id", F.lit(".md")))
+    own = F.concat(F.lit("pic"), F.floor(F.col("doc_id") / 50) % 40 * 3, F.lit("_(1).png"))
+    images = table(spark, sf_dir, "documents").select(own.alias("name"), F.concat(place("/images/"), own).alias("path")).distinct()
+    return referenced_images(images, docs)
+
+
 def image_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_context(illustrated(spark, sf_dir), pictures(spark, sf_dir))
 
@@ -139,6 +156,8 @@ QUERIES = {
     "image_alt_texts": alt_texts,
     "normalized_newlines": lines_normalized,
     "used_images": used_images,
+    "images_by_ending": by_endings,
+    "images_beside_documents": beside_documents,
     "image_contexts": image_contexts,
     "linked_images": linked_images,
     "object_urls": object_urls,
@@ -163,6 +182,10 @@ SQL = {
 SELECT doc_id, bare, coalesce(source, '') || chr(10) || bare AS embedded FROM d""",
     "normalized_newlines": r"SELECT doc_id, replace(replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents",
     "used_images": f"WITH {_PICTURES} SELECT doc_id, 'pic' || (3 * n) || '_(1).png' AS name, size > 3 * n AS used FROM g WHERE n % 5 <> 4",
+    "images_by_ending": f"""WITH {_PICTURES}, r AS (SELECT doc_id, 'pic' || (3 * n) || '_(1).png' AS ref FROM g WHERE size > 3 * n)
+SELECT doc_id, (3 * n) || '_(1).png' AS name, EXISTS (SELECT 1 FROM r WHERE r.doc_id = g.doc_id AND suffix(ref, (3 * n) || '_(1).png')) AS used FROM g WHERE n % 5 <> 4""",
+    "images_beside_documents": f"""WITH {_PICTURES}, i AS (SELECT DISTINCT doc_id % 50 AS folder, doc_id // 50 % 40 * 3 AS k FROM documents)
+SELECT doc_id, 'pic' || k || '_(1).png' AS name, 'file:/kb/f' || folder || '/images/pic' || k || '_(1).png' AS path FROM g JOIN i ON folder = doc_id % 50 AND k = 3 * n WHERE size > 3 * n""",
     "image_contexts": f"""WITH {_DOCS}, p AS (SELECT doc_id, n * 3 AS k, array_to_string(parts, chr(10)) AS md, '![ alt ' || (3 * n) || ' ](images/pic' || (3 * n) || '_(1).png)' AS img FROM i JOIN g USING (doc_id) WHERE size > 3 * n AND n % 5 <> 4),
 a AS (SELECT *, strpos(md, img) AS spot FROM p)
 SELECT doc_id, 'pic' || k || '_(1).png' AS name, regexp_replace(list_last(regexp_extract_all(substr(md, 1, spot - 1), '(?m)^#{{1,6}}\\s+[^\\n]+')), '\\s+$', '') AS heading, substr(md, greatest(1, spot - 200), least(200, spot - 1)) AS up_text, substr(md, spot + length(img), 200) AS down_text FROM a""",

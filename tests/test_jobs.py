@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 import re
 from datetime import datetime, timedelta
@@ -17,6 +18,7 @@ from lorewell.operators.history import clear_sessions, session_history, turns_to
 from lorewell.operators.sections import chunk_sections, split_by_headings
 from lorewell.operators.tasklog import task_rollup
 from lorewell.operators.vectors import embed
+from lorewell.plans.buckets import append, clear_stored, commit, folders, messages_table, read_buckets, upsert_stored
 from lorewell.plans.ingest import chunk_documents, embed_chunks, image_links, image_requests, ingest, tables_to_review
 from lorewell.plans.retrieve import answer_requests, retrieve, with_content
 from lorewell.schemas import MESSAGES
@@ -345,3 +347,34 @@ def test_referenced_images_of_one_folder(spark):
     ends = spark.createDataFrame([(1, "file:/x/a.md", "![](i/bigpic7.png) ![](pic12.png)"), (2, "file:/y/b.md", "![](pic7.png)")], "doc_id long, path string, md_content string")
     assert sorted((r.doc_id, r.name) for r in referenced_images(images, ends, by_suffix=True).collect()) == [(1, "pic12.png"), (1, "pic7.png")]
     assert sorted((r.doc_id, r.name) for r in referenced_images(images, ends).collect()) == [(1, "pic12.png")]
+
+
+def test_a_change_writes_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    kept = messages_table(str(tmp_path / "m"), 16)
+    assert read_buckets(spark, kept).count() == 0
+    base = spark.range(400).select(F.concat(F.lit("m"), "id").alias("message_id"), F.concat(F.lit("s"), F.col("id") % 50).alias("session_id"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(None).cast("string").alias("rewritten_query"), F.lit(None).cast("array<string>").alias("item_names"), F.col("id").cast("double").alias("ts"))
+    append(base, kept)
+    before = folders(spark, kept)[1]
+    assert len(before) > 8 and read_buckets(spark, kept).count() == 400
+    one = spark.createDataFrame([("m7", "s7", "user", "edited", None, None, 900.0)], MESSAGES)
+    hit = upsert_stored(one, kept)
+    after = folders(spark, kept)[1]
+    assert len(hit) == 1 and {b for b in before if before[b] != after[b]} == set(hit)
+    assert sorted(r.text for r in read_buckets(spark, kept).collect()) == sorted("edited" if i == 7 else str(i) for i in range(400))
+    files = len(os.listdir(tmp_path / "m"))
+
+    def stop(*_):
+        raise OSError("crash")
+
+    monkeypatch.setattr("lorewell.plans.buckets.commit", stop)
+    with pytest.raises(OSError):
+        upsert_stored(one.withColumn("text", F.lit("lost")), kept)
+    monkeypatch.undo()
+    assert len(os.listdir(tmp_path / "m")) == files + 1 and read_buckets(spark, kept).filter("text = 'edited'").count() == 1
+    with pytest.raises(RuntimeError):  # a second writer that started from the same version
+        commit(spark, kept, folders(spark, kept)[0], {})
+    assert len(clear_stored(spark.createDataFrame([("s7",), ("s8",), ("none",)], "session_id string"), kept)) <= 3
+    assert read_buckets(spark, kept).count() == 400 - 16
+    # null sessions have a bucket too
+    append(one.withColumn("session_id", F.lit(None).cast("string")), kept)
+    assert read_buckets(spark, kept).filter("session_id is null").count() == 1
