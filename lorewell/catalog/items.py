@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.items import align_item_names, filter_confirmed, route_requests
 from ..operators.vectors import embed
-from ..plans.retrieve import confirm_items
+from ..plans.retrieve import answer_requests, confirm_items
 from .base import table
 
 
@@ -69,7 +69,23 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "rewritten_query", F.array_join("item_names", "|").alias("item_names"), F.array_join("options", "|").alias("options"), "route", "answer")
 
 
-QUERIES = {"aligned_names": aligned, "aligned_names_together": aligned_together, "best_confirmed": best_confirmed, "answered_requests": answered}
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: the questions above, their names confirmed; parts as chunks, searched with the question and with a hypothetical document (of two in three);
+    pages as what a web search found, conversations as history; fused, reranked, cut off, and put into prompts."""
+    part = table(spark, sf_dir, "part")
+    items = embed(part.select(F.col("p_name").alias("item_name")).distinct(), "item_name", LetterCounts)
+    content = F.concat("p_name", F.lit(" is a "), F.lower("p_type"), F.lit(" by "), "p_brand", F.lit(", size "), "p_size")
+    chunks = embed(part.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("item_name"), F.concat(F.lit("part "), "p_partkey").alias("title"), content.alias("content")), "content", LetterCounts)
+    request = F.floor(F.col("p_partkey") / 4)
+    documents = part.groupBy(request.alias("request_id")).agg(F.min(F.lower("p_type")).alias("document")).filter("request_id % 3 <> 0")
+    said = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    web = table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), F.lit(0).alias("pos"), F.concat(said, F.lit(" online")).alias("snippet"), said.alias("title"), "url")
+    history = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pos"), "role", "text")
+    out = answer_requests(*asked(spark, sf_dir), items, chunks, documents, web, history, LetterCounts)
+    return out.select("request_id", "route", F.array_join("item_names", "|").alias("item_names"), "answer", "prompt")
+
+
+QUERIES = {"answers": answers, "aligned_names": aligned, "aligned_names_together": aligned_together, "best_confirmed": best_confirmed, "answered_requests": answered}
 
 
 def _matches(per: int) -> str:
@@ -94,9 +110,7 @@ def _aligned(hits: str) -> str:
 z AS (SELECT request_id, arg_max(confirmed, pos) AS confirmed, arg_max(options, pos)[1:3] AS options FROM r GROUP BY request_id)"""
 
 
-SQL = {
-    "answered_requests": f"""WITH RECURSIVE
-x AS (SELECT p_partkey // 4 AS request_id, row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) - 1 AS pos,
+_CONFIRMED = f"""x AS (SELECT p_partkey // 4 AS request_id, row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) - 1 AS pos,
              CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[-1] ELSE p_name || ' kit' END AS name FROM part),
 v AS (SELECT name, list_transform(range(97, 123), lambda c: (len(name) - len(replace(name, chr(c::INT), '')))::DOUBLE) AS n FROM (SELECT name FROM x UNION SELECT p_name FROM part)),
 p AS (SELECT a.name, b.name AS item, list_cosine_similarity(list_transform(a.n, lambda y: y - 0.5), list_transform(b.n, lambda y: y - 0.5)) AS cosine, list_inner_product(a.n, b.n) / 64 AS product
@@ -111,9 +125,46 @@ n AS (SELECT request_id, pos, name, high, mid FROM x JOIN h USING (name) WHERE r
 b AS (SELECT request_id, item, max(score) AS best FROM x JOIN m USING (name) JOIN z USING (request_id) WHERE list_contains(confirmed, item) AND len(confirmed) > 1 GROUP BY request_id, item),
 k AS (SELECT request_id, list(item ORDER BY best DESC, item) AS kept FROM (SELECT * FROM b QUALIFY max(best) OVER (PARTITION BY request_id) - best <= 0.15) GROUP BY request_id),
 t AS (SELECT q.request_id, q.request_id % 5 = 3 AS broken, coalesce(kept, confirmed, []) AS names, coalesce(options, []) AS options FROM (SELECT DISTINCT request_id FROM x) q LEFT JOIN z USING (request_id) LEFT JOIN k USING (request_id)),
-w AS (SELECT *, CASE WHEN len(names) > 0 THEN 'search' WHEN len(options) > 0 THEN 'clarify' ELSE 'apologise' END AS route FROM t)
-SELECT request_id, CASE WHEN broken THEN 'question ' ELSE 'asks ' END || request_id AS rewritten_query, array_to_string(names, '|') AS item_names, array_to_string(options, '|') AS options, route,
-       CASE route WHEN 'clarify' THEN '您是想咨询以下哪个产品：' || array_to_string(options, ',') WHEN 'apologise' THEN '抱歉，未找到相关产品，请提供更具体的产品名称。' END AS answer FROM w""",
+w AS (SELECT *, CASE WHEN len(names) > 0 THEN 'search' WHEN len(options) > 0 THEN 'clarify' ELSE 'apologise' END AS route FROM t)"""
+
+_ROUTED = "CASE route WHEN 'clarify' THEN '您是想咨询以下哪个产品：' || array_to_string(options, ',') WHEN 'apologise' THEN '抱歉，未找到相关产品，请提供更具体的产品名称。' END"
+
+SQL = {
+    "answers": f"""WITH RECURSIVE {_CONFIRMED},
+ch AS (SELECT p_partkey AS c, p_name AS item, 'part ' || p_partkey AS title, p_name || ' is a ' || lower(p_type) || ' by ' || p_brand || ', size ' || p_size AS content FROM part),
+hy AS (SELECT request_id, min(kind) AS document FROM (SELECT p_partkey // 4 AS request_id, lower(p_type) AS kind FROM part) WHERE request_id % 3 <> 0 GROUP BY request_id),
+qs AS (SELECT request_id, 'asks ' || request_id AS query, names FROM w WHERE route = 'search'),
+qt AS (SELECT request_id, names, 0 AS path, query AS txt FROM qs UNION ALL SELECT request_id, names, 1, query || chr(10) || coalesce(document, '') FROM qs LEFT JOIN hy USING (request_id)),
+l1 AS (SELECT *, list_transform(range(97, 123), lambda z: (len(txt) - len(replace(txt, chr(z::INT), '')))::DOUBLE) AS n FROM qt),
+l2 AS (SELECT *, list_transform(range(97, 123), lambda z: (len(content) - len(replace(content, chr(z::INT), '')))::DOUBLE) AS n FROM ch),
+pp AS (SELECT request_id, path, c, list_cosine_similarity(list_transform(l1.n, lambda y: y - 0.5), list_transform(l2.n, lambda y: y - 0.5)) AS cosine, list_inner_product(l1.n, l2.n) / 64 AS product
+       FROM (SELECT *, unnest(names) AS item FROM l1) l1 JOIN l2 USING (item)),
+dd AS (SELECT request_id, path, c, 0.5 * (1 + cosine) / 2 AS part, row_number() OVER (PARTITION BY request_id, path ORDER BY round(cosine, 12) DESC, c) AS k FROM pp),
+ss AS (SELECT request_id, path, c, 0.5 * (0.5 + atan(product) / pi()) AS part, row_number() OVER (PARTITION BY request_id, path ORDER BY round(product, 9) DESC, c) AS k FROM pp WHERE product > 0),
+ff AS (SELECT request_id, path, c, sum(part) AS score FROM (SELECT * FROM dd WHERE k <= 5 UNION ALL SELECT * FROM ss WHERE k <= 5) GROUP BY ALL),
+hh AS (SELECT *, row_number() OVER (PARTITION BY request_id, path ORDER BY round(score, 12) DESC, c) AS rank FROM ff),
+rr AS (SELECT request_id, c, sum(1.0::DOUBLE / (60 + rank)) AS gain, min(path * 1000 + rank) AS first FROM hh WHERE rank <= 5 GROUP BY ALL),
+lo AS (SELECT request_id, c, row_number() OVER (PARTITION BY request_id ORDER BY round(gain, 12) DESC, first) AS rank FROM rr),
+src AS (SELECT request_id, 0 AS side, rank AS spot, content, title, c::VARCHAR AS chunk_id, '' AS url, 'local' AS source FROM lo JOIN ch USING (c) WHERE rank <= 10
+        UNION ALL SELECT page_id, 1, 0, trim(name || ' online'), trim(name), NULL, trim(url), 'web' FROM (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages) JOIN qs ON request_id = page_id WHERE trim(name) <> '' AND trim(url) <> ''),
+mg AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY side, spot) AS pos FROM src),
+wo AS (SELECT mg.*, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS wanted, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS said FROM mg JOIN qs USING (request_id)),
+sc AS (SELECT *, coalesce(len(list_intersect(wanted, said))::DOUBLE / nullif(len(wanted), 0), 0) AS score FROM wo),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos) AS rank FROM sc),
+dr AS (SELECT *, round(score - lead(score) OVER (PARTITION BY request_id ORDER BY rank), 12) AS fall, count(*) OVER (PARTITION BY request_id) AS many FROM rk WHERE rank <= 10),
+ct AS (SELECT request_id, any_value(many) AS many, arg_max(rank, fall * 1e6 - rank * 1e-9) FILTER (WHERE fall >= 0.5) AS spot FROM dr GROUP BY request_id),
+en AS (SELECT request_id, rank, '[' || rank || '] [source=' || source || ']' || coalesce(' [chunk_id=' || chunk_id || ']', '') || CASE WHEN url <> '' THEN ' [url=' || url || ']' ELSE '' END || ' [title=' || title || ']' || printf(' [score=%.4f]', score) || chr(10) || content AS entry
+       FROM dr JOIN ct USING (request_id) WHERE rank <= greatest(least(3, ct.many), coalesce(ct.spot, ct.many))),
+ec AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY request_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM en),
+cx AS (SELECT request_id, string_agg(entry, chr(10) || chr(10) ORDER BY rank) AS context, (12000 - sum(length(entry) + 1))::BIGINT AS remaining FROM ec WHERE spent - 1 <= 12000 GROUP BY request_id),
+ln AS (SELECT conv_id AS request_id, turn, CASE role WHEN 'user' THEN '用户' ELSE '助手' END || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''),
+us AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY request_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM ln),
+hs AS (SELECT qs.request_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM us JOIN qs ON qs.request_id = us.request_id LEFT JOIN cx ON cx.request_id = qs.request_id WHERE used - 1 <= coalesce(remaining, 12000) GROUP BY qs.request_id),
+pm AS (SELECT request_id, '参考内容：' || chr(10) || coalesce(context, '无参考内容') || chr(10) || chr(10) || '历史对话：' || chr(10) || coalesce(history, '暂无历史对话') || chr(10) || chr(10)
+       || '相关商品：' || array_to_string(names, ', ') || chr(10) || chr(10) || '问题：' || query AS prompt FROM qs LEFT JOIN cx USING (request_id) LEFT JOIN hs USING (request_id))
+SELECT request_id, route, array_to_string(names, '|') AS item_names, {_ROUTED} AS answer, prompt FROM w LEFT JOIN pm USING (request_id)""",
+    "answered_requests": f"""WITH RECURSIVE {_CONFIRMED}
+SELECT request_id, CASE WHEN broken THEN 'question ' ELSE 'asks ' END || request_id AS rewritten_query, array_to_string(names, '|') AS item_names, array_to_string(options, '|') AS options, route, {_ROUTED} AS answer FROM w""",
     "aligned_names_together": f"""WITH RECURSIVE {_matches(4)},
 o AS (SELECT a.request_id, row_number() OVER (PARTITION BY a.request_id ORDER BY a.name_pos) - 1 AS pos, a.extracted_name AS name, coalesce(high, []) AS high, coalesce(mid, []) AS mid
       FROM a LEFT JOIN (SELECT name_pos, list(item_name ORDER BY score DESC, item_name) FILTER (WHERE score >= 0.7) AS high, list(item_name ORDER BY score DESC, item_name) FILTER (WHERE score >= 0.6 AND score < 0.7) AS mid FROM m GROUP BY name_pos) USING (name_pos)),
