@@ -5,8 +5,8 @@ document keeps those alone. Each task takes its documents in order of their vect
 so far as the threshold,
 
 - a bucket is passed over if its greatest length times the query's is below the threshold (Cauchy-Schwarz); those after it are shorter still;
-- inside, the query's heaviest coordinates say in which range a document's must lie if the angle between both is to be small enough, and how much the
-  rest of both vectors can add;
+- inside, the query's heaviest coordinates say in which range a document's must lie if the angle between both is to be small enough; what a document has there
+  is counted, and the rest adds no more than the rest of both lengths, nor than each further coordinate at the bucket's greatest impact;
 - what survives is scored again in 64-bit integers.
 
 Queries are dealt into blocks by the number of their terms; a pass over the documents answers one block.
@@ -35,9 +35,9 @@ SLACK = 1e-9
 @dataclass(frozen=True)
 class Settings:
     top: int = 10
-    #: Documents of a bucket; coordinates that bound a query; terms of all queries of a block, about.
+    #: Documents of a bucket, at most; coordinates that bound a query; terms of all queries of a block, about.
     bucket: int = 1024
-    focus: int = 4
+    focus: int = 24
     block_terms: int = 1 << 17
 
 
@@ -108,6 +108,8 @@ class Queries:
             best = np.argsort(-self.weight[mine], kind="stable")[:focus]
             self.focus[q, : len(best)] = self.term[mine][best]
             self.share[q, : len(best)] = self.weight[mine][best] / max(self.length[q], 1.0)
+        #: Documents that a bucket can have if all these coordinates of theirs are to be held at once, in 32 MB.
+        self.room = max(16, (1 << 22) // (len(np.unique(self.focus)) + 1))
 
 
 def survivors(q: Queries, active: np.ndarray, least: np.ndarray, start: np.ndarray, term: np.ndarray, impact: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,6 +122,10 @@ def survivors(q: Queries, active: np.ndarray, least: np.ndarray, start: np.ndarr
     held = place[term] < len(used)
     unit = np.zeros((len(length), len(used) + 1))
     unit[row[held], place[term[held]]] = impact[held] / length[row[held]]
+    # the greatest impact of each term here, and what a query's terms beyond its heaviest can add at most
+    top = np.zeros(q.size + 1)
+    np.maximum.at(top, term, impact)
+    others = np.add.reduceat(q.weight * top[q.term], q.begin[:-1])[active] - (q.share[active] * q.length[active, None] * top[q.focus[active]]).sum(axis=1)
     for at in range(0, len(active), 64):
         some = active[at : at + 64]
         d, c = unit[:, place[q.focus[some]]], q.share[some]
@@ -127,8 +133,9 @@ def survivors(q: Queries, active: np.ndarray, least: np.ndarray, start: np.ndarr
         spread = np.sqrt(np.maximum((1 - c**2) * (1 - cos**2), 0))
         low, high = c * cos - spread - SLACK, np.where(cos > c, c * cos + spread, 1) + SLACK
         ok = ((d >= low) & (d <= high)).all(axis=2)
-        rest = np.sqrt(np.maximum(1 - (c**2).sum(axis=1), 0)) * np.sqrt(np.maximum(1 - (d**2).sum(axis=2), 0))
-        ok &= ((d * c).sum(axis=2) + rest + SLACK) * q.length[some] * length[:, None] * (1 + SLACK) >= least[some]
+        both = q.length[some] * length[:, None]
+        rest = np.sqrt(np.maximum(1 - (c**2).sum(axis=1), 0)) * np.sqrt(np.maximum(1 - (d**2).sum(axis=2), 0)) * both
+        ok &= ((d * c).sum(axis=2) * both + np.minimum(rest, others[at : at + 64])) * (1 + SLACK) + SLACK * both >= least[some]
         for j in np.flatnonzero(ok.any(axis=0)):
             yield some[j], np.flatnonzero(ok[:, j])
 
@@ -146,8 +153,9 @@ def search(q: Queries, vectors: DataFrame, settings: Settings) -> DataFrame:
         id_type = None
         for whole in batches:
             id_type = whole.column(0).type
-            for at in range(0, whole.num_rows, settings.bucket):
-                part = whole.slice(at, settings.bucket)
+            step = min(settings.bucket, q.room)
+            for at in range(0, whole.num_rows, step):
+                part = whole.slice(at, step)
                 length = part.column(3).to_numpy()
                 active = np.flatnonzero(q.length * length[0] * (1 + SLACK) >= least) if len(length) else []
                 if not len(active):
