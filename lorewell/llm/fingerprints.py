@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .work import drop, read_table, row_count, shuffle_count, small, stored
 
 SECOND_SEED = 7_046_029_254_386_353_131
+#: Rows without id that a task takes together, about.
+SLICE_ROWS = 4096
 
 
 def canonical(text: Column) -> Column:
@@ -34,15 +36,17 @@ def wide(canon: Column, bits: int = 128) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with ``next_<column>`` of the next one by descending doc_id; after the last comes the first.
+    """Each row of ``docs`` (doc_id, text, h) with ``next_<column>`` of the next one by descending doc_id, and ``times``; after the last comes the first.
 
-    Rows are dealt by ranges of ids (one shuffle); the first row of each range also visits the range before it, as its last row's neighbour. Rows without id
-    come behind the least id, in the order of their hashes, as do rows that repeat an id among each other.
+    Rows are dealt by ranges of ids (one shuffle); the first row of each range also visits the range before it, as its last row's neighbour. Rows that repeat an id
+    follow each other in the order of their hashes, in one range. Rows without id come behind the least id, in the order of their hashes: equal ones are one row, which
+    is followed by itself ``times`` less one, and the rest is dealt by slices of the hash, so that neither many of them nor many copies meet in one task.
     """
     spark = docs.sparkSession
-    ids = docs.select("doc_id").filter("doc_id is not null")
+    named = docs.filter("doc_id is not null")
+    lost = stored(docs.filter("doc_id is null").groupBy("h", "text").agg(F.count("*").alias("times")), "rows-without-id")
     n = shuffle_count(spark)
-    cuts = sorted({int(x) for x in (ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else [])})
+    cuts = sorted({int(x) for x in (named.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else [])})
     side = max(1, round(len(cuts) ** 0.5))
     lots = [cuts[i : i + side] for i in range(0, len(cuts), side)] or [[]]
     below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
@@ -53,20 +57,35 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         spot = F.when(lot == 0, F.lit(0)).otherwise((lot - 1) * side + below(fine))
     else:
         spot = F.lit(0)
-    placed = docs.withColumn("_range", F.coalesce(spot, F.lit(0)).cast("int"))
-    tops = placed.filter("doc_id is not null").groupBy("_range").agg(F.max("doc_id").alias("top")).collect()  # a row per range
-    tops = sorted((r["_range"], r["top"]) for r in tops)
-    # the greatest id of a range follows the least of the range above; the greatest of all follows the least of all
-    guests = [(top, above) for (_, top), (above, _) in zip(tops, tops[1:])] + ([(tops[-1][1], tops[0][0])] if tops else [])
-    edge = spark.createDataFrame(guests, "doc_id long, _visits int").groupBy("doc_id").agg(F.collect_list("_visits").alias("_visits"))
-    rows = placed.join(F.broadcast(edge), "doc_id", "left")
-    # of rows that repeat the id, one visits
+    placed = named.withColumns({"times": F.lit(1).cast("long"), "_range": spot.cast("int")})
+    tops = placed.groupBy("_range").agg(F.max("doc_id").alias("top")).collect()  # a row per range
+    chain = [(r["_range"], r["top"]) for r in sorted(tops, key=lambda r: -r["_range"])]
+    some = row_count(lost) > 0
+    if some:
+        slices = -(-row_count(lost) // SLICE_ROWS)
+        # by the upper bits of the hash, as a share of all that it can be
+        of_hash = F.least(F.lit(slices - 1), F.floor((F.col("h.h1") / F.lit(2.0**64) + 0.5) * slices)).cast("int")
+        spread = lost.select(F.lit(None).cast("long").alias("doc_id"), "text", "h", "times", (-1 - of_hash).alias("_range"))
+        mark = F.struct("h.h1", "h.h2", F.xxhash64("text").alias("t"))
+        firsts = spread.groupBy("_range").agg(F.min(mark).alias("first")).collect()  # a row per slice
+        chain += [(r["_range"], tuple(r["first"])) for r in sorted(firsts, key=lambda r: -r["_range"])]
+    # what comes first in a range visits the range before; what comes first of all, the last
+    visits = [(key, before) for (before, _), (_, key) in zip([*chain[-1:], *chain], chain)]
+    by_id = spark.createDataFrame([(k, r) for k, r in visits if not isinstance(k, tuple)], "doc_id long, visits int").groupBy("doc_id").agg(F.collect_list("visits").alias("_visits"))
+    rows = placed.join(F.broadcast(by_id), "doc_id", "left")
+    if some:
+        by_hash = spark.createDataFrame([(*k, r) for k, r in visits if isinstance(k, tuple)], "k1 long, k2 long, kt long, visits int").groupBy("k1", "k2", "kt").agg(F.collect_list("visits").alias("_visits"))
+        is_first = (F.col("h.h1") == F.col("k1")) & (F.col("h.h2") == F.col("k2")) & (F.xxhash64("text") == F.col("kt"))
+        rows = rows.unionByName(spread.join(F.broadcast(by_hash), is_first, "left").drop("k1", "k2", "kt"))
     seats = F.concat(F.array(F.struct(F.lit(0).alias("guest"), F.col("_range").alias("r"))), F.coalesce(F.transform("_visits", lambda v: F.struct(F.lit(1).alias("guest"), v.alias("r"))), F.array().cast("array<struct<guest:int,r:int>>")))
-    w = Window.partitionBy("_seat.r").orderBy("_seat.guest", F.desc_nulls_last("doc_id"), *[F.col(c) for c in columns if c.startswith("h")])
+    w = Window.partitionBy("_seat.r").orderBy("_seat.guest", F.desc_nulls_last("doc_id"), "h.h1", "h.h2", F.xxhash64("text"))
     seated = rows.withColumn("_seat", F.explode(seats)).drop("_range", "_visits")
-    # without any id there is one range, whose last row is followed by its first
-    after = lambda c: F.lead(c).over(w) if tops else F.coalesce(F.lead(c).over(w), F.first(c).over(w))
-    return seated.withColumns({f"next_{c}": after(c) for c in columns}).filter("_seat.guest = 0").drop("_seat")
+    out = seated.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("_seat.guest = 0").drop("_seat")
+    if not some:
+        return out
+    last = F.struct(F.lit(1).cast("long").alias("times"), *[F.col(f"next_{c}") for c in columns])
+    copies = F.struct((F.col("times") - 1).alias("times"), *[F.col(c).alias(f"next_{c}") for c in columns])
+    return out.select(*docs.columns, F.inline(F.array(last, copies))).filter("times > 0")
 
 
 def edited_text() -> Column:
@@ -110,7 +129,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_next(slim.withColumn("canon", canonical(F.col("text"))).withColumn("h", wide(F.col("canon"), bits)).drop("canon"), ["doc_id", "text", "h"])
     marks = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited_text())
-    marks = marks.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", canonical(F.col("edited")).alias("canon"), F.col("next_h").alias("n"))
+    marks = marks.select("doc_id", "next_doc_id", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", canonical(F.col("edited")).alias("canon"), F.col("next_h").alias("n"))
     marks = stored(marks.withColumn("e", wide(F.col("canon"), bits)).drop("canon"), "fingerprints")
     bad = clashing(slim, marks)
     out = marks.withColumns({k: fingerprint_text(h) for k, h in (("fingerprint", "h"), ("edited_fingerprint", "e"), ("next_fingerprint", "n"))})
@@ -119,6 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             mark = small(bad).select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.lit(True).alias("_bad"))
             out = out.join(mark, (F.col(f"{h}.h1") == F.col("_1")) & (F.col(f"{h}.h2") == F.col("_2")), "left")
             out = out.withColumn(k, F.when(F.col("_bad"), F.concat_ws(":", k, F.lower(F.hex(f"{h}.s")))).otherwise(F.col(k))).drop("_1", "_2", "_bad")
+    out = out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"))
 
 

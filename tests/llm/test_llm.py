@@ -17,11 +17,13 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import lorewell.llm.fingerprints as fingerprints_module
+
 from lorewell.llm import lexical, merkle, mixing as mixing_module, registry, simhash, suffix_array as suffix_array_module, suffix_dedup as suffix_dedup_module
 from lorewell.llm.chat_format import chat_format, conversation_events, escape, fold_events, parse, read_back, unescape
 from lorewell.llm.components import components
 from lorewell.llm.exact_dedup import exact_dedup
-from lorewell.llm.fingerprints import SECOND_SEED, canonical, fingerprints
+from lorewell.llm.fingerprints import SECOND_SEED, canonical, fingerprints, wide
 from lorewell.llm.line_dedup import line_dedup
 from lorewell.llm.mixing import apply_mix, mix
 from lorewell.llm.ngram_join import Rule, choose_prefix, ngram_join
@@ -1107,3 +1109,21 @@ def test_suffix_dedup_of_many_documents_with_one_passage(spark):
     rows = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup(docs).collect())
     texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
     assert [r[1:] for r in rows] == py_cut(texts, 50) and all(r[2] >= len(passage) + 2 for r in rows[1:])
+
+
+@pytest.mark.parametrize("rows_a_slice", [4096, 5])
+def test_fingerprints_deal_rows_without_id(spark, monkeypatch, rows_a_slice):
+    """A hundred thousand rows without id, a third of them copies: equal ones are one row until the end, and the others are in slices of the hash."""
+    monkeypatch.setattr(fingerprints_module, "SLICE_ROWS", rows_a_slice)
+    many = 100_000 if rows_a_slice > 1000 else 300
+    rows = spark.range(many).select(F.when(F.col("id") < 20, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one copy of many")).otherwise(F.concat(F.lit("Text "), "id")).alias("text"))
+    found = fingerprints(rows)
+    sums = found.agg(F.count("*").alias("n"), F.sum("near_next").alias("near"), F.count_distinct("edited_sha256").alias("edits")).first()
+    copies = sum(1 for i in range(20, many) if i % 3 == 0)
+    # each copy but the last is followed by a copy; those with an id have other neighbours
+    assert sums["n"] == many and sums["near"] == copies - 1
+    if many == 300:
+        by_hash = rows.withColumn("h", wide(canonical(F.col("text")))).orderBy(F.desc_nulls_last("doc_id"), "h.h1", "h.h2").collect()
+        texts = [r["text"] for r in by_hash]
+        edited = [hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1])]
+        assert sorted((r["doc_id"] or -1, r["edited_sha256"]) for r in found.collect()) == sorted((r["doc_id"] or -1, e) for r, e in zip(by_hash, edited))
