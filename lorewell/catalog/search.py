@@ -10,7 +10,7 @@ from ..functions.text import is_blank
 from ..operators.fusion import cliff_cutoff, hit_stats, merge_sources, normalize_hits, rerank, rrf
 from ..operators.vectors import dense_topk, embed, hybrid, hyde_queries, sparse_topk, to_sparse_map, validate_vectors
 from ..plans.store import once
-from .base import table
+from .base import spread, table
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +26,17 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split(F.lower("text"), r"[^a-z0-9]+")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("doc_id", "source", "word").agg(F.count("*").cast("float").alias("n"))
-    lists = counts.groupBy("doc_id", "source").agg(F.collect_list(F.struct("word", "n")).alias("w"))
-    return lists.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("item_name"), to_sparse_map(F.transform("w", lambda x: x["word"]), F.transform("w", lambda x: x["n"])).alias("sparse"))
+    """Each document's words with their counts, in the row that holds its text: the words are sorted, so a count is the distance of two ends of runs."""
+    words = F.sort_array(F.array_remove(F.split(F.lower("text"), r"[^a-z0-9]+"), ""))
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", "text")).select("doc_id", "source", words.alias("w"))
+    last = lambda i: (i > 0) & ((i == F.size("w")) | (F.get("w", i - 1) != F.get("w", i)))
+    ends = docs.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("w")), last))
+    counts = F.transform("ends", lambda end, i: (end - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("float"))
+    return ends.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("item_name"), to_sparse_map(F.transform("ends", lambda end: F.get("w", end - 1)), counts).alias("sparse"))
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = once(word_vectors(spark, sf_dir))
+    chunks = once(word_vectors(spark, sf_dir)).filter(F.size("sparse") > 0)
     queries = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.array("item_name").alias("item_names"), "sparse")
     return sparse_topk(queries, chunks, 5)
 
