@@ -114,6 +114,8 @@ def test_links():
     assert repair_links('![a](图.png "t t") [b](ok%20) [c](open') == '![a](%E5%9B%BE.png "t t") [b](ok%20) [c](open'
     assert repair_links("[a](x\ny)") == "[a](x\ny)" and repair_links(None) is None
     assert repair_links("[a](x\\)y)") == "[a](x\\%29y)"
+    assert repair_links("[a](x[b) [c](d é)") == "[a](x[b) [c](d%20%C3%A9)" and repair_links("]( (é)") == "]( (é)"
+    assert repair_links("[a](é" * 30_000 + ")") == "[a](é" * 29_999 + "[a](%C3%A9)"  # time in proportion to the text
     assert replace_links("![o](images/a.png) ![o](b.png)", {"a.png": ("s", "u")}) == "![s](u) ![o](b.png)"
 
 
