@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .work import read_table, shuffle_count, squeezed, stored
+from .work import read_table, row_count, shuffle_count, squeezed, stored
 
 KEY = ("digest", "n_bytes", "check")
 
@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # At most `hot_groups` groups can hold more than 1/hot_groups of all rows: that side is bounded, so it is broadcast, and the other
     # join has no heavy key.
     hot_groups = 1000
-    hot_size = rows.count() // hot_groups + 1
+    hot_size = row_count(rows) // hot_groups + 1
     hot = F.broadcast(many.filter(F.col("group_size") > hot_size).select(*KEY, F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_n")))
     warm = many.filter(F.col("group_size") <= hot_size)
     left = rows.join(hot, list(KEY), "left")
