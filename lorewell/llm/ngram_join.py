@@ -11,7 +11,8 @@ Sizes. Equal sets are one node from the start. Shingles that one node alone hold
 list: its node with the smallest digest. A first round verifies for each node only the hub it shares most prefix shingles with and joins what links;
 lists that are of one class then drop out. The last round takes all pairs of nodes of different classes in the remaining lists; pairs whose sizes
 forbid a link, or whose 1024-bit parity signatures differ in more bits than a link allows (a lower bound of the symmetric difference, so exact), are
-never emitted. Nodes of long lists are dealt into blocks of about ``block``, and a task compares two blocks at a time. Verification reads the texts of
+never emitted. Nodes of long lists are dealt into blocks of about ``block`` nodes and ``block_tokens`` shingles, and a
+task compares two blocks at a time. Verification reads the texts of
 the nodes in pairs only and moves each set to its hub.
 """
 
@@ -42,7 +43,10 @@ class Rule:
     den: int = 100
     most_matches: int = 4
     sketch_bits: int = 20
+    #: Nodes in a block, and shingles of theirs in all, about; bytes of the matrix of nodes and lists that a task holds at once.
     block: int = 1024
+    block_tokens: int = 1 << 23
+    matrix_bytes: int = 1 << 24
     #: Cost of verifying a candidate, in postings.
     verify_cost: float = 20.0
     #: Bits of the digest that names a set, unless another set has the same.
@@ -205,6 +209,27 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
     fields = "hub long, bi int, bj int, block int, node long, n int, m int, label long, sig binary, tokens array<long>"
     names = [f.split()[0] for f in fields.split(", ")]
 
+    def shared_lists(tokens: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+        """How many lists each node of ``left`` shares with each of ``right``, a few lists at a time; None if no list has two nodes."""
+        row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        _, held, nodes = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        held = held.reshape(-1)
+        many = nodes > 1
+        if not many.any():
+            return None
+        row, held = row[many[held]], (np.cumsum(many) - 1)[held[many[held]]]
+        n_lists, width = int(many.sum()), max(1, rule.matrix_bytes // (4 * len(tokens)))
+        if n_lists > width:
+            order = np.argsort(held, kind="stable")
+            row, held = row[order], held[order]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, n_lists, width):
+            a, b = np.searchsorted(held, (at, at + width)) if n_lists > width else (0, len(held))
+            holds = np.zeros((len(tokens), min(width, n_lists - at)), np.float32)
+            holds[row[a:b], held[a:b] - at] = 1
+            shared += holds[left] @ holds[right].T
+        return shared
+
     def pairs(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
         """The pairs of one cell, a few nodes' at a time."""
         label = run["label"]
@@ -214,13 +239,11 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
         left = np.flatnonzero(run["block"] == run["bi"][0])
         right = np.flatnonzero(run["block"] == run["bj"][0]) if split else left
         n, m, node, sig = run["n"].astype(np.int64), run["m"].astype(np.int64), run["node"], run["sig"]
-        lists = np.unique(np.concatenate(run["tokens"]), return_inverse=True)[1].reshape(-1)
-        holds = np.zeros((len(n), lists.max() + 1), np.float32)
-        holds[np.repeat(np.arange(len(n)), [len(t) for t in run["tokens"]]), lists] = 1
-        for at in range(0, len(left), 64):
+        shared = shared_lists(run["tokens"], left, right)
+        for at in range(0, len(left) if shared is not None else 0, 64):
             i = left[at : at + 64]
             ni, nj = n[i][:, None], n[right][None, :]
-            hits = holds[i] @ holds[right].T
+            hits = shared[at : at + 64]
             ok = (hits > 0) & (label[i][:, None] != label[right][None, :]) & (rule.num * np.maximum(ni, nj) <= rule.den * np.minimum(ni, nj))
             if not split:
                 ok &= i[:, None] < right[None, :]
@@ -230,11 +253,11 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
             a, b, total = i[x], right[y], n[i[x]] + n[right[y]]
             apart = np.concatenate([np.bitwise_count(sig[a[k : k + 8192]] ^ sig[b[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 8192)])
             good = apart <= total - 2 * -(-rule.num * total // (rule.num + rule.den))
-            a, b, shared = a[good], b[good], hits[x, y][good].astype(np.int64)
+            a, b, common = a[good], b[good], hits[x, y][good].astype(np.int64)
             swap = node[a] > node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             if len(a):
-                yield np.stack([node[a], node[b], shared, m[a], m[b], n[a], n[b]])
+                yield np.stack([node[a], node[b], common, m[a], m[b], n[a], n[b]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -270,8 +293,9 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
         if rest is not None:
             yield from emit(rest)
 
-    # one in ``block`` rows at most
-    long_lists = stored(lists.groupBy("hub").count().filter(F.col("count") > rule.block).select("hub", F.ceil(F.col("count") / rule.block).cast("int").alias("blocks")), "long-lists")
+    # one in ``block`` rows at most, or one in ``block_tokens`` shingles
+    sizes = lists.groupBy("hub").agg(F.greatest(F.count("*") / rule.block, F.sum(F.size("tokens")) / rule.block_tokens).alias("size"))
+    long_lists = stored(sizes.filter("size > 1").select("hub", F.ceil("size").cast("int").alias("blocks")), "long-lists")
     placed = lists.join(signatures, "node").join(small(long_lists), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     dealt = cells.select(*names).repartition(shuffle_count(lists.sparkSession), "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")

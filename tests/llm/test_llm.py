@@ -411,7 +411,7 @@ def py_classes(texts, rule):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("rule", [Rule(), Rule(width=4, num=85), Rule(width=2, num=50, block=4), Rule(width=1, num=34, most_matches=1)])
+@pytest.mark.parametrize("rule", [Rule(), Rule(width=4, num=85), Rule(width=2, num=50, block=4), Rule(width=1, num=34, most_matches=1), Rule(width=2, num=50, block_tokens=16, matrix_bytes=64)])
 def test_ngram_join(docs, texts, rule):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs, rule).collect()}
     assert got == py_classes(texts, rule)
