@@ -1127,3 +1127,30 @@ def test_fingerprints_deal_rows_without_id(spark, monkeypatch, rows_a_slice):
         texts = [r["text"] for r in by_hash]
         edited = [hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1])]
         assert sorted((r["doc_id"] or -1, r["edited_sha256"]) for r in found.collect()) == sorted((r["doc_id"] or -1, e) for r, e in zip(by_hash, edited))
+
+
+def test_components_split_a_giant_class(spark):
+    """A class that holds most nodes is one key of the joins by label; Spark splits that partition, and the labels stay right."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # it would make one task of tables this small, and a task's output isn't split
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    old = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 40_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        pairs = spark.range(100_000, 100_200, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        got = components(star.unionByName(pairs)).groupBy("label").count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r["label"]: r["count"] for r in got} == {0: 40_001} | {k: 2 for k in range(100_000, 100_200, 2)}
+    ran = plans.executionsList(before, plans.executionsCount() - before)
+    assert any("skew=true" in ran.apply(i).physicalPlanDescription() for i in range(ran.size()))
