@@ -9,11 +9,12 @@ rest reach the overlap that its sizes ask for.
 
 Sizes. Equal sets are one node from the start. Shingles that one node alone holds are dropped by an aggregation, which also names a hub for every other
 list: its node with the smallest digest. A first round verifies for each node only the hub it shares most prefix shingles with and joins what links;
-lists that are of one class then drop out. The last round takes all pairs of nodes of different classes in the remaining lists; pairs whose sizes
-forbid a link, or whose 1024-bit parity signatures differ in more bits than a link allows (a lower bound of the symmetric difference, so exact), are
-never emitted. Nodes of long lists are dealt into blocks of about ``block`` nodes and ``block_tokens`` shingles, and a
-task compares two blocks at a time. Verification reads the texts of
-the nodes in pairs only and moves each set to its hub.
+lists that are of one class then drop out. The last round looks at all pairs of nodes of different classes in the remaining lists. Nodes of long lists are
+dealt into blocks of about ``block`` nodes and ``block_tokens`` shingles, and a task compares two blocks at a time. A pair stays if its sizes allow a link
+and so do two parity sketches of 1024 bits, whose distance is a lower bound of a symmetric difference, so both are exact: one of the sets, one of what is left
+of the prefixes. Pairs are never rows: a cell of two blocks gives its nodes that are in pairs, each with the part of the cell that it is joined to by pairs, so at most one
+row for each that it read. The sets of a part then meet, all overlaps are counted there, and the part gives one link for each node at most.
+Both verifications read the texts of the nodes in pairs only.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .work import drop, read_table, row_count, shuffle_count, small, stored
 
 SLICE = 1 << 14
 MOST_CLASHES = 1 << 16
+SLICE_TOKENS = 1 << 20
 SIGNATURE_BITS = 1024
 
 
@@ -43,7 +45,7 @@ class Rule:
     den: int = 100
     most_matches: int = 4
     sketch_bits: int = 20
-    #: Nodes in a block, and shingles of theirs in all, about; bytes of the matrix of nodes and lists that a task holds at once.
+    #: Nodes in a block, and shingles of their sets in all, about; bytes of the matrix of nodes and lists that a task holds at once.
     block: int = 1024
     block_tokens: int = 1 << 23
     matrix_bytes: int = 1 << 24
@@ -200,37 +202,76 @@ def lists_by_head(mixed: DataFrame) -> DataFrame:
     return stored(mixed.groupBy(F.col("head").alias("hub"), "node").agg(F.collect_list("token").alias("tokens"), *[F.any_value(c).alias(c) for c in ("n", "m", "label")]), "lists-by-hub")
 
 
-def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame:
-    """Candidates (a, b, hits, m_a, m_b, n_a, n_b): pairs of different classes in one list that size and signature allow.
-
-    Lists with the same first node are taken together, so that a pair comes once for all of them, with the number of lists it shares. Their shingles are all in that
-    node's prefix. Nodes are dealt into cells of two blocks (bi, bj).
+def prefix_sketches(mixed: DataFrame) -> DataFrame:
+    """(node, total, parity): in how many lists a node is, and the parity sketch of their shingles in words of 64 bits."""
+    words = [F.expr(f"bit_xor(if((token >> 6) & {SIGNATURE_BITS // 64 - 1} = {k}, shiftleft(1L, cast(token & 63 as int)), 0L))") for k in range(SIGNATURE_BITS // 64)]
+    return mixed.groupBy("node").agg(F.count("*").cast("int").alias("total"), F.array(*words).alias("parity"))
+
+
+def shared_lists(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray, rule: Rule) -> np.ndarray | None:
+    """How many shingles each set of ``left`` shares with each of ``right``, a few shingles at a time; None if no shingle is in two sets."""
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, held, nodes = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    held = held.reshape(-1)
+    many = nodes > 1
+    if not many.any():
+        return None
+    row, held = row[many[held]], (np.cumsum(many) - 1)[held[many[held]]]
+    n_lists, width = int(many.sum()), max(1, rule.matrix_bytes // (4 * len(tokens)))
+    if n_lists > width:
+        order = np.argsort(held, kind="stable")
+        row, held = row[order], held[order]
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, n_lists, width):
+        a, b = np.searchsorted(held, (at, at + width)) if n_lists > width else (0, len(held))
+        holds = np.zeros((len(tokens), min(width, n_lists - at)), np.float32)
+        holds[row[a:b], held[a:b] - at] = 1
+        shared += holds[left] @ holds[right].T
+    return shared
+
+
+def overlaps(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """The sizes of all intersections of sorted sets, a range of shingles at a time."""
+    every = np.arange(len(sets))
+    slices = -(-sum(len(s) for s in sets) // SLICE_TOKENS)
+    ends = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(s, ends), len(s)] for s in sets]
+    out = np.zeros((len(sets), len(sets)))
+    for k in range(slices):
+        some = shared_lists([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)], every, every, rule)
+        if some is not None:
+            out += some
+    return out
+
+
+def _reach(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of n indexes that each reaches over the pairs x, y."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, x, low[y])
+        np.minimum.at(new, y, low[x])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def list_parts(lists: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """(part, node): the nodes that may link with a node of another class in one list, as size and ``sketches`` (node, sig, total, parity) allow. Two that may
+    link are in one part.
+
+    Lists with the same first node are taken together; their shingles are all in that node's prefix. Nodes are dealt into cells of two blocks (bi, bj). A
+    part is what pairs of a cell join, and is named by its nodes, so that it comes once if several cells have it. If two parts had one name, they would be one.
     """
-    fields = "hub long, bi int, bj int, block int, node long, n int, m int, label long, sig binary, tokens array<long>"
+    fields = "hub long, bi int, bj int, block int, node long, n int, m int, label long, sig binary, total int, parity array<long>, tokens array<long>"
     names = [f.split()[0] for f in fields.split(", ")]
+    words = SIGNATURE_BITS // 64
+
+    def apart(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bitwise_count(sketch[a[k : k + 8192]] ^ sketch[b[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, max(len(a), 1), 8192)])
 
-    def shared_lists(tokens: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
-        """How many lists each node of ``left`` shares with each of ``right``, a few lists at a time; None if no list has two nodes."""
-        row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        _, held, nodes = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        held = held.reshape(-1)
-        many = nodes > 1
-        if not many.any():
-            return None
-        row, held = row[many[held]], (np.cumsum(many) - 1)[held[many[held]]]
-        n_lists, width = int(many.sum()), max(1, rule.matrix_bytes // (4 * len(tokens)))
-        if n_lists > width:
-            order = np.argsort(held, kind="stable")
-            row, held = row[order], held[order]
-        shared = np.zeros((len(left), len(right)), np.float32)
-        for at in range(0, n_lists, width):
-            a, b = np.searchsorted(held, (at, at + width)) if n_lists > width else (0, len(held))
-            holds = np.zeros((len(tokens), min(width, n_lists - at)), np.float32)
-            holds[row[a:b], held[a:b] - at] = 1
-            shared += holds[left] @ holds[right].T
-        return shared
-
-    def pairs(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    def pairs(run: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of one cell, a few nodes' at a time."""
         label = run["label"]
         if label.min() == label.max():
@@ -238,8 +279,9 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
         split = run["bi"][0] != run["bj"][0]
         left = np.flatnonzero(run["block"] == run["bi"][0])
         right = np.flatnonzero(run["block"] == run["bj"][0]) if split else left
-        n, m, node, sig = run["n"].astype(np.int64), run["m"].astype(np.int64), run["node"], run["sig"]
-        shared = shared_lists(run["tokens"], left, right)
+        shared = shared_lists(run["tokens"], left, right, rule)
+        n, m, total = (run[k].astype(np.int64) for k in ("n", "m", "total"))
+        elsewhere, beyond = total - np.array([len(t) for t in run["tokens"]]), rule.need(n) - m
         for at in range(0, len(left) if shared is not None else 0, 64):
             i = left[at : at + 64]
             ni, nj = n[i][:, None], n[right][None, :]
@@ -248,40 +290,41 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
             if not split:
                 ok &= i[:, None] < right[None, :]
             x, y = np.nonzero(ok)
-            if not len(x):
-                continue
-            a, b, total = i[x], right[y], n[i[x]] + n[right[y]]
-            apart = np.concatenate([np.bitwise_count(sig[a[k : k + 8192]] ^ sig[b[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 8192)])
-            good = apart <= total - 2 * -(-rule.num * total // (rule.num + rule.den))
-            a, b, common = a[good], b[good], hits[x, y][good].astype(np.int64)
-            swap = node[a] > node[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if len(a):
-                yield np.stack([node[a], node[b], common, m[a], m[b], n[a], n[b]])
+            a, b, hits = i[x], right[y], hits[x, y].astype(np.int64)
+            # what two sets must share, and what of it in lists
+            both = -(-rule.num * (n[a] + n[b]) // (rule.num + rule.den))
+            listed = both - np.maximum(beyond[a], beyond[b])
+            good = hits + np.minimum(elsewhere[a], elsewhere[b]) >= listed
+            a, b, both, listed = a[good], b[good], both[good], listed[good]
+            good = apart(run["parity"], a, b) <= total[a] + total[b] - 2 * listed
+            a, b, both = a[good], b[good], both[good]
+            good = apart(run["sig"], a, b) <= n[a] + n[b] - 2 * both
+            if good.any():
+                yield a[good], b[good]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
-        out = ["a", "b", "hits", "m_a", "m_b", "n_a", "n_b"]
 
         def emit(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero((np.diff(cols["hub"]) != 0) | (np.diff(cols["bi"]) != 0) | (np.diff(cols["bj"]) != 0)) + 1
             found: list[np.ndarray] = []
-            size = 0
             for a, b in zip(np.r_[0, new], np.r_[new, len(cols["hub"])]):
-                for some in pairs({k: v[a:b] for k, v in cols.items()}) if b - a > 1 else ():
-                    found.append(some)
-                    size += some.shape[1]
-                    if size > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
-                        found, size = [], 0
+                if some := list(pairs({k: v[a:b] for k, v in cols.items()})):
+                    x, y = (np.concatenate(c) for c in zip(*some))
+                    low, inside = _reach(b - a, x, y), np.unique(np.r_[x, y])
+                    node = cols["node"][a:b][inside]
+                    name = np.zeros(b - a, np.uint64)
+                    np.add.at(name, low[inside], mix(node.view(np.uint64)))
+                    found.append(np.stack([name[low[inside]].view(np.int64), node]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], out)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["part", "node"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names) if k != "sig"}
-            cols["sig"] = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+            cols = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names) if k not in ("sig", "parity")}
+            cols["sig"] = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint64).reshape(-1, words)
+            cols["parity"] = batch.column(names.index("parity")).flatten().to_numpy().view(np.uint64).reshape(-1, words)
             if rest is not None:
                 cols = {k: np.concatenate([rest[k], cols[k]]) for k in cols}
             # the last cell may go on in the next batch
@@ -294,12 +337,65 @@ def list_pairs(lists: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame
             yield from emit(rest)
 
     # one in ``block`` rows at most, or one in ``block_tokens`` shingles
-    sizes = lists.groupBy("hub").agg(F.greatest(F.count("*") / rule.block, F.sum(F.size("tokens")) / rule.block_tokens).alias("size"))
+    sizes = lists.groupBy("hub").agg(F.greatest(F.count("*") / rule.block, F.sum("n") / rule.block_tokens).alias("size"))
     long_lists = stored(sizes.filter("size > 1").select("hub", F.ceil("size").cast("int").alias("blocks")), "long-lists")
-    placed = lists.join(signatures, "node").join(small(long_lists), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = lists.join(sketches, "node").join(small(long_lists), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     dealt = cells.select(*names).repartition(shuffle_count(lists.sparkSession), "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
-    return dealt.mapInArrow(scan, "a long, b long, hits long, m_a long, m_b long, n_a long, n_b long")
+    return dealt.mapInArrow(scan, "part long, node long").distinct()
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, clashes: frozenset[int], rule: Rule) -> DataFrame:
+    """A stored table (doc_id, node, ...) of numbers with the sets of its nodes, ``shingles``, in place of the ids."""
+    names = [c for c in wanted.columns if c != "doc_id"]
+    # beyond the broadcast's limit the texts are shuffled by id; a scan that is large enough is then thinned out by Spark's runtime Bloom filter
+    texts = docs.join(small(wanted), "doc_id").select(*names, "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):  # a set is larger than its text
+                batch = whole.slice(at, 200)
+                sets = list(shingle_sets(batch.column(len(names)).to_pylist(), rule.width))
+                # an id may stand for other texts too: it must be the set that was meant
+                own = [len(s) > 0 and _node(_digest(s, rule), clashes) == node for s, node in zip(sets, batch.column(names.index("node")).to_pylist())]
+                cols = [*batch.columns[: len(names)], pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "shingles"]).filter(pa.array(own, pa.bool_()))
+
+    return texts.mapInArrow(hashed, ", ".join([*(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in names), "shingles binary"]))
+
+
+def linked_parts(parts: DataFrame, nodes: DataFrame, docs: DataFrame, clashes: frozenset[int], rule: Rule) -> DataFrame:
+    """Links (a, b) that join the nodes of each part as all links between them do, stored: at most one for each row of ``parts``."""
+    parts = stored(parts, "parts")
+    wanted = stored(parts.join(nodes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id", "node", "part"), "wanted-sets")
+    drop(parts)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        of = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                node, n = np.array(list(held), np.int64), np.array([len(s) for s in held.values()])
+                common = overlaps(list(held.values()), rule)
+                common *= rule.num + rule.den
+                x, y = np.nonzero(np.triu(common >= rule.num * (n[:, None] + n[None, :]), 1))
+                low = _reach(len(n), x, y)
+                far = np.flatnonzero(low != np.arange(len(n)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[low[far]])], ["a", "b"])
+
+        for batch in batches:
+            for i, (node, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if part != of:
+                    yield from links()
+                    held, of = {}, part
+                held[node] = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+        yield from links()
+
+    met = sets_of(wanted, docs, clashes, rule).repartition(shuffle_count(docs.sparkSession), "part").sortWithinPartitions("part")
+    links = stored(met.mapInArrow(compare, "a long, b long"), "links")
+    drop(wanted)
+    return links
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, clashes: frozenset[int], rule: Rule, fan: int = 512) -> DataFrame:
@@ -312,21 +408,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, clashes: froze
     dealt = pairs.join(small(crowded), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"))
     # place: 2 * lot, and 1 more for the hub itself
     wanted = dealt.select(F.col("a").alias("node"), "b", (2 * F.col("lot")).alias("place")).unionByName(dealt.select(F.col("b").alias("node"), "b", (2 * F.col("lot") + 1).alias("place")).distinct())
-    wanted = stored(wanted.join(nodes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id", "b", "place"), "wanted-sets")
+    wanted = stored(wanted.join(nodes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id", "node", "b", "place"), "wanted-sets")
     drop(pairs, crowded)
-    # beyond the broadcast's limit the texts are shuffled by id; a scan that is large enough is then thinned out by Spark's runtime Bloom filter
-    texts = docs.join(small(wanted), "doc_id").select("b", "place", "text")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):  # a set is larger than its text
-                batch = whole.slice(at, 200)
-                sets = list(shingle_sets(batch.column(2).to_pylist(), rule.width))
-                node = [_node(_digest(s, rule), clashes) if len(s) else None for s in sets]
-                # an id may stand for other texts too: a hub must be the set that was meant
-                own = [x is not None and (not place & 1 or x == b) for x, b, place in zip(node, batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                cols = [pa.array(node, pa.int64()), batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "b", "place", "shingles"]).filter(pa.array(own, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, of = np.empty(0, np.uint64), None
@@ -342,7 +425,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, clashes: froze
                         a.append(node), b.append(group)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sets = texts.mapInArrow(hashed, "node long, b long, place int, shingles binary").withColumn("lot", F.shiftright("place", 1))
+    sets = sets_of(wanted, docs, clashes, rule).withColumn("lot", F.shiftright("place", 1))
     met = sets.repartition(shuffle_count(docs.sparkSession), "b", "lot").sortWithinPartitions("b", "lot", F.desc("place")).drop("lot")
     links = stored(met.mapInArrow(compare, "a long, b long"), "links")
     drop(wanted)
@@ -389,10 +472,8 @@ def ngram_join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     mixed = with_labels(lists, labels)
     drop(links, lists)
     lists = lists_by_head(mixed)
-    pairs = list_pairs(lists, nodes.select("node", "sig"), rule)
-    counted = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), *[F.any_value(c).alias(c) for c in ("m_a", "m_b", "n_a", "n_b")])
-    enough = counted.filter(rule.enough(F.col("hits"), F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select("a", "b")
-    links = verified(enough, nodes, known, clashes, rule)
+    sketches = nodes.select("node", "sig").join(prefix_sketches(mixed), "node")
+    links = linked_parts(list_parts(lists, sketches, rule), nodes, known, clashes, rule)
     drop(mixed, lists)
     if row_count(links):
         before, labels = labels, joined(labels, links)

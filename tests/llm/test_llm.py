@@ -26,7 +26,7 @@ from lorewell.llm.exact_dedup import exact_dedup
 from lorewell.llm.fingerprints import SECOND_SEED, canonical, fingerprints, wide
 from lorewell.llm.line_dedup import line_dedup
 from lorewell.llm.mixing import apply_mix, mix
-from lorewell.llm.ngram_join import Rule, choose_prefix, ngram_join
+from lorewell.llm.ngram_join import Rule, choose_prefix, ngram_join, overlaps
 from lorewell.llm.packing import best_fit, cut, pack, pack_documents
 from lorewell.llm.shingles import shingle_sets
 from lorewell.llm.suffix_array import common_prefixes, suffix_array
@@ -437,6 +437,41 @@ def test_ngram_join_with_clashing_digests(docs, texts):
     assert got == py_classes(texts, rule)
 
 
+@pytest.mark.parametrize("block", [1024, 100])
+def test_ngram_join_makes_no_pair_rows_of_a_large_group(spark, monkeypatch, block):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            own[at] = f"edit{k}x{at}"
+        texts.append(" ".join(own))
+    rule = Rule(width=4, num=85, block=block)
+    rows = Counter()
+
+    def counted(df, label, **more):
+        table = stored(df, label, **more)
+        rows[label] = max(rows[label], row_count(table))
+        return table
+
+    monkeypatch.setattr("lorewell.llm.ngram_join.stored", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows_of(texts), DOCS), rule).collect()}
+    assert got == py_classes(texts, rule)
+    # of 79,800 pairs thousands link across the classes of the first round
+    assert rows["candidates"] <= len(texts) and 0 < rows["links"] <= rows["parts"] <= 8 * len(texts)
+
+
+def test_overlaps_by_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 64, 40, dtype=np.uint64) >> np.uint64(58 * (k % 2)) << np.uint64(58 * (k % 2))) for k in range(9)] + [np.array([(1 << 64) - 1], np.uint64)] * 2
+    expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for size, matrix in ((1 << 20, 1 << 24), (7, 1 << 24), (7, 16), (1 << 20, 16)):
+        monkeypatch.setattr("lorewell.llm.ngram_join.SLICE_TOKENS", size)
+        found = overlaps(sets, Rule(matrix_bytes=matrix))
+        assert all(found[i][j] == expected[i][j] for i in range(len(sets)) for j in range(len(sets)) if i != j)
+
+
 def test_longer_prefix_for_common_shingles():
     rule = Rule(width=4, num=85)
     s = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 200, dtype=np.uint64))
