@@ -231,16 +231,33 @@ def shared_lists(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def overlaps(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """The sizes of all intersections of sorted sets, a range of shingles at a time."""
-    every = np.arange(len(sets))
+    """The sizes of the intersections of sorted sets, above the diagonal, a range of shingles at a time. Shingles that few sets have are counted pair by pair,
+    since a product of matrices costs the same for each shingle."""
+    every, few = np.arange(len(sets)), len(sets) // 16
     slices = -(-sum(len(s) for s in sets) // SLICE_TOKENS)
     ends = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64)
     cuts = [np.r_[0, np.searchsorted(s, ends), len(s)] for s in sets]
     out = np.zeros((len(sets), len(sets)))
     for k in range(slices):
-        some = shared_lists([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)], every, every, rule)
-        if some is not None:
-            out += some
+        some = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        sizes = [len(s) for s in some]
+        token = np.concatenate(some)
+        order = np.argsort(token, kind="stable")
+        row, token = np.repeat(every, sizes)[order], token[order]
+        held = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]) if len(token) else np.empty(0, np.int64)
+        holders = np.repeat(held, held)
+        rare = (holders > 1) & (holders <= few)
+        row, token = row[rare], token[rare]
+        for d in range(1, few):
+            same = np.flatnonzero(token[d:] == token[:-d])
+            if not len(same):
+                break
+            np.add.at(out, (row[same], row[same + d]), 1)
+        often = np.zeros(len(order), bool)
+        often[order] = holders > max(few, 1)
+        common = shared_lists([s[o] for s, o in zip(some, np.split(often, np.cumsum(sizes)[:-1]))], every, every, rule)
+        if common is not None:
+            out += common
     return out
 
 
