@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.blocks import Best, DenseQueries, SparseQueries
+from ..functions.blocks import SCORES, Best, DenseQueries, SparseQueries, runs
 from ..functions.encoders import HashedTokens
 from ..plans.store import counted
 
 #: Queries up to this many, and up to so many bytes of them, go to every task as one block; more are dealt in blocks within both limits, to meet blocks of about
-#: ``CHUNK_BLOCK`` chunks. ``STRIDE``: chunks that are scored at once.
+#: ``CHUNK_BLOCK`` chunks. ``STRIDE``: chunks that are scored at once, at most; with many queries they are fewer.
 MATRIX_QUERIES = 4096
 MATRIX_BYTES = 16 << 20
 CHUNK_BLOCK = 16384
@@ -81,9 +81,13 @@ def top(df: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: list[Column], k: int, digits: int) -> DataFrame:
+def _stride(queries: int) -> int:
+    return max(1, min(STRIDE, SCORES // max(queries, 1)))
+
+
+def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: list[Column], k: int, digits: int, heft: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score): for every query the k best chunks, at least, among those of its items (null: all). ``payload``: the array columns of either table
-    that ``prepare`` makes a block of queries from."""
+    that ``prepare`` makes a block of queries from. ``heft``: from the payload ``p0``, ``p1``, .. what makes a chunk likely to score high; such chunks come first."""
     names = [f"p{i}" for i in range(len(payload))]
     columns = [c.alias(n) for c, n in zip(payload, names)]
     # kept, for the plan that gives them runs once, whatever reads them
@@ -95,7 +99,7 @@ def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: l
     bytes_ = asked.agg(F.sum(width).alias("n")).first()["n"] or 0
     if rows > MATRIX_QUERIES or bytes_ > MATRIX_BYTES:
         per_block = max(1, min(MATRIX_QUERIES, MATRIX_BYTES * rows // bytes_))
-        return _in_cells(asked, corpus, prepare, names, per_block, k, digits, out, kinds)
+        return _in_cells(asked, corpus, prepare, names, per_block, k, digits, out, kinds, F.lit(0.0) if heft is None else heft)
     block = asked.toArrow().combine_chunks()  # within the limits above
     if not block.num_rows:
         return chunks.sparkSession.createDataFrame([], out)
@@ -111,7 +115,7 @@ def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: l
                 of_item.setdefault(name, []).append(i)
         ready: dict = {}
         best, kind = Best(len(ids), k, digits), None
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in _parts(whole_batch, names)):
             kind = batch.column(0).type
             item = batch.column(1).dictionary_encode()
             known = item.dictionary.to_pylist()
@@ -125,10 +129,10 @@ def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: l
                     ready[key] = of, whole.take(of)
                 of, own = ready[key]
                 if len(of):
-                    mine = np.flatnonzero(code == group)
-                    for at in range(0, len(mine), STRIDE):
-                        columns, scores = own.score(read, mine[at : at + STRIDE], best.least[of])
-                        best.add(scores, of[columns], chunk_ids[mine[at : at + STRIDE]])
+                    mine, step = np.flatnonzero(code == group), _stride(len(of))
+                    for at in range(0, len(mine), step):
+                        columns, scores = own.score(read, mine[at : at + step], best.least[of])
+                        best.add(scores, of[columns], chunk_ids[mine[at : at + step]])
         found = best.rows(ids, kind)
         if found is not None:
             yield found
@@ -136,15 +140,24 @@ def _search(queries: DataFrame, chunks: DataFrame, prepare: Callable, payload: l
     return corpus.mapInArrow(run, out)
 
 
-def _in_cells(queries: DataFrame, chunks: DataFrame, prepare: Callable, names: list[str], per_block: int, k: int, digits: int, out: str, kinds: dict[str, str]) -> DataFrame:
+def _parts(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, each with a bounded number of tokens or components."""
+    for first, end in runs(batch.column(names[0]), max(1, batch.num_rows)):
+        yield batch.slice(first, end - first)
+
+
+def _in_cells(queries: DataFrame, chunks: DataFrame, prepare: Callable, names: list[str], per_block: int, k: int, digits: int, out: str, kinds: dict[str, str], heft: Column) -> DataFrame:
     """Many queries: those of an item are dealt in blocks of about ``per_block``, its chunks in larger ones, and a cell is a block of both. A cell's queries come first
-    and are held; its chunks stream past them. An item with many rows is many cells."""
+    and are held; its chunks stream past them, those with much ``heft`` first. An item with many rows is many cells."""
     free = F.col("item_names").isNull()
     item = lambda name: F.concat(F.lit("1"), name)
     q = queries.withColumn("item", F.explode(F.when(free, F.array(F.lit("0"))).otherwise(F.transform(F.filter(F.array_distinct("item_names"), lambda n: n.isNotNull()), item))))
-    c = chunks.withColumn("item", F.explode(F.when(F.col("item_name").isNull(), F.array(F.lit("0"))).otherwise(F.array(F.lit("0"), item(F.col("item_name"))))))
+    every, own = ([] if queries.filter(free).isEmpty() else [F.lit("0")]), F.when(F.col("item_name").isNotNull(), item(F.col("item_name")))
+    c = chunks.withColumn("item", F.explode(F.array_compact(F.array(*every, own))))
     blocks = lambda df, size, name: df.groupBy("item").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    grid = blocks(q, per_block, "q_blocks").join(blocks(c, CHUNK_BLOCK, "c_blocks"), "item")  # a row per item that is asked for
+    # a row per item that is asked for; up to 32 MB of them, at 200 bytes a row, go to the chunks, which are then moved once, to their cells
+    grid, items = counted(blocks(q, per_block, "q_blocks").join(blocks(c, CHUNK_BLOCK, "c_blocks"), "item"))
+    grid = F.broadcast(grid) if items * 200 <= 32 << 20 else grid
     dealt = lambda df, key, mine, other: df.join(grid, "item").withColumn(f"{mine}_no", F.pmod(F.xxhash64(key), F.col(f"{mine}_blocks")).cast("int")).withColumn(f"{other}_no", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
     cell = ["item", "q_no", "c_no"]
     left = dealt(q, "query_id", "q", "c").select(*cell, F.lit(0).alias("side"), "query_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), *names)
@@ -180,16 +193,19 @@ def _in_cells(queries: DataFrame, chunks: DataFrame, prepare: Callable, names: l
                         continue
                     block = pa.Table.from_batches(held).combine_chunks()
                     one = lambda c: pa.concat_arrays(block.column(c).chunks)  # noqa: B023, E731
-                    ready = one("query_id"), prepare(*map(one, names)), Best(block.num_rows, k, digits)
-                read, chunk_ids = ready[1].look(*(part.column(c) for c in names)), part.column(5).to_numpy(zero_copy_only=False)
-                for first in range(0, part.num_rows, STRIDE):
-                    rows = np.arange(first, min(first + STRIDE, part.num_rows))
-                    columns, scores = ready[1].score(read, rows, ready[2].least)
-                    ready[2].add(scores, columns, chunk_ids[rows])
+                    # the numbers are copied, so that the batches can go
+                    ready, held = (one("query_id").take(pa.array(np.arange(block.num_rows))), prepare(*map(one, names)), Best(block.num_rows, k, digits)), []
+                    del block
+                for few in _parts(part, names):
+                    read, chunk_ids, step = ready[1].look(*(few.column(c) for c in names)), few.column(5).to_numpy(zero_copy_only=False), _stride(ready[1].n)
+                    for first in range(0, few.num_rows, step):
+                        rows = np.arange(first, min(first + step, few.num_rows))
+                        columns, scores = ready[1].score(read, rows, ready[2].least)
+                        ready[2].add(scores, columns, chunk_ids[rows])
         yield from done()
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = left.unionByName(right).repartition(parts, *cell).sortWithinPartitions(*cell, "side")
+    met = left.unionByName(right).repartition(parts, *cell).sortWithinPartitions(*cell, "side", F.when(F.col("side") == 1, heft).desc(), "chunk_id")
     return met.mapInArrow(run, out)
 
 
@@ -207,7 +223,7 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.leg_limit) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks by inner product of token weights among those of the query's items (null: all); a chunk without a
     common token isn't found. ``queries`` and ``chunks`` have a map ``sparse`` in place of a vector."""
-    found = _search(queries, chunks, SparseQueries, [F.map_keys("sparse"), F.map_values("sparse")], k, 9)
+    found = _search(queries, chunks, SparseQueries, [F.map_keys("sparse"), F.map_values("sparse")], k, 9, F.size("p1") * F.array_max("p1").cast("double"))
     return top(found, "query_id", F.round("score", 9), "chunk_id", k)
 
 

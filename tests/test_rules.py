@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -369,6 +370,30 @@ def test_sparse_blocks_are_passed_over():
     assert sorted(zip(best.query.tolist(), best.ids.tolist())) == sorted(expected) and left_out > 20
 
 
+@pytest.mark.parametrize("low", [1, -3])
+def test_memory_of_sparse_scores_is_bounded(low):
+    """Words that all queries and chunks have give no row for each pair of them; scores of 0 and no common word at all are told apart."""
+    rng = np.random.default_rng(5)
+    tokens = [sorted(rng.choice(130, 100, replace=False).tolist()) if i % 50 else [1000 + i] for i in range(1256)]
+    weights = [rng.integers(low, 9, len(t)).astype(float).tolist() for t in tokens]
+    if low < 0:
+        tokens[1:3], weights[1:3], tokens[1001:1003], weights[1001:1003] = [[0, 1], [2]], [[2.0, -2.0], [0.0]], [[0, 1], [2]], [[3.0, 3.0], [5.0]]
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    q = SparseQueries(lists(tokens[:1000], pa.int64()), lists(weights[:1000], pa.float64()))
+    block = q.look(lists(tokens[1000:], pa.int64()), lists(weights[1000:], pa.float64()))
+    tracemalloc.start()
+    columns, scores = q.score(block, np.arange(256), np.full(1000, -np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole, there = np.zeros((1256, 2300)), np.zeros((1256, 2300))
+    for i, (t, w) in enumerate(zip(tokens, weights)):
+        whole[i, t], there[i, t] = w, 1
+    expected = np.where(there[1000:] @ there[:1000].T > 0, whole[1000:] @ whole[:1000].T, np.nan)
+    assert len(columns) == 1000 and np.array_equal(scores, expected, equal_nan=True)
+    assert low > 0 or scores[1, 1] == scores[2, 2] == 0
+    assert peak < 100 << 20
+
+
 @pytest.mark.parametrize("slices", [None, 7, 60, 200])
 def test_rates_by_slices_of_time(spark, slices):
     """The counts of one key with most events, whatever the slices, against a plain loop."""
