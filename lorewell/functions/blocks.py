@@ -104,13 +104,9 @@ class DenseQueries:
         values, start, n = flat(vectors)
         return values.to_numpy(zero_copy_only=False), start, n
 
-    def _matrix(self, values: np.ndarray, start: np.ndarray, n: np.ndarray, rows: np.ndarray, dim: int) -> np.ndarray:
-        """The vectors of some rows, for cosines with length 1 (null: length 0)."""
-        matrix = values[gather(start[rows], n[rows])[0]].reshape(len(rows), dim).astype(np.float64)
-        if self.metric == "cosine":
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix /= np.where(length > 0, length, np.nan)
-        return matrix
+    @staticmethod
+    def _matrix(values: np.ndarray, start: np.ndarray, n: np.ndarray, rows: np.ndarray, dim: int) -> np.ndarray:
+        return values[gather(start[rows], n[rows])[0]].reshape(len(rows), dim).astype(np.float64)
 
     def take(self, of: np.ndarray) -> DenseQueries:
         out = object.__new__(DenseQueries)
@@ -130,7 +126,11 @@ class DenseQueries:
         for dim, own, matrix in self.parts:
             fits = np.flatnonzero(n[rows] == dim)
             if len(fits):
-                s = self._matrix(values, start, n, rows[fits], dim) @ matrix.T
+                c = self._matrix(values, start, n, rows[fits], dim)
+                s = c @ matrix.T
+                if self.metric == "cosine":  # divided at the end: whole numbers then give equal bits where the cosines are equal
+                    both = np.outer(np.linalg.norm(c, axis=1), np.linalg.norm(matrix, axis=1))
+                    s = np.divide(s, both, out=np.full_like(s, np.nan), where=both > 0)
                 if s.shape == scores.shape:
                     return np.arange(self.n), s
                 scores[np.ix_(fits, own)] = s
