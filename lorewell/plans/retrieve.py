@@ -20,11 +20,13 @@ def search(requests: DataFrame, chunks: DataFrame, documents: DataFrame, encoder
     ``requests``: request_id, query, item_names. ``documents``: request_id, document.
     """
     texts = hyde_queries(requests.select("request_id", "query"), documents)
-    keyed = embed(texts.withColumn("query_id", F.concat_ws("/", F.col("request_id").cast("string"), "path")), "text", encoder, mode="query")
-    # both legs and the join below read the vectors
-    queries = once(keyed.join(requests.select("request_id", "item_names"), "request_id")).select("request_id", "path", "query_id", F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), "item_names")
+    keyed = embed(texts, "text", encoder, mode="query").join(requests.select("request_id", "item_names"), "request_id")
+    # queries with equal vectors and items are one, under a digest of them; what it finds goes to all that asked it
+    parts = F.struct("dense_vector", "sparse_vector", F.array_sort(F.array_distinct("item_names")).alias("items"))
+    asked = once(keyed.select("request_id", "path", "item_names", "dense_vector", "sparse_vector", F.sha2(F.to_json(parts), 256).alias("query_id")))
+    queries = once(asked.groupBy("query_id").agg(F.first(F.struct(F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), "item_names")).alias("q")).select("query_id", "q.*"))
     corpus = chunks.select("chunk_id", "item_name", F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"))
-    hits = hybrid_search(queries, corpus, config).join(queries.select("query_id", "request_id", "path"), "query_id")
+    hits = hybrid_search(queries, corpus, config).join(asked.select("query_id", "request_id", "path"), "query_id")
     rows = with_content(hits.select("request_id", "path", "rank", "chunk_id"), chunks).select("request_id", "path", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "content", "title")
     paths = [(rows.filter(F.col("path") == p).drop("path"), 1.0) for p in ("plain", "hyde")]
     return rrf(paths, config.rrf_k, config.rrf_max)

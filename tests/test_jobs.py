@@ -18,6 +18,7 @@ from lorewell.operators.history import clear_sessions, session_history, turns_to
 from lorewell.operators.sections import chunk_sections, split_by_headings
 from lorewell.operators.tasklog import task_rollup
 from lorewell.operators.vectors import embed
+from lorewell.plans import retrieve as retrieve_plan
 from lorewell.plans.buckets import append, clear_stored, commit, folders, messages_table, read_buckets, upsert_stored
 from lorewell.plans.ingest import chunk_documents, embed_chunks, image_links, image_requests, ingest, tables_to_review
 from lorewell.plans.retrieve import answer_requests, retrieve, with_content
@@ -225,6 +226,26 @@ def test_whole_answer_job(spark):
     assert got[4].item_names == ["pump 2", "pump 3"] and "valve 2" in got[4].prompt and "valve 3" in got[4].prompt and got[4].prompt.endswith("q4")
 
 
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """Requests with one question and one set of items are one search; each of them gets what it finds."""
+    docs = spark.createDataFrame([(i, f"pump {i}", f"# pump {i}\nHow to start pump {i}.") for i in range(3)], "doc_id long, file_title string, md_content string")
+    chunks = ingest(docs, docs.select("doc_id", F.col("file_title").alias("answer")))
+    rows = [(i, "start it", items) for i, items in enumerate([["pump 1", "pump 2"], ["pump 2", "pump 1", "pump 2"], ["pump 2"], None, None, []])]
+    requests = spark.createDataFrame([*rows, (6, "stop it", ["pump 2"])], "request_id long, query string, item_names array<string>")
+    documents = spark.createDataFrame([(1, "open the valve")], "request_id long, document string")
+    searched = []
+    whole = retrieve_plan.hybrid_search
+    monkeypatch.setattr(retrieve_plan, "hybrid_search", lambda queries, *rest: searched.append(queries.count()) or whole(queries, *rest))
+    got = {}
+    for r in retrieve_plan.search(requests, chunks, documents).collect():
+        got.setdefault(r.request_id, []).append((r.rank, r.content.split("\n")[0]))
+    # the plain and the hypothetical question have the same words but where there is a document
+    assert searched == [6]
+    found = {k: {x for _, x in v} for k, v in got.items()}
+    assert found == {0: {"## pump 1", "## pump 2"}, 1: {"## pump 1", "## pump 2"}, 2: {"## pump 2"}, 3: {f"## pump {i}" for i in range(3)}, 4: {f"## pump {i}" for i in range(3)}, 6: {"## pump 2"}}
+    assert sorted(got[3]) == sorted(got[4]) and all(len(v) == len(found[k]) for k, v in got.items())
+
+
 def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
