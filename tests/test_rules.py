@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from lorewell.config import Config
-from lorewell.functions.blocks import Best, SparseQueries
+from lorewell.functions.blocks import Best, DenseQueries, SparseQueries
 from lorewell.functions.links import protect_images, repair_links, replace_links, restore_images
 from lorewell.functions.splitter import split_body, split_text
 from lorewell.functions.tables import _Cells, linearize, spread, table_is_complex
@@ -394,6 +394,29 @@ def test_memory_of_sparse_scores_is_bounded(low):
     assert peak < 100 << 20
 
 
+def test_memory_of_a_full_block_is_bounded():
+    """As many queries as a block has, each with half of 64 components as tokens, against the chunks that are scored at once."""
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(5120, 64)).astype(np.float32)
+    lists = lambda rows, kind: pa.array([r.tolist() for r in rows], pa.list_(kind))
+    sparse = lambda part: (lists([np.flatnonzero(r > 0) for r in part], pa.int64()), lists([r[r > 0] for r in part], pa.float32()))
+    dense = lambda part: (lists(part, pa.float32()),)
+    n = vectors.MATRIX_QUERIES
+    for make, of, product in ((lambda v: DenseQueries("cosine", v), dense, values / np.linalg.norm(values, axis=1, keepdims=True)), (SparseQueries, sparse, np.maximum(values, 0))):
+        q, best = make(*of(values[:n])), Best(n, 5, 9)
+        block = q.look(*of(values[n:]))
+        tracemalloc.start()
+        step = vectors._stride(n)
+        for at in range(0, 1024, step):
+            columns, scores = q.score(block, np.arange(at, at + step), best.least)
+            best.add(scores, columns, np.arange(at, at + step))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        expected = np.argsort(-(product[n:].astype(float) @ product[:n].astype(float).T), axis=0, kind="stable")[:5]
+        assert sorted(zip(best.query.tolist(), best.ids.tolist())) == sorted((i, j) for i in range(n) for j in expected[:, i].tolist())
+        assert peak < 100 << 20
+
+
 @pytest.mark.parametrize("slices", [None, 7, 60, 200])
 def test_rates_by_slices_of_time(spark, slices):
     """The counts of one key with most events, whatever the slices, against a plain loop."""
