@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import Config
 from ..plans.buckets import append_new, chunks_table, read_buckets
 from ..plans.store import new_folder
-from ..sources.files import archive_originals, read_chunks, read_chunks_json, read_item_names, read_messages, write_chunk_batch, write_chunks, write_chunks_json, write_item_names, write_messages
+from ..sources.files import archive_originals, read_chunks, read_chunks_json, read_item_names, read_messages, write_chunk_batch, write_chunks, write_chunks_json, write_item_names, write_messages, write_text_files
 from ..streaming.files import committed, file_batch, ingest_stream
 from .base import table
 from .chats import messages
@@ -88,18 +88,18 @@ def arrived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Markdown file that a stream takes in, those over 10,000 bytes being too large; the first batch comes twice. Per file: its chunks, or why it
     was rejected. Sections are never split here, which SQL couldn't restate."""
     source, out, state = (f"{new_folder(spark)}/rows" for _ in range(3))
-    marked(spark, sf_dir).select("doc_id", "md_content").repartition(8, "doc_id").sortWithinPartitions("doc_id").write.partitionBy("doc_id").text(source)
+    write_text_files(marked(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), F.col("md_content").alias("text")), source)
     config = Config(max_content_length=10**9)
-    ingest_stream(spark, source, out, state, config, most_bytes=10_000, pattern="*.txt").awaitTermination()
-    again = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    ingest_stream(spark, source, out, state, config, most_bytes=10_000, pattern="*.txt", files_per_batch=50_000).awaitTermination()
+    # the driver lists what is read: a tenth of the files would show if the batch were taken in again
+    again = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*0.txt").load(source).select(F.col("_metadata.file_path").alias("path"), "length", "content")
     file_batch(again, out, 0, config, most_bytes=10_000)
     chunks, rejected = committed(spark, out)
-    # the folder is the document's number; chunks know their file by its hash
-    names = again.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("file"))
-    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
-    good = sizes.join(names, "doc_id").select("file", "chunks", "chars", F.lit(None).cast("string").alias("reason"))
+    # a file's name is the document's number, and the title of its chunks
+    sizes = chunks.groupBy(F.col("file_title").try_cast("long").alias("file")).agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
     none = F.lit(None).cast("long")
-    return good.unionByName(rejected.join(names, "doc_id").select("file", none.alias("chunks"), none.alias("chars"), "reason"))
+    why = rejected.select(F.regexp_extract("path", r"/([^/]*)\.txt$", 1).try_cast("long").alias("file"), none.alias("chunks"), none.alias("chars"), "reason")
+    return sizes.withColumn("reason", F.lit(None).cast("string")).unionByName(why)
 
 
 QUERIES = {

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT
@@ -78,6 +82,32 @@ def referenced_images(images: DataFrame, docs: DataFrame, by_suffix: bool = Fals
     return asked.join(there, ["home", "name"]).select("doc_id", "name", "path")
 
 
+def write_text_files(texts: DataFrame, path: str, folders: int = 128) -> None:
+    """Each name's texts (name, text), a line each, as a file ``name.txt`` in one of some folders: a folder for each file takes far longer to list than to read. Tasks
+    write the files; one that is repeated writes the same again."""
+    there, whole = pafs.FileSystem.from_uri(path)
+    there.create_dir(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        at, out = None, None
+        for batch in batches:
+            for folder, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (folder, name):
+                    if out is not None:
+                        out.close()
+                    if at is None or at[0] != folder:
+                        fs.create_dir(f"{root}/{folder}")
+                    at, out = (folder, name), fs.open_output_stream(f"{root}/{folder}/{name}.txt")
+                out.write(((text or "") + "\n").encode())
+        if out is not None:
+            out.close()
+        yield from ()
+
+    rows = texts.select(F.pmod(F.xxhash64("name"), F.lit(folders)).alias("folder"), F.coalesce("name", F.lit("null")).alias("name"), "text")
+    rows.repartition(folders, "folder").sortWithinPartitions("folder", "name").mapInArrow(run, "files long").count()
+
+
 def write_chunks_json(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 

@@ -23,7 +23,8 @@ from lorewell.plans.buckets import append, clear_stored, commit, folders, messag
 from lorewell.plans.ingest import chunk_documents, embed_chunks, image_links, image_requests, ingest, tables_to_review
 from lorewell.plans.retrieve import answer_requests, retrieve, with_content
 from lorewell.schemas import MESSAGES
-from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, referenced_images, route_files, write_chunks, write_chunks_json, write_messages
+from lorewell.sources.files import archive_originals, images_of, list_files, list_images, read_chunks, read_chunks_json, read_markdown, read_messages, referenced_images, route_files, write_chunks, write_chunks_json, write_messages, write_text_files
+from lorewell.streaming import files as streaming_files
 from lorewell.streaming.files import committed, file_batch, ingest_stream
 from lorewell.streaming.tasks import Step, summary, task_rollup_stream
 
@@ -314,6 +315,27 @@ def test_broken_files_stop_nothing(spark, tmp_path, monkeypatch):
     assert committed(spark, out)[0].count() == 2 * len(got) + 1  # this encoder refuses nothing
 
 
+def test_many_small_files(spark, tmp_path, monkeypatch):
+    """Files lie in a few folders, and the stream reads many in a task; its settings stay its own."""
+    rows = [(str(i), f"# title {i}\nbody {i}") for i in range(600)] + [("7", "more"), ("8", None)]
+    root = tmp_path / "in"
+    write_text_files(spark.createDataFrame(rows, "name string, text string"), str(root), folders=5)
+    written = {p.name: p.read_text() for p in root.rglob("*.txt")}
+    assert len(written) == 600 and len(list(root.iterdir())) == 5 and written["9.txt"] == "# title 9\nbody 9\n"
+    assert {*written["7.txt"].splitlines()} == {"# title 7", "body 7", "more"} and sorted(written["8.txt"].splitlines()) == ["", "# title 8", "body 8"]
+    write_text_files(spark.createDataFrame([], "name string, text string"), str(tmp_path / "none"))
+    assert (tmp_path / "none").is_dir()
+
+    tasks, batch = [], streaming_files.file_batch
+    monkeypatch.setattr(streaming_files, "file_batch", lambda df, *rest: tasks.append(df.rdd.getNumPartitions()) or batch(df, *rest))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    out = str(tmp_path / "out")
+    ingest_stream(spark, str(root), out, str(tmp_path / "state"), pattern="*.txt").awaitTermination()
+    assert len(tasks) == 1 and tasks[0] <= 20  # of two ways to read, eight each; at 4 MB a file, 32 of them are a task
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert committed(spark, out)[0].select("file_title").distinct().count() == 600
+
+
 def test_documents_that_cannot_be_cut(spark):
     docs = spark.createDataFrame([(1, "a", "# T\nfine"), (2, "b", "# T\n<table>" + "z" * 100)], "doc_id long, file_title string, md_content string")
     sections = split_by_headings(docs)
